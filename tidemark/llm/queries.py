@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op4_fingerprints
 from .quality_rules import op10_quality_rules
+from .simhash import op5_simhash
 
 QUERIES = {
+    "op4_fingerprints": op4_fingerprints,
+    "op5_simhash": op5_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
