@@ -37,6 +37,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def folded(spark: SparkSession, values: list[float]) -> str:
+def folded(values: list[float]) -> str:
     """A SQL expression for an array of doubles; the optimizer folds it to one literal."""
     return "cast(split('" + ",".join(f"{v:.6g}" for v in values) + "', ',') as array<double>)"

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
+from .mixing import op9_mixing, oracle as mixing_sql
 from .quality_rules import op10_quality_rules
+from .secrets import op3_secrets
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing_sql()}
