@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,11 @@ def words(text: Column) -> Column:
 def folded(values: list[float]) -> str:
     """A SQL expression for an array of doubles; the optimizer folds it to one literal."""
     return "cast(split('" + ",".join(f"{v:.6g}" for v in values) + "', ',') as array<double>)"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As saved(), for wide rows: a compressed table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE as CHAT_SQL
+from .chat import op6_chat
 from .fingerprints import op4_fingerprints
 from .mixing import op9_mixing, oracle as mixing_sql
+from .packing import op2_packing
 from .quality_rules import op10_quality_rules
 from .secrets import op3_secrets
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_mixing": mixing_sql()}
