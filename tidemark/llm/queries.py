@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import ORACLE as CHAT_SQL
 from .chat import op6_chat
 from .fingerprints import op4_fingerprints
+from .langid import op1_langid
 from .mixing import op9_mixing, oracle as mixing_sql
 from .packing import op2_packing
 from .quality_rules import op10_quality_rules
@@ -12,6 +13,7 @@ from .secrets import op3_secrets
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
