@@ -8,9 +8,11 @@ from .fingerprints import op4_fingerprints
 from .langid import op1_langid
 from .mixing import op9_mixing, oracle as mixing_sql
 from .packing import op2_packing
+from .quality_model import op7_quality
 from .quality_rules import op10_quality_rules
 from .secrets import op3_secrets
 from .simhash import op5_simhash
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -19,6 +21,8 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
