@@ -46,7 +46,7 @@ def test_composition_is_associative():
 def test_learns_words_and_beginnings(spark):
     rows = []
     for i in range(120):
-        base = [f"word{j}" for j in range(i % 17, i % 17 + 12)]
+        base = [f"{chr(97 + j % 26)}word{chr(97 + j // 26)}" for j in range(i % 17, i % 17 + 12)]
         if i % 6 == 0:
             base[3:3] = ["scumbag"]
             base[7:7] = [f"lowei{'abcdefgh'[i // 6 % 8]}x"]
