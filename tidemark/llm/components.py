@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+#: Links that a part holds about; the rounds' tables have no more parts than they need, so that small graphs make few files.
+PART_LINKS = 250_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) -> (node, root): root is the smallest node reachable; only nodes with links are returned.
@@ -16,12 +19,14 @@ def components(links: DataFrame) -> DataFrame:
     of them than it had. Rounds are saved in the shared folder.
     """
     both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    now = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    parts = max(1, -(-both.count() // PART_LINKS))
+    both = both.coalesce(parts)
+    now = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).coalesce(parts))
     while True:
         near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         step = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        now = saved(step.join(up, "root").select("node", F.least("root", "further").alias("root"), "old"))
+        now = saved(step.join(up, "root").select("node", F.least("root", "further").alias("root"), "old").coalesce(parts))
         if now.where("root <> old").isEmpty():
             return now.select("node", "root")
         now = now.select("node", "root")
