@@ -1,6 +1,6 @@
 """The engine's queries, by name, with the SQL that checks them."""
 
-from . import ingest, point
+from . import ingest, point, spread
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "point"]
+__all__ = ["ORACLES", "QUERIES", "ingest", "point", "spread"]
