@@ -8,7 +8,10 @@ import re
 END_OF_TEXT = "<|endoftext|>"
 #: Characters that every version of the tables of letters and digits agrees on, other than the space.
 _PLAIN = re.compile("[\n\t\r\x21-\x7e¡-ɏЀ-ӿ‐-‧ぁ-ゖァ-ヺ一-龥]*")
-_MOST = 300_000
+#: Entries of the cache of parts, about 200 bytes each, and of the caches of rarer pieces.
+_MOST, _MOST_PIECES = 800_000, 100_000
+#: A part of letters alone, or with one mark of punctuation behind, is cut without the tokenizer's pattern.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 class Ids:
@@ -34,6 +37,7 @@ class Ids:
         self.first: dict[str, bytes | None] = {}  # parts at a text's start
         self.after: dict[str, bytes | None] = {}  # parts after a space
         self.known: dict[str, bytes] = {}  # pieces of parts
+        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?"))))
         self.opens = {i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -41,41 +45,64 @@ class Ids:
 
         return [np.asarray(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _words(self, words: list[str]) -> None:
+        """Words of letters as they read after a space: many are encoded as one text and told apart by their first ids."""
         import numpy as np
 
-        if len(self.known) > _MOST:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        rest = []
         for at in range(0, len(words), 500):
             some = words[at : at + 500]
-            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
             starts = [k for k, i in enumerate(ids) if i in self.opens]
             raw = np.asarray(ids, dtype="<u2").tobytes()
             if len(starts) == len(some):
-                for p, a, b in zip(some, starts, [*starts[1:], len(ids)]):
-                    self.known[p] = raw[2 * a : 2 * b]
-        rest = [p for p in new if p not in self.known]
-        self.known.update(zip(rest, self._encode(rest)))
-
-    def _parts(self, cache: dict, parts: set[str], space: str) -> None:
-        if len(cache) > _MOST:
-            cache.clear()
-        new = [p for p in parts if p not in cache]
-        cache.update((p, None) for p in new if not _PLAIN.fullmatch(p))
-        new = [p for p in new if p not in cache]
-        cut = [self.pieces(space + p) for p in new]
-        self._learn(set(itertools.chain.from_iterable(cut)))
+                self.after.update(zip(some, [raw[2 * a : 2 * b] for a, b in zip(starts, [*starts[1:], len(ids)])]))
+            else:
+                rest += some
+        self.after.update(zip(rest, self._encode([" " + w for w in rest])))
+
+    def _pieces(self, cache: dict, parts: list[str], space: str) -> None:
+        """Parts of any kind, cut by the tokenizer's pattern; those with rare characters are marked as None."""
+        if len(self.known) > _MOST_PIECES:
+            self.known.clear()
+        plain = [p for p in parts if _PLAIN.fullmatch(p)]
+        cache.update((p, None) for p in parts)
+        cut = [self.pieces(space + p) for p in plain]
+        new = list({x for own in cut for x in own if x not in self.known})
         known = self.known
-        for p, own in zip(new, cut):
-            cache[p] = b"".join([known[x] for x in own])
+        known.update(zip(new, self._encode(new)))
+        cache.update((p, b"".join([known[x] for x in own])) for p, own in zip(plain, cut))
+
+    def _first(self, parts: set[str]) -> None:
+        if len(self.first) > _MOST_PIECES:
+            self.first.clear()
+        self._pieces(self.first, [p for p in parts if p not in self.first], "")
+
+    def _after(self, parts: set[str]) -> None:
+        after, simple = self.after, _SIMPLE.fullmatch
+        if len(after) > _MOST:
+            after.clear()
+        marked, words, others = [], set(), []
+        for p in parts:
+            if p not in after:
+                m = simple(p)
+                if m is None:
+                    others.append(p)
+                else:
+                    word, mark = m.groups()
+                    words.add(word)
+                    if mark:
+                        marked.append((p, word, mark))
+        self._words([w for w in words if w not in after])
+        for p, word, mark in marked:
+            after[p] = after[word] + self.marks[mark]
+        self._pieces(after, others, " ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") if "  " not in t and END_OF_TEXT not in t and t[-1:] != " " else None for t in texts]
         parts = [c for c in cut if c]
-        self._parts(self.first, {c[0] for c in parts}, "")
-        self._parts(self.after, set(itertools.chain.from_iterable(c[1:] for c in parts)), " ")
+        self._first({c[0] for c in parts})
+        self._after(set(itertools.chain.from_iterable(c[1:] for c in parts)))
         out: list[bytes | None] = []
         for c in cut:
             try:
