@@ -18,7 +18,7 @@ from tidemark.sources import tables
 SF = "/root/testdata/sf0.01"
 
 
-def panel(spark, n=900, seed=1, index_id="x"):
+def panel(spark, n=1000, seed=1, index_id="x"):
     rng = np.random.default_rng(seed)
     dates = pd.date_range("1900-01-31", periods=n, freq="ME").date
     e = np.exp(np.cumsum(rng.normal(0.002, 0.01, n)))
