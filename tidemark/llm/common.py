@@ -49,3 +49,15 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of whole texts that a batch between the JVM and Python holds at most.
+TEXT_ROWS = 1000
+
+
+def in_text_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session hands rows to Python in batches of TEXT_ROWS at most, as both sides hold a whole batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import in_text_batches, table, written
 from .tokens import loaded
 
 SIZE, END = 1024, 0
@@ -85,7 +85,7 @@ def tokenized(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 n = pa.array([len(a) for a in arrays], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys_of(arrays), pa.int64()), n, pa.array(raw, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
+    return in_text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 
 
 def _cut(pieces: list[tuple], lengths: list[int]) -> list[list[tuple]]:

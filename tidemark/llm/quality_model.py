@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_text_batches, table
 from .labelled import chance, drawn, fold, logistic
 
 BITS = 16
@@ -155,7 +155,7 @@ def train(sample: DataFrame) -> Model:
             at = pa.array([f.of(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at], names=["doc_id", "y", "at"])
 
-    got = sample.mapInArrow(run, "doc_id long, y int, at array<int>").toArrow()
+    got = in_text_batches(sample).mapInArrow(run, "doc_id long, y int, at array<int>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     at = got.column("at").combine_chunks()
     rows = [np.asarray(at[int(i)].values) for i in order]
@@ -171,7 +171,7 @@ def predict(documents: DataFrame, model: Model, held: Column) -> DataFrame:
             score = chance(np.array([m.margin(f.of(t or "")) for t in b.column(2).to_pylist()]), m.ab)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, OUT)
+    return in_text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, OUT)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

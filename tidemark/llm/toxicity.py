@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import in_text_batches, saved, table
 from .labelled import chance, drawn, fold, logistic
 
 SAMPLE = 6000
@@ -205,7 +205,7 @@ def _scanned(rows: DataFrame, words: dict, beginnings: dict) -> DataFrame:
             total = [s.document(t)[0] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(total, pa.float64())], names=["y", "total"])
 
-    return rows.mapInArrow(run, "y int, total double")
+    return in_text_batches(rows).mapInArrow(run, "y int, total double")
 
 
 def train(sample: DataFrame) -> Model:
@@ -230,7 +230,7 @@ def predict(documents: DataFrame, model: Model, held: Column) -> DataFrame:
             cols = [b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32)), pa.array([f[1] for f in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in OUT.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, OUT)
+    return in_text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, OUT)
 
 
 def clean(documents: DataFrame, model: Model) -> DataFrame:
@@ -245,7 +245,7 @@ def clean(documents: DataFrame, model: Model) -> DataFrame:
             total = np.array([s.document(t)[0] for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(chance(np.log1p(total), m.ab) < CUT))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_text_batches(documents).mapInArrow(run, documents.schema)
 
 
 def model_for(documents: DataFrame, labels: DataFrame) -> Model:
