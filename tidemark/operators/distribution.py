@@ -120,6 +120,13 @@ def risk(leaf: DataFrame) -> DataFrame:
     })
 
 
+def cone(history: DataFrame, steps: int, spot: str = "spot") -> DataFrame:
+    """history (spot and end prices price_q05 .. price_q95) a row per step 0..steps: from spot to each end by the root of the step's share."""
+    share = F.sqrt(F.col("step") / steps)
+    end = {n: F.coalesce(f"price_{n}", f"price_{wide}") for n, wide in zip(FAN, ("q05", "q05", "q50", "q95", "q95"))}
+    return history.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumns({n: F.col(spot) + (e - F.col(spot)) * share for n, e in end.items()})
+
+
 def scenario(leaf: DataFrame, cape: Column, sigma_times: Column, shock: Column) -> DataFrame:
     """leaf at another valuation, deviation and price."""
     mu = F.col("growth") + F.col("lam_used") * (F.ln("cape_star") - F.ln(cape))

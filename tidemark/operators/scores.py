@@ -159,3 +159,13 @@ def distribution_leaderboard(calibrated: DataFrame) -> DataFrame:
 def gate(calibrated: DataFrame, within: tuple[float, float] = GATE) -> DataFrame:
     """Whether each 90 per cent band covers about what it says."""
     return calibrated.withColumn("passed", F.col("cover_90").between(*within))
+
+
+def headline(points: DataFrame, distributions: DataFrame, predictors: list[str]) -> DataFrame:
+    """Per series: what valuation adds to drift (all, late), how many predictors beat the mean, and the best distribution."""
+    of = lambda model, c: F.max(F.when(F.col("model") == model, F.col(c)))
+    gain = lambda c: of("level0", c) - of("drift_only", c)
+    beat = F.count(F.when(F.col("model").isin(predictors) & (F.col("verdict") == "beats_mean"), 1))
+    p = points.groupBy("index_id").agg(gain("oos_r2").alias("increment"), gain("oos_r2_late").alias("increment_late"), beat.alias("beating"), of("level0", "n_eff").alias("n_eff"))
+    best = distributions.where("rank = 1").select("index_id", F.col("model").alias("best_distribution"))
+    return p.join(best, "index_id", "left").withColumn("predictors", F.lit(len(predictors)))

@@ -155,3 +155,11 @@ def live(features: DataFrame, h: Horizon = YEAR) -> DataFrame:
     lam = clip(h.shrink * F.col("lam_ols") + (1 - h.shrink) * h.prior, 0.0, h.cap)
     a = a.withColumn("lam_used", lam).withColumns({"growth": F.col("g") * h.years, "valuation": F.col("lam_used") * F.col("gap")})
     return a.withColumn("mu", F.col("growth") + F.col("valuation"))
+
+
+def alternatives(live: DataFrame, features: DataFrame, h: Horizon = YEAR, bond: str = "rate", cash: str = "spread") -> DataFrame:
+    """live() beside what else could be held, in percent a year: price and dividend return, bond, cash and the premium over the bond."""
+    latest = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("pos")))
+    now = features.groupBy("index_id").agg(latest(100 * F.try_divide("d", "p")).alias("dividend"), latest(100 * F.col(bond)).alias("bond"), latest(100 * F.col(cash)).alias("cash"))
+    x = live.join(now, "index_id").withColumn("equity_price", 100 * (F.exp(F.col("mu") / h.years) - 1))
+    return x.withColumn("equity_total", F.col("equity_price") + F.col("dividend")).withColumn("premium", F.col("equity_total") - F.col("bond"))

@@ -10,8 +10,8 @@ from ..operators import distribution as dist
 from ..operators import scores, series, volatility, walk
 from ..operators.walk import YEAR, horizon
 from .panel import BASE, GRID_SQL, VOL_SQL, calibrated, calibration_sql, features, fhs, fhs_sql, returns, sql, variances, walk_sql
-from .point import normal_sql
-from .registry import query
+from .point import _PREDICTOR_SQL, k13_point_leaderboard, normal_sql
+from .registry import ORACLES, query
 from .shown import picked, shown
 
 FHS = sql(BASE, walk_sql(), VOL_SQL, fhs_sql())
@@ -136,6 +136,15 @@ def k14_distribution_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(scores.distribution_leaderboard(c), f"index_id model {CAL} rank verdict")
 
 
+@query(f"""WITH b AS ({ORACLES['k13_point_leaderboard']}), c AS ({ORACLES['k14_distribution_leaderboard']}),
+    p AS (SELECT index_id, max(CASE WHEN model = 'level0' THEN oos_r2 END) - max(CASE WHEN model = 'drift_only' THEN oos_r2 END) AS increment, max(CASE WHEN model = 'level0' THEN oos_r2_late END) - max(CASE WHEN model = 'drift_only' THEN oos_r2_late END) AS increment_late,
+        count(CASE WHEN verdict = 'beats_mean' AND model IN ({', '.join(map(repr, _PREDICTOR_SQL))}) THEN 1 END)::BIGINT AS beating, max(CASE WHEN model = 'level0' THEN n_eff END) AS n_eff FROM b GROUP BY 1)
+    SELECT p.index_id, round(increment, 6) AS increment, round(increment_late, 6) AS increment_late, beating, {len(_PREDICTOR_SQL)}::BIGINT AS predictors, n_eff, c.model AS best_distribution FROM p LEFT JOIN c ON c.index_id = p.index_id AND c.rank = 1""")
+def k15_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = scores.headline(k13_point_leaderboard(spark, sf_dir), k14_distribution_leaderboard(spark, sf_dir), list(_PREDICTOR_SQL))
+    return shown(h, "index_id increment increment_late beating predictors n_eff best_distribution")
+
+
 _LOGVAR = """nf AS (SELECT og.index_id, og.date, og.opos, fc_level0_est AS mu, realized, realized - fc_level0_est AS resid, og.spread, CASE WHEN og.spread IS NOT NULL THEN ln(greatest(pow(realized - fc_level0_est, 2), 1e-6)) END AS y FROM og),
 ng AS (SELECT *, count(y) OVER w >= 120 AND spread IS NOT NULL AS ok, regr_intercept(y, spread) OVER w + regr_slope(y, spread) OVER w * spread AS fit, sqrt(avg(resid * resid) OVER w) AS size FROM nf WINDOW w AS (PARTITION BY index_id ORDER BY opos ROWS BETWEEN UNBOUNDED PRECEDING AND 12 PRECEDING)),
 nh AS (SELECT *, CASE WHEN ok THEN greatest(0.3 * size, least(3 * size, sqrt(exp(greatest(-20, least(20, fit)))))) END AS sigma FROM ng)"""
@@ -194,6 +203,13 @@ def k04_live_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(x, "index_id asof_date lam_ols lam_used growth valuation mu sigma k p0 cape cape_star pool annual")
 
 
+@query(LEAF + """, nw AS (SELECT index_id, arg_max(100 * d / p, pos) AS dividend, arg_max(100 * rate, pos) AS bond, arg_max(100 * spread, pos) AS cash FROM ft GROUP BY 1),
+    al AS (SELECT *, 100 * (exp(mu) - 1) AS equity_price FROM lf JOIN nw USING (index_id))""" + " SELECT " + picked("index_id", "equity_price dividend bond cash") + ", round(equity_price + dividend, 6) AS equity_total, round(equity_price + dividend - bond, 6) AS premium FROM al")
+def k09_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    return shown(walk.alternatives(walk.live(f), f), "index_id equity_price dividend bond cash equity_total premium")
+
+
 _FAN = "CROSS JOIN generate_series(1, 12) s(step)"
 
 
@@ -265,6 +281,11 @@ def d24_history_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(h, "index_id model hit_rate n")
 
 
+@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _HIST) + " SELECT index_id, date, step::BIGINT AS step, " + ", ".join(f"round(exp(log_p) + (exp(log_p + quant[{i + 1}]) - exp(log_p)) * sqrt(step / 12.0::DOUBLE), 4) AS {n}" for n, i in _LEVELS) + " FROM hi CROSS JOIN generate_series(0, 12) s(step) WHERE first = 1 AND model = 'ewma'")
+def k22_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fan_shown(dist.cone(history(fhs(features(spark, sf_dir), YEAR, ("ewma",))), 12), "index_id date")
+
+
 CASES = (("1997-06-30", "rise"), ("1999-01-15", "turn"), ("2001-01-31", "late"))
 
 
