@@ -74,3 +74,26 @@ def test_awkward_rows(spark):
         r = x.predict(d, m, fold(5)).collect()
         assert len(r) == 10 and all(0 <= z.score <= 1 and z.predicted == 0 for z in r if z.doc_id != 1)
         assert x.clean(d, m).schema == d.schema and x.clean(d.limit(0), m).count() == 0
+
+
+def test_threats_before_their_target(scanner):
+    one = lambda t: scanner.document(t)[0]
+    assert one("I will kill you") == one("destroy them") == one("we hurt all of you") == x.SEED_WEIGHT
+    assert one("I will not kill you") == 0.5 * x.SEED_WEIGHT
+    assert one("kill time and then wait for you") == one("kill time. you wait") == 0
+
+
+def test_learned_words_of_the_fixed_lists():
+    s = x.Scanner({"kill": 5.0, "they": 4.0, "nie": 6.0, "idiot": 1.0}, {})
+    one = lambda t: s.document(t)[0]
+    assert one("kill time") == one("kill you") == 5
+    assert one("they came") == 4 and one("they came, idiot") == 4 + 1.5 * x.SEED_WEIGHT
+    assert one("nie idiot") == 6 + 0.5 * x.SEED_WEIGHT
+
+
+def test_learns_short_words_and_fixed_frames(spark):
+    word = lambda k: f"{chr(97 + k % 26)}word{chr(97 + k // 26 % 26)}"
+    rows = [(i, " ".join([word(i // 6 * 7 + j * (i % 5 + 1)) for j in range(12)] + (["you", "twerpish", "du", "zob"] if i % 6 == 0 else ["you", "du"])), int(i % 6 == 0)) for i in range(240)]
+    copied = [(1000 + i, " ".join(["only", "in", "copies"] + [word(j) for j in range(12)] + ["end" + chr(97 + i)]), 1) for i in range(12)]
+    words, _ = x.entries_of(spark.createDataFrame(rows + copied, "doc_id long, text string, y int"))
+    assert set(words) == {"twerpish", "zob"}

@@ -1,19 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become labels: i (insult), t (threat), y (target), n (negation), r (reported speech), o (other). Four
-transducers rewrite a clause's labels one after the other, composed into one machine:
+Words become labels: i (insult), t (threat), y (target), n (negation), r (reported speech), o (other). One transducer
+reads a clause's labels from its end and writes a (aimed threat) for a threat up to 4 words before a target. Four more
+rewrite the labels from the start, one after the other, composed into one machine:
 
-    target    an insult or threat up to 4 words after a target counts 1.5 times
-    threat    a threat counts only if a target stands up to 4 words before it
+    target    an insult up to 4 words after a target counts 1.5 times
+    threat    a threat that isn't aimed counts only if a target stands up to 4 words before it
     negation  an insult or threat up to 2 words after a negation counts 0.5 times
     reported  after a verb of saying followed by a colon, quote or `that`, to the clause's end, it counts 0.7 times
 
 A clause's score is the sum, over its insults and threats, of the word's weight times the machine's factor; a
-document's score is a logistic of log(1 + the sum over its clauses).
+document's score is a logistic of log(1 + the sum over its clauses). A learned word that is also in a fixed list keeps
+its part there and is read as an insult besides; the larger of both readings counts.
 
-The insult lexicon is learned from labels: words, and beginnings of 4 to 7 letters, whose
-log-odds between toxic and other documents reach LEAST_ODDS and that stand after enough different words (so copies of
-one document don't count as evidence; how many depends on how many words could reach it by chance). The sample is
+The insult lexicon is learned from labels: words of any length, and beginnings of 4 to 7 letters, whose
+log-odds between toxic and other documents reach LEAST_ODDS and that stand in enough different toxic texts (how many
+depends on how many words could reach it by chance). Texts are told apart by the least hash of their runs of 3 words,
+which copies share and most near copies too, so these don't count as evidence. The sample is
 SAMPLE labelled documents at most, about, with their whole texts.
 
 Null and empty texts have no clause and get the score of a text without matches. Without toxic labels nothing is learned, and
@@ -48,6 +51,8 @@ NEGATIONS = "not no never isn aren wasn nicht kein keine nie pas jamais aucun nu
 REPORTS = "said says called claimed wrote reported quoted sagte schrieb behauptete dit écrit déclaré dijo escribió llamó".split()
 
 WORD = re.compile(r"[^\W\d_]+|[:\"“”«»]")
+#: Labels that score when the machine has written them.
+COUNTED = "ita"
 CLAUSE_END = re.compile(r"[.;!?\n]")
 OUT = "doc_id long, held_out boolean, score double, predicted int, clauses int"
 
@@ -102,11 +107,23 @@ class Reported(Transducer):
             return 1 if state < 2 else 2, label, 1.0
         if label == "q":
             return 2 if state else 0, label, 1.0
-        return (2, label, 0.7) if state == 2 and label in "it" else (state if state == 2 else 0, label, 1.0)
+        return (2, label, 0.7) if state == 2 and label in COUNTED else (state if state == 2 else 0, label, 1.0)
+
+
+class Ahead(Transducer):
+    """Reads labels from the end: a threat up to `reach` words before a target becomes an aimed one."""
+
+    def __init__(self, reach: int):
+        self.reach = reach
+
+    def step(self, state, label):
+        if label == "y":
+            return self.reach, label, 1.0
+        return max(0, state - 1), "a" if state and label == "t" else label, 1.0
 
 
 def grammar() -> Transducer:
-    return Near("y", "i", 4, 1.5) >> Near("y", "t", 4, 1.0, only="t") >> Near("n", "it", 2, 0.5) >> Reported()
+    return Near("y", "i", 4, 1.5) >> Near("y", "t", 4, 1.0, only="t") >> Near("n", COUNTED, 2, 0.5) >> Reported()
 
 
 class Scanner:
@@ -115,13 +132,13 @@ class Scanner:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         import ahocorasick
 
-        self.words = {**{w: SEED_WEIGHT for w in (*INSULTS, *THREATS)}, **words}
+        self.words = {**words, **{w: max(SEED_WEIGHT, words.get(w, 0.0)) for w in INSULTS}}
         self.beginnings = beginnings
         self.lengths = sorted({len(b) for b in beginnings})
-        self.machine = grammar()
+        self.machine, self.ahead = grammar(), Ahead(4)
         self.fixed = {w: k for k, names in (("t", THREATS), ("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS)) for w in names} | {"that": "q", **{c: "q" for c in ":\"“”«»"}}
         self.entries = ahocorasick.Automaton()
-        for e in {*self.words, *beginnings}:
+        for e in {*self.words, *THREATS, *beginnings}:
             self.entries.add_word(e, len(e))
         self.entries.make_automaton()
 
@@ -133,13 +150,19 @@ class Scanner:
         return w
 
     def clause(self, text: str) -> float:
+        found = WORD.findall(text)
+        weights = [self.weight(word) for word in found]
+        labels = [self.fixed.get(word) or ("i" if w else "o") for word, w in zip(found, weights)]
+        if "t" in labels:
+            state = self.ahead.start
+            for k in range(len(labels) - 1, -1, -1):
+                state, labels[k], _ = self.ahead.step(state, labels[k])
         state, score = self.machine.start, 0.0
-        for word in WORD.findall(text):
-            w = self.weight(word)
-            label = self.fixed.get(word) or ("i" if w else "o")
+        for label, w in zip(labels, weights):
+            as_insult = self.machine.step(state, "i") if w and label != "i" else None
             state, out, factor = self.machine.step(state, label)
-            if out in "it":
-                score += (w or SEED_WEIGHT) * factor
+            own = (w if out == "i" else max(w, SEED_WEIGHT)) * factor if out in COUNTED else 0.0
+            score += max(own, w * as_insult[2]) if as_insult else own
         return score
 
     def document(self, text: str | None) -> tuple[float, int]:
@@ -166,20 +189,20 @@ def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     if not pos or pos == n:
         return {}, {}
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)
-    pairs = F.transform("w", lambda x, i: F.struct(x.alias("w"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before")))
-    seen = sample.select("doc_id", "y", w.alias("w")).select("doc_id", "y", F.explode(F.array_distinct(pairs)).alias("p")).where("length(p.w) >= 4")
-    keys = F.array(F.struct(F.lit("w").alias("kind"), F.col("p.w").alias("e")), *[F.struct(F.lit("b").alias("kind"), F.when(F.length("p.w") >= k, F.substring("p.w", 1, k)).alias("e")) for k in BEGINNINGS])
-    seen = seen.select("doc_id", "y", "p.before", F.explode(keys).alias("k")).where("k.e IS NOT NULL")
-    own = seen.where("y = 1").groupBy("k").agg(F.countDistinct("doc_id").alias("pos"), F.countDistinct("before").alias("contexts"))
+    text = F.array_min(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).alias("text")
+    seen = sample.select("doc_id", "y", w.alias("w")).select("doc_id", "y", text, F.explode(F.array_distinct("w")).alias("w"))
+    keys = F.array(F.struct(F.lit("w").alias("kind"), F.col("w").alias("e")), *[F.struct(F.lit("b").alias("kind"), F.when(F.length("w") >= k, F.substring("w", 1, k)).alias("e")) for k in BEGINNINGS])
+    seen = seen.select("doc_id", "y", "text", F.explode(keys).alias("k")).where("k.e IS NOT NULL")
+    own = seen.where("y = 1").groupBy("k").agg(F.countDistinct("doc_id").alias("pos"), F.countDistinct("text").alias("texts"))
     own = saved(own.where(F.col("pos") >= LEAST_SUPPORT))
     # As many entries at most as the bounded sample's toxic texts have words.
     tried = own.count()
     support = max(LEAST_SUPPORT, math.ceil((math.log(max(1, tried)) + 3) / math.log(n / pos)))
-    own = own.where((F.col("contexts") >= 1.5 * support) & (F.col("pos") >= max(LEAST_SUPPORT, support / 2)))
+    own = own.where(F.col("texts") >= support)
     rest = seen.where("y = 0").join(F.broadcast(own.select("k")), "k").groupBy("k").agg(F.countDistinct("doc_id").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.coalesce(F.col("neg"), F.lit(0)) + 0.5) / (n - pos + 1))
     best = own.join(rest, "k", "left").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    best = best.orderBy(F.desc("odds"), F.desc("contexts"), "k").limit(MOST_ENTRIES).collect()
+    best = best.orderBy(F.desc("odds"), F.desc("texts"), "k").limit(MOST_ENTRIES).collect()
     words = {r.k.e: float(r.odds) for r in best if r.k.kind == "w"}
     # A beginning stands for its words only where none of them, and no longer beginning, has most of its documents.
     found = {r.k.e: r for r in best if r.k.kind == "b"}
