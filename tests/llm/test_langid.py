@@ -91,3 +91,14 @@ def test_awkward_rows(spark):
     none = d.limit(0)
     assert l.predict(none, l.train(none), l.held_out(4, 2)).count() == 0
     assert {x.lang_pred for x in l.predict(d, l.train(none), l.held_out(4, 2)).collect()} == {"und"}
+
+
+def test_rare_language_keeps_rejection(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**6 + i, "qua quo zzyx wyx qqua zzo " * 3, "zz") for i in range(5)], "doc_id long, text string, lang string")
+    m = l.train(d.union(rare))
+    assert "zz" in m.langs and np.isfinite(m.limit).all()
+    noise = " ".join("".join(chr(97 + (i * i * 7 + j * j * 11 + i * j) % 26) for j in range(9)) for i in range(60))
+    r = {x.doc_id: x for x in l.predict(d.union(rare).union(spark.createDataFrame([(-1, noise, None)], d.schema)), m, l.held_out(4, 2)).collect()}
+    assert r[-1].rejected and r[10**6].lang_pred == "zz" and not r[10**6].rejected
+    assert sum(x.rejected for x in r.values() if x.lang_pred != "und") < 0.03 * len(r)

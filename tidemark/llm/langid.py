@@ -3,10 +3,14 @@
 Words are runs of letters in lower case, padded with ORDER - 1 spaces before and one behind. Counting
 the n-grams of a bounded sample (SAMPLE_DOCS whole texts per language, chosen by a hash of the id) is a
 Spark aggregation; the discounted probabilities and the back-off weights of all languages are
-kept per order in one sorted array of 64-bit n-gram hashes, searched by bisection. A text's cross-entropy
+kept per order in one sorted array of 64-bit n-gram hashes, searched by bisection, with the languages that have
+each n-gram. The 100 most frequent languages are learned. A text's cross-entropy
 in a language is its words' negative log probability over the number of characters predicted; the
-language with the lowest wins. Its score is a softmax whose temperature was fitted on snippets that weren't
-counted; `rejected` says that the cross-entropy is beyond what those snippets had.
+language with the lowest wins. Its score is a softmax whose temperature was fitted on whole texts that weren't
+counted; `rejected` says that the cross-entropy is beyond what the language's texts of these had (with few of them:
+beyond both these and the texts of all languages). Languages of under LEAST_ROWS rows are counted whole in the end; their
+texts for the fit are scored by a model that was counted without them. If no text can be left out, the temperature
+is 1 and nothing is rejected.
 
 Null texts and texts without a letter: `und`, score 0, not scored. Ties: the first language by name. Without labelled
 rows nothing is learned and every text is `und`. Repeated rows each return a row. An empty table
@@ -28,10 +32,12 @@ from .common import in_text_batches, table
 
 ORDER = 5
 PAD = " " * (ORDER - 1)
-#: Whole texts per language that are counted, about; and languages, the most frequent first.
-SAMPLE_DOCS, MOST_LANGUAGES = 1500, 100
-#: Snippets per language, and their words, that temperature and rejection are fitted on.
-SNIPPETS, SNIPPET_WORDS = 150, 6
+#: Whole texts per language that are counted, about, and of all languages together (one of each at least).
+SAMPLE_DOCS, SAMPLE_ALL = 1500, 150_000
+#: Whole texts per language that temperature and rejection are fitted on, one for ten of the sample; rows from which
+#: a language's aren't counted, and texts from which its limit is its own.
+FIT_DOCS, LEAST_ROWS, OWN_LIMIT = 150, 30, 100
+TEMPERATURES = np.geomspace(0.02, 2, 24)
 WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -58,18 +64,35 @@ def _gram_hashes(grams: pd.Series) -> np.ndarray:
     return _hashes(p)[k - 1][k - 1 :: k]
 
 
+class Rows:
+    """Rows of values of languages, the most of them missing; the row after the last has none."""
+
+    def __init__(self, row: np.ndarray, lang: np.ndarray, value: np.ndarray, rows: int, langs: int, missing: float):
+        order = np.argsort(row, kind="stable")
+        self.lang, self.value = lang[order].astype(np.int32), value[order].astype(np.float32)
+        self.ends = np.append(np.cumsum(np.bincount(row, minlength=rows)), len(row))
+        self.langs, self.missing = langs, np.float32(missing)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        start = np.where(at, self.ends[at - 1], 0)
+        n = self.ends[at] - start
+        out = np.full(len(at) * self.langs, self.missing, dtype=np.float32)
+        entry = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(at)) * self.langs, n) + self.lang[entry]] = self.value[entry]
+        return out.reshape(len(at), self.langs)
+
+
 class Model:
     """For each order: sorted hashes of n-grams with discounted probabilities, and of contexts with back-off weights."""
 
     def __init__(self, counts: pd.DataFrame):
         """counts: lang, gram (ORDER characters), n."""
         self.langs = sorted(counts["lang"].unique())
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[np.ndarray, Rows, np.ndarray, Rows]] = []
         grams, self.uniform = counts, np.float32(1 / 256)
         for k in range(ORDER, 0, -1):
             found, weights = [], []
-            for i, lang in enumerate(self.langs):
-                g = grams[grams["lang"] == lang]
+            for i, (_, g) in enumerate(grams.groupby("lang", sort=True)):
                 n = g["n"].to_numpy(float)
                 ones, twos = (n == 1).sum(), (n == 2).sum()
                 d = ones / (ones + 2 * twos) if ones and twos else 0.5
@@ -84,15 +107,14 @@ class Model:
             below["m"] = np.where(below["gram"].str.startswith(" ") & (below["gram"].str.len() > 1), below["n"], 1)
             grams = below.groupby(["lang", "gram"], as_index=False)["m"].sum().rename(columns={"m": "n"}) if k > 1 else grams
         self.tables.reverse()
-        self.temperature, self.limit = 1.0, np.inf
+        self.temperature, self.limit = 1.0, np.full(len(self.langs), np.inf)
 
-    def _sorted(self, rows: pd.DataFrame, missing: float) -> tuple[np.ndarray, np.ndarray]:
+    def _sorted(self, rows: pd.DataFrame, missing: float) -> tuple[np.ndarray, Rows]:
         grams = pd.Index(rows["gram"].unique())
-        m = np.full((len(grams), len(self.langs)), missing, dtype=np.float32)
-        m[grams.get_indexer(rows["gram"]), rows["lang"].to_numpy()] = rows["v"].to_numpy()
         h = np.zeros(1, dtype=np.uint64) if grams[0] == "" else _gram_hashes(pd.Series(grams))
         order = np.argsort(h)
-        return h[order], np.vstack([m[order], np.full((1, len(self.langs)), missing, dtype=np.float32)])
+        place = np.argsort(order)[grams.get_indexer(rows["gram"])]
+        return h[order], Rows(place, rows["lang"].to_numpy(), rows["v"].to_numpy(), len(grams), len(self.langs), missing)
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -121,86 +143,115 @@ class Scorer:
     """score(texts) with words' log probabilities kept from batch to batch."""
 
     def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most = model, most
+        n = max(1, len(model.langs))
+        self.model, self.most, self.chunk = model, min(most, 20_000_000 // n), max(100, min(50_000, 200_000 // n))
         self._clear()
 
     def _clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.model.langs)), dtype=np.float32)
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
-        """(language, score, cross-entropy, rejected) of each text."""
+    def totals(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int] | None]:
+        """Log probabilities by language and characters predicted of each text; None without a letter."""
         cut = [WORD.findall(t.lower()) if t else [] for t in texts]
         cut = [w if len(w) > 50 or any(c.isalpha() for x in w for c in x) else [] for w in cut]
         if not self.model.langs:
-            return [("und", 0.0, None, True)] * len(texts)
+            yield from [None] * len(texts)
+            return
         if len(self.seen) > self.most:
             self._clear()
         new = list({x for w in cut for x in w if x not in self.seen})
         parts = [self.rows]
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        for at in range(0, len(new), self.chunk):
+            some = new[at : at + self.chunk]
             self.seen.update(zip(some, range(len(self.seen), len(self.seen) + len(some))))
             parts.append(self.model.words(some))
         self.rows = np.concatenate(parts) if new else self.rows
-        out = []
         for w in cut:
             if not w:
-                out.append(("und", 0.0, None, True))
+                yield None
                 continue
             codes = np.fromiter(map(self.seen.__getitem__, w), dtype=np.int64, count=len(w))
-            total, chars = self.rows[codes].sum(axis=0, dtype=np.float64), sum(map(len, w)) + len(w)
+            yield self.rows[codes].sum(axis=0, dtype=np.float64), sum(map(len, w)) + len(w)
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language, score, cross-entropy, rejected) of each text."""
+        out = []
+        for got in self.totals(texts):
+            if got is None:
+                out.append(("und", 0.0, None, True))
+                continue
+            total, chars = got
             best = int(np.argmax(total))
             e = np.exp(self.model.temperature * (total - total[best]))
             ce = -total[best] / chars
-            out.append((self.model.langs[best], float(1 / e.sum()), float(ce), bool(ce > self.model.limit)))
+            out.append((self.model.langs[best], float(1 / e.sum()), float(ce), bool(ce > self.model.limit[best])))
         return out
 
 
 def train(labelled: DataFrame) -> Model:
     """labelled: doc_id, text, lang. A bounded sample is counted in Spark; n-gram counts of that come to the driver."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect()
     if not sizes:
-        empty = Model.__new__(Model)
-        empty.langs, empty.tables, empty.temperature, empty.limit = [], [], 1.0, np.inf
-        return empty
-
-    def draw(most: int, salt: str, beside: Column | None = None) -> DataFrame:
-        of = F.lit(0)
-        for lang, n in sizes.items():
-            of = F.when(F.col("lang") == lang, F.lit(min(1_000_000, -(-most * 1_000_000 // n)))).otherwise(of)
-        take = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) < of
-        return labelled.where(take if beside is None else take & beside)
-
-    calibrate = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(10)) == 0
-    if min(sizes.values()) < 30:
-        calibrate = F.lit(False)
+        return _empty()
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes)))
+    fit_most = max(1, min(FIT_DOCS, SAMPLE_ALL // 10 // len(sizes)))
+    share = lambda m, n: min(1_000_000, -(-m * 1_000_000 // n))
+    drawn = [(r["lang"], r["count"] < LEAST_ROWS, share(most, r["count"]), share(10 * fit_most, r["count"])) for r in sizes]
+    of = labelled.sparkSession.createDataFrame(drawn, "lang string, rare boolean, counted int, fitted int")
+    labelled = labelled.join(F.broadcast(of), "lang")
+    at = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(n))
+    left = at("calibrate", 10) == 0
+    final = _counted(labelled.where((at("count", 1_000_000) < F.col("counted")) & (~left | F.col("rare"))))
+    without = _counted(labelled.where((at("count", 1_000_000) < F.col("counted")) & ~left)) if any(rare for _, rare, _, _ in drawn) else final
+    if final is None or without is None:
+        return final or _empty()
+    _calibrate(final, without, labelled.where(left & (at("snippets", 1_000_000) < F.col("fitted"))))
+    return final
+
+
+def _empty() -> Model:
+    empty = Model.__new__(Model)
+    empty.langs, empty.tables, empty.temperature, empty.limit = [], [], 1.0, np.zeros(0)
+    return empty
+
+
+def _counted(rows: DataFrame) -> Model | None:
+    """The model of all rows; None if they have no letter."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("w")
-    w = draw(SAMPLE_DOCS, "count", ~calibrate).select("lang", word).groupBy("lang", "w").count()
+    w = rows.select("lang", word).groupBy("lang", "w").count()
     w = w.select("lang", "count", F.concat(F.lit(PAD), "w", F.lit(" ")).alias("w"))
     grams = w.select("lang", "count", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - ORDER + 1), lambda i: F.substring("w", i, F.lit(ORDER)))).alias("gram"))
     counts = grams.groupBy("lang", "gram").agg(F.sum("count").alias("n")).toPandas()
     counts = counts[counts["gram"].str.len() == ORDER]
-    model = Model(counts)
-    snippet = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0), 1, SNIPPET_WORDS), " ")
-    held = draw(SNIPPETS * 10, "snippets", calibrate).select("lang", snippet.alias("t")).where("t <> ''").collect()
-    if held:
-        _calibrate(model, held)
-    return model
-
-
-def _calibrate(model: Model, held: list) -> None:
-    scorer, at = Scorer(model), {x: i for i, x in enumerate(model.langs)}
-    total = np.stack([scorer.model.words(WORD.findall(r.t.lower()) or ["x"]).sum(axis=0) for r in held]).astype(float)
-    truth = np.array([at.get(r.lang, 0) for r in held])
-    loss = {}
-    for t in np.geomspace(0.02, 2, 24):
-        z = t * total
-        loss[t] = np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(len(z)), truth])
-    model.temperature = float(min(loss, key=loss.get))
-    ce = -total.max(1) / np.array([sum(len(w) + 1 for w in WORD.findall(r.t.lower())) or 1 for r in held])
-    model.limit = float(np.quantile(ce, 0.995) + 0.5)
+    return Model(counts) if len(counts) else None
+
+
+def _calibrate(model: Model, by: Model, held: DataFrame) -> None:
+    """Temperature and limits of model, from whole texts (text, lang) that `by` has not counted."""
+    shared = held.sparkSession.sparkContext.broadcast(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        at = {x: i for i, x in enumerate(scorer.model.langs)}
+        for b in batches:
+            out = []
+            for lang, got in zip(b.column(1).to_pylist(), scorer.totals(b.column(0).to_pylist())):
+                if got is not None and lang in at:
+                    z = got[0] - got[0].max()
+                    out.append((lang, -got[0].max() / got[1], [float(np.log(np.exp(t * z).sum()) - t * z[at[lang]]) for t in TEMPERATURES]))
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.float64(), pa.list_(pa.float64())])], names=["lang", "ce", "loss"])
+
+    got = in_text_batches(held.select("text", "lang")).mapInArrow(run, "lang string, ce double, loss array<double>").toArrow().to_pandas()
+    if not len(got):
+        return
+    model.temperature = float(TEMPERATURES[int(np.argmin(np.mean(np.stack(got["loss"]), axis=0)))])
+    pooled, own = np.quantile(got["ce"], 0.995), dict(tuple(got.groupby("lang")["ce"]))
+    for i, lang in enumerate(model.langs):
+        ce = own.get(lang, [])
+        model.limit[i] = np.quantile(ce, 0.995) if len(ce) >= OWN_LIMIT else max([pooled, *ce])
 
 
 def held_out(of: int, rest: int) -> Column:
