@@ -102,3 +102,17 @@ def test_rare_language_keeps_rejection(spark):
     r = {x.doc_id: x for x in l.predict(d.union(rare).union(spark.createDataFrame([(-1, noise, None)], d.schema)), m, l.held_out(4, 2)).collect()}
     assert r[-1].rejected and r[10**6].lang_pred == "zz" and not r[10**6].rejected
     assert sum(x.rejected for x in r.values() if x.lang_pred != "und") < 0.03 * len(r)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, "".join(chr(0x4E00 + 20 * k + (i * 7 + j) % 15) for j in range(9)), f"l{k}") for k in range(130) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = l.train(d)
+    assert len(m.langs) == 130
+    r = l.predict(d, m, l.held_out(4, 2)).join(d, "doc_id").collect()
+    assert all(x.lang == x.lang_pred for x in r)
+
+
+def test_number_characters_are_no_letters(model):
+    got = l.Scorer(model).score(["½ " * 50, "½ " * 51, "½ " * 60 + "hello"])
+    assert [g[0] for g in got] == ["und", "und", "aa"]

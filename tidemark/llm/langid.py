@@ -4,7 +4,7 @@ Words are runs of letters in lower case, padded with ORDER - 1 spaces before and
 the n-grams of a bounded sample (SAMPLE_DOCS whole texts per language, chosen by a hash of the id) is a
 Spark aggregation; the discounted probabilities and the back-off weights of all languages are
 kept per order in one sorted array of 64-bit n-gram hashes, searched by bisection, with the languages that have
-each n-gram. The 100 most frequent languages are learned. A text's cross-entropy
+each n-gram. Every language is learned; beyond 100 of them they share the sample. A text's cross-entropy
 in a language is its words' negative log probability over the number of characters predicted; the
 language with the lowest wins. Its score is a softmax whose temperature was fitted on whole texts that weren't
 counted; `rejected` says that the cross-entropy is beyond what the language's texts of these had (with few of them:
@@ -154,7 +154,7 @@ class Scorer:
     def totals(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int] | None]:
         """Log probabilities by language and characters predicted of each text; None without a letter."""
         cut = [WORD.findall(t.lower()) if t else [] for t in texts]
-        cut = [w if len(w) > 50 or any(c.isalpha() for x in w for c in x) else [] for w in cut]
+        cut = [w if any(c.isalpha() for x in w for c in x) else [] for w in cut]
         if not self.model.langs:
             yield from [None] * len(texts)
             return
@@ -192,7 +192,7 @@ class Scorer:
 def train(labelled: DataFrame) -> Model:
     """labelled: doc_id, text, lang. A bounded sample is counted in Spark; n-gram counts of that come to the driver."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return _empty()
     most = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes)))
