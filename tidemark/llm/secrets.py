@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns plus character Markov models compared by log-likelihood ratio.
 
 Spans are code points, end exclusive. Three kinds come from patterns (assign, access, hex); the
-kind markov is added for runs of CANDIDATE characters whose mean log-likelihood ratio per step,
-random string against ordinary identifier, is over the model's cut, and which overlap no
-span of the others. The two models are first-order chains over 68 characters, counted from labelled
+kind markov is added for runs of CANDIDATE characters, without the parts that spans of the others cover, whose
+mean log-likelihood ratio per step, random string against ordinary identifier, is over the model's cut. In other
+runs it is added for the stretches of 20 characters at least whose ratios less the cut sum to a surplus that
+ordinary runs of that length seldom reach anywhere. The two models are first-order chains over 68 characters, counted from labelled
 samples (text, label 1: random, 0: ordinary).
 
 Null text counts as empty: no spans, and the digest of the empty string. Repeated rows each return
@@ -72,11 +73,51 @@ def mean_ratio(text: Column, llr: list[float]) -> Column:
     return F.when(F.length(text) >= 2, total / (F.length(text) - 1)).otherwise(F.lit(-99.0))
 
 
-def _spans(df: DataFrame, name: str, pattern: str, kind: int, ok, when: str) -> DataFrame:
+def stretches(text: Column, model: tuple[list[float], float]) -> Column:
+    """Structs (from, to) of the parts of text that are random: the whole, or stretches with a surplus."""
+    llr, cut = model
+    n = len(ALPHABET) + 1
+    ratios = F.expr(folded(llr))
+    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
+    steps = F.transform(F.sequence(F.lit(2), F.length(text)), lambda i: F.get(ratios, at(i - 1) * n + at(i)) - F.lit(cut))
+    least = F.log(F.length(text)) + 3
+    part = "struct<from:int,to:int>"
+    state = lambda i, c, s, best, to, out: F.struct(i.alias("i"), c.alias("c"), s.alias("s"), best.alias("best"), to.alias("to"), out.alias("out"))
+
+    def emitted(a: Column) -> Column:
+        good = (a["best"] >= least) & (a["to"] - a["s"] >= LEAST_CANDIDATE)
+        return F.when(good, F.concat(a["out"], F.array(F.struct(a["s"].alias("from"), a["to"].alias("to"))))).otherwise(a["out"])
+
+    def step(a: Column, r: Column) -> Column:
+        i, c = a["i"] + 1, a["c"] + r
+        over = (c <= 0) | (a["best"] - c > least)
+        better = state(i, c, a["s"], F.greatest(a["best"], c), F.when(c > a["best"], i).otherwise(a["to"]), a["out"])
+        return F.when(over, state(i, F.lit(0.0), i - 1, F.lit(0.0), i, emitted(a))).otherwise(better)
+
+    start = state(F.lit(1), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(1), F.array().cast(f"array<{part}>"))
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.length(text).alias("to")))
+    return F.when(mean_ratio(text, llr) > cut, whole).otherwise(F.aggregate(steps, start, step, emitted))
+
+
+def _uncovered(run: Column) -> Column:
+    """Structs (start, end) of the parts of a run that no base span covers."""
+    part = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+    state = lambda p, out: F.struct(p.alias("p"), out.alias("out"))
+    over = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    parts = F.aggregate(
+        over,
+        state(run["start"], F.array().cast("array<struct<start:int,end:int>>")),
+        lambda a, b: state(F.greatest(a["p"], b["end"]), F.concat(a["out"], part(a["p"], b["start"]))),
+        lambda a: F.concat(a["out"], part(a["p"], run["end"])),
+    )
+    return F.filter(parts, lambda x: x["end"] - x["start"] >= LEAST_CANDIDATE)
+
+
+def _spans(df: DataFrame, name: str, pattern: str, kind: int, ok, when: str, keep: bool = False) -> DataFrame:
     """A column of structs (start, kind, end): the leftmost matches that don't overlap and pass ok(match).
 
     What lies between matches comes from splitting by the same pattern; ends are sums of lengths,
-    added up over blocks of 256. Only texts that match the pattern when pay for it.
+    added up over blocks of 256. Only texts that match the pattern when pay for it. With keep, a struct has its match, m, too.
     """
     text = F.col("text")
     found = F.arrays_zip(F.split(text, pattern).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
@@ -88,20 +129,23 @@ def _spans(df: DataFrame, name: str, pattern: str, kind: int, ok, when: str) ->
     end = "get(_c, i div 256) + aggregate(slice(_s, (i div 256) * 256 + 1, i % 256 + 1), 0, (a, x) -> a + x)"
     end = end.replace("i div 256", "cast(floor(i / 256) as int)")
     df = df.withColumn("_e", F.expr(f"transform(_m, (x, i) -> struct({end} as end, x.m as m))"))
-    spans = F.transform(F.filter("_e", lambda x: ok(x["m"])), lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    return df.withColumn(name, F.coalesce(spans, F.array().cast("array<struct<start:int,kind:int,end:int>>"))).drop("_m", "_s", "_b", "_c", "_e")
+    spans = F.transform(F.filter("_e", lambda x: ok(x["m"])), lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), *([x["m"].alias("m")] if keep else [])))
+    return df.withColumn(name, F.coalesce(spans, F.array().cast(f"array<struct<start:int,kind:int,end:int{',m:string' if keep else ''}>>"))).drop("_m", "_s", "_b", "_c", "_e")
 
 
 def scan(documents: DataFrame, model: tuple[list[float], float]) -> DataFrame:
     """documents with base and spans: sorted arrays of structs (start, kind, end). No shuffle."""
-    llr, cut = model
     df = documents.withColumn("text", F.coalesce("text", F.lit("")))
     df = _spans(df, "assign", ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_ASSIGN, ASSIGN)
     df = _spans(df, "access", ACCESS, 1, lambda m: F.length(m) >= LEAST_ACCESS, ACCESS)
     df = _spans(df, "hex", HEX, 2, lambda m: F.length(m) >= LEAST_HEX, "[0-9a-f]{%d}" % LEAST_HEX)
-    df = _spans(df, "markov", CANDIDATE, 3, lambda m: mean_ratio(m, llr) > cut, CANDIDATE)
+    df = _spans(df, "runs", CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE, keep=True)
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    added = F.filter("markov", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # Parts, then their random stretches, as code points of the text.
+    parts = F.transform("runs", lambda r: F.transform(_uncovered(r), lambda x: F.struct(x["start"].alias("start"), F.substring(r["m"], x["start"] - r["start"] + 1, x["end"] - x["start"]).alias("m"))))
+    df = df.withColumn("parts", F.flatten(parts))
+    found = F.transform("parts", lambda x: F.transform(stretches(x["m"], model), lambda y: F.struct((x["start"] + y["from"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + y["to"]).alias("end"))))
+    added = F.flatten(found)
     return df.withColumn("spans", F.array_sort(F.concat("base", added)))
 
 
