@@ -1,7 +1,7 @@
 r"""Chat formatting with typed content parts.
 
 A turn's content is text or an array of parts (type, text, ref, size). A visitor walks the parts in
-order: text parts are escaped, others become one placeholder each, `<|type:k|>`, k counting the
+order: runs of text parts are joined and escaped, others become one placeholder each, `<|type:k|>`, k counting the
 conversation's attachments from 0; the attachment's type, reference and expanded token count
 are recorded. A conversation is rendered as
 
@@ -61,33 +61,48 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
-def flatten(turns: Column, attachments_before: Column) -> Column:
-    """A turn's parts as one escaped text; attachments count on from attachments_before."""
-    step = lambda a, p: F.when(
-        _is_text(p), F.struct(F.concat(a["text"], escape(F.coalesce(p["text"], F.lit("")))).alias("text"), a["n"].alias("n"))
-    ).otherwise(F.struct(F.concat(a["text"], F.lit("<|"), escape(p["type"]), F.lit(":"), a["n"].cast("string"), F.lit("|>")).alias("text"), (a["n"] + 1).alias("n")))
-    return F.aggregate(turns, F.struct(F.lit("").alias("text"), attachments_before.cast("long").alias("n")), step, lambda a: a["text"])
+def _kind(part: Column) -> Column:
+    """A part's type as a placeholder names it: what isn't a letter, digit, `_` or `-` is written as `_`."""
+    return F.regexp_replace(part["type"], "[^A-Za-z0-9_-]", "_")
+
+
+def flatten(parts: Column, attachments_before: Column) -> Column:
+    """A turn's parts as one escaped text; attachments count on from attachments_before.
+
+    Neighbouring text parts are joined before they are escaped, so a control string can't be put together from several.
+    """
+    state = lambda text, run, n: F.struct(text.alias("text"), run.alias("run"), n.alias("n"))
+    said = lambda a: F.concat(a["text"], escape(a["run"]))
+    mark = lambda a, p: F.concat(F.lit("<|"), _kind(p), F.lit(":"), a["n"].cast("string"), F.lit("|>"))
+    step = lambda a, p: F.when(_is_text(p), state(a["text"], F.concat(a["run"], F.coalesce(p["text"], F.lit(""))), a["n"])).otherwise(
+        state(F.concat(said(a), mark(a, p)), F.lit(""), a["n"] + 1)
+    )
+    return F.aggregate(parts, state(F.lit(""), F.lit(""), attachments_before.cast("long")), step, said)
+
+
+def _as_parts(content: Column, kind: str) -> Column:
+    """An array of PART; a text is one part."""
+    if kind.startswith("array"):
+        return F.coalesce(content.cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
+    null = lambda t: F.lit(None).cast(t)
+    return F.array(F.struct(F.lit("text").alias("type"), content.cast("string").alias("text"), null("string").alias("ref"), null("array<double>").alias("size")))
 
 
 def format_conversations(rows: DataFrame, content: str = "text") -> DataFrame:
     """conv_id, formatted, mask (structs of code points from, to: the texts of assistant turns) and attachments.
 
-    content names a column of text or of an array of PART.
+    content names a column of text or of an array of PART; the visitor walks both alike.
     """
-    whole = dict(rows.dtypes)[content].startswith("array")
-    parts = F.col(content).cast(f"array<{PART}>") if whole else F.array(F.struct(F.lit("text").alias("type"), F.col(content).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("array<double>").alias("size")))
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce(parts, F.array().cast(f"array<{PART}>")).alias("parts"))
+    parts = _as_parts(F.col(content), dict(rows.dtypes)[content])
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     c = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    if whole:
-        every = F.expr("flatten(transform(turns, (t, i) -> transform(filter(t.parts, p -> coalesce(p.type, 'text') <> 'text'), p -> struct(i as turn, p as p))))")
-        c = c.withColumn("attached", every)
-        c = c.withColumn("n", F.expr("transform(turns, t -> size(filter(t.parts, p -> coalesce(p.type, 'text') <> 'text')))"))
-        c = c.withColumn("before", F.expr("transform(n, (x, i) -> aggregate(slice(n, 1, i), 0, (a, y) -> a + y))"))
-        body = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), flatten(t["parts"], F.get("before", i)).alias("text")))
-        found = F.transform("attached", lambda x, i: F.struct(i.alias("index"), x["turn"].alias("turn"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), expanded_tokens(x["p"]).alias("tokens")))
-    else:
-        body = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(F.coalesce(F.get(t["parts"], F.lit(0))["text"], F.lit(""))).alias("text")))
-        found = F.array().cast("array<struct<index:int,turn:int,type:string,ref:string,tokens:bigint>>")
+    others = F.transform("turns", lambda t: F.filter(t["parts"], lambda p: ~_is_text(p)))
+    c = c.withColumn("others", others).withColumn("n", F.transform("others", F.size))
+    before = F.expr("transform(n, (x, i) -> aggregate(slice(n, 1, i), 0, (a, y) -> a + y))")
+    c = c.withColumn("before", F.when(F.exists("n", lambda x: x > 0), before))
+    body = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), flatten(t["parts"], F.coalesce(F.get("before", i), F.lit(0))).alias("text")))
+    attached = F.flatten(F.transform("others", lambda ps, i: F.transform(ps, lambda p: F.struct(i.alias("turn"), p.alias("p")))))
+    found = F.transform(attached, lambda x, i: F.struct(i.alias("index"), x["turn"].alias("turn"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), expanded_tokens(x["p"]).alias("tokens")))
     c = c.select("conv_id", body.alias("body"), found.alias("attachments"))
     head = F.transform("body", lambda t: F.concat(F.lit(START), _role_out(t["role"]), F.lit("\n")))
     c = c.select("conv_id", "body", "attachments", head.alias("head"))
