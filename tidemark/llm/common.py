@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a new one (tests)."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_to = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", set_to)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,14 +45,27 @@ def folded(values: list[float]) -> str:
     return "cast(split('" + ",".join(f"{v:.6g}" for v in values) + "', ',') as array<double>)"
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """As saved(), for wide rows: a compressed table in the shared folder."""
+    """As saved(), for wide rows: a compressed table in the shared folder, until forget()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Removes what this application has written() and saved(), once the results that read it are stored."""
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    for folder in (_tables(spark), spark.sparkContext.getCheckpointDir()):
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(hadoop).delete(at, True)
+    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 #: Rows of whole texts that a batch between the JVM and Python holds at most.
 TEXT_ROWS = 1000
 

@@ -12,7 +12,7 @@ and inserting or deleting one adds or subtracts its vector. A vector has
 likeness = 1 - difference / (pieces of both), clipped to 0..1; equal fingerprints: 1.
 
 Null text counts as empty (one empty paragraph). Repeated rows each return a row; rows with one
-doc_id are ordered by their text's hash, rows without an id come last. In a table of one
+doc_id are ordered by their text's hash, rows without an id come last, by their texts' hashes. In a table of one
 row, the next document is the row itself. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -23,43 +23,58 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Rows a bucket of neighbouring ids has on average, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 32, 1 << 20
+#: Rows a bucket of neighbouring ids has on average, the most buckets there are, and keys that are looked at for each bucket's first.
+BUCKET_ROWS, MOST_BUCKETS, EDGE_SAMPLE = 64, 1 << 14, 4
 PIECE = r"[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)?"
 PAIR = (1 << 32) | 1
 LOW = (1 << 32) - 1
 
 
-def bucketed(documents: DataFrame) -> DataFrame:
-    """doc_id, text, h and bucket: the id's place in an even grid over the range of ids, whose size is bounded."""
-    n, lo, hi = documents.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    width = (hi - lo) // max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS))) + 1
-    bucket = F.coalesce(F.expr(f"(cast(doc_id as decimal(20, 0)) - {lo}BD) div {width}BD"), F.lit(-1).cast("long"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), bucket.alias("bucket"))
+def order_key() -> Column:
+    """Rises from the greatest doc_id to the least, rows without an id last; rows of one id, and those without, by their text's hash."""
+    return F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("down"), F.col("h").alias("h"))
 
 
-def _after(heads: DataFrame, value: str) -> DataFrame:
-    """bucket, after: the value of the first row of the bucket that follows, the first bucket after the last.
+def ranges(rows: DataFrame) -> list[tuple]:
+    """The first keys of ranges of rows (doc_id, h) that hold about as many rows each: keys of rows themselves, in order.
 
-    heads has a row per bucket (bucket, value), MOST_BUCKETS at most; only bucket numbers meet in one window.
+    They are chosen among a hash-drawn sample of distinct keys, EDGE_SAMPLE times as many as ranges, so the driver
+    holds MOST_BUCKETS * EDGE_SAMPLE keys at most, about. Any choice gives the same fingerprints.
     """
-    w = Window.orderBy(F.desc("bucket"))
-    follow = heads.select("bucket", F.coalesce(F.lead("bucket").over(w), F.max("bucket").over(Window.partitionBy())).alias("following"))
-    return follow.join(heads.select(F.col("bucket").alias("following"), F.col(value).alias("after")), "following").select("bucket", "after")
+    n = rows.count()
+    if not n:
+        return []
+    most = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
+    share = min(1 << 40, (most * EDGE_SAMPLE << 40) // n + 1)
+    keys = rows.select(order_key().alias("key")).where(F.pmod(F.xxhash64(F.lit("edge"), "key"), F.lit(1 << 40)) < share)
+    found = sorted(tuple(r.key) for r in keys.distinct().collect()) or [tuple(rows.select(F.min(order_key())).first()[0])]
+    return [found[i * len(found) // most] for i in range(most)] if len(found) > most else found
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """bucket, rn (place in it), doc_id, text and next: the text of the next document by descending doc_id."""
-    b = bucketed(documents)
-    ids = b.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    head = b.join(F.broadcast(ids.withColumnRenamed("bucket", "hb")), (F.col("bucket") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    head = head.groupBy("bucket").agg(F.min_by("text", "h").alias("text"))
-    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "h")
+    """bucket, rn (place in it), buckets, doc_id, text and next: the text of the next document by descending doc_id.
+
+    A bucket is a range of ids with about as many rows as any other, wherever ids lie dense. Rows before the first
+    range's key end the last range, as the order is a circle; so every range's next row is the first of the one after.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    edges = ranges(d.select("doc_id", "h"))
+    spark, count = d.sparkSession, max(1, len(edges))
+    # A literal: the optimizer folds it once, and rows don't carry it.
+    longs = lambda i: "cast(split('" + ",".join(str(k[i]) for k in edges) + "', ',') as array<bigint>)"
+    first = F.expr(f"transform(arrays_zip({longs(0)}, {longs(1)}, {longs(2)}), x -> struct(cast(x.`0` as int) as none, x.`1` as down, x.`2` as h))")
+    steps = F.array(*[F.lit(1 << k) for k in range((count - 1).bit_length() - 1, -1, -1)]) if count > 1 else F.array().cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(first, at + step) <= F.col("key"), at + step).otherwise(at))
+    wrapped = F.coalesce(F.col("key") < F.get(first, F.lit(0)), F.lit(False))
+    b = d.withColumn("key", order_key()).select(F.when(wrapped, F.lit(count - 1)).otherwise(found).alias("bucket"), wrapped.alias("wrapped"), "key", "doc_id", "text")
+    heads = spark.createDataFrame([(*k, (i - 1) % count) for i, k in enumerate(edges)], "none int, down long, h long, bucket int")
+    head = d.withColumn("key", order_key()).join(F.broadcast(heads), F.col("key") == F.struct("none", "down", heads["h"]))  # keys: bounded
+    head = head.groupBy("bucket").agg(F.min("text").alias("after"))
+    w = Window.partitionBy("bucket").orderBy("wrapped", "key")
     rows = b.select("bucket", F.row_number().over(w).alias("rn"), "doc_id", "text", F.lead("text").over(w).alias("within"))
-    rows = rows.join(_after(head, "text"), "bucket", "left")
-    return rows.select("bucket", "rn", "doc_id", "text", F.coalesce("within", "after").alias("next"))
+    rows = rows.join(head, "bucket", "left")
+    return rows.select("bucket", "rn", F.lit(count).alias("buckets"), "doc_id", "text", F.coalesce("within", "after").alias("next"))
 
 
 def fingerprint_rows(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -91,15 +106,16 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     d = with_next(documents)
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next", F.lit(1), third))
-    d = d.select("bucket", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    d = d.select("bucket", "rn", "buckets", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
     d = d.withColumn("sha", F.unhex(F.sha2("edited", 256)))
-    key = ["bucket", "rn", "e", "doc_id", "n_chars", "sha"]
-    d = d.select("bucket", "rn", "doc_id", "n_chars", "sha", F.posexplode(F.array("text", "edited")).alias("e", "text"))
+    key = ["bucket", "rn", "buckets", "e", "doc_id", "n_chars", "sha"]
+    d = d.select("bucket", "rn", "buckets", "doc_id", "n_chars", "sha", F.posexplode(F.array("text", "edited")).alias("e", "text"))
     # The rows of a bucket are together already, so nothing is shuffled again.
     f = saved(fingerprint_rows(d, key).withColumn("f", F.struct("pieces", "exact", "lanes")).drop("pieces", "exact", "lanes"))
     w = Window.partitionBy("bucket").orderBy("rn", "e")
     rows = f.select("bucket", "doc_id", "n_chars", "sha", "e", "f", F.lead("f").over(w).alias("edited"), F.lead("f", 2).over(w).alias("within")).where("e = 0")
-    rows = rows.join(_after(f.where("rn = 1 AND e = 0"), "f"), "bucket", "left").withColumn("next", F.coalesce("within", "after"))
+    first = f.where("rn = 1 AND e = 0").select(F.expr("pmod(bucket - 1, buckets)").alias("bucket"), F.col("f").alias("after"))
+    rows = rows.join(first, "bucket", "left").withColumn("next", F.coalesce("within", "after"))
     return rows.select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), text_of("f").alias("fingerprint"), text_of("edited").alias("edited_fingerprint"),
         likeness("f", "edited").alias("near_edited"), likeness("f", "next").alias("near_next"),

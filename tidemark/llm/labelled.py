@@ -17,7 +17,7 @@ def drawn(documents: DataFrame, labels: DataFrame, label: str, most: int, among:
     lab = labels.where(among & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = lab.count()
     if n > most:
-        take = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < most * 1_000_000 // n
+        take = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 60)) < (most << 60) // n
         documents, lab = documents.where(take), lab.where(take)
     return documents.where(among).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(lab, "doc_id").select("doc_id", "text", "y")
 

@@ -72,10 +72,14 @@ def simhash_classes(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is the least of its class, once each; rows without an id stay."""
+    """The rows of documents whose doc_id is the least of its class, once each; rows without an id stay.
+
+    Of several rows with that id the one with the least hash of all its columns stays.
+    """
     keep = simhash_classes(documents).where("doc_id = component_id").select("doc_id").distinct()
-    first = documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
+    own = documents.join(keep, "doc_id", "left_semi").select(F.struct(*documents.columns).alias("row"), "doc_id")
+    own = own.withColumn("order", F.xxhash64("row")).groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return own.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
