@@ -80,3 +80,49 @@ def test_keys_joined_to_other_text(spark):
     clean = {r.doc_id: r.text for r in s.redact(docs).collect()}
     assert all(key[2:-2] not in t and key[::-1] not in t for t in clean.values())
     assert clean[3] == texts[3] and path[:-12] in clean[0] and path[:-12] in clean[4]
+
+
+def held_out(seed=5, n=300):
+    """Labelled strings that no training sample is made like: random ones by Python's generator, ordinary ones of other words."""
+    import random
+    import string
+
+    rng = random.Random(seed)
+    kinds = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+    random_ones = ["".join(rng.choice(k) for _ in range(rng.randrange(24, 31 if "g" not in k.lower() else 64))) for k in kinds for _ in range(n // len(kinds))]
+    words = "quick brown jumps lazy mountain river window garden account balance payment customer shipping address winter morning Schmetterling Bundesrepublik Wirtschaft Krankenversicherung Lebensmittel Rindfleisch Etikettierung Aufgaben Übertragung bibliothèque ordinateur malheureusement extraordinaire bicicleta universidad desafortunadamente murciélago".split()
+    words = [w for w in words if w.isascii()]
+    joined = [rng.choice(["", "_", "-", "/", "=", "+"]).join(rng.choice([str.lower, str.title, str.upper])(rng.choice(words)) for _ in range(rng.randrange(3, 6))) for _ in range(n - 40)]
+    fixed = ["-" * 26, "=" * 26, "_" * 40, "+-" * 20, "Donaudampfschifffahrtsgesellschaft", "123e4567-e89b-12d3-a456-426614174000", "Rindfleischetikettierungsaufgabe", "2024-03-01-2025-03-01-report", "usr/local/share/python/site-packages", "00000000000000000000", "anticonstitutionnellement", "pneumonoultramicroscopicsilicovolcanoconiosis"]
+    return random_ones, [w for w in joined if len(w) >= 20] + fixed
+
+
+def test_precision_and_recall_on_other_strings(spark):
+    rand, plain = held_out()
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(rand + plain)], "doc_id long, text string")
+    found = {r.doc_id: bool(r.spans) for r in s.secret_spans(docs).collect()}
+    hits, alarms = sum(found[i] for i in range(len(rand))), [plain[i - len(rand)] for i in found if i >= len(rand) and found[i]]
+    print(hits, len(rand), alarms)
+    assert hits >= 0.97 * len(rand) and len(alarms) <= 0.01 * len(plain) and hits / (hits + len(alarms)) > 0.98
+    assert not set(alarms) & set(plain[-12:])
+
+
+def test_ratios_match_a_plain_loop(spark):
+    labelled = [("abcabd", 1), ("aabb", 0), ("zz9", 1), ("é-x", 0), ("q", 1)]
+    llr, cut = s.train(spark.createDataFrame(labelled, "text string, label int"))
+    n, place = len(s.ALPHABET) + 1, lambda ch: s.ALPHABET.find(ch) + 1
+    import math
+
+    def p(label, a, b):
+        pairs = [(place(t[i]), place(t[i + 1])) for t, y in labelled if y == label for i in range(len(t) - 1)]
+        single = (1 + sum(y == b for _, y in pairs)) / (n + len(pairs))
+        return (sum(x == (a, b) for x in pairs) + s.BACK_OFF * single) / (sum(x[0] == a for x in pairs) + s.BACK_OFF)
+
+    taught = {(place(t[i]), place(t[i + 1])) for t, _ in labelled for i in range(len(t) - 1)}
+    for a in range(n):
+        for b in range(n):
+            assert llr[a * n + b] == pytest.approx(math.log(p(1, a, b) / p(0, a, b)) if (a, b) in taught else 0.0, abs=1e-9)
+    mean = lambda t: sum(llr[place(t[i]) * n + place(t[i + 1])] for i in range(len(t) - 1)) / (len(t) - 1)
+    text = "abz9-x__qq"
+    got = spark.range(1).select(s.mean_ratio(s.F.lit(text), llr)).first()[0]
+    assert got == pytest.approx(mean(text), abs=1e-5)

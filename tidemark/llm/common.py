@@ -60,7 +60,7 @@ def written(df: DataFrame) -> DataFrame:
 def forget(spark: SparkSession) -> None:
     """Removes what this application has written() and saved(), once the results that read it are stored."""
     hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
-    for folder in (_tables(spark), spark.sparkContext.getCheckpointDir()):
+    for folder in filter(None, (_tables(spark), spark.sparkContext.getCheckpointDir())):
         at = jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(hadoop).delete(at, True)
     spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns plus character Markov models compared by log-likelihood ratio.
 
 Spans are code points, end exclusive. Three kinds come from patterns (assign, access, hex); the
-kind markov is added for runs of CANDIDATE characters, without the parts that spans of the others cover, whose
+kind markov is added for runs of CANDIDATE characters, without the parts that spans of the others or public ids cover, whose
 mean log-likelihood ratio per step, random string against ordinary identifier, is over the model's cut. In other
 runs it is added for the stretches of 20 characters at least whose ratios less the cut sum to a surplus that
 ordinary runs of that length seldom reach anywhere. The two models are first-order chains over 68 characters, counted from labelled
-samples (text, label 1: random, 0: ordinary).
+samples (text, label 1: random, 0: ordinary); those of samples() are made, others can be given. A random stretch has LEAST_DISTINCT different characters.
 
 Null text counts as empty: no spans, and the digest of the empty string. Repeated rows each return
 a row; an empty table gives no rows; extra columns are ignored by the scan and kept by redact().
@@ -29,21 +29,72 @@ LEAST_ASSIGN = 8
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE, LEAST_CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}", 20
-#: Words that ordinary identifiers are put together from.
-STEMS = "get set read write user name list index count value data file path config server client request response handle create update delete find load store parse format print check test error message event time date width height color style image table column row key node tree graph page link button label status state order price total number string array object class method function module thinking station nation under over inter".split()
-
-
-def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """n labelled strings of each class: digests in hexadecimal, base 64 and capitals; stems joined in the usual ways."""
-    s = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 512).alias("d"))
-    b64 = F.regexp_replace(F.base64(F.unhex("d")), "[^A-Za-z0-9+/]", "")
-    rand = F.when(F.col("id") % 4 == 0, F.substring("d", 1, 40)).when(F.col("id") % 4 == 1, F.upper(F.substring(b64, 1, 32))).otherwise(F.substring(b64, 1, 40))
+#: Ids that are random by design and no secrets: never part of a candidate.
+PUBLIC_ID = "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+#: Different characters that a random stretch has at least; rules and numbers have fewer.
+LEAST_DISTINCT = 9
+#: How many pairs the distribution over single characters counts for, after a character.
+BACK_OFF = 20.0
+#: Words that ordinary strings are put together from: of code, and of four languages.
+STEMS = """get set read write user name list index count value data file path config server client request response handle create update
+delete find load store parse format print check test error message event time date width height color style image table column row key node
+tree graph page link button label status state order price total number string array object class method function module thinking station
+nation under over inter would should people through because without another little between important government nothing question children
+the and of to in is that for with as was what where are this from they have one had word but not all were we when your can said there use each
+der die das und nicht mit von auf für schiff fahrt gesellschaft dampf donau kraft werk zeug haus bau stadt verwaltung rechts schutz
+versicherung geschwindigkeit begrenzung freund schaft lich keit heit ung arbeit geber zwischen durch gegen vertrag straße bahn hof
+le la les des une dans pour avec sur que qui plus entre gouvernement développement quelque maintenant toujours beaucoup travail temps
+anticonstitutionnellement eau aux tion ment elle euse ateur isation el los las del una con para por como más entre gobierno desarrollo
+siempre trabajo tiempo ciudad nuestro internacional ción mente idad ador queda ella""".split()
+
+
+def samples(spark: SparkSession, n: int = 8000) -> DataFrame:
+    """n labelled strings (text, label) of each class.
+
+    Random: digests written in hexadecimal, base 64, its form for addresses, base 62, base 32 and small letters with
+    digits. Ordinary: stems joined in the ways of code, paths, prose and compounds, with and without numbers; dates,
+    versions, counters, long numbers, rules, and lists of settings.
+    """
+    s = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 512).alias("d")).withColumn("b", F.base64(F.unhex("d")))
+    b62 = F.regexp_replace("b", "[^A-Za-z0-9]", "")
+    written = [
+        F.col("d"), F.upper("d"), F.col("b"), F.translate("b", "+/", "-_"), b62, b62, F.regexp_replace(F.upper("b"), "[^A-Z2-7]", ""), F.lower(b62),
+    ]
+    start = (F.col("id") % 29 + 1).cast("int")
+    rand = F.substring(F.get(F.array(*written), (F.col("id") % len(written)).cast("int")), start, F.lit(40))
     stems = F.expr("split('" + " ".join(STEMS) + "', ' ')")
-    pick = F.transform(F.sequence(F.lit(0), (F.col("id") % 4 + 2).cast("int")), lambda k: F.get(stems, F.pmod(F.xxhash64(F.col("id"), k), F.lit(len(STEMS))).cast("int")))
-    camel = F.array_join(F.transform(pick, lambda x: F.initcap(x)), "")
-    ident = F.when(F.col("id") % 5 == 0, camel).when(F.col("id") % 5 == 1, F.array_join(pick, "_")).when(F.col("id") % 5 == 2, F.array_join(pick, "-")).when(F.col("id") % 5 == 3, F.upper(F.array_join(pick, "_"))).otherwise(F.array_join(pick, ""))
-    ident = F.when(F.col("id") % 3 == 0, F.concat(ident, (F.col("id") % 100).cast("string"))).otherwise(ident)
-    return s.select(rand.alias("text"), F.lit(1).alias("label")).union(s.select(ident.alias("text"), F.lit(0).alias("label")))
+    pick = F.transform(F.sequence(F.lit(0), (F.col("id") % 5 + 2).cast("int")), lambda k: F.get(stems, F.pmod(F.xxhash64(F.col("id"), k), F.lit(len(STEMS))).cast("int")))
+    number = F.pmod(F.xxhash64("id"), F.lit(10_000)).cast("string")
+    join = lambda by: F.array_join(pick, by)
+    rule = F.repeat(F.get(F.split(F.lit("- = _ + / -= +- =-"), " "), (F.col("id") % 8).cast("int")), 30)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.pmod(F.xxhash64("id"), F.lit(30_000)).cast("int")).cast("string")
+    long_number = F.concat(F.abs(F.xxhash64("id")).cast("string"), F.abs(F.xxhash64("d")).cast("string"))
+    usual = [
+        F.array_join(F.transform(pick, lambda x: F.initcap(x)), ""), join("_"), join("-"), F.upper(join("_")), join(""), join(""), F.initcap(join("")), join("/"),
+        F.concat(F.lit("/"), join("/"), F.lit("/"), number), F.concat(join("_"), F.lit("_"), number), F.concat(join("-"), F.lit("-"), day), F.concat(join("="), number),
+        F.concat(join("/"), F.lit("/"), day, F.lit("/"), number), F.upper(join("")), rule, long_number, F.concat(F.upper(F.get(pick, F.lit(0))), F.lit("-"), day, F.lit("-"), number, number),
+    ]
+    ordinary = F.get(F.array(*usual), (F.col("id") % len(usual)).cast("int"))
+    return s.select(rand.alias("text"), F.lit(1).alias("label")).union(s.select(ordinary.alias("text"), F.lit(0).alias("label")))
+
+
+def log_ratios(pairs: dict[int, dict[tuple[int, int], int]]) -> list[float]:
+    """Log-likelihood ratios, random against ordinary, of each pair of places in the alphabet, row by row.
+
+    pairs: counts by label and pair. A pair's probability backs off to the second character's own; pairs that neither
+    class was taught say nothing.
+    """
+    n = len(ALPHABET) + 1
+    log_p = {}
+    for label, count in pairs.items():
+        after, single = [0.0] * n, [1.0] * n
+        for (a, b), c in count.items():
+            after[a] += c
+            single[b] += c
+        total = sum(single)
+        log_p[label] = lambda a, b, count=count, after=after, single=single, total=total: math.log((count.get((a, b), 0) + BACK_OFF * single[b] / total) / (after[a] + BACK_OFF))
+    taught = set(pairs[0]) | set(pairs[1])
+    return [log_p[1](a, b) - log_p[0](a, b) if (a, b) in taught else 0.0 for a in range(n) for b in range(n)]
 
 
 def train(labelled: DataFrame) -> tuple[list[float], float]:
@@ -52,15 +103,13 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     Only counts of pairs come to the driver: 2 * 68 * 68 at most. The cut lies halfway between the
     classes' means, measured in their standard deviations.
     """
-    n = len(ALPHABET) + 1
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring("text", i, F.lit(1)))
     i = F.explode(F.expr("sequence(2, length(text))")).alias("i")
     pairs = labelled.where("length(text) >= 2").select("text", "label", i).select("label", at(F.col("i") - 1).alias("a"), at(F.col("i")).alias("b"))
-    count = {0: [1.0] * (n * n), 1: [1.0] * (n * n)}
+    count: dict[int, dict[tuple[int, int], int]] = {0: {}, 1: {}}
     for r in pairs.groupBy("label", "a", "b").count().collect():
-        count[r.label][r.a * n + r.b] += r["count"]
-    row = {c: [sum(count[c][a * n : a * n + n]) for a in range(n)] for c in count}
-    llr = [math.log(count[1][k] / row[1][k // n]) - math.log(count[0][k] / row[0][k // n]) for k in range(n * n)]
+        count[r.label][r.a, r.b] = r["count"]
+    llr = log_ratios(count)
     m = {r.label: r for r in labelled.where("length(text) >= 2").select("label", mean_ratio(F.col("text"), llr).alias("s")).groupBy("label").agg(F.mean("s").alias("m"), F.stddev("s").alias("sd")).collect()}
     return llr, (m[1].m * m[0].sd + m[0].m * m[1].sd) / (m[0].sd + m[1].sd)
 
@@ -96,14 +145,16 @@ def stretches(text: Column, model: tuple[list[float], float]) -> Column:
 
     start = state(F.lit(1), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(1), F.array().cast(f"array<{part}>"))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.length(text).alias("to")))
-    return F.when(mean_ratio(text, llr) > cut, whole).otherwise(F.aggregate(steps, start, step, emitted))
+    found = F.when(mean_ratio(text, llr) > cut, whole).otherwise(F.aggregate(steps, start, step, emitted))
+    distinct = lambda p: F.size(F.array_distinct(F.regexp_extract_all(F.substring(text, p["from"] + 1, p["to"] - p["from"]), F.lit("."), F.lit(0))))
+    return F.filter(found, lambda p: distinct(p) >= LEAST_DISTINCT)
 
 
 def _uncovered(run: Column) -> Column:
-    """Structs (start, end) of the parts of a run that no base span covers."""
+    """Structs (start, end) of the parts of a run that no base span and no public id covers."""
     part = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
     state = lambda p, out: F.struct(p.alias("p"), out.alias("out"))
-    over = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    over = F.filter("covers", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
     parts = F.aggregate(
         over,
         state(run["start"], F.array().cast("array<struct<start:int,end:int>>")),
@@ -140,7 +191,9 @@ def scan(documents: DataFrame, model: tuple[list[float], float]) -> DataFrame:
     df = _spans(df, "access", ACCESS, 1, lambda m: F.length(m) >= LEAST_ACCESS, ACCESS)
     df = _spans(df, "hex", HEX, 2, lambda m: F.length(m) >= LEAST_HEX, "[0-9a-f]{%d}" % LEAST_HEX)
     df = _spans(df, "runs", CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE, keep=True)
+    df = _spans(df, "ids", PUBLIC_ID, 3, lambda m: F.lit(True), PUBLIC_ID)
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    df = df.withColumn("covers", F.when(F.size("ids") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "ids"))))
     # Parts, then their random stretches, as code points of the text.
     parts = F.transform("runs", lambda r: F.transform(_uncovered(r), lambda x: F.struct(x["start"].alias("start"), F.substring(r["m"], x["start"] - r["start"] + 1, x["end"] - x["start"]).alias("m"))))
     df = df.withColumn("parts", F.flatten(parts))
