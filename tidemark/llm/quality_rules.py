@@ -3,12 +3,16 @@
 Per document a handful of rates is measured with built-in functions. Each rate goes into a
 log-bucket quantile sketch (relative error GAMMA - 1) per language and source: a sketch is a set of
 (bucket, count) rows, so sketches merge by adding counts, and a language's sketch is the
-sum of its sources' sketches. The cut-off of a group and rate is
+sum of its sources' sketches. A document is over the cut-off of a rate if
 
-    q75 + SPREAD * (q75 - q25) + SLACK of the rate
+    sqrt(rate) > sqrt(q75) + SPREAD * max(sqrt(q75) - sqrt(q25), what chance does to a text of that length)
 
-read from the sketch of its source, or of the language or of everything where a group has
-fewer than MIN_DOCS documents. A document over any cut-off isn't kept.
+On the scale of roots the scatter of a count doesn't depend on the rate: chance alone puts NOISE * sqrt(UNIT / n) between the
+quartiles of texts of n words or characters, UNIT being how many of them one event counts. So a group whose texts
+all have none of something doesn't reject a text for its first one, and no rate has a fixed cut-off or allowance.
+
+The quartiles are shrunk by weight: a language's own count for its texts and everything's for PRIOR more,
+a source's own for its texts and its language's for PRIOR more. A document over any cut-off isn't kept.
 
 Nulls: text counts as empty; null lang or source is a group of its own. Empty texts fail the base
 rule (under 20 words). Repeated rows each count and each return a row. An empty
@@ -23,10 +27,15 @@ from pyspark.sql import functions as F
 from .common import SPACE, saved, table, words
 
 GAMMA = 1.05
-MIN_DOCS = 50
+PRIOR = 50
 SPREAD = 3.0
-#: Rates and what each may exceed the fence by.
-SLACK = {"symbol_rate": 0.02, "upper_rate": 0.15, "repeat_rate": 0.15, "stutter_rate": 0.1, "mark_rate": 0.05}
+#: Rates: the count, what it is counted in, and how many of these one event counts (a window of 8 words found twice: 16).
+RATES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1), "upper_rate": ("n_upper", "word_chars", 1), "repeat_rate": ("n_repeat_words", "n_words", 16),
+    "stutter_rate": ("n_stutter", "n_words", 1), "mark_rate": ("n_marks", "word_chars", 1),
+}
+#: The distance of the quartiles of a normal distribution, times the deviation of a count's root, a half.
+NOISE = 1.35 / 2
 #: Rates below this share the lowest bucket.
 FLOOR = 1e-4
 #: A table of cut-offs up to this many groups is broadcast; a larger one is joined by key.
@@ -68,16 +77,13 @@ def measures(documents: DataFrame) -> DataFrame:
 
 def rates(measured: DataFrame) -> DataFrame:
     per = lambda n, of: F.coalesce(F.try_divide(F.col(n).cast("double"), F.col(of).cast("double")), F.lit(0.0))
-    return measured.withColumns({
-        "symbol_rate": per("n_symbols", "word_chars"), "upper_rate": per("n_upper", "word_chars"), "repeat_rate": per("n_repeat_words", "n_words"),
-        "stutter_rate": per("n_stutter", "n_words"), "mark_rate": per("n_marks", "word_chars"),
-    })
+    return measured.withColumns({name: per(n, of) for name, (n, of, _) in RATES.items()})
 
 
 def sketch(rated: DataFrame) -> DataFrame:
     """lang, source, rate, bucket, n: mergeable by adding n. Partial counts are made before the shuffle."""
     bucket = F.greatest(F.lit(0), F.ceil(F.log(F.col("v") / FLOOR) / F.log(F.lit(GAMMA))) + 1)
-    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), F.col(n).alias("v")) for n in SLACK]))
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), F.col(n).alias("v")) for n in RATES]))
     return (
         rated.where("n_words >= 20").select("lang", "source", parts.alias("p")).select("lang", "source", "p.rate", "p.v")
         .select("lang", "source", "rate", F.when(F.col("v") <= FLOOR, 0).otherwise(bucket).cast("int").alias("bucket"))
@@ -85,25 +91,25 @@ def sketch(rated: DataFrame) -> DataFrame:
     )
 
 
-def _fences(buckets: DataFrame, by: list[str]) -> DataFrame:
-    """Fence of each group and rate; a group has a few hundred buckets at most, whatever its size."""
+def _quartiles(buckets: DataFrame, by: list[str]) -> DataFrame:
+    """docs, lo and hi (roots of the quartiles) of each group and rate; a group has a few hundred buckets at most, whatever its size."""
     w = Window.partitionBy(*by, "rate")
-    value = F.when(F.col("bucket") == 0, 0.0).otherwise(FLOOR * F.pow(F.lit(GAMMA), F.col("bucket") - 1))
+    value = F.when(F.col("bucket") == 0, 0.0).otherwise(F.sqrt(FLOOR * F.pow(F.lit(GAMMA), F.col("bucket") - 1)))
     b = buckets.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     b = b.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("docs"), value.alias("v"))
     q = lambda p: F.min(F.when(F.col("upto") >= F.col("docs") * p, F.col("v")))
-    fence = q(0.75) + SPREAD * (q(0.75) - q(0.25))
-    return b.groupBy(*by, "rate").agg(F.max("docs").alias("docs"), fence.alias("fence"))
+    return b.groupBy(*by, "rate").agg(F.max("docs").alias("docs"), q(0.25).alias("lo"), q(0.75).alias("hi"))
 
 
 def thresholds(buckets: DataFrame) -> DataFrame:
-    """lang, source and one cut-off column per rate."""
-    own = _fences(buckets, ["lang", "source"]).withColumnsRenamed({"docs": "d0", "fence": "f0"})
-    lang = _fences(buckets, ["lang"]).select(F.col("lang").alias("l1"), F.col("rate").alias("r1"), F.col("docs").alias("d1"), F.col("fence").alias("f1"))
-    whole = _fences(buckets, []).select(F.col("rate").alias("r2"), F.col("fence").alias("f2"))
+    """lang, source and, for each rate, a struct (lo, hi) of its shrunk quartiles' roots."""
+    own = _quartiles(buckets, ["lang", "source"]).withColumnsRenamed({"docs": "d0", "lo": "lo0", "hi": "hi0"})
+    lang = _quartiles(buckets, ["lang"]).select(F.col("lang").alias("l1"), F.col("rate").alias("r1"), F.col("docs").alias("d1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    whole = _quartiles(buckets, []).select(F.col("rate").alias("r2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     t = own.join(lang, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("rate") == F.col("r1"))).join(whole, F.col("rate") == F.col("r2"))
-    fence = F.when(F.col("d0") >= MIN_DOCS, F.col("f0")).when(F.col("d1") >= MIN_DOCS, F.col("f1")).otherwise(F.col("f2"))
-    return t.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == n, fence + F.lit(s))).alias(f"max_{n}") for n, s in SLACK.items()])
+    shrunk = lambda d, x, above: (F.col(d) * F.col(x) + PRIOR * above) / (F.col(d) + PRIOR)
+    of = lambda q: shrunk("d0", f"{q}0", shrunk("d1", f"{q}1", F.col(f"{q}2"))).alias(q)
+    return t.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == n, F.struct(of("lo"), of("hi")))).alias(f"at_{n}") for n in RATES])
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -112,14 +118,17 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     cut = saved(thresholds(sketch(rated))).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     by = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_GROUPS else cut
-    over = [F.coalesce(F.col(n) > F.col(f"max_{n}"), F.lit(False)) for n in SLACK]
+    rows = rated.join(cut, by, "left")
+    for n, (_, of, unit) in RATES.items():
+        at, noise = F.col(f"at_{n}"), NOISE * F.sqrt(F.try_divide(F.lit(float(unit)), F.col(of).cast("double")))
+        rows = rows.withColumn(f"max_{n}", F.pow(at["hi"] + SPREAD * F.greatest(at["hi"] - at["lo"], noise), F.lit(2.0)))
+    over = F.lit(False)
+    for n in RATES:
+        over = over | F.coalesce(F.col(n) > F.col(f"max_{n}"), F.lit(False))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    any_over = over[0]
-    for o in over[1:]:
-        any_over = any_over | o
-    return rated.join(cut, by, "left").select(
+    return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~any_over).alias("kept"), "lang", "source", *SLACK, *[f"max_{n}" for n in SLACK],
+        failed.alias("base_failed"), (~failed & ~over).alias("kept"), "lang", "source", *RATES, *[f"max_{n}" for n in RATES],
     )
 
 
