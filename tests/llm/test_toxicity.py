@@ -8,27 +8,27 @@ from tidemark.llm.labelled import drawn, fold
 
 @pytest.fixture(scope="module")
 def scanner():
-    return x.Scanner({"scum": 4.0}, {"lowei": 5.0})
+    return x.Scanner({"scum": 6.0}, {"lowei": 5.0})
 
 
 def test_clauses(scanner):
     one = lambda t: scanner.document(t)[0]
     assert one("the weather is fine. nothing here") == 0
-    assert one("what scum that is") == 4
+    assert one("what scum that is") == 6
     assert one("scumbag and discum") == 0
-    assert one("you are scum") == 6
-    assert one("he is not scum") == 2
-    assert one("he said that it is scum") == pytest.approx(2.8)
-    assert one("he said scum") == 4
+    assert one("you are scum") == 9
+    assert one("he is not scum") == pytest.approx(6 * x.NEGATED)
+    assert one("he said that it is scum") == pytest.approx(6 * x.TOLD)
+    assert one("he said scum") == 6
     assert one("I will kill time") == 0
-    assert one("they say you kill") == x.SEED_WEIGHT
+    assert one("they say you kill") == x.AIMED * x.SEED_WEIGHT
     assert one("ein loweienhaft und LOWEI.") == 10
     assert scanner.document("scum. fine. Scum!\nscum and scum")[1] == 3
     assert scanner.document(None) == scanner.document("") == (0.0, 0)
 
 
 def test_composition_is_associative():
-    a, b, c, d = x.Near("y", "i", 4, 1.5), x.Near("y", "t", 4, 1.0, only="t"), x.Near("n", "it", 2, 0.5), x.Reported()
+    a, b, c, d = x.Near("y", "it", 4, 1.5, only="t"), x.Weighted("a", 1.5), x.Near("n", "it", 2, 0.5), x.Reported()
     left, right = ((a >> b) >> c) >> d, a >> (b >> (c >> d))
     import itertools
 
@@ -60,9 +60,9 @@ def test_held_out(spark):
     m = x.model_for(d, lab)
     r = x.predict(d, m, fold(5))
     assert r.count() == 1000
-    r = r.join(lab, "doc_id").collect()
-    assert sum(z.predicted for z in r if z.toxic == 0) <= 2
-    assert sum(z.predicted for z in r if z.toxic == 1) >= 0.6 * sum(z.toxic for z in r)
+    r = r.where("held_out").join(lab, "doc_id").collect()
+    assert sum(z.predicted for z in r if z.toxic == 0) == 0
+    assert sum(z.predicted for z in r if z.toxic == 1) >= 0.6 * sum(z.toxic for z in r)  # of six labels; README has those of the large table
     assert x.clean(d, m).columns == d.columns
 
 
@@ -78,17 +78,17 @@ def test_awkward_rows(spark):
 
 def test_threats_before_their_target(scanner):
     one = lambda t: scanner.document(t)[0]
-    assert one("I will kill you") == one("destroy them") == one("we hurt all of you") == x.SEED_WEIGHT
-    assert one("I will not kill you") == 0.5 * x.SEED_WEIGHT
+    assert one("I will kill you") == one("destroy them") == one("we hurt all of you") == x.AIMED * x.SEED_WEIGHT
+    assert one("I will not kill you") == pytest.approx(x.NEGATED * x.AIMED * x.SEED_WEIGHT)
     assert one("kill time and then wait for you") == one("kill time. you wait") == 0
 
 
 def test_learned_words_of_the_fixed_lists():
     s = x.Scanner({"kill": 5.0, "they": 4.0, "nie": 6.0, "idiot": 1.0}, {})
     one = lambda t: s.document(t)[0]
-    assert one("kill time") == one("kill you") == 5
-    assert one("they came") == 4 and one("they came, idiot") == 4 + 1.5 * x.SEED_WEIGHT
-    assert one("nie idiot") == 6 + 0.5 * x.SEED_WEIGHT
+    assert one("kill time") == 5 and one("kill you") == 5 * x.AIMED
+    assert one("they came") == 4 and one("they came, idiot") == 4 + x.AIMED * x.SEED_WEIGHT
+    assert one("nie idiot") == pytest.approx(6 + x.NEGATED * x.SEED_WEIGHT)
 
 
 def test_learns_short_words_and_fixed_frames(spark):
@@ -97,3 +97,83 @@ def test_learns_short_words_and_fixed_frames(spark):
     copied = [(1000 + i, " ".join(["only", "in", "copies"] + [word(j) for j in range(12)] + ["end" + chr(97 + i)]), 1) for i in range(12)]
     words, _ = x.entries_of(spark.createDataFrame(rows + copied, "doc_id long, text string, y int"))
     assert set(words) == {"twerpish", "zob"}
+
+
+def plain_score(labels, weights):
+    """A clause's score said word by word, without machines: distances to the words around."""
+    score, near = 0.0, lambda k, kind, reach: any(labels[j] == kind for j in range(max(0, k - reach), k))
+    told_from = len(labels)
+    for j, label in enumerate(labels):
+        if label == "q":
+            k = j - 1
+            while k >= 0 and labels[k] == "q":
+                k -= 1
+            if k >= 0 and labels[k] == "r":
+                told_from = j
+                break
+    for k, label in enumerate(labels):
+        if label not in "it":
+            continue
+        aimed = label == "t" and any(labels[j] == "y" for j in range(k + 1, min(len(labels), k + 5)))
+        after = near(k, "y", 4)
+        if label == "t" and not aimed and not after:
+            continue
+        factor = x.AIMED if aimed or after else 1.0
+        factor *= x.NEGATED if near(k, "n", 3) else 1.0
+        factor *= x.TOLD if k > told_from else 1.0
+        score += factor * (x.SEED_WEIGHT if label == "t" else weights[k])
+    return score
+
+
+def test_clauses_match_a_plain_scorer():
+    import random
+
+    rng = random.Random(4)
+    words = {"i": ["zorg", "idiot"], "t": x.THREATS, "y": x.TARGETS, "n": x.NEGATIONS, "r": x.REPORTS, "q": [*x.OPENERS, ":"], "o": ["tree", "house", "went"]}
+    s = x.Scanner({"zorg": 4.0}, {})
+    seen = set()
+    for _ in range(4000):
+        labels = [rng.choice("ityrnqooo") for _ in range(rng.randrange(1, 12))]
+        said = [rng.choice(words[z]) for z in labels]
+        want = plain_score(labels, [4.0 if w == "zorg" else x.SEED_WEIGHT for w in said])
+        assert s.clause(" ".join(said)) == pytest.approx(want), (labels, said)
+        seen.add(round(want, 6))
+    assert len(seen) > 50
+
+
+CLAUSES = [
+    ("you are an idiot", 1), ("they are scum and you know it", 1), ("I will kill you", 1), ("we destroy them all", 1), ("you should get hurt", 1), ("your friend is a bastard", 1),
+    ("ich werde dich töten", 1), ("euch trottel will keiner", 1), ("je vais tuer toi et lui", 1), ("vous frapper sera simple", 1), ("ustedes son unos cretinos", 1), ("voy a matar a ustedes", 1),
+    ("you are not an idiot", 0), ("nobody said that you are scum", 0), ("I would never kill you", 0), ("we do not destroy them", 0), ("kill time before lunch", 0), ("the storm may destroy a house", 0),
+    ("she said that you are an idiot", 0), ("he wrote : you scum", 0), ("er sagte dass ihr ein trottel", 0), ("elle dit que vous frapper", 0), ("dijo que ustedes son idiotas", 0), ("ich werde dich nicht töten", 0),
+]
+
+
+def test_the_grammar_decides_labelled_clauses():
+    """With the machine all clauses are told apart; with one that changes nothing half of the harmless ones are taken for toxic."""
+
+    class Same(x.Transducer):
+        def step(self, state, label):
+            return state, label, 1.0
+
+    ab = (2.9, -5.4)
+    verdicts = {}
+    for name, machine in (("grammar", None), ("none", Same())):
+        s = x.Scanner({}, {}, machine)
+        verdicts[name] = [x.chance(x.np.log1p(s.document(t)[0]), ab) >= x.CUT for t, _ in CLAUSES]
+    want = [bool(y) for _, y in CLAUSES]
+    assert verdicts["grammar"] == want
+    assert sum(a != b for a, b in zip(verdicts["none"], want)) >= 10
+
+
+def test_the_grammar_decides_after_training(spark):
+    """A learned word in clauses that differ only in who says what of whom."""
+    filler = lambda i: " ".join(f"{chr(97 + (i * k) % 26)}w{chr(97 + (i // 7 + k) % 26)}" for k in range(9))
+    frames = ["you are not {} today", "he said that you are {}"]
+    rows = [(i, f"{filler(i)}. {'you are zorgy' if i % 2 else 'what a zorgy thing'}. {filler(i + 1)}", 1) for i in range(240)]
+    rows += [(1000 + i, f"{filler(i)}. {frames[i % 2].format('zorgy') if i < 12 else 'you are fine, what a good thing'}. {filler(i + 3)}", 0) for i in range(900)]
+    m = x.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    s = x.Scanner(m.words, m.beginnings)
+    p = lambda t: float(x.chance(x.np.log1p(s.document(t)[0]), m.ab))
+    assert set(m.words) == {"zorgy"}
+    assert p("you are zorgy today") > p("what is zorgy") >= 0.5 > p("he said that you are zorgy") > p("you are not zorgy today") > p("nothing here")

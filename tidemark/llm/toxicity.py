@@ -1,15 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become labels: i (insult), t (threat), y (target), n (negation), r (reported speech), o (other). One transducer
-reads a clause's labels from its end and writes a (aimed threat) for a threat up to 4 words before a target. Four more
+reads a clause's labels from its end and writes a (aimed threat) for a threat up to 4 words before a target. More of them
 rewrite the labels from the start, one after the other, composed into one machine:
 
-    target    an insult up to 4 words after a target counts 1.5 times
+    target    an insult or threat up to 4 words after a target counts 1.5 times
     threat    a threat that isn't aimed counts only if a target stands up to 4 words before it
-    negation  an insult or threat up to 2 words after a negation counts 0.5 times
-    reported  after a verb of saying followed by a colon, quote or `that`, to the clause's end, it counts 0.7 times
+    negation  an insult or threat up to 3 words after a negation counts 0.2 times
+    reported  after a verb of saying followed by a colon, quote or `that`, to the clause's end, it counts 0.4 times
 
-A clause's score is the sum, over its insults and threats, of the word's weight times the machine's factor; a
+An aimed threat counts 1.5 times as one after its target does. A clause's score is the sum, over its insults and threats, of the word's weight times the machine's factor; a
 document's score is a logistic of log(1 + the sum over its clauses). A learned word that is also in a fixed list keeps
 its part there and is read as an insult besides; the larger of both readings counts.
 
@@ -40,15 +40,18 @@ from .labelled import chance, drawn, fold, logistic
 
 SAMPLE = 6000
 CUT = 0.5
-LEAST_ODDS, LEAST_SUPPORT, MOST_ENTRIES = 3.0, 4, 5000
+LEAST_ODDS, LEAST_SUPPORT = 3.0, 4
 BEGINNINGS = (4, 5, 6, 7)
-SEED_WEIGHT = 3.0
+#: The weight of a word of the fixed lists, and what multiplies weights: aimed at a target, negated, reported.
+SEED_WEIGHT, AIMED, NEGATED, TOLD = 5.0, 1.5, 0.2, 0.4
 #: Words of four languages.
-INSULTS = "idiot moron imbecile scum bastard idiota imbécil imbécile dummkopf trottel connard salaud".split()
-THREATS = "kill hurt destroy punish attack töten umbringen vernichten tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yourself they them those people du dich ihr euch sie tu toi vous eux tú vosotros ustedes ellos".split()
-NEGATIONS = "not no never isn aren wasn nicht kein keine nie pas jamais aucun nunca tampoco".split()
-REPORTS = "said says called claimed wrote reported quoted sagte schrieb behauptete dit écrit déclaré dijo escribió llamó".split()
+INSULTS = "idiot idiots moron morons imbecile imbeciles scum bastard bastards idiota idiotas imbécil imbéciles imbécile dummkopf trottel idioten connard connards salaud salauds crétin cretino cretinos".split()
+THREATS = "kill hurt destroy punish attack murder beat strangle töten umbringen vernichten verprügeln erwürgen tuer frapper détruire étrangler matar golpear destruir estrangular".split()
+TARGETS = "you your yours yourself yourselves they them their those dich dir ihr ihnen euch euer eure toi vous votre eux leur leurs vosotros ustedes ellos vuestro".split()
+NEGATIONS = "not no never nobody nothing neither isn aren wasn weren don doesn didn won cannot nicht kein keine keinen nie niemals niemand pas jamais aucun aucune ne nunca jamás tampoco ningún ninguna".split()
+REPORTS = "said says say saying called calls claimed claims wrote writes reported quoted quotes sagt sagte schreibt schrieb behauptet behauptete zitierte dit disait écrit écrivait déclaré dijo dice escribió llamó afirmó".split()
+#: Words that open what is reported, as marks do.
+OPENERS = "that dass que".split()
 
 WORD = re.compile(r"[^\W\d_]+|[:\"“”«»]")
 #: Labels that score when the machine has written them.
@@ -70,7 +73,7 @@ class Transducer:
 
 
 class Composed(Transducer):
-    """The second reads what the first writes; arcs are made when first used."""
+    """The second reads what the first writes; arcs are made when first used and kept."""
 
     def __init__(self, a: Transducer, b: Transducer):
         self.a, self.b, self.start, self.arcs = a, b, (a.start, b.start), {}
@@ -99,6 +102,16 @@ class Near(Transducer):
         return (left, label, self.factor) if state and label in self.on else (left, label, 1.0)
 
 
+class Weighted(Transducer):
+    """Every label of `on` gets the factor."""
+
+    def __init__(self, on: str, factor: float):
+        self.on, self.factor = on, factor
+
+    def step(self, state, label):
+        return state, label, self.factor if label in self.on else 1.0
+
+
 class Reported(Transducer):
     """From a verb of saying followed by a mark or `that` to the end of the clause."""
 
@@ -107,7 +120,7 @@ class Reported(Transducer):
             return 1 if state < 2 else 2, label, 1.0
         if label == "q":
             return 2 if state else 0, label, 1.0
-        return (2, label, 0.7) if state == 2 and label in COUNTED else (state if state == 2 else 0, label, 1.0)
+        return (2, label, TOLD) if state == 2 and label in COUNTED else (state if state == 2 else 0, label, 1.0)
 
 
 class Ahead(Transducer):
@@ -123,20 +136,20 @@ class Ahead(Transducer):
 
 
 def grammar() -> Transducer:
-    return Near("y", "i", 4, 1.5) >> Near("y", "t", 4, 1.0, only="t") >> Near("n", COUNTED, 2, 0.5) >> Reported()
+    return Near("y", "it", 4, AIMED, only="t") >> Weighted("a", AIMED) >> Near("n", COUNTED, 3, NEGATED) >> Reported()
 
 
 class Scanner:
     """Finds the clauses with insults or threats by one automaton over all entries, and scores them."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], machine: Transducer | None = None):
         import ahocorasick
 
         self.words = {**words, **{w: max(SEED_WEIGHT, words.get(w, 0.0)) for w in INSULTS}}
         self.beginnings = beginnings
         self.lengths = sorted({len(b) for b in beginnings})
-        self.machine, self.ahead = grammar(), Ahead(4)
-        self.fixed = {w: k for k, names in (("t", THREATS), ("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS)) for w in names} | {"that": "q", **{c: "q" for c in ":\"“”«»"}}
+        self.machine, self.ahead = machine or grammar(), Ahead(4)
+        self.fixed = {w: k for k, names in (("t", THREATS), ("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS)) for w in names} | {c: "q" for c in (*OPENERS, *":\"“”«»")}
         self.entries = ahocorasick.Automaton()
         for e in {*self.words, *THREATS, *beginnings}:
             self.entries.add_word(e, len(e))
@@ -184,7 +197,7 @@ class Scanner:
 
 
 def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of words and of beginnings. Counting is a Spark aggregation; MOST_ENTRIES come to the driver."""
+    """Weights of words and of beginnings. Counting is a Spark aggregation; entries of the bounded sample's toxic texts come to the driver."""
     pos, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     if not pos or pos == n:
         return {}, {}
@@ -202,7 +215,7 @@ def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     rest = seen.where("y = 0").join(F.broadcast(own.select("k")), "k").groupBy("k").agg(F.countDistinct("doc_id").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.coalesce(F.col("neg"), F.lit(0)) + 0.5) / (n - pos + 1))
     best = own.join(rest, "k", "left").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    best = best.orderBy(F.desc("odds"), F.desc("texts"), "k").limit(MOST_ENTRIES).collect()
+    best = best.collect()
     words = {r.k.e: float(r.odds) for r in best if r.k.kind == "w"}
     # A beginning stands for its words only where none of them, and no longer beginning, has most of its documents.
     found = {r.k.e: r for r in best if r.k.kind == "b"}
