@@ -176,4 +176,5 @@ def test_the_grammar_decides_after_training(spark):
     s = x.Scanner(m.words, m.beginnings)
     p = lambda t: float(x.chance(x.np.log1p(s.document(t)[0]), m.ab))
     assert set(m.words) == {"zorgy"}
-    assert p("you are zorgy today") > p("what is zorgy") >= 0.5 > p("he said that you are zorgy") > p("you are not zorgy today") > p("nothing here")
+    assert p("you are zorgy today") > p("what is zorgy") > p("he said that you are zorgy") > p("you are not zorgy today") > p("nothing here")
+    assert p("what is zorgy") >= 0.5 > p("you are not zorgy today")
