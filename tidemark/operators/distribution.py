@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import GRID, NORMAL_GRID, T5_GRID, interpolate, normal_cdf, t5_cdf
@@ -72,6 +72,28 @@ def parametric(rows: DataFrame, shape: str) -> DataFrame:
     return rows.withColumns({"quant": F.when(known, F.array(*[F.col("mu") + F.col("sigma") * F.lit(v) for v in values])), "pit": F.when(known, cdf)})
 
 
+def shapes(rows: DataFrame, h: Horizon, own: str = "fhs") -> DataFrame:
+    """rows of one variance model under four shapes (model: own, gaussian, student_t, historical) at the origins that have the first.
+
+    All are columns of one pass over the series, then a row each.
+    """
+    f, held = simulated(rows, h), {}
+    for name, make in {own: None, "gaussian": lambda x: parametric(x, "gaussian"), "student_t": lambda x: parametric(x, "student_t"), "historical": lambda x: historical(x, h)}.items():
+        f = make(f) if make else f
+        held[name] = F.struct(F.lit(name).alias("model"), F.col("quant").alias("quant"), F.col("pit").alias("pit"))
+        f = f.withColumn(f"_{name}", held[name])
+    each = F.explode(F.array(*[F.col(f"_{n}") for n in held])).alias("_x")
+    keep = [c for c in rows.columns if c != "model"]
+    return f.where(F.col(f"_{own}")["quant"].isNotNull()).select(*keep, each).select(*keep, "_x.*")
+
+
+def recent_sigma(rows: DataFrame, last: int = 12) -> DataFrame:
+    """Per series and model the median of its last calibrated deviations: for a model that has no variance of the last period."""
+    w = Window.partitionBy(*SERIES).orderBy(F.desc("opos"))
+    back = rows.where("sigma IS NOT NULL").withColumn("_back", F.row_number().over(w))
+    return back.where(F.col("_back") <= last).groupBy(*SERIES).agg(F.median("sigma").alias("sigma"), F.count(F.lit(1)).alias("of"))
+
+
 def pool_quantiles(rows: DataFrame) -> DataFrame:
     """Per series and model, over all standardized residuals: z (19 levels), z01 and z025, and the number of them."""
     return rows.groupBy(*SERIES).agg(F.percentile("z", grid()).alias("z"), F.percentile("z", F.lit(0.01)).alias("z01"), F.percentile("z", F.lit(0.025)).alias("z025"), F.count("z").alias("pool"))

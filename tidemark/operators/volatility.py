@@ -1,9 +1,12 @@
-"""Per-period variances: constant, exponentially weighted, GARCH(1,1) with Student's t, implied."""
+"""Per-period variances: constant, exponentially weighted, GARCH(1,1) with Student's t, implied.
+
+Each adds a column v_<name> to a frame of returns; all but GARCH are windows over one sort by series.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .windows import ordered, whole
 
+#: Decay, least rows, rows of the constant variance, rows between refits.
 DECAY, MIN_HISTORY, TRAIL, REFIT = 0.94, 240, 600, 12
 #: Returns that a block holds; powers of the decay over a block stay far inside a double, and what lies two blocks back weighs less than its last digit.
 BLOCK = 600
@@ -23,139 +27,160 @@ def with_returns(features: DataFrame) -> DataFrame:
 
 def constant(returns: DataFrame) -> DataFrame:
     w = ordered().rowsBetween(-TRAIL, 0)
-    return returns.select("index_id", "pos", F.when(F.count("r").over(w) >= MIN_HISTORY, F.var_samp("r").over(w)).alias("v"))
+    return returns.withColumn("v_const", F.when(F.count("r").over(w) >= MIN_HISTORY, F.var_samp("r").over(w)))
 
 
 def ewma(returns: DataFrame, decay: float = DECAY) -> DataFrame:
-    """v at n returns: decay^n * seed + (1 - decay) * sum of decay^(n - k) * r_k^2.
+    """v_ewma at n returns: decay^n * seed + (1 - decay) * sum of decay^(n - k) * r_k^2.
 
     The sum runs over the row's own block and the one before it; so a window sum does the recursion, for series of any length.
     """
-    o = ordered()
     seed = F.var_pop(F.when(F.col("pos") < MIN_HISTORY, F.col("r"))).over(whole())
-    f = returns.select("index_id", "pos", "r", F.count("r").over(o).alias("k"), seed.alias("seed"))
-    f = f.withColumn("block", F.floor(F.col("k") / BLOCK))
+    f = returns.withColumns({"_k": F.count("r").over(ordered()), "_seed": seed})
+    f = f.withColumn("_block", F.floor(F.col("_k") / BLOCK))
     power = lambda n: F.pow(F.lit(decay), n)
-    f = f.withColumn("u", F.coalesce(F.col("r") * F.col("r") * power(F.col("block") * BLOCK - F.col("k")), F.lit(0.0)))
-    own = F.sum("u").over(ordered(keys=("index_id", "block")))
-    before = F.coalesce(F.sum("u").over(Window.partitionBy("index_id").orderBy("block").rangeBetween(-1, -1)), F.lit(0.0))
-    since = F.col("k") - F.col("block") * BLOCK
-    v = power(F.col("k")) * F.col("seed") + (1 - decay) * (power(since) * own + power(since + BLOCK) * before)
-    return f.select("index_id", "pos", F.when(F.col("pos") >= MIN_HISTORY, v).alias("v"))
+    f = f.withColumn("_u", F.coalesce(F.col("r") * F.col("r") * power(F.col("_block") * BLOCK - F.col("_k")), F.lit(0.0)))
+    own = F.sum("_u").over(ordered(keys=("index_id", "_block")))
+    before = F.coalesce(F.sum("_u").over(Window.partitionBy("index_id").orderBy("_block").rangeBetween(-1, -1)), F.lit(0.0))
+    since = F.col("_k") - F.col("_block") * BLOCK
+    v = power(F.col("_k")) * F.col("_seed") + (1 - decay) * (power(since) * own + power(since + BLOCK) * before)
+    return f.withColumn("v_ewma", F.when(F.col("pos") >= MIN_HISTORY, v)).drop("_k", "_seed", "_block", "_u")
 
 
-def implied(features: DataFrame, level: str) -> DataFrame:
-    return features.select("index_id", "pos", (F.pow(F.col(level) / 100, F.lit(2.0)) / 12).alias("v"))
+def implied(returns: DataFrame, level: str) -> DataFrame:
+    return returns.withColumn("v_vix", F.pow(F.col(level) / 100, F.lit(2.0)) / 12)
 
 
-def variance_path(r: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
-    """h[t] = omega + alpha * r[t-1]^2 + beta * h[t-1], h[0] = start: blocks of 32 as one product, carried from block to block."""
-    n, size = len(r), 32
-    u = np.concatenate([[start], omega + alpha * r[:-1] ** 2])
-    pad = (-n) % size
-    u = np.concatenate([u, np.zeros(pad)]).reshape(-1, size)
+def variance_paths(r: np.ndarray, omega: np.ndarray, alpha: np.ndarray, beta: np.ndarray, start: float) -> np.ndarray:
+    """A row per parameter set: h[t] = omega + alpha * r[t-1]^2 + beta * h[t-1], h[0] = start; r has a row per set.
+
+    Blocks of 32 steps are one product, carried from block to block.
+    """
+    sets, n = r.shape
+    size = 32
+    u = np.empty((sets, n + (-n) % size))
+    u[:, 0], u[:, 1:n], u[:, n:] = start, omega[:, None] + alpha[:, None] * r[:, :-1] ** 2, 0.0
+    u = u.reshape(sets, -1, size)
     k = np.arange(size)
-    lower = np.where(k[:, None] >= k, beta ** np.maximum(k[:, None] - k, 0), 0.0)
-    inside, powers = u @ lower.T, beta ** (k + 1)
-    carry = 0.0
-    for i in range(len(inside)):
-        inside[i] += carry * powers
-        carry = inside[i, -1]
-    return inside.ravel()[:n]
-
-
-def _loss(x: np.ndarray, r: np.ndarray, var: float) -> float:
-    mu, omega, alpha, beta, nu = _free(x, var)
-    e = r - mu
-    if alpha + beta >= 0.9999:
-        return 1e10 * (1 + alpha + beta)
-    h = np.maximum(variance_path(e, omega, alpha, beta, var), 1e-12)
-    const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-    return float(-len(r) * const + 0.5 * np.log(h).sum() + (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2))).sum())
-
-
-def _free(x: np.ndarray, var: float) -> tuple[float, float, float, float, float]:
-    """mu, omega, alpha, beta, nu from unbounded numbers."""
-    x = np.clip(x, -30, 30)
-    return x[0] * math.sqrt(var), var * math.exp(x[1]), 1 / (1 + math.exp(-x[2])), 1 / (1 + math.exp(-x[3])), 2.05 + math.exp(min(x[4], 6))
-
-
-def minimize(f: Callable[[np.ndarray], float], x: np.ndarray, step: float, most: int) -> np.ndarray:
-    """Downhill simplex."""
-    n = len(x)
-    points = np.vstack([x, x + step * np.eye(n)])
-    values = np.array([f(p) for p in points])
-    for _ in range(most):
-        order = np.argsort(values, kind="stable")
-        points, values = points[order], values[order]
-        if values[-1] - values[0] < 1e-6 * (1 + abs(values[0])):
-            break
-        centre = points[:-1].mean(axis=0)
-        away = 2 * centre - points[-1]
-        v = f(away)
-        if v < values[0]:
-            far = centre + 2 * (away - centre)
-            w = f(far)
-            points[-1], values[-1] = (far, w) if w < v else (away, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = away, v
-        else:
-            near = (centre + away) / 2 if v < values[-1] else (centre + points[-1]) / 2
-            w = f(near)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = near, w
-            else:
-                points[1:] = points[0] + (points[1:] - points[0]) / 2
-                values[1:] = [f(p) for p in points[1:]]
-    return points[np.argmin(values)]
-
-
-def fit_garch(r: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, tuple[float, float, float], float]:
-    """(free parameters, (omega, alpha, beta), last conditional variance) of returns in percent."""
-    var = float(np.var(r))
+    powers = beta[:, None] ** np.arange(size + 1)
+    lower = np.where(k[:, None] >= k, powers[:, np.maximum(k[:, None] - k, 0)], 0.0)
+    inside = u @ lower.transpose(0, 2, 1)
+    carry = np.zeros(sets)
+    for i in range(inside.shape[1]):
+        inside[:, i] += carry[:, None] * powers[:, 1:]
+        carry = inside[:, i, -1]
+    return inside.reshape(sets, -1)[:, :n]
+
+
+def _natural(x: np.ndarray, var: float) -> tuple[np.ndarray, ...]:
+    """mu, omega, alpha, beta, nu of rows of free numbers: alpha + beta is below 1 by form."""
+    x = np.clip(x, -25, 25)
+    lasting, share = 0.9999 / (1 + np.exp(-x[:, 2])), 1 / (1 + np.exp(-x[:, 3]))
+    return x[:, 0] * math.sqrt(var), var * np.exp(x[:, 1]), lasting * share, lasting * (1 - share), 2.05 + np.exp(np.minimum(x[:, 4], 6))
+
+
+def loss(x: np.ndarray, r: np.ndarray, var: float) -> np.ndarray:
+    """The mean negative log likelihood of returns under rows of free numbers."""
+    mu, omega, alpha, beta, nu = _natural(x, var)
+    e = r[None, :] - mu[:, None]
+    h = np.maximum(variance_paths(e, omega, alpha, beta, var), 1e-12)
+    const = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2)) for v in nu])
+    return -const + (0.5 * np.log(h) + (nu[:, None] + 1) / 2 * np.log1p(e * e / (h * (nu[:, None] - 2)))).mean(axis=1)
+
+
+def fit_garch(r: np.ndarray, most: int = 200) -> tuple[float, float, float, float]:
+    """omega, alpha, beta and the last conditional variance of returns in percent, by a quasi-Newton descent.
+
+    Slopes and line searches are tried side by side, a row of free numbers each.
+    """
+    var = float(np.var(r)) if len(r) > 1 else 0.0
     if not var > 0:
         raise ValueError("returns don't vary")
-    x0 = np.array([0.0, math.log(0.05), math.log(0.05 / 0.95), math.log(0.9 / 0.1), math.log(6.0)]) if start is None else start
-    x = minimize(lambda x: _loss(x, r, var), x0, 0.4 if start is None else 0.1, 400 if start is None else 60)
-    mu, omega, alpha, beta, _ = _free(x, var)
-    return x, (omega, alpha, beta), float(variance_path(r - mu, omega, alpha, beta, var)[-1])
-
-
-def garch_series(r: np.ndarray, refit: int = REFIT, least: int = MIN_HISTORY) -> np.ndarray:
-    """Filtered variances of one series; parameters are fitted anew every `refit` rows on what is known by then."""
-    out = np.full(len(r), np.nan)
-    h = float(np.nanvar(r[:least])) if np.isfinite(r[:least]).any() else np.nan
-    params, x = None, None
-    for t in range(least, len(r)):
-        if params is None or t % refit == 0:
-            seen = r[: t + 1]
-            try:
-                x, (omega, alpha, beta), last = fit_garch(seen[np.isfinite(seen)] * 100, x)
-                params, h = (omega / 1e4, alpha, beta), last / 1e4
-            except (ValueError, FloatingPointError, np.linalg.LinAlgError):
-                pass  # the parameters so far stay
-        if params is not None and np.isfinite(r[t]):
-            h = params[0] + params[1] * r[t] * r[t] + params[2] * h
-        out[t] = h
-    return out
-
-
-def garch(returns: DataFrame, refit: int = REFIT) -> DataFrame:
-    """Series by series; a series' length is its number of periods, however many rows the periods were made of."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        v = garch_series(g["r"].to_numpy(dtype=float), refit)
-        return pd.DataFrame({"index_id": g["index_id"], "pos": g["pos"], "v": pd.Series(v, index=g.index)})
-
-    out = returns.select("index_id", F.col("pos").cast("long").alias("pos"), "r").groupBy("index_id").applyInPandas(run, "index_id string, pos long, v double")
-    return out.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-
-
-def models(**by_name: DataFrame) -> DataFrame:
-    """index_id, pos, model, v."""
-    out = None
-    for name, df in by_name.items():
-        one = df.select("index_id", F.col("pos").cast("long").alias("pos"), F.lit(name).alias("model"), "v")
-        out = one if out is None else out.unionByName(one)
-    return out
+    x = np.array([r.mean() / math.sqrt(var), math.log(0.05), 3.0, -2.5, math.log(6.0)])
+    d, lengths = len(x), 0.3 ** np.arange(8)
+    shifts = 1e-5 * np.vstack([np.eye(d), -np.eye(d)])
+
+    def slope(at: np.ndarray) -> np.ndarray:
+        f = loss(at + shifts, r, var)
+        return (f[:d] - f[d:]) / 2e-5
+
+    value, g, inverse = loss(x[None, :], r, var)[0], slope(x), np.eye(d)
+    for _ in range(most):
+        way = -inverse @ g
+        way *= min(1.0, 3.0 / max(1e-12, np.abs(way).max()))
+        tried = loss(x + lengths[:, None] * way, r, var)
+        good = np.flatnonzero(tried <= value + 1e-4 * lengths * (g @ way))
+        if g @ way >= 0 or not len(good):
+            if (inverse == np.eye(d)).all():
+                break
+            inverse = np.eye(d)
+            continue
+        step, gain = lengths[good[0]] * way, value - tried[good[0]]
+        x, value, before = x + step, tried[good[0]], g
+        g = slope(x)
+        if np.abs(g).max() < 1e-6 or gain < 1e-11 * (1 + abs(value)):
+            break
+        y = g - before
+        if (sy := step @ y) > 1e-12:
+            side = np.eye(d) - np.outer(step, y) / sy
+            inverse = side @ inverse @ side.T + np.outer(step, step) / sy
+    mu, omega, alpha, beta, _ = (p[0] for p in _natural(x[None, :], var))
+    last = variance_paths((r - mu)[None, :], np.array([omega]), np.array([alpha]), np.array([beta]), var)[0, -1]
+    return float(omega), float(alpha), float(beta), float(last)
+
+
+FITS = "index_id string, at long, omega double, alpha double, beta double, last double"
+
+
+def garch_fits(returns: DataFrame, refit: int = REFIT) -> DataFrame:
+    """index_id, at, omega, alpha, beta, last: a fit on all returns known at each refit row; null where a fit fails.
+
+    A refit's history is a slice of its series' returns, and refits are dealt over all tasks, so one long series uses the whole cluster.
+    """
+    series = returns.groupBy("index_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "r"))).alias("rows"), F.max("pos").cast("long").alias("end"))
+    at = F.explode(F.filter(F.sequence(F.lit(MIN_HISTORY).cast("long"), F.greatest("end", F.lit(MIN_HISTORY).cast("long"))), lambda t: (t <= F.col("end")) & ((t == MIN_HISTORY) | (t % refit == 0))))
+    jobs = series.select("index_id", "rows", at.alias("at"))
+    known = F.transform(F.filter("rows", lambda x: (x["pos"] <= F.col("at")) & x["r"].isNotNull()), lambda x: x["r"] * 100)
+    jobs = jobs.select("index_id", "at", known.alias("r")).repartition("index_id", "at")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for jobs in batches:
+            out = []
+            for index_id, at, r in zip(jobs["index_id"], jobs["at"], jobs["r"]):
+                try:
+                    omega, alpha, beta, last = fit_garch(np.asarray(r, dtype=float))
+                    found = (omega / 1e4, alpha, beta, last / 1e4) if np.isfinite([omega, alpha, beta, last]).all() else (None,) * 4
+                except ValueError:
+                    found = (None,) * 4
+                out.append((index_id, at, *found))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FITS.split(", ")])
+
+    return jobs.mapInPandas(run, FITS)
+
+
+def garch(returns: DataFrame, refit: int = REFIT, fits: DataFrame | None = None) -> DataFrame:
+    """v_garch, the variance of the period after each row, and v_garch_failed, how many fits have failed by then.
+
+    From a refit on, variances follow the fit's recursion from the fit's own last variance. A failed fit leaves the one before in
+    force; before the first fit the variance of the first returns stands.
+    """
+    fits = garch_fits(returns, refit) if fits is None else fits
+    f = returns.withColumn("_pos", F.col("pos").cast("long")).join(fits.withColumnsRenamed({"index_id": "_id", "at": "_at"}), (F.col("index_id") == F.col("_id")) & (F.col("_pos") == F.col("_at")), "left")
+    o = ordered()
+    fit = F.when(F.col("omega").isNotNull(), F.struct("_at", "omega", "alpha", "beta", "last"))
+    f = f.withColumns({
+        "_fit": F.last(fit, ignorenulls=True).over(o), "v_garch_failed": F.count(F.when(F.col("_at").isNotNull() & F.col("omega").isNull(), 1)).over(o),
+        "_seed": F.var_pop(F.when(F.col("pos") < MIN_HISTORY, F.col("r"))).over(whole()),
+    })
+    # A fit is in force for the rows up to the next: their squares are all that the recursion needs.
+    squares = F.collect_list(F.col("r") * F.col("r")).over(Window.partitionBy("index_id", F.col("_fit")["_at"]).orderBy("pos"))
+    p = F.col("_fit")
+    v = F.aggregate(squares, p["last"], lambda h, x: p["omega"] + p["alpha"] * x + p["beta"] * h)
+    f = f.withColumn("v_garch", F.when(F.col("pos") >= MIN_HISTORY, F.when(p.isNotNull(), v).otherwise(F.col("_seed"))))
+    return f.drop("_pos", "_id", "_at", "omega", "alpha", "beta", "last", "_fit", "_seed")
+
+
+def unpivoted(rows: DataFrame, names: tuple[str, ...], keep: tuple[str, ...] = ("index_id", "pos")) -> DataFrame:
+    """keep, model and v of the columns v_<name>: a row per row and name."""
+    x = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"v_{n}").alias("v")) for n in names]))
+    return rows.select(*keep, x.alias("_x")).select(*keep, "_x.*").withColumn("pos", F.col("pos").cast("long"))

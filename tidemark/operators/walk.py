@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ from .series import positioned
 from .windows import done, ordered
 
 MIN_TRAIN = 120
+#: The policies' names.
 POLICIES = ("level0_est", "level0_prior", "full_reversion", "drift_only", "rw_zero", "rw_drift")
 
 
@@ -77,16 +78,21 @@ def expanding_lambda(features: DataFrame, h: Horizon, lag: int = 0) -> DataFrame
     return f.withColumn("lam_used", clip(h.shrink * F.col("lam_ols") + (1 - h.shrink) * h.prior, 0.0, h.cap))
 
 
-def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int = MIN_TRAIN) -> DataFrame:
-    """One row per origin: realized, lam_ols, lam_used, fc_<policy>, band_q.., and opos, the origin's own place."""
-    f = expanding_lambda(features, h, lag).where(F.col("ok") & (F.col("n_done") >= min_train))
+def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int = MIN_TRAIN, predictors: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per origin: realized, lam_ols, lam_used, fc_<policy>, band_q.., and opos, the origin's own place.
+
+    predictors: fc_<name> of a regression on each is added, from windows of the same sort.
+    """
+    f = expanding_lambda(features, h, lag)
+    f = f.withColumns({f"fc_{n}": _regression(F.col("fwd"), x, h, min_train) for n, x in (predictors or {}).items()}).where(F.col("ok") & (F.col("n_done") >= min_train))
     drift = F.col("g") * h.years
     point = {
         "level0_est": drift + F.col("lam_used") * F.col("gap"), "level0_prior": drift + h.prior * F.col("gap"), "full_reversion": drift + F.col("gap"),
         "drift_only": drift, "rw_zero": F.lit(0.0), "rw_drift": F.col("hist_mean"),
     }
     bands = [(point["level0_est"] + F.col("lam_used") * F.col(c)).alias("band" + c[3:]) for c in f.columns if c.startswith("off_q")]
-    rows = f.select("index_id", "date", "pos", "log_p", "g", "gap", F.col("fwd").alias("realized"), "lam_ols", "lam_used", *[point[p].alias(f"fc_{p}") for p in POLICIES], *bands)
+    more = [f"fc_{n}" for n in predictors or ()]
+    rows = f.select("index_id", "date", "pos", "log_p", "g", "gap", F.col("fwd").alias("realized"), "lam_ols", "lam_used", *[point[p].alias(f"fc_{p}") for p in POLICIES], *bands, *more)
     return positioned(rows, "pos", name="opos")
 
 
@@ -104,12 +110,16 @@ def policies(origins: DataFrame) -> DataFrame:
     return origins.select("index_id", "date", "pos", "realized", "fc_rw_drift", "fc_drift_only", *[c for c in origins.columns if c.startswith("band")], x.alias("x")).select("*", "x.*").drop("x")
 
 
-def predictive_regression(features: DataFrame, predictor: Column, h: Horizon = YEAR, min_train: int = MIN_TRAIN) -> DataFrame:
-    """index_id, pos, fc: least squares of completed outcomes on one predictor, evaluated at the row."""
+def _regression(y: Column, x: Column, h: Horizon, min_train: int) -> Column:
     w = done(h.steps)
-    f = features.select("index_id", "pos", (F.lead("log_p", h.steps).over(ordered()) - F.col("log_p")).alias("y"), predictor.alias("x"))
-    slope, level, n = F.regr_slope("y", "x").over(w), F.regr_intercept("y", "x").over(w), F.regr_count("y", "x").over(w)
-    return f.select("index_id", "pos", F.when((n >= min_train) & F.col("x").isNotNull(), level + slope * F.col("x")).alias("fc"))
+    enough = (F.regr_count(y, x).over(w) >= min_train) & x.isNotNull()
+    return F.when(enough, F.regr_intercept(y, x).over(w) + F.regr_slope(y, x).over(w) * x)
+
+
+def predictive_regressions(features: DataFrame, predictors: Mapping[str, Column], h: Horizon = YEAR, min_train: int = MIN_TRAIN) -> DataFrame:
+    """index_id, pos and fc_<name>: least squares of completed outcomes on one predictor each, evaluated at the row; one sort for all."""
+    f = features.select("index_id", "pos", (F.lead("log_p", h.steps).over(ordered()) - F.col("log_p")).alias("y"), *[x.alias(n) for n, x in predictors.items()])
+    return f.select("index_id", "pos", *[_regression(F.col("y"), F.col(n), h, min_train).alias(f"fc_{n}") for n in predictors])
 
 
 def kitchen_sink(features: DataFrame, predictors: Sequence[Column], h: Horizon = YEAR, min_train: int = MIN_TRAIN) -> DataFrame:

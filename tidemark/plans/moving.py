@@ -10,7 +10,7 @@ from ..operators import macro, scores, walk
 from ..operators.windows import ordered
 from ..sources.tables import table
 from ..streaming import live
-from .panel import features
+from .panel import features, panel
 from .point import MACRO_SPEC
 from .registry import query
 from .shown import shown
@@ -52,7 +52,7 @@ def i03_stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elastic(spark: SparkSession, sf_dir: str, refit: int = 120) -> tuple[DataFrame, DataFrame]:
-    f = features(spark, sf_dir)
+    f = panel(spark, sf_dir)
     o = walk.walk(f).select("index_id", "date", F.col("pos").cast("long").alias("pos"), "realized", "fc_level0_est", "fc_rw_drift", (F.col("realized") - F.col("fc_level0_est")).alias("resid"))
     x = feat.transformed(f, MACRO_SPEC).withColumn("pos", F.col("pos").cast("long")).drop("date")
     rows = o.join(x, ["index_id", "pos"])

@@ -13,7 +13,7 @@ from ..operators import distribution as dist
 from ..operators import features as feat
 from ..operators import volatility as vol
 from ..operators.walk import YEAR, Horizon, walk
-from ..sources.tables import table
+from ..sources.tables import kept, table
 
 SIDE = "1-URGENT"
 MACRO = ("rate", "spread", "level")
@@ -37,26 +37,38 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with its anchors and returns: a row per series and period."""
     v = prices(spark, sf_dir).select("index_id", "date", "p").join(shipments(spark, sf_dir), "date")
-    return feat.valuation_features(feat.with_valuation(v))
+    return vol.with_returns(feat.valuation_features(feat.with_valuation(v)))
 
 
-def returns(f: DataFrame) -> DataFrame:
-    return vol.with_returns(f)
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features(), kept: for queries that read it more than once, so that orders and lineitem are each scanned once."""
+    return kept(features(spark, sf_dir))
+
+
+ALL = ("const", "ewma", "garch", "vix")
+
+
+def with_variances(f: DataFrame, names: tuple[str, ...] = ("const", "ewma", "vix")) -> DataFrame:
+    """f with a column v_<name> for each name, in one pass over its series; those of GARCH are kept."""
+    made = {"const": vol.constant, "ewma": vol.ewma, "garch": vol.garch, "vix": lambda r: vol.implied(r.withColumn("_level", F.col("rate") * 400), "_level").drop("_level")}
+    for n in names:
+        f = made[n](f)
+    return kept(f) if "garch" in names else f
 
 
 def variances(f: DataFrame, names: tuple[str, ...] = ("const", "ewma", "vix")) -> DataFrame:
-    r = returns(f)
-    made = {"const": lambda: vol.constant(r), "ewma": lambda: vol.ewma(r), "garch": lambda: vol.garch(r), "vix": lambda: vol.implied(f.withColumn("_level", F.col("rate") * 400), "_level")}
-    return vol.models(**{n: made[n]() for n in names})
+    """index_id, pos, model, v."""
+    return vol.unpivoted(f if set(f"v_{n}" for n in names) <= set(f.columns) else with_variances(f, names), names)
 
 
-def calibrated(f: DataFrame, h: Horizon = YEAR, names: tuple[str, ...] = ("const", "ewma", "vix")) -> DataFrame:
-    return dist.level_calibrated(dist.residuals(walk(f, h), variances(f, names), h), h)
+def calibrated(f: DataFrame, h: Horizon = YEAR, names: tuple[str, ...] = ("const", "ewma", "vix"), mu: str = "fc_level0_est") -> DataFrame:
+    return dist.level_calibrated(dist.residuals(walk(f, h), variances(f, names), h, mu), h)
 
 
-def fhs(f: DataFrame, h: Horizon = YEAR, names: tuple[str, ...] = ("const", "ewma", "vix")) -> DataFrame:
-    return dist.simulated(calibrated(f, h, names), h)
+def fhs(f: DataFrame, h: Horizon = YEAR, names: tuple[str, ...] = ("const", "ewma", "vix"), mu: str = "fc_level0_est") -> DataFrame:
+    return dist.simulated(calibrated(f, h, names, mu), h)
 
 
 GRID_SQL = "[" + ", ".join(f"{0.05 * k:.2f}" for k in range(1, 20)) + "]"

@@ -9,7 +9,8 @@ from ..functions.columns import NORMAL_BOTTOM, NORMAL_TOP
 from ..operators import features as feat
 from ..operators import scores, walk
 from ..operators.walk import YEAR, horizon
-from .panel import BASE, LONG_SQL, features, sql, walk_sql
+from ..sources.tables import kept
+from .panel import BASE, LONG_SQL, features, panel, sql, walk_sql
 from .registry import query
 from .shown import picked, shown
 
@@ -166,19 +167,17 @@ def _predictors() -> dict:
 _PREDICTOR_SQL = {"div_yield": "d / p", "earn_yield": "e / p", "cape_yield": "1 / cape", "term_spread": "spread"}
 
 
-def regression_sql(h=YEAR) -> str:
+def regression_sql(h=YEAR, name: str = "rg") -> str:
     w = f"(PARTITION BY index_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {h.steps} PRECEDING)"
     each = " UNION ALL ".join(f"SELECT index_id, date, pos, '{n}' AS model, CASE WHEN regr_count(y, x) OVER w >= 120 AND x IS NOT NULL THEN regr_intercept(y, x) OVER w + regr_slope(y, x) OVER w * x END AS fc FROM (SELECT index_id, date, pos, lead(log_p, {h.steps}) OVER (PARTITION BY index_id ORDER BY pos) - log_p AS y, {x} AS x FROM ft) WINDOW w AS {w}" for n, x in _PREDICTOR_SQL.items())
-    return f"rg AS ({each})"
+    return f"{name} AS ({each})"
 
 
 @query(sql(BASE, regression_sql()) + " SELECT index_id, pos::BIGINT AS pos, model, round(fc, 6) AS fc FROM rg WHERE fc IS NOT NULL")
 def e26_predictive_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, out = features(spark, sf_dir), None
-    for name, x in _predictors().items():
-        one = walk.predictive_regression(f, x).select("index_id", "pos", F.lit(name).alias("model"), "fc").where("fc IS NOT NULL")
-        out = one if out is None else out.unionByName(one)
-    return shown(out, "index_id pos model fc")
+    r = walk.predictive_regressions(features(spark, sf_dir), _predictors())
+    out = feat.long(r, [f"fc_{n}" for n in _predictors()], ("index_id", "pos")).where("value IS NOT NULL")
+    return shown(out.select("index_id", "pos", F.substring("key", 4, 99).alias("model"), F.col("value").alias("fc")), "index_id pos model fc")
 
 
 @query()
@@ -186,47 +185,73 @@ def e27_kitchen_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(walk.kitchen_sink(features(spark, sf_dir), list(_predictors().values())), "index_id pos fc")
 
 
-def forecasts(spark: SparkSession, sf_dir: str, h=YEAR, kitchen: bool = True) -> DataFrame:
-    f = features(spark, sf_dir)
-    o = walk.walk(f, h).select("index_id", "date", "pos", "realized", F.col("fc_rw_drift").alias("bench"), "fc_rw_zero", "fc_drift_only", "fc_level0_est")
-    own = {"rw_zero": "fc_rw_zero", "hist_mean": "bench", "drift_only": "fc_drift_only", "level0": "fc_level0_est"}
-    x = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("fc")) for n, c in own.items()]))
-    base = ["index_id", "date", "pos", "realized", "bench"]
-    out = o.select(*base, x.alias("x")).select(*base, "x.*")
-    more = {n: walk.predictive_regression(f, x, h) for n, x in _predictors().items()}
+#: The horizons that are ranked.
+BOARD_HORIZONS = ("12mo", "36mo", "60mo", "120mo")
+
+
+def forecasts(f: DataFrame, h=YEAR, kitchen: bool = True) -> DataFrame:
+    """index_id, date, pos, realized, bench, model, fc of a panel: every model from the windows of one sort."""
+    o = walk.walk(f, h, predictors=_predictors())
+    columns = {"rw_zero": "fc_rw_zero", "hist_mean": "fc_rw_drift", "drift_only": "fc_drift_only", "level0": "fc_level0_est", **{n: f"fc_{n}" for n in _predictors()}}
     if kitchen:
-        more["goyal_welch"] = walk.kitchen_sink(f, list(_predictors().values()), h)
-    for n, df in more.items():
-        out = out.unionByName(o.select(*base).join(df.withColumn("model", F.lit(n)), ["index_id", "pos"]).select(*base, "model", "fc"))
-    return out
+        o = o.join(walk.kitchen_sink(f, list(_predictors().values()), h).withColumnRenamed("fc", "fc_goyal_welch"), ["index_id", "pos"], "left")
+        columns["goyal_welch"] = "fc_goyal_welch"
+    x = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("fc")) for n, c in columns.items()]))
+    return o.select("index_id", "date", "pos", "realized", F.col("fc_rw_drift").alias("bench"), x.alias("x")).select("index_id", "date", "pos", "realized", "bench", "x.*")
+
+
+def board(f: DataFrame, h=YEAR, kitchen: bool = False) -> DataFrame:
+    return scores.point_leaderboard(kept(forecasts(f, h, kitchen)), h.steps, SINCE)
 
 
 BOARD = "index_id model oos_r2 oos_r2_late dir_hit cw_t cw_p_halved verdict n n_eff first last rank"
-_BOARD_SQL = (
-    sql(BASE, walk_sql(), regression_sql(), """pf AS (SELECT index_id, date, pos, realized, fc_rw_drift AS bench, 'rw_zero' AS model, fc_rw_zero AS fc FROM og UNION ALL SELECT index_id, date, pos, realized, fc_rw_drift, 'hist_mean', fc_rw_drift FROM og
-    UNION ALL SELECT index_id, date, pos, realized, fc_rw_drift, 'drift_only', fc_drift_only FROM og UNION ALL SELECT index_id, date, pos, realized, fc_rw_drift, 'level0', fc_level0_est FROM og
-    UNION ALL SELECT og.index_id, og.date, og.pos, realized, fc_rw_drift, model, fc FROM og JOIN rg ON rg.index_id = og.index_id AND rg.pos = og.pos)""",
-    "pg AS (SELECT * FROM pf WHERE fc IS NOT NULL AND bench IS NOT NULL)",
-    hac_sql("(SELECT * FROM pg WHERE model <> 'hist_mean')", "index_id, model", "1", _CW.format(s="bench", l="fc"), "pos", "cw"),
-    f"""pb AS (SELECT index_id, model, 1 - sum((realized - fc) * (realized - fc)) / sum((realized - bench) * (realized - bench)) AS oos_r2,
+
+
+def board_ctes(h=YEAR, k: str = "") -> list[str]:
+    """CTEs that end in bd{k}, the ranked models of one horizon."""
+    og = f"og{k}"
+    own = {"rw_zero": "fc_rw_zero", "hist_mean": "fc_rw_drift", "drift_only": "fc_drift_only", "level0": "fc_level0_est"}
+    base = "SELECT index_id, date, pos, realized, fc_rw_drift AS bench"
+    return [
+        walk_sql(h, name=og), regression_sql(h, f"rg{k}"),
+        f"pf{k} AS (" + " UNION ALL ".join(f"{base}, '{m}' AS model, {c} AS fc FROM {og}" for m, c in own.items()) + f" UNION ALL SELECT {og}.index_id, {og}.date, {og}.pos, realized, fc_rw_drift, model, fc FROM {og} JOIN rg{k} AS rg ON rg.index_id = {og}.index_id AND rg.pos = {og}.pos)",
+        f"pg{k} AS (SELECT * FROM pf{k} WHERE fc IS NOT NULL AND bench IS NOT NULL)",
+        hac_sql(f"(SELECT * FROM pg{k} WHERE model <> 'hist_mean')", "index_id, model", "1", _CW.format(s="bench", l="fc"), "pos", f"cw{k}"),
+        f"""pb{k} AS (SELECT index_id, model, 1 - sum((realized - fc) * (realized - fc)) / sum((realized - bench) * (realized - bench)) AS oos_r2,
     CASE WHEN count(CASE WHEN year(date) >= {SINCE} THEN 1 END) >= 24 THEN 1 - sum(CASE WHEN year(date) >= {SINCE} THEN (realized - fc) * (realized - fc) END) / sum(CASE WHEN year(date) >= {SINCE} THEN (realized - bench) * (realized - bench) END) END AS oos_r2_late,
-    avg(CASE WHEN sign(fc) = sign(realized) THEN 1.0 ELSE 0.0 END) AS dir_hit, count(*) AS n, min(date) AS first, max(date) AS last FROM pg GROUP BY 1, 2 HAVING count(*) >= 24)""",
-    f"pl AS (SELECT pb.*, cw.t AS cw_t, 1 - {normal_sql('abs(cw.t)')} AS p FROM pb LEFT JOIN cw USING (index_id, model))")
-    + """ SELECT index_id, model, round(oos_r2, 6) AS oos_r2, round(oos_r2_late, 6) AS oos_r2_late, round(dir_hit, 6) AS dir_hit, round(cw_t, 6) AS cw_t, round(CASE WHEN cw_t IS NOT NULL THEN p END, 6) AS cw_p_halved,
-    CASE WHEN model = 'hist_mean' THEN 'reference' WHEN p < 0.05 AND oos_r2 > 0 THEN 'beats_mean' WHEN oos_r2 > 0 THEN 'tie' ELSE 'loses_to_mean' END AS verdict, n::BIGINT AS n, greatest(1, n // 12)::BIGINT AS n_eff, first, last,
-    (row_number() OVER (PARTITION BY index_id ORDER BY oos_r2 DESC NULLS LAST, model))::BIGINT AS rank FROM pl"""
-)
+    avg(CASE WHEN sign(fc) = sign(realized) THEN 1.0 ELSE 0.0 END) AS dir_hit, count(*) AS n, min(date) AS first, max(date) AS last FROM pg{k} GROUP BY 1, 2 HAVING count(*) >= 24)""",
+        f"pl{k} AS (SELECT pb{k}.*, cw{k}.t AS cw_t, 1 - {normal_sql(f'abs(cw{k}.t)')} AS p FROM pb{k} LEFT JOIN cw{k} USING (index_id, model))",
+        f"""bd{k} AS (SELECT index_id, model, round(oos_r2, 6) AS oos_r2, round(oos_r2_late, 6) AS oos_r2_late, round(dir_hit, 6) AS dir_hit, round(cw_t, 6) AS cw_t, round(CASE WHEN cw_t IS NOT NULL THEN p END, 6) AS cw_p_halved,
+    CASE WHEN model = 'hist_mean' THEN 'reference' WHEN p < 0.05 AND oos_r2 > 0 THEN 'beats_mean' WHEN oos_r2 > 0 THEN 'tie' ELSE 'loses_to_mean' END AS verdict, n::BIGINT AS n, greatest(1, n // {h.steps})::BIGINT AS n_eff, first, last,
+    (row_number() OVER (PARTITION BY index_id ORDER BY oos_r2 DESC NULLS LAST, model))::BIGINT AS rank FROM pl{k})""",
+    ]
 
 
-@query(_BOARD_SQL)
+@query(sql(BASE, *board_ctes()) + " SELECT * FROM bd")
 def k13_point_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(scores.point_leaderboard(forecasts(spark, sf_dir, kitchen=False), YEAR.steps, SINCE), BOARD)
+    return shown(board(panel(spark, sf_dir)), BOARD)
+
+
+@query(sql(BASE, *[c for k in BOARD_HORIZONS for c in board_ctes(horizon(k), k)]) + " UNION ALL ".join(f" SELECT '{k}' AS horizon, * FROM bd{k}" for k in BOARD_HORIZONS))
+def k13_point_leaderboard_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = panel(spark, sf_dir)
+    return over_horizons(BOARD_HORIZONS, lambda h: shown(board(f, h), BOARD))
+
+
+def over_horizons(keys, made) -> DataFrame:
+    """The rows that made(horizon) gives for each key, with the key as column horizon."""
+    out = None
+    for k in keys:
+        one = made(horizon(k)).withColumn("horizon", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
 def k13_point_leaderboard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the regression on all predictors at once, whose solves are Python."""
-    return shown(scores.point_leaderboard(forecasts(spark, sf_dir), YEAR.steps, SINCE), BOARD)
+    f = panel(spark, sf_dir)
+    return over_horizons(BOARD_HORIZONS, lambda h: shown(board(f, h, kitchen=True), BOARD))
 
 
 @query(sql(BASE, f"nw AS (SELECT index_id, date, pos, log_p, realized, CASE WHEN count(realized) OVER w >= 120 THEN avg(realized) OVER w END AS mu FROM (SELECT *, lead(log_p, 6) OVER (PARTITION BY index_id ORDER BY pos) - log_p AS realized FROM ft) WINDOW w AS (PARTITION BY index_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING))") + " SELECT index_id, date, round(realized, 6) AS realized, round(mu, 6) AS mu, (row_number() OVER (PARTITION BY index_id ORDER BY pos) - 1)::BIGINT AS opos FROM nw WHERE realized IS NOT NULL AND mu IS NOT NULL")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import NORMAL_GRID, T5_GRID
 from ..operators import distribution as dist
 from ..operators import scores, series, volatility, walk
-from ..operators.walk import YEAR, horizon
-from .panel import BASE, GRID_SQL, VOL_SQL, calibrated, calibration_sql, features, fhs, fhs_sql, returns, sql, variances, walk_sql
-from .point import _PREDICTOR_SQL, k13_point_leaderboard, normal_sql
-from .registry import ORACLES, query
+from ..operators.walk import HORIZONS, YEAR, horizon
+from ..sources.tables import kept
+from .panel import ALL, BASE, GRID_SQL, VOL_SQL, calibrated, calibration_sql, features, fhs, fhs_sql, panel, sql, variances, walk_sql, with_variances
+from .point import BOARD_HORIZONS, _PREDICTOR_SQL, _predictors, board, board_ctes, normal_sql, over_horizons
+from .registry import query
 from .shown import picked, shown
 
 FHS = sql(BASE, walk_sql(), VOL_SQL, fhs_sql())
@@ -36,34 +37,36 @@ def e14_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e15_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(volatility.garch(returns(features(spark, sf_dir)), refit=60).where("v IS NOT NULL"), "index_id pos v")
+    """Fitted anew every 12 rows on all returns so far; `failed` counts the fits that gave nothing."""
+    g = volatility.garch(features(spark, sf_dir)).where("v_garch IS NOT NULL")
+    return shown(g.withColumnsRenamed({"v_garch": "v", "v_garch_failed": "failed"}), "index_id pos v failed")
 
 
 @query(FHS + " SELECT " + picked("index_id model date", "raw sigma z", "opos") + " FROM fh WHERE sigma IS NOT NULL")
 def e19_level_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(calibrated(features(spark, sf_dir)).where("sigma IS NOT NULL"), "index_id model date raw sigma z opos")
+    return shown(calibrated(panel(spark, sf_dir)).where("sigma IS NOT NULL"), "index_id model date raw sigma z opos")
 
 
 @query(FHS + " SELECT " + picked("index_id model date", "realized pit", "opos") + f", {at_sql()} FROM fh WHERE quant IS NOT NULL")
 def e20_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = levels(fhs(features(spark, sf_dir)).where("quant IS NOT NULL"))
+    q = levels(fhs(panel(spark, sf_dir)).where("quant IS NOT NULL"))
     return shown(q, "index_id model date realized pit opos q05 q25 q50 q75 q95")
 
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), calibration_sql("fh", "index_id, model")) + f" SELECT {_CAL_SQL} FROM cm")
 def d17_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(scores.calibration(fhs(features(spark, sf_dir)), ["index_id", "model"]), f"index_id model {CAL}")
+    return shown(scores.calibration(fhs(panel(spark, sf_dir)), ["index_id", "model"]), f"index_id model {CAL}")
 
 
 @query(FHS + f" SELECT index_id, model, round(a, 6) AS level, round(avg(greatest(a * (realized - q), (a - 1) * (realized - q))), 6) AS loss FROM (SELECT index_id, model, realized, unnest({GRID_SQL})::DOUBLE AS a, unnest(quant) AS q FROM fh WHERE quant IS NOT NULL) GROUP BY 1, 2, a")
 def d16_pinball_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(scores.pinball(fhs(features(spark, sf_dir)), ["index_id", "model"]), "index_id model level loss")
+    return shown(scores.pinball(fhs(panel(spark, sf_dir)), ["index_id", "model"]), "index_id model level loss")
 
 
 @query(FHS + """ SELECT index_id, model, b::BIGINT AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT index_id, model FROM fh WHERE pit IS NOT NULL) CROSS JOIN generate_series(1, 10) g(b)
     LEFT JOIN (SELECT index_id, model, least(floor(pit * 10)::INT + 1, 10) AS b, count(*) AS n FROM fh WHERE pit IS NOT NULL GROUP BY 1, 2, 3) USING (index_id, model, b)""")
 def d19_pit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(scores.pit_histogram(fhs(features(spark, sf_dir)), ["index_id", "model"]), "index_id model bin n")
+    return shown(scores.pit_histogram(fhs(panel(spark, sf_dir)), ["index_id", "model"]), "index_id model bin n")
 
 
 def common_window(rows: DataFrame) -> DataFrame:
@@ -76,40 +79,48 @@ _COMMON = "fw AS (SELECT * FROM (SELECT *, bool_and(quant IS NOT NULL) OVER (PAR
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _COMMON, calibration_sql("fw", "index_id, model")) + f" SELECT {_CAL_SQL}, n // 12 >= 1 AS enough FROM cm")
 def k31_common_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scores.calibration(common_window(fhs(features(spark, sf_dir))), ["index_id", "model"])
+    c = scores.calibration(common_window(fhs(panel(spark, sf_dir))), ["index_id", "model"])
     return shown(c.withColumn("enough", F.floor(F.col("n") / 12) >= 1), f"index_id model {CAL} enough")
 
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _COMMON, calibration_sql("fw", "index_id, model")) + " SELECT index_id, arg_min(model, (pinball, model)) AS winner, round(min(pinball), 6) AS pinball, count(CASE WHEN cover_90 BETWEEN 0.86 AND 0.94 THEN 1 END)::BIGINT AS passed FROM cm WHERE n >= 24 GROUP BY 1")
 def k11_volatility_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scores.gate(scores.calibration(common_window(fhs(features(spark, sf_dir))), ["index_id", "model"])).where("n >= 24")
+    c = scores.gate(scores.calibration(common_window(fhs(panel(spark, sf_dir))), ["index_id", "model"])).where("n >= 24")
     a = c.groupBy("index_id").agg(F.min_by("model", F.struct("pinball", "model")).alias("winner"), F.min("pinball").alias("pinball"), F.count(F.when(F.col("passed"), 1)).alias("passed"))
     return shown(a, "index_id winner pinball passed")
 
 
-_KEYS = ("3mo", "12mo", "36mo")
+_KEYS = tuple(h.key for h in HORIZONS)
+_TWO_SQL = VOL_SQL.replace("UNION ALL SELECT index_id, pos, 'vix', pow(rate * 400 / 100, 2) / 12 FROM ft", "")
 
 
-@query(sql(BASE, VOL_SQL.replace("UNION ALL SELECT index_id, pos, 'vix', pow(rate * 400 / 100, 2) / 12 FROM ft", ""), *[x for k in _KEYS for x in (walk_sql(horizon(k), name=f"o{k}"), fhs_sql(horizon(k), og=f"o{k}", name=f"f{k}"), calibration_sql(f"f{k}", "index_id, model", f"c{k}"))])
+@query(sql(BASE, _TWO_SQL, *[x for k in _KEYS for x in (walk_sql(horizon(k), name=f"o{k}"), fhs_sql(horizon(k), og=f"o{k}", name=f"f{k}"), calibration_sql(f"f{k}", "index_id, model", f"c{k}"))])
     + " UNION ALL ".join(f" SELECT '{k}' AS horizon, {_CAL_SQL}, greatest(1, n // {horizon(k).steps})::BIGINT AS n_eff FROM c{k}" for k in _KEYS))
 def e22_multi_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, out = features(spark, sf_dir), None
-    for k in _KEYS:
-        h = horizon(k)
-        c = scores.calibration(fhs(f, h, ("const", "ewma")), ["index_id", "model"]).withColumns({"horizon": F.lit(k), "n_eff": scores.effective(F.col("n"), h.steps)})
-        out = c if out is None else out.unionByName(c)
-    return shown(out, f"horizon index_id model {CAL} n_eff")
+    f = kept(with_variances(features(spark, sf_dir), ("const", "ewma")))
+    one = lambda h: scores.calibration(fhs(f, h, ("const", "ewma")), ["index_id", "model"]).withColumn("n_eff", scores.effective(F.col("n"), h.steps))
+    return shown(over_horizons(_KEYS, one), f"horizon index_id model {CAL} n_eff")
 
 
-def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    rows = calibrated(f, YEAR, ("ewma",))
-    own = dist.simulated(rows, YEAR)
-    mask = own.where("quant IS NOT NULL").select("index_id", "opos")
-    out = own.withColumn("model", F.lit("fhs"))
-    for name, df in (("gaussian", dist.parametric(rows, "gaussian")), ("student_t", dist.parametric(rows, "student_t")), ("historical", dist.historical(rows, YEAR))):
-        out = out.unionByName(df.withColumn("model", F.lit(name)))
-    return out.join(mask, ["index_id", "opos"], "left_semi")
+@query()
+def e22_multi_horizon_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All horizons from variances fitted once: each model on the window that const, ewma and garch share, long horizons with a bootstrap of their coverage."""
+    names = ("const", "ewma", "garch")
+    f = with_variances(features(spark, sf_dir), names)
+
+    def one(h: walk.Horizon) -> DataFrame:
+        rows = kept(common_window(fhs(f, h, names)))
+        c = scores.calibration(rows, ["index_id", "model"]).withColumns({"n_eff": scores.effective(F.col("n"), h.steps), "tier": F.lit(h.tier)})
+        if h.tier != "long-run":
+            return c.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+        inside = (F.col("realized") >= F.get("quant", F.lit(0))) & (F.col("realized") <= F.get("quant", F.lit(18)))
+        return c.join(scores.block_bootstrap(rows, inside, ["index_id", "model"], "opos", h.steps), ["index_id", "model"])
+
+    return shown(over_horizons(_KEYS, one), f"horizon tier index_id model {CAL} n_eff lo hi")
+
+
+def _shapes(f: DataFrame, h=YEAR, model: str = "ewma", own: str = "fhs") -> DataFrame:
+    return dist.shapes(calibrated(f, h, (model,)), h, own)
 
 
 def _t5(x: str) -> str:
@@ -117,32 +128,72 @@ def _t5(x: str) -> str:
     return f"(0.5 + ({a} + sin({a}) * cos({a}) * (1 + pow(cos({a}), 2) * 2 / 3)) / pi())"
 
 
-_SHAPES_SQL = f"""sp AS (SELECT index_id, date, opos, mu, realized, resid, sigma, quant, pit FROM fh WHERE model = 'ewma'),
-hs AS (SELECT index_id, opos, CASE WHEN count(resid) OVER w >= 120 THEN quantile_cont(resid, {GRID_SQL}) OVER w END AS hq, list(resid) OVER w AS pool FROM sp WINDOW w AS (PARTITION BY index_id ORDER BY opos ROWS BETWEEN UNBOUNDED PRECEDING AND 12 PRECEDING)),
-sq AS (SELECT index_id, date, opos, realized, 'fhs' AS model, quant, pit FROM sp WHERE quant IS NOT NULL
-    UNION ALL SELECT index_id, date, opos, realized, 'gaussian', list_transform([{', '.join(map(repr, NORMAL_GRID))}], lambda x: mu + sigma * x), {normal_sql('(resid / sigma)')} FROM sp WHERE quant IS NOT NULL
-    UNION ALL SELECT index_id, date, opos, realized, 'student_t', list_transform([{', '.join(map(repr, T5_GRID))}], lambda x: mu + sigma * x), {_t5('resid / sigma / sqrt(0.6)')} FROM sp WHERE quant IS NOT NULL
-    UNION ALL SELECT sp.index_id, date, sp.opos, realized, 'historical', list_transform(hq, lambda x: mu + x), len(list_filter(pool, lambda x: x <= resid)) / len(pool)::DOUBLE FROM sp JOIN hs ON hs.index_id = sp.index_id AND hs.opos = sp.opos WHERE quant IS NOT NULL)"""
+def shapes_ctes(h=YEAR, k: str = "") -> list[str]:
+    """CTEs that end in sq{k}, four shapes a row, from fh{k}."""
+    return [f"""sp{k} AS (SELECT index_id, date, opos, mu, realized, resid, sigma, quant, pit FROM fh{k} WHERE model = 'ewma'),
+hs{k} AS (SELECT index_id, opos, CASE WHEN count(resid) OVER w >= {h.min_cal} THEN quantile_cont(resid, {GRID_SQL}) OVER w END AS hq, list(resid) OVER w AS pool FROM sp{k} WINDOW w AS (PARTITION BY index_id ORDER BY opos ROWS BETWEEN UNBOUNDED PRECEDING AND {h.steps} PRECEDING)),
+sq{k} AS (SELECT index_id, date, opos, realized, 'fhs' AS model, quant, pit FROM sp{k} WHERE quant IS NOT NULL
+    UNION ALL SELECT index_id, date, opos, realized, 'gaussian', list_transform([{', '.join(map(repr, NORMAL_GRID))}], lambda x: mu + sigma * x), {normal_sql('(resid / sigma)')} FROM sp{k} WHERE quant IS NOT NULL
+    UNION ALL SELECT index_id, date, opos, realized, 'student_t', list_transform([{', '.join(map(repr, T5_GRID))}], lambda x: mu + sigma * x), {_t5('resid / sigma / sqrt(0.6)')} FROM sp{k} WHERE quant IS NOT NULL
+    UNION ALL SELECT sp.index_id, date, sp.opos, realized, 'historical', list_transform(hq, lambda x: mu + x), len(list_filter(pool, lambda x: x <= resid)) / len(pool)::DOUBLE FROM sp{k} AS sp JOIN hs{k} AS hs ON hs.index_id = sp.index_id AND hs.opos = sp.opos WHERE quant IS NOT NULL)"""]
+
+
+def dist_ctes(h=YEAR, k: str = "", og: str = "og") -> list[str]:
+    """CTEs that end in db{k}, the ranked shapes of one horizon."""
+    board = f"""db{k} AS (SELECT {_CAL_SQL}, (row_number() OVER (PARTITION BY index_id ORDER BY pinball, model))::BIGINT AS rank, CASE WHEN row_number() OVER (PARTITION BY index_id ORDER BY pinball, model) = 1 THEN 'best' END AS verdict FROM cm{k})"""
+    return [fhs_sql(h, og=og, name=f"fh{k}"), *shapes_ctes(h, k), calibration_sql(f"sq{k}", "index_id, model", f"cm{k}"), board]
 
 
-@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _SHAPES_SQL) + " SELECT " + picked("index_id model date", "pit", "opos") + f", {at_sql()} FROM sq")
+@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), *shapes_ctes()) + " SELECT " + picked("index_id model date", "pit", "opos") + f", {at_sql()} FROM sq")
 def e28_parametric_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(levels(_shapes(spark, sf_dir)), "index_id model date pit opos q05 q25 q50 q75 q95")
+    return shown(levels(_shapes(panel(spark, sf_dir))), "index_id model date pit opos q05 q25 q50 q75 q95")
 
 
-@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _SHAPES_SQL, calibration_sql("sq", "index_id, model")) + f" SELECT {_CAL_SQL}, (row_number() OVER (PARTITION BY index_id ORDER BY pinball, model))::BIGINT AS rank, CASE WHEN row_number() OVER (PARTITION BY index_id ORDER BY pinball, model) = 1 THEN 'best' END AS verdict FROM cm")
+def dist_board(f: DataFrame, h=YEAR, model: str = "ewma", own: str = "fhs") -> DataFrame:
+    return shown(scores.distribution_leaderboard(scores.calibration(_shapes(f, h, model, own), ["index_id", "model"])), f"index_id model {CAL} rank verdict")
+
+
+@query(sql(BASE, walk_sql(), VOL_SQL, *dist_ctes()) + " SELECT * FROM db")
 def k14_distribution_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scores.calibration(_shapes(spark, sf_dir), ["index_id", "model"])
-    return shown(scores.distribution_leaderboard(c), f"index_id model {CAL} rank verdict")
+    return dist_board(panel(spark, sf_dir))
+
+
+@query(sql(BASE, VOL_SQL, *[c for k in BOARD_HORIZONS for c in (walk_sql(horizon(k), name=f"og{k}"), *dist_ctes(horizon(k), k, f"og{k}"))]) + " UNION ALL ".join(f" SELECT '{k}' AS horizon, * FROM db{k} WHERE n >= 24" for k in BOARD_HORIZONS))
+def k14_distribution_leaderboard_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    return over_horizons(BOARD_HORIZONS, lambda h: dist_board(f, h).where("n >= 24"))
+
+
+@query()
+def k14_distribution_leaderboard_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked horizons with variances from GARCH."""
+    f = with_variances(features(spark, sf_dir), ("garch",))
+    return over_horizons(BOARD_HORIZONS, lambda h: dist_board(f, h, "garch", "garch_fhs").where("n >= 24"))
+
+
+def headline_sql(k: str = "", key: str = "") -> str:
+    """Selects from bd{k} and db{k}."""
+    return f"""SELECT {key} p.index_id, round(increment, 6) AS increment, round(increment_late, 6) AS increment_late, beating, {len(_PREDICTOR_SQL)}::BIGINT AS predictors, n_eff, c.model AS best_distribution
+    FROM (SELECT index_id, max(CASE WHEN model = 'level0' THEN oos_r2 END) - max(CASE WHEN model = 'drift_only' THEN oos_r2 END) AS increment, max(CASE WHEN model = 'level0' THEN oos_r2_late END) - max(CASE WHEN model = 'drift_only' THEN oos_r2_late END) AS increment_late,
+        count(CASE WHEN verdict = 'beats_mean' AND model IN ({', '.join(map(repr, _PREDICTOR_SQL))}) THEN 1 END)::BIGINT AS beating, max(CASE WHEN model = 'level0' THEN n_eff END) AS n_eff FROM bd{k} GROUP BY 1) p LEFT JOIN db{k} c ON c.index_id = p.index_id AND c.rank = 1"""
+
+
+_HEAD = "index_id increment increment_late beating predictors n_eff best_distribution"
+
+
+def _headline(f: DataFrame, h=YEAR) -> DataFrame:
+    return shown(scores.headline(shown(board(f, h), "index_id model oos_r2 oos_r2_late verdict n_eff"), dist_board(f, h), list(_predictors())), _HEAD)
 
 
-@query(f"""WITH b AS ({ORACLES['k13_point_leaderboard']}), c AS ({ORACLES['k14_distribution_leaderboard']}),
-    p AS (SELECT index_id, max(CASE WHEN model = 'level0' THEN oos_r2 END) - max(CASE WHEN model = 'drift_only' THEN oos_r2 END) AS increment, max(CASE WHEN model = 'level0' THEN oos_r2_late END) - max(CASE WHEN model = 'drift_only' THEN oos_r2_late END) AS increment_late,
-        count(CASE WHEN verdict = 'beats_mean' AND model IN ({', '.join(map(repr, _PREDICTOR_SQL))}) THEN 1 END)::BIGINT AS beating, max(CASE WHEN model = 'level0' THEN n_eff END) AS n_eff FROM b GROUP BY 1)
-    SELECT p.index_id, round(increment, 6) AS increment, round(increment_late, 6) AS increment_late, beating, {len(_PREDICTOR_SQL)}::BIGINT AS predictors, n_eff, c.model AS best_distribution FROM p LEFT JOIN c ON c.index_id = p.index_id AND c.rank = 1""")
+@query(sql(BASE, *board_ctes(), VOL_SQL, *dist_ctes()) + headline_sql())
 def k15_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = scores.headline(k13_point_leaderboard(spark, sf_dir), k14_distribution_leaderboard(spark, sf_dir), list(_PREDICTOR_SQL))
-    return shown(h, "index_id increment increment_late beating predictors n_eff best_distribution")
+    return _headline(kept(with_variances(features(spark, sf_dir), ("ewma",))))
+
+
+@query(sql(BASE, VOL_SQL, *[c for k in BOARD_HORIZONS for c in (*board_ctes(horizon(k), k), *dist_ctes(horizon(k), k, f"og{k}"))]) + " UNION ALL ".join(headline_sql(k, f"'{k}' AS horizon,") for k in BOARD_HORIZONS))
+def k15_headline_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    return over_horizons(BOARD_HORIZONS, lambda h: _headline(f, h))
 
 
 _LOGVAR = """nf AS (SELECT og.index_id, og.date, og.opos, fc_level0_est AS mu, realized, realized - fc_level0_est AS resid, og.spread, CASE WHEN og.spread IS NOT NULL THEN ln(greatest(pow(realized - fc_level0_est, 2), 1e-6)) END AS y FROM og),
@@ -152,26 +203,83 @@ nh AS (SELECT *, CASE WHEN ok THEN greatest(0.3 * size, least(3 * size, sqrt(exp
 
 @query(sql(BASE, walk_sql(), _LOGVAR) + " SELECT " + picked("index_id date", "sigma", "opos") + ", round(resid / sigma, 6) AS z FROM nh WHERE sigma IS NOT NULL")
 def e17_log_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_log_variance(spark, sf_dir).where("sigma IS NOT NULL"), "index_id date sigma opos z")
+    return shown(_log_variance(panel(spark, sf_dir)).where("sigma IS NOT NULL"), "index_id date sigma opos z")
 
 
-def _log_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
+def _log_variance(f: DataFrame) -> DataFrame:
     rows = dist.residuals(walk.walk(f), variances(f, ("const",)), YEAR).join(f.select("index_id", F.col("pos").cast("long").alias("pos"), "spread"), ["index_id", "pos"])
-    return dist.log_variance(rows.withColumn("model", F.lit("spread")), "spread", YEAR)
+    return dist.log_variance(rows.withColumn("model", F.lit("spread")), "spread", YEAR).drop("spread")
 
 
-@query()
-def k12_macro_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a financial-conditions series set the width better? All models on the series' own window."""
-    both = fhs(features(spark, sf_dir)).unionByName(dist.simulated(_log_variance(spark, sf_dir).drop("spread"), YEAR))
+@query(sql(BASE, walk_sql(), _LOGVAR) + " SELECT index_id, 'spread' AS model, round(median(sigma), 6) AS sigma, count(*)::BIGINT AS of FROM (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY opos DESC) AS back FROM nh WHERE sigma IS NOT NULL) WHERE back <= 12 GROUP BY 1")
+def d28_recent_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a live forecast takes where the best model has no variance of its own at the last row."""
+    return shown(dist.recent_sigma(_log_variance(panel(spark, sf_dir))), "index_id model sigma of")
+
+
+_WITH_SPREAD = f"""nz AS (SELECT *, 'spread' AS model, resid / sigma AS z FROM nh),
+nq AS (SELECT *, CASE WHEN sigma IS NOT NULL AND count(z) OVER w >= 120 THEN quantile_cont(z, {GRID_SQL}) OVER w END AS zq, CASE WHEN sigma IS NOT NULL AND count(z) OVER w >= 120 THEN list_filter(list(z) OVER w, lambda x: x IS NOT NULL) END AS pool
+    FROM nz WINDOW w AS (PARTITION BY index_id ORDER BY opos ROWS BETWEEN UNBOUNDED PRECEDING AND 12 PRECEDING)),
+both4 AS (SELECT index_id, date, model, opos, mu, realized, quant, pit FROM fh UNION ALL SELECT index_id, date, model, opos, mu, realized, list_transform(zq, lambda x: mu + sigma * x), len(list_filter(pool, lambda x: x <= z)) / len(pool)::DOUBLE FROM nq),
+own AS (SELECT index_id, opos FROM both4 WHERE model = 'spread' AND quant IS NOT NULL),
+on_own AS (SELECT both4.* FROM both4 JOIN own USING (index_id, opos))"""
+
+
+def _macro_question(f: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    both = kept(_with_spread(f, names))
     own = both.where("model = 'spread' AND quant IS NOT NULL").select("index_id", "opos")
     return shown(scores.calibration(both.join(own, ["index_id", "opos"], "left_semi"), ["index_id", "model"]), f"index_id model {CAL}")
 
 
+def _with_spread(f: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return fhs(f, YEAR, names).unionByName(dist.simulated(_log_variance(f), YEAR))
+
+
+@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _LOGVAR, _WITH_SPREAD, calibration_sql("on_own", "index_id, model")) + f" SELECT {_CAL_SQL} FROM cm")
+def k12_macro_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a financial-conditions series set the width better? All models on the series' own window."""
+    return _macro_question(panel(spark, sf_dir), ("const", "ewma", "vix"))
+
+
+@query()
+def k12_macro_question_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _macro_question(with_variances(features(spark, sf_dir), ("const", "garch")), ("const", "garch"))
+
+
+@query()
+def k30_predictive_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of every origin under constant, weighted, GARCH and macro-driven variances."""
+    f = with_variances(features(spark, sf_dir), ("const", "ewma", "garch"))
+    q = levels(_with_spread(f, ("const", "ewma", "garch")).where("quant IS NOT NULL"))
+    return shown(q, "index_id model date mu realized sigma pit opos q05 q25 q50 q75 q95")
+
+
+@query()
+def k31_common_window_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and common windows of the models with a long history."""
+    f = with_variances(features(spark, sf_dir), ("const", "ewma", "garch"))
+    rows = kept(fhs(f, YEAR, ("const", "ewma", "garch")))
+    own, common = (scores.calibration(x, ["index_id", "model"]).withColumn("window", F.lit(n)) for n, x in (("own", rows), ("common", common_window(rows))))
+    return shown(own.unionByName(common), f"index_id model window {CAL}")
+
+
+@query()
+def k11_implied_against_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every horizon, implied variance against GARCH at the origins where both have a distribution; a tie is GARCH's."""
+    f = with_variances(features(spark, sf_dir), ("garch", "vix"))
+
+    def one(h: walk.Horizon) -> DataFrame:
+        c = scores.calibration(common_window(fhs(f, h, ("garch", "vix"))), ["index_id", "model"]).where("n >= 24")
+        of = lambda model, x: F.max(F.when(F.col("model") == model, F.col(x)))
+        a = c.groupBy("index_id").agg(F.max("n").alias("n"), *[of(m, x).alias(f"{m}_{x}") for m in ("garch", "vix") for x in ("pinball", "cover_90")])
+        return a.withColumn("winner", F.when(F.col("garch_pinball") <= F.col("vix_pinball"), "garch").otherwise("vix"))
+
+    return shown(over_horizons(_KEYS, one), "horizon index_id n garch_pinball vix_pinball garch_cover_90 vix_cover_90 winner")
+
+
 @query()
 def d20_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fhs(features(spark, sf_dir)).where("quant IS NOT NULL")
+    rows = fhs(panel(spark, sf_dir)).where("quant IS NOT NULL")
     inside = (F.col("realized") >= F.get("quant", F.lit(0))) & (F.col("realized") <= F.get("quant", F.lit(18)))
     return shown(scores.block_bootstrap(rows, inside, ["index_id", "model"], "opos", YEAR.steps), "index_id model lo hi")
 
@@ -182,7 +290,11 @@ BOND = 0.04
 
 
 def leaf(spark: SparkSession, sf_dir: str, h=YEAR, model: str = "ewma") -> DataFrame:
-    f = features(spark, sf_dir)
+    f = kept(with_variances(features(spark, sf_dir), (model,)))
+    return leaf_of(f, h, model)
+
+
+def leaf_of(f: DataFrame, h=YEAR, model: str = "ewma") -> DataFrame:
     v = variances(f, (model,))
     rows = dist.level_calibrated(dist.residuals(walk.walk(f, h), v, h), h)
     return walk.live(f, h).join(dist.live_sigma(rows, v, h), "index_id").join(dist.pool_quantiles(rows), ["index_id", "model"]).withColumns({"y": F.lit(BOND), "years": F.lit(h.years)})
@@ -206,7 +318,7 @@ def k04_live_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LEAF + """, nw AS (SELECT index_id, arg_max(100 * d / p, pos) AS dividend, arg_max(100 * rate, pos) AS bond, arg_max(100 * spread, pos) AS cash FROM ft GROUP BY 1),
     al AS (SELECT *, 100 * (exp(mu) - 1) AS equity_price FROM lf JOIN nw USING (index_id))""" + " SELECT " + picked("index_id", "equity_price dividend bond cash") + ", round(equity_price + dividend, 6) AS equity_total, round(equity_price + dividend - bond, 6) AS premium FROM al")
 def k09_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
+    f = panel(spark, sf_dir)
     return shown(walk.alternatives(walk.live(f), f), "index_id equity_price dividend bond cash equity_total premium")
 
 
@@ -271,19 +383,19 @@ _HIST = "hi AS (SELECT *, row_number() OVER (PARTITION BY index_id, model, year(
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _HIST) + " SELECT index_id, model, date, round(exp(log_p), 4) AS spot, " + ", ".join(f"round(exp(log_p + quant[{i + 1}]), 4) AS price_{n}" for n, i in _LEVELS) + ", round(exp(log_p + realized), 4) AS realized_price, round(100 * (exp(realized) - 1), 6) AS realized_pct, realized >= quant[1] AND realized <= quant[19] AS in90 FROM hi WHERE first = 1")
 def k05_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history(fhs(features(spark, sf_dir)))
+    h = history(fhs(panel(spark, sf_dir)))
     return h.select("index_id", "model", "date", F.round("spot", 4).alias("spot"), *[F.round(f"price_{n}", 4).alias(f"price_{n}") for n, _ in _LEVELS], F.round("realized_price", 4).alias("realized_price"), F.round("realized_pct", 6).alias("realized_pct"), "in90")
 
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _HIST) + " SELECT index_id, model, round(avg(CASE WHEN realized >= quant[1] AND realized <= quant[19] THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*)::BIGINT AS n FROM hi WHERE first = 1 GROUP BY 1, 2")
 def d24_history_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history(fhs(features(spark, sf_dir))).groupBy("index_id", "model").agg(scores.hit(F.col("in90")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
+    h = history(fhs(panel(spark, sf_dir))).groupBy("index_id", "model").agg(scores.hit(F.col("in90")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
     return shown(h, "index_id model hit_rate n")
 
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _HIST) + " SELECT index_id, date, step::BIGINT AS step, " + ", ".join(f"round(exp(log_p) + (exp(log_p + quant[{i + 1}]) - exp(log_p)) * sqrt(step / 12.0::DOUBLE), 4) AS {n}" for n, i in _LEVELS) + " FROM hi CROSS JOIN generate_series(0, 12) s(step) WHERE first = 1 AND model = 'ewma'")
 def k22_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fan_shown(dist.cone(history(fhs(features(spark, sf_dir), YEAR, ("ewma",))), 12), "index_id date")
+    return fan_shown(dist.cone(history(fhs(panel(spark, sf_dir), YEAR, ("ewma",))), 12), "index_id date")
 
 
 CASES = (("1997-06-30", "rise"), ("1999-01-15", "turn"), ("2001-01-31", "late"))
@@ -292,7 +404,7 @@ CASES = (("1997-06-30", "rise"), ("1999-01-15", "turn"), ("2001-01-31", "late"))
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), "t(target, label) AS (VALUES " + ", ".join(f"(DATE '{d}', '{n}')" for d, n in CASES) + ")", "ca AS (SELECT label, arg_min(opos, (abs(date - target), date)) AS opos, arg_min(date, (abs(date - target), date)) AS date, arg_min(quant, (abs(date - target), date)) AS quant, arg_min(realized, (abs(date - target), date)) AS realized FROM t CROSS JOIN (SELECT * FROM fh WHERE index_id = 'main' AND model = 'ewma' AND quant IS NOT NULL) GROUP BY 1)") + " SELECT label, date, round(quant[10], 6) AS median, round(realized, 6) AS realized, realized >= quant[1] AND realized <= quant[19] AS in90 FROM ca")
 def k06_case_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame(list(CASES), "target string, label string").select(F.to_date("target").alias("target"), "label")
-    rows = levels(fhs(features(spark, sf_dir), YEAR, ("ewma",)).where("index_id = 'main' AND quant IS NOT NULL")).select("date", "realized", "q05", "q50", "q95")
+    rows = levels(fhs(panel(spark, sf_dir), YEAR, ("ewma",)).where("index_id = 'main' AND quant IS NOT NULL")).select("date", "realized", "q05", "q50", "q95")
     c = series.nearest(rows, t).withColumns({"median": F.col("q50"), "in90": (F.col("realized") >= F.col("q05")) & (F.col("realized") <= F.col("q95"))})
     return shown(c, "label date median realized in90")
 
@@ -309,6 +421,6 @@ def a14_forecast_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested document a series: leaf, price quantiles, fan path and calibration."""
     x = leaf(spark, sf_dir)
     path = dist.fan(x, 12).groupBy("index_id").agg(F.sort_array(F.collect_list(F.struct("step", *[n for n, _ in _LEVELS]))).alias("fan_path"))
-    cal = scores.calibration(fhs(features(spark, sf_dir), YEAR, ("ewma",)), ["index_id"])
+    cal = scores.calibration(fhs(panel(spark, sf_dir), YEAR, ("ewma",)), ["index_id"])
     doc = F.struct(F.lit(2).alias("schema_version"), F.col("asof").cast("string").alias("asof"), F.struct("p0", "mu", "sigma", "lam_used", "growth", "valuation", F.col("z").alias("z_grid"), "z01", "z025").alias("leaf"), "fan_path", F.struct(*CAL.split()).alias("calibration"))
     return x.join(path, "index_id").join(cal, "index_id").select("index_id", F.to_json(doc).alias("document"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a new one (tests)."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        set_to = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", set_to)
+    return set_to
+
+
+def _kept_at(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df computed once: a table in the shared folder, which survives lost executors, until forget()."""
+    spark, at = df.sparkSession, f"{_kept_at(df.sparkSession)}/{uuid.uuid4().hex}"
+    (df if parts is None else df.coalesce(parts)).write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes what this application has kept, once the results that read it are stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_kept_at(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN becomes null once, at the scan; the engine knows only null."""
     return df.select(*[present(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

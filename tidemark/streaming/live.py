@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,11 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.distribution import re_anchored
 from ..operators.volatility import DECAY
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set (tests), a new one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+from ..sources.tables import shared_dir
 
 
 def stream_of(spark: SparkSession, folder: str, like: DataFrame, files: str = "*", files_per_batch: int = 1) -> DataFrame:
