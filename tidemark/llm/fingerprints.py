@@ -61,12 +61,12 @@ def with_next(documents: DataFrame) -> DataFrame:
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     edges = ranges(d.select("doc_id", "h"))
     spark, count = d.sparkSession, max(1, len(edges))
-    # A literal: the optimizer folds it once, and rows don't carry it.
-    longs = lambda i: "cast(split('" + ",".join(str(k[i]) for k in edges) + "', ',') as array<bigint>)"
-    first = F.expr(f"transform(arrays_zip({longs(0)}, {longs(1)}, {longs(2)}), x -> struct(cast(x.`0` as int) as none, x.`1` as down, x.`2` as h))")
+    # Literals: the optimizer folds each once, and rows don't carry them.
+    none, down, h = (F.expr("cast(split('" + ",".join(str(k[i]) for k in edges) + "', ',') as array<bigint>)") for i in range(3))
+    first = lambda i: F.struct(F.get(none, i).cast("int").alias("none"), F.get(down, i).alias("down"), F.get(h, i).alias("h"))
     steps = F.array(*[F.lit(1 << k) for k in range((count - 1).bit_length() - 1, -1, -1)]) if count > 1 else F.array().cast("array<int>")
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(first, at + step) <= F.col("key"), at + step).otherwise(at))
-    wrapped = F.coalesce(F.col("key") < F.get(first, F.lit(0)), F.lit(False))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < count) & (first(at + step) <= F.col("key")), at + step).otherwise(at))
+    wrapped = (F.col("key") < first(F.lit(0))) if edges else F.lit(False)
     b = d.withColumn("key", order_key()).select(F.when(wrapped, F.lit(count - 1)).otherwise(found).alias("bucket"), wrapped.alias("wrapped"), "key", "doc_id", "text")
     heads = spark.createDataFrame([(*k, (i - 1) % count) for i, k in enumerate(edges)], "none int, down long, h long, bucket int")
     head = d.withColumn("key", order_key()).join(F.broadcast(heads), F.col("key") == F.struct("none", "down", heads["h"]))  # keys: bounded
