@@ -141,7 +141,8 @@ def garch_fits(returns: DataFrame, refit: int = REFIT) -> DataFrame:
     at = F.explode(F.filter(F.sequence(F.lit(MIN_HISTORY).cast("long"), F.greatest("end", F.lit(MIN_HISTORY).cast("long"))), lambda t: (t <= F.col("end")) & ((t == MIN_HISTORY) | (t % refit == 0))))
     jobs = series.select("index_id", "rows", at.alias("at"))
     known = F.transform(F.filter("rows", lambda x: (x["pos"] <= F.col("at")) & x["r"].isNotNull()), lambda x: x["r"] * 100)
-    jobs = jobs.select("index_id", "at", known.alias("r")).repartition("index_id", "at")
+    jobs = jobs.select("index_id", "at", known.alias("r"))
+    jobs = jobs.repartition(returns.sparkSession.sparkContext.defaultParallelism * 2, "index_id", "at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for jobs in batches:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators import macro, scores, walk
-from ..operators.windows import ordered
-from ..sources.tables import table
+from ..sources.tables import kept, table
 from ..streaming import live
-from .panel import features, panel
-from .point import MACRO_SPEC
+from .panel import BASE, panel, sql, walk_sql
+from .point import _MACRO, MACRO_SPEC, SINCE
 from .registry import query
 from .shown import shown
 from .spread import LEAF, leaf
@@ -51,35 +50,67 @@ def i03_stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(got, "event_id index_id mu_live log_median")
 
 
-def elastic(spark: SparkSession, sf_dir: str, refit: int = 120) -> tuple[DataFrame, DataFrame]:
-    f = panel(spark, sf_dir)
-    o = walk.walk(f).select("index_id", "date", F.col("pos").cast("long").alias("pos"), "realized", "fc_level0_est", "fc_rw_drift", (F.col("realized") - F.col("fc_level0_est")).alias("resid"))
-    x = feat.transformed(f, MACRO_SPEC).withColumn("pos", F.col("pos").cast("long")).drop("date")
-    rows = o.join(x, ["index_id", "pos"])
-    names = [f"{c}_{k}" for c, k, _ in MACRO_SPEC]
-    return rows, macro.walk_forward(rows, names, "resid", 12, refit=refit)
+#: The macro models: target over the anchor or the outcome itself, and the features.
+MODERN_SPEC = [*MACRO_SPEC, ("rate", "as_is", 1)]
+ELASTIC = {"core_residual": ("resid", MACRO_SPEC), "core_standalone": ("realized", MACRO_SPEC), "modern_residual": ("resid", MODERN_SPEC)}
+
+
+def _named(spec: list) -> list[str]:
+    return [f"{c}_{k}" for c, k, _ in spec]
+
+
+def macro_rows(f: DataFrame, spec: list) -> DataFrame:
+    """Origins with their lagged features."""
+    o = walk.walk(f).select("index_id", "date", F.col("pos").cast("long").alias("pos"), "realized", "fc_level0_est", "fc_drift_only", "fc_rw_drift", (F.col("realized") - F.col("fc_level0_est")).alias("resid"))
+    return o.join(feat.transformed(f, spec).withColumn("pos", F.col("pos").cast("long")).drop("date"), ["index_id", "pos"])
+
+
+def elastic(f: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """The forecasts of one mode beside its benchmarks, and its fits."""
+    target, spec = ELASTIC[mode]
+    rows = macro_rows(f, spec)
+    fits = kept(macro.refits(macro.numbered(rows, _named(spec), target), _named(spec), 12))
+    fc = macro.walk_forward(rows, _named(spec), target, 12, fits=fits).select("index_id", "pos", "fc")
+    whole = F.col("fc") + F.col("fc_level0_est") if target == "resid" else F.col("fc")
+    return kept(rows.join(fc, ["index_id", "pos"]).withColumn("full", whole)), fits
 
 
 @query()
 def k16_elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a macro model of the anchor's residual beat the anchor?"""
-    rows, fits = elastic(spark, sf_dir)
-    j = rows.join(fits.select("index_id", "pos", "fc"), ["index_id", "pos"]).withColumn("full", F.col("fc_level0_est") + F.col("fc"))
-    r, a, b = F.col("realized"), F.col("full"), F.col("fc_level0_est")
-    m = j.groupBy("index_id").agg(F.count(F.lit(1)).alias("n"), scores.r2(r, a, b).alias("r2_level0"), scores.r2(r, a, F.col("fc_rw_drift")).alias("r2_mean"), scores.direction_hit(a, r).alias("hit"), scores.direction_hit(b, r).alias("hit_level0"))
-    cw = scores.clark_west(j, r, b, a, ["index_id"], "pos").drop("n")
-    return shown(m.join(cw, "index_id"), "index_id n r2_level0 r2_mean hit hit_level0 cw_t cw_p_halved cw_p_onesided")
+    """Does a macro model beat the anchor: on what the anchor leaves, on the outcome itself, and with one feature more?"""
+    f, out = panel(spark, sf_dir), None
+    for mode in ELASTIC:
+        j, fits = elastic(f, mode)
+        r, a, b = F.col("realized"), F.col("full"), F.col("fc_level0_est")
+        late = F.year("date") >= SINCE
+        m = j.groupBy("index_id").agg(
+            F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.sqrt(F.avg((r - a) * (r - a))).alias("rmse"), F.sqrt(F.avg((r - b) * (r - b))).alias("rmse_level0"),
+            scores.r2(r, a, b).alias("r2_level0"), scores.r2(r, a, F.col("fc_drift_only")).alias("r2_drift"), scores.r2(r, a, F.col("fc_rw_drift")).alias("r2_mean"),
+            F.when(F.count(F.when(late, 1)) > 50, scores.r2(r, a, b, late)).alias("r2_level0_late"), scores.direction_hit(a, r).alias("hit"), scores.direction_hit(b, r).alias("hit_level0"),
+        )
+        m = m.join(scores.clark_west(j, r, b, a, ["index_id"], "pos").drop("n"), "index_id").join(fits.groupBy("index_id").agg(F.count(F.lit(1)).alias("refits")), "index_id")
+        one = shown(m, "index_id n first last rmse rmse_level0 r2_level0 r2_drift r2_mean r2_level0_late hit hit_level0 cw_t cw_p_halved cw_p_onesided refits").withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
 def d14_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, fits = elastic(spark, sf_dir)
-    return shown(macro.coefficient_summary(fits, [f"{c}_{k}" for c, k, _ in MACRO_SPEC]), "index_id feature mean_abs kept")
+    f, out = panel(spark, sf_dir), None
+    for mode, (target, spec) in ELASTIC.items():
+        fits = macro.refits(macro.numbered(macro_rows(f, spec), _named(spec), target), _named(spec), 12)
+        one = shown(macro.coefficient_summary(fits, _named(spec)), "index_id feature mean_abs kept").withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_KNOWN = " AND ".join(f"{n} IS NOT NULL" for n in _named(MACRO_SPEC))
 
 
-@query("SELECT index_id, pos::BIGINT AS pos, (pos // 12 * 12)::BIGINT AS refit_at FROM (SELECT 'main' AS index_id, unnest(range(0, 100)) AS pos)")
+@query(sql(BASE, _MACRO, walk_sql(), f"kn AS (SELECT og.index_id, og.pos, row_number() OVER (PARTITION BY og.index_id ORDER BY og.pos) - 1 AS place FROM og JOIN mx USING (index_id, pos) WHERE {_KNOWN}), rd AS (SELECT *, place // 12 AS refit FROM kn WHERE place - 11 >= 180)")
+    + " SELECT index_id, pos::BIGINT AS pos, refit::BIGINT AS refit, (min(place) OVER (PARTITION BY index_id, refit))::BIGINT AS at, (min(place) OVER (PARTITION BY index_id, refit) - 11)::BIGINT AS trained FROM rd")
 def e32_refit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The refit that each row's parameters come from."""
-    rows = spark.range(100).select(F.lit("main").alias("index_id"), F.col("id").alias("pos"))
-    at = F.last(F.when(F.col("pos") % 12 == 0, F.col("pos")), ignorenulls=True).over(ordered())
-    return rows.select("index_id", "pos", at.alias("refit_at"))
+    """The refit that each forecast's coefficients come from, the row it was made at, and how many outcomes it knew."""
+    known = macro.numbered(macro_rows(panel(spark, sf_dir), MACRO_SPEC), _named(MACRO_SPEC), "resid")
+    ready = known.where("_at - 11 >= 180").select("index_id", "pos", F.floor(F.col("_at") / 12).cast("long").alias("refit"))
+    return shown(ready.join(macro.schedule(known, 12), ["index_id", "refit"]), "index_id pos refit at trained")
