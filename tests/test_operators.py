@@ -66,8 +66,10 @@ def test_walk_matches_a_plain_loop(features):
     assert len(rows) == sum(ok[i] and i >= 12 and ok[: i - 11].sum() >= 120 for i in range(len(f)))
 
 
-def test_simulated_matches_a_plain_loop(features):
-    v = volatility.models(ewma=volatility.ewma(volatility.with_returns(features)))
+@pytest.mark.parametrize("model", ["ewma", "garch"])
+def test_simulated_matches_a_plain_loop(features, model):
+    r = volatility.with_returns(features)
+    v = volatility.unpivoted(volatility.ewma(r) if model == "ewma" else volatility.garch(r, refit=120), (model,))
     rows = distribution.simulated(distribution.level_calibrated(distribution.residuals(walk.walk(features), v, YEAR), YEAR), YEAR).orderBy("opos").toPandas()
     resid, raw = rows["resid"].to_numpy(float), rows["raw"].to_numpy(float)
     sigma = np.full(len(rows), np.nan)
@@ -104,41 +106,151 @@ def test_kitchen_sink_matches_least_squares(features):
         assert got[i] == pytest.approx(b[0] + x[i] @ b[1:], rel=1e-5, abs=1e-7)
 
 
-def test_garch_finds_its_parameters():
-    rng = np.random.default_rng(2)
-    omega, alpha, beta, n = 0.1, 0.1, 0.85, 4000
+def simulated_returns(n=3000, seed=2, omega=0.1, alpha=0.1, beta=0.85):
+    rng = np.random.default_rng(seed)
     h, r = omega / (1 - alpha - beta), np.zeros(n)
     for t in range(n):
         r[t] = math.sqrt(h) * rng.standard_t(8) * math.sqrt(6 / 8)
         h = omega + alpha * r[t] ** 2 + beta * h
-    _, (o, a, b), last = volatility.fit_garch(r)
-    assert abs(a - alpha) < 0.04 and abs(b - beta) < 0.07 and abs(o - omega) < 0.1 and last > 0
-    path = volatility.variance_path(r[:100], 0.1, 0.1, 0.85, 2.0)
+    return r
+
+
+def test_garch_finds_its_parameters():
+    r = simulated_returns(4000)
+    o, a, b, last = volatility.fit_garch(r)
+    assert abs(a - 0.1) < 0.04 and abs(b - 0.85) < 0.07 and abs(o - 0.1) < 0.1 and last > 0
+    path = volatility.variance_paths(r[None, :100], np.array([0.1]), np.array([0.1]), np.array([0.85]), 2.0)[0]
     v = 2.0
     for t in range(100):
         assert path[t] == pytest.approx(v, rel=1e-12)
         v = 0.1 + 0.1 * r[t] ** 2 + 0.85 * v
-
-
-def test_garch_series_uses_the_past_only():
-    r = np.random.default_rng(3).normal(0, 0.04, 300)
-    whole, cut = volatility.garch_series(r, 30), volatility.garch_series(r[:280], 30)
-    assert np.isnan(whole[:240]).all() and np.isfinite(whole[240:]).all()
-    np.testing.assert_array_equal(whole[:280], cut)
-    assert np.isnan(volatility.garch_series(np.zeros(250), 30)[:240]).all()
-
-
-def test_elastic_net(spark):
+    with pytest.raises(ValueError, match="vary"):
+        volatility.fit_garch(np.zeros(300))
+
+
+def test_garch_fit_is_the_likelihoods_top():
+    """No other start, and no step from the fit, has a higher likelihood, said here in plain words."""
+
+    def minus_log(r, mu, omega, alpha, beta, nu):
+        h, total = float(np.var(r)), 0.0
+        for x in r - mu:
+            total += math.lgamma(nu / 2) - math.lgamma((nu + 1) / 2) + 0.5 * math.log(math.pi * (nu - 2) * h) + (nu + 1) / 2 * math.log1p(x * x / (h * (nu - 2)))
+            h = omega + alpha * x * x + beta * h
+        return total / len(r)
+
+    r = simulated_returns(900, seed=5)
+    free = np.array([0.1, math.log(0.05), 3.0, -2.0, math.log(5.0)])
+    natural = [float(p[0]) for p in volatility._natural(free[None, :], float(np.var(r)))]
+    assert float(volatility.loss(free[None, :], r, float(np.var(r)))[0]) == pytest.approx(minus_log(r, *natural), rel=1e-9)
+    omega, alpha, beta, _ = volatility.fit_garch(r)
+    best = min(minus_log(r, mu, omega, alpha, beta, nu) for mu in np.linspace(-0.2, 0.2, 9) for nu in (5, 6, 7, 8, 10, 13, 20))
+    assert best <= minus_log(r, 0.0, 0.1, 0.1, 0.85, 8.0) + 1e-3
+    rng = np.random.default_rng(0)
+    for _ in range(25):
+        a, b = rng.uniform(0.01, 0.3), rng.uniform(0.5, 0.95)
+        if a + b < 0.999:
+            assert best <= minus_log(r, 0.0, rng.uniform(0.01, 0.5), a, b, rng.uniform(4, 12)) + 1e-3
+
+
+def test_garch_matches_a_plain_walk(spark):
+    """Series with gaps and one that never varies; each row's variance told anew from the fit in force."""
+    r = {"a": simulated_returns(330) / 100, "b": simulated_returns(300, seed=9) / 100, "flat": np.zeros(280)}
+    r["b"][[0, 250, 263, 264]] = np.nan
+    rows = [(k, t, None if np.isnan(x) else float(x)) for k, xs in r.items() for t, x in enumerate(xs)]
+    frame = spark.createDataFrame(rows, "index_id string, pos long, r double")
+    got = {(x.index_id, x.pos): x for x in volatility.garch(frame, refit=24).collect()}
+    assert len(got) == len(rows)
+    for k, xs in r.items():
+        known = lambda t: xs[: t + 1][~np.isnan(xs[: t + 1])] * 100
+        made = {}
+        for t in [t for t in range(240, len(xs)) if t == 240 or t % 24 == 0]:
+            if np.var(known(t)) > 0:
+                omega, alpha, beta, last = volatility.fit_garch(known(t))
+                made[t] = (omega / 1e4, alpha, beta, last / 1e4)
+        for t in range(len(xs)):
+            if t < 240:
+                assert got[k, t].v_garch is None
+                continue
+            start = max((s for s in made if s <= t), default=None)
+            want = float(np.nanvar(xs[:240]))
+            if start is not None:
+                omega, alpha, beta, want = made[start]
+                for x in xs[start : t + 1]:
+                    want = want if np.isnan(x) else omega + alpha * x * x + beta * want
+            assert got[k, t].v_garch == pytest.approx(want, rel=1e-9, abs=1e-15), (k, t)
+            assert got[k, t].v_garch_failed == (0 if k != "flat" else len([s for s in range(240, t + 1) if s % 24 == 0]))
+
+
+def test_garch_uses_the_past_only(spark):
+    r = simulated_returns(300, seed=3) / 100
+    frame = spark.createDataFrame([("x", t, float(x)) for t, x in enumerate(r)], "index_id string, pos long, r double")
+    whole, cut = ({x.pos: x.v_garch for x in volatility.garch(frame.where(f"pos < {n}"), refit=30).collect()} for n in (300, 280))
+    assert all(whole[t] == cut[t] for t in range(280)) and all(whole[t] is not None for t in range(240, 300))
+
+
+def plain_elastic_net(x, y, alpha, ratio, passes=20000):
+    """Coordinate descent on rows, centred within the call."""
+    x, y = x - x.mean(axis=0), y - y.mean()
+    w, n = np.zeros(x.shape[1]), len(y)
+    for _ in range(passes):
+        before = w.copy()
+        for j in range(len(w)):
+            rest = y - x @ w + x[:, j] * w[j]
+            pull = x[:, j] @ rest / n
+            w[j] = np.sign(pull) * max(abs(pull) - alpha * ratio, 0) / (x[:, j] @ x[:, j] / n + alpha * (1 - ratio))
+        if np.abs(w - before).max() < 1e-13:
+            break
+    return w
+
+
+def test_elastic_net_matches_plain_cross_validation():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(400, 4)) * [1, 5, 0.1, 1]
-    y = 2 * x[:, 0] - 0.4 * x[:, 1] + 0.3 + rng.normal(0, 0.1, 400)
-    w, level = macro.fit(x, y)
-    assert w == pytest.approx([2, -0.4, 0, 0], abs=0.15) and level == pytest.approx(0.3, abs=0.05)
-    rows = spark.createDataFrame(pd.DataFrame({"index_id": "x", "pos": range(400), "y": y, **{f"f{i}": x[:, i] for i in range(4)}}))
-    out = macro.walk_forward(rows, [f"f{i}" for i in range(4)], "y", 12, refit=100).orderBy("pos").toPandas()
-    assert out["pos"].min() == 191 and np.corrcoef(out["fc"], y[out["pos"]])[0, 1] > 0.99
-    first = out[out["refit"] == 1].iloc[0]
-    assert first["fc"] == pytest.approx(macro.fit(x[:180], y[:180])[1] + x[first["pos"]] @ macro.fit(x[:180], y[:180])[0])
+    x = rng.normal(size=(203, 4)) * [1, 5, 0.1, 1]
+    x[:, 3] = 0.7 * x[:, 0] + 0.5 * x[:, 3]
+    y = 2 * x[:, 0] - 0.4 * x[:, 1] + 0.3 + rng.normal(0, 2, 203)
+    parts = np.array_split(np.arange(203), 5)
+    edges = [0, *np.cumsum([len(p) for p in parts])]
+    ratios, n_alphas = (0.5, 1.0), 12
+    coef, level, alpha, ratio = macro.fit([macro.Moments.of(x[:e], y[:e]) for e in edges], ratios, n_alphas)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    best = (np.inf, 0, 0)
+    for q in ratios:
+        top = np.abs(z.T @ (y - y.mean())).max() / 203 / q
+        for a in np.geomspace(top, top * 1e-3, n_alphas):
+            error = 0.0
+            for p in parts:
+                t = np.setdiff1d(np.arange(203), p)
+                w = plain_elastic_net(z[t], y[t], a, q)
+                error += np.mean((y[p] - y[t].mean() - (z[p] - z[t].mean(axis=0)) @ w) ** 2) / 5
+            if error < best[0] - 1e-12:
+                best = (error, a, q)
+    assert (alpha, ratio) == (pytest.approx(best[1], rel=1e-9), best[2])
+    w = plain_elastic_net(z, y, best[1], best[2])
+    assert coef == pytest.approx(w / x.std(axis=0), rel=1e-6, abs=1e-8)
+    assert level == pytest.approx(y.mean() - x.mean(axis=0) @ (w / x.std(axis=0)), rel=1e-6)
+
+
+def test_elastic_net_walks_forward(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(420, 3)) + [0, 100, 0]
+    y = 2 * x[:, 0] - 0.4 * x[:, 1] + rng.normal(0, 0.1, 420)
+    frame = pd.DataFrame({"index_id": "x", "pos": range(420), "y": y, **{f"f{i}": x[:, i] for i in range(3)}})
+    frame.loc[[5, 77], "f1"] = None
+    names = [f"f{i}" for i in range(3)]
+    rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "index_id string, pos long, y double, f0 double, f1 double, f2 double")
+    out = macro.walk_forward(rows, names, "y", 12, refit=60, ratios=(0.5, 1.0), n_alphas=10).orderBy("pos").toPandas()
+    known = frame.dropna().reset_index(drop=True)
+    assert len(out) == 418 - 191 and (out["at"] - out["trained"] == 11).all()
+    for refit, one in out.groupby("refit"):
+        n, first = int(one["trained"].iloc[0]), int(one["at"].iloc[0])
+        assert first == max(191, 60 * refit)
+        a, b = known[names].to_numpy()[:n], known["y"].to_numpy()[:n]
+        edges = [0, *np.cumsum([len(p) for p in np.array_split(np.arange(n), 5)])]
+        coef, level, _, _ = macro.fit([macro.Moments.of(a[:e], b[:e]) for e in edges], (0.5, 1.0), 10)
+        at = known[known["pos"].isin(one["pos"])]
+        assert one["fc"].to_numpy() == pytest.approx(level + at[names].to_numpy() @ coef, abs=1e-6)
+    summary = {r.feature: r for r in macro.coefficient_summary(spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [-3.0, 1.0])], "index_id string, refit long, coef array<double>"), ["p", "q"]).collect()}
+    assert (summary["p"].mean_abs, summary["p"].kept, summary["q"].kept) == (2.0, 1.0, 0.5)
 
 
 def test_bootstrap_matches_a_plain_loop(spark):
@@ -172,7 +284,104 @@ def test_forecast_document(spark):
         assert last["q05"] <= last["q25"] <= last["q50"] <= last["q75"] <= last["q95"]
 
 
-@pytest.mark.parametrize("name", ["e15_garch", "k16_elastic_net", "k12_macro_question", "k13_point_leaderboard_all", "d14_coefficients", "d20_block_bootstrap", "e27_kitchen_sink"])
+def brute_calibration(rows):
+    """n, pinball, KS distance and coverage of one model's rows, plainly."""
+    q, r, grid = np.array([x.quant for x in rows]), np.array([x.realized for x in rows]), np.arange(1, 20) / 20
+    pit = np.sort([x.pit for x in rows if x.pit is not None])
+    i = np.arange(1, len(pit) + 1)
+    d = r[:, None] - q
+    return len(rows), np.maximum(grid * d, (grid - 1) * d).mean(), max(np.abs(i / len(pit) - pit).max(), np.abs((i - 1) / len(pit) - pit).max()), np.mean((r >= q[:, 0]) & (r <= q[:, 18]))
+
+
+@pytest.fixture(scope="module")
+def with_garch(spark):
+    """The panel of the small tables with all variances: GARCH fitted every 120 rows here, as only the chain after it is compared."""
+    from tidemark.operators.volatility import constant, ewma, garch
+    from tidemark.plans.panel import panel as plan
+    from tidemark.sources.tables import kept
+
+    return kept(garch(ewma(constant(plan(spark, SF))), refit=120).withColumn("v_vix", F.pow(F.col("rate") * 4, F.lit(2.0)) / 12))
+
+
+def test_garch_goes_through_the_chain(spark, with_garch, monkeypatch):
+    """The queries without SQL against plain calculations on the rows that their panel gives."""
+    from collections import defaultdict
+
+    from tidemark.operators.walk import horizon
+    from tidemark.plans import spread
+    from tidemark.plans.panel import fhs
+
+    monkeypatch.setattr(spread, "features", lambda *_: with_garch)
+    monkeypatch.setattr(spread, "with_variances", lambda f, names: f)
+    monkeypatch.setattr(spread, "_KEYS", ("12mo", "60mo"))
+    monkeypatch.setattr(spread, "BOARD_HORIZONS", ("36mo",))
+    close = lambda got, want: got == pytest.approx(want, abs=2e-6)
+    rows = {k: fhs(with_garch, horizon(k), ("const", "ewma", "garch", "vix")).where("quant IS NOT NULL").collect() for k in ("12mo", "60mo")}
+
+    def shared(k, names):
+        by = defaultdict(dict)
+        for x in rows[k]:
+            if x.model in names:
+                by[x.index_id, x.opos][x.model] = x
+        out = defaultdict(list)
+        for (index_id, _), xs in by.items():
+            if len(xs) == len(names):
+                for m, x in xs.items():
+                    out[index_id, m].append(x)
+        return out
+
+    got = spread.k31_common_window_garch(spark, SF).collect()
+    assert len(got) == 12
+    for x in got:
+        own = [y for y in rows["12mo"] if (y.index_id, y.model) == (x.index_id, x.model)]
+        want = brute_calibration(own if x.window == "own" else shared("12mo", ("const", "ewma", "garch"))[x.index_id, x.model])
+        assert close((x.n, x.pinball, x.pit_ks, x.cover_90), want)
+    for x in spread.k11_implied_against_garch(spark, SF).collect():
+        by = shared(x.horizon, ("garch", "vix"))
+        g, v = brute_calibration(by[x.index_id, "garch"]), brute_calibration(by[x.index_id, "vix"])
+        assert close((x.n, x.garch_pinball, x.vix_pinball, x.garch_cover_90, x.vix_cover_90), (g[0], g[1], v[1], g[3], v[3]))
+        assert x.winner == ("garch" if g[1] <= v[1] else "vix")
+    for x in spread.e22_multi_horizon_garch(spark, SF).collect():
+        want = brute_calibration(shared(x.horizon, ("const", "ewma", "garch"))[x.index_id, x.model])
+        assert close((x.n, x.pinball, x.pit_ks, x.cover_90), want) and x.n_eff == max(1, x.n // horizon(x.horizon).steps)
+        assert (x.lo is None) == (x.tier == "core") and (x.lo is None or x.lo <= x.cover_90 + 0.1 and x.lo <= x.hi)
+    quant = spread.k30_predictive_quantiles(spark, SF).collect()
+    assert {x.model for x in quant} == {"const", "ewma", "garch", "spread"}
+    by = {(y.index_id, y.model, y.opos): y for y in rows["12mo"]}
+    for x in quant:
+        if x.model != "spread":
+            y = by[x.index_id, x.model, x.opos]
+            assert close((x.q05, x.q50, x.q95, x.pit), (y.quant[0], y.quant[9], y.quant[18], y.pit))
+    own = {(x.index_id, x.opos) for x in quant if x.model == "spread"}
+    for x in spread.k12_macro_question_garch(spark, SF).collect():
+        if x.model != "spread":
+            assert close((x.n, x.pinball, x.pit_ks, x.cover_90), brute_calibration([y for y in rows["12mo"] if (y.index_id, y.model) == (x.index_id, x.model) and (y.index_id, y.opos) in own]))
+    board = spread.k14_distribution_leaderboard_garch(spark, SF).collect()
+    h = horizon("36mo")
+    fit = fhs(with_garch, h, ("garch",)).where("quant IS NOT NULL").collect()
+    for x in board:
+        own = [y for y in fit if y.index_id == x.index_id]
+        assert x.n == len(own)
+        if x.model == "garch_fhs":
+            assert close((x.pinball, x.pit_ks, x.cover_90), brute_calibration(own)[1:])
+        if x.model == "gaussian":
+            from statistics import NormalDist
+
+            assert close(x.cover_90, np.mean([abs((y.realized - y.mu) / y.sigma) <= NormalDist().inv_cdf(0.95) for y in own]))
+    for index_id in {x.index_id for x in board}:
+        ranked = sorted((x for x in board if x.index_id == index_id), key=lambda x: x.rank)
+        assert [x.pinball for x in ranked] == sorted(x.pinball for x in ranked) and ranked[0].verdict == "best"
+
+
+def test_kitchen_sink_on_the_leaderboard(spark):
+    """The rows of the models with SQL are the same beside the one without."""
+    few, all_ = (QUERIES[n](spark, SF).collect() for n in ("k13_point_leaderboard_horizons", "k13_point_leaderboard_all"))
+    score = lambda x: (x.oos_r2, x.oos_r2_late, x.dir_hit, x.cw_t, x.n, x.n_eff, x.verdict)
+    by = {(x.horizon, x.index_id, x.model): score(x) for x in all_}
+    assert all(by[x.horizon, x.index_id, x.model] == score(x) for x in few) and {m for _, _, m in by} - {x.model for x in few} == {"goyal_welch"}
+
+
+@pytest.mark.parametrize("name", ["d20_block_bootstrap", "e27_kitchen_sink"])
 def test_queries_without_sql_have_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
