@@ -397,3 +397,138 @@ def test_sources(spark, tmp_path):
     doc = spark.createDataFrame([(1, [1.0, 2.0])], "a int, b array<double>")
     tables.write_document(doc, str(tmp_path / "doc"))
     assert tables.read_document(spark, str(tmp_path / "doc"), doc.schema).first() == doc.first()
+
+
+def test_every_series_is_tried_before_it_fails(spark, tmp_path):
+    for name, body in (("A", "d,A\n2020-01-01,1\n"), ("B", "d,B\n2020-01-01,.\n"), ("C", "d,C\n2020-02-01,3\n")):
+        (tmp_path / f"{name}.csv").write_text(body)
+    paths = {n: str(tmp_path / f"{n}.csv") for n in "ABCD"}
+    with pytest.raises(ValueError, match="B: no values; D: "):
+        tables.read_all_series(spark, paths)
+    got = tables.read_all_series(spark, {n: paths[n] for n in "AC"})
+    assert sorted((r.series_id, str(r.date), r.value) for r in got.collect()) == [("A", "2020-01-01", 1.0), ("C", "2020-02-01", 3.0)]
+
+
+def test_a_second_index_never_breaks_the_first(spark):
+    one = lambda n: spark.createDataFrame([(n, 1.0)], "index_id string, x double")
+
+    def late():
+        return one("late").withColumn("x", F.raise_error(F.lit("no data today")).cast("double"))
+
+    def early():
+        raise FileNotFoundError("no file")
+
+    rows, failed = tables.isolated(one("main"), {"side": lambda: one("side"), "late": late, "early": early})
+    assert {r.index_id for r in rows.collect()} == {"main", "side"} and set(failed) == {"late", "early"} and failed["early"] == "no file"
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, 2.5)], "k string, n int, v double").withColumn("d", F.lit("2020-02-29").cast("date"))
+    tables.write_table(df, str(tmp_path / "t"), "k")
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "t")).select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    tables.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.schema(df.schema).option("header", True).csv(str(tmp_path / "c")).orderBy("n").collect() == df.orderBy("n").collect()
+    kept = tables.kept(df)
+    assert kept.schema == df.schema and kept.count() == 2
+    tables.forget(spark)
+    with pytest.raises(Exception):
+        kept.count()
+    assert tables.kept(df).count() == 2
+
+
+def test_gate_in_strict_mode(spark):
+    rows = scores.gate(spark.createDataFrame([("a", "m", 0.9), ("b", "m", 0.85), ("c", "m", None)], "index_id string, model string, cover_90 double"))
+    assert [r.passed for r in scores.enforce(rows).orderBy("index_id").collect()] == [True, False, None]
+    with pytest.raises(ValueError, match="b m 0.850"):
+        scores.enforce(rows.where("index_id <> 'c'"), strict=True)
+    assert scores.enforce(rows.where("index_id = 'a'"), strict=True).count() == 1
+
+
+def test_chunks(spark):
+    from tidemark.operators.series import from_chunks
+
+    day = lambda n: f"2020-01-{n:02d}"
+    rows = [("ok", day(1 + 5 * c), day(5 + 5 * c), day(d), float(d)) for c in range(3) for d in range(1 + 5 * c, 6 + 5 * c)] + [("ok", day(6), day(10), day(5), -1.0)]
+    rows += [("clamped", day(1 + 5 * c), day(5 + 5 * c), day(d), float(d)) for c in range(3) for d in range(12, 16)]
+    df = spark.createDataFrame(rows, "series_id string, a string, b string, d string, value double").select("series_id", F.to_date("a").alias("since"), F.to_date("b").alias("until"), F.to_date("d").alias("date"), "value")
+    got = sorted((r.series_id, str(r.date), r.value) for r in from_chunks(df).collect())
+    assert got == sorted([("ok", day(d), float(d)) for d in range(1, 16)] + [("clamped", day(d), float(d)) for d in range(12, 16)])
+
+
+def test_weighted_variance_in_blocks():
+    from tidemark.streaming.live import folded_ewma
+
+    r = np.random.default_rng(7).normal(size=1234)
+    v, n = 0.0, 0
+    for at in (0, 1, 700):
+        v, n = folded_ewma(v, n, r[at : {0: 1, 1: 700, 700: 1234}[at]])
+    want = r[0] ** 2
+    for x in r[1:]:
+        want = 0.94 * want + 0.06 * x * x
+    assert n == 1234 and v == pytest.approx(want, rel=1e-9)
+    assert folded_ewma(2.0, 5, np.zeros(0)) == (2.0, 5)
+
+
+def test_golden_anchor(spark):
+    """Growth, weight and gap of one published forecast, and what they come to; an estimate and its shrunk weight."""
+    growth, weight, gap = 0.054596, 0.084136, -0.635474
+    assert growth + weight * gap == pytest.approx(0.0011299, abs=1e-4)
+    from tidemark.functions.columns import clip
+
+    lam = spark.range(1).select(clip(0.5 * F.lit(0.068271) + 0.5 * F.lit(0.10), 0.0, 0.35)).first()[0]
+    assert lam == pytest.approx(weight, abs=1e-6)
+    high, low, close = 6945.77, 4835.04, 6845.50
+    from tidemark.operators.series import annual_pivots
+
+    days = spark.createDataFrame([("x", "2025-03-01", high, low, close - 100), ("x", "2025-12-31", high - 50, low + 50, close)], "index_id string, day string, high double, low double, close double").withColumn("date", F.to_date("day"))
+    r = annual_pivots(days).first()
+    assert (r.year, r.provisional) == (2026, False)
+    assert [round(x, 2) for x in (r.mid, r.r1, r.s1, r.r2, r.s2)] == [6208.77, 7582.50, 5471.77, 8319.50, 4098.04]
+
+
+def test_forecasts_at_turning_points_stay_sane(features):
+    """Half-year forecasts at the highest and lowest prices against their trend: between -35 and +60 per cent, and lower at the top."""
+    from tidemark.operators.walk import horizon
+
+    rows = walk.walk(features, horizon("6mo")).orderBy("gap").toPandas()
+    pct = 100 * (np.exp(rows["fc_level0_est"].to_numpy()) - 1)
+    assert len(rows) > 200 and pct.min() > -35 and pct.max() < 60
+    assert pct[:20].mean() < pct[-20:].mean()
+
+
+def test_coverage_gate_on_simulated_prices(spark):
+    """Prices whose variances come and go as GARCH says: a 90 per cent band that filters them covers 86 to 94."""
+    n = 2600
+    r = simulated_returns(n, seed=11) / 25
+    dates = pd.date_range("1800-01-31", periods=n, freq="ME").date
+    p = 100 * np.exp(np.cumsum(r) * 0.2 + 0.003 * np.arange(n))
+    e = p / 15 * np.exp(np.random.default_rng(1).normal(0, 0.05, n))
+    f = volatility.with_returns(feat.valuation_features(feat.with_valuation(spark.createDataFrame(pd.DataFrame({"index_id": "x", "date": dates, "p": p, "e": e})))))
+    f = tables.kept(volatility.ewma(volatility.garch(f, refit=240)))
+    rows = distribution.simulated(distribution.level_calibrated(distribution.residuals(walk.walk(f), volatility.unpivoted(f, ("ewma", "garch")), YEAR), YEAR), YEAR)
+    got = {r.model: r for r in scores.gate(scores.calibration(rows, ["index_id", "model"])).collect()}
+    assert got["garch"].n > 800 and got["garch"].passed, got
+
+
+def test_elastic_net_queries(spark, monkeypatch):
+    """The scores of k16 and the summary of d14 against the rows and fits that they are made of."""
+    from tidemark.plans import moving
+    from tidemark.plans.panel import panel as plan
+
+    f = plan(spark, SF)
+    monkeypatch.setattr(moving, "panel", lambda *_: f)
+    made, whole = {}, moving.elastic
+    monkeypatch.setattr(moving, "elastic", lambda f, mode: made.setdefault(mode, whole(f, mode)))
+    monkeypatch.setattr(moving, "ELASTIC", {k: moving.ELASTIC[k] for k in ("core_standalone", "modern_residual")})
+    for x in moving.k16_elastic_net(spark, SF).collect():
+        j = made[x.mode][0].where(F.col("index_id") == x.index_id).toPandas()
+        r, a, b = (j[c].to_numpy(float) for c in ("realized", "full", "fc_level0_est"))
+        assert x.n == len(j) and x.rmse == pytest.approx(np.sqrt(np.mean((r - a) ** 2)), abs=2e-6)
+        assert x.r2_level0 == pytest.approx(1 - np.sum((r - a) ** 2) / np.sum((r - b) ** 2), abs=2e-6) and x.hit == pytest.approx(np.mean(np.sign(a) == np.sign(r)), abs=2e-6)
+        own = j["fc"].to_numpy(float) + (b if x.mode == "modern_residual" else 0)
+        assert a == pytest.approx(own) and x.refits == made[x.mode][1].where(F.col("index_id") == x.index_id).count()
+    fits = {(m, r.index_id, r.refit): r.coef for m, (_, t) in made.items() for r in t.collect()}
+    for x in moving.d14_coefficients(spark, SF).collect():
+        i = moving._named(moving.ELASTIC[x.mode][1]).index(x.feature)
+        own = [c[i] for (m, k, _), c in fits.items() if (m, k) == (x.mode, x.index_id)]
+        assert x.mean_abs == pytest.approx(np.mean(np.abs(own)), abs=2e-6) and x.kept == pytest.approx(np.mean(np.array(own) != 0), abs=2e-6)

@@ -104,3 +104,13 @@ def named(key: Column, names: dict, default: Column) -> Column:
 def r6(x: Column | str, places: int = 6) -> Column:
     """Rounded for comparison across engines."""
     return F.round(F.col(x) if isinstance(x, str) else x, places)
+
+
+def half_even(x: Column, places: int) -> Column:
+    """Rounded as published documents are: halves to the even digit."""
+    return F.bround(x, places)
+
+
+def available(wanted: Column, keys: Column, default: str) -> Column:
+    """wanted if keys has it, else the default if keys has that, else the first key."""
+    return F.when(F.array_contains(keys, wanted), wanted).when(F.array_contains(keys, F.lit(default)), F.lit(default)).otherwise(F.get(keys, F.lit(0)))

@@ -161,6 +161,15 @@ def gate(calibrated: DataFrame, within: tuple[float, float] = GATE) -> DataFrame
     return calibrated.withColumn("passed", F.col("cover_90").between(*within))
 
 
+def enforce(gated: DataFrame, strict: bool = False) -> DataFrame:
+    """gate()'s rows; with strict it fails where one hasn't passed."""
+    if strict:
+        failed = gated.where(~F.coalesce("passed", F.lit(False))).collect()
+        if failed:
+            raise ValueError("coverage outside the gate: " + "; ".join(f"{r.index_id} {r.model} {r.cover_90:.3f}" for r in failed))
+    return gated
+
+
 def headline(points: DataFrame, distributions: DataFrame, predictors: list[str]) -> DataFrame:
     """Per series: what valuation adds to drift (all, late), how many predictors beat the mean, and the best distribution."""
     of = lambda model, c: F.max(F.when(F.col("model") == model, F.col(c)))

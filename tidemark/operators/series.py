@@ -70,11 +70,32 @@ def sheet_body(cells: DataFrame, row: str = "row", first: str = "c0", header: st
     return cells.join(F.broadcast(at), F.col(row) > F.col("_at")).drop("_at")  # one row
 
 
-def nearest(df: DataFrame, targets: DataFrame, date: str = "date", target: str = "target") -> DataFrame:
-    """For each target the row whose date is nearest, the earlier on a tie. targets is a short list and is broadcast."""
-    row = F.struct(*df.columns)
-    order = F.struct(F.abs(F.datediff(date, target)), F.col(date))
-    return df.crossJoin(F.broadcast(targets)).groupBy(*targets.columns).agg(F.min_by(row, order).alias("r")).select(*targets.columns, "r.*")
+def nearest(df: DataFrame, targets: Sequence[tuple[str, str]], date: str = "date") -> DataFrame:
+    """For each (date, label) of a short list a row: target, label and the row whose date is nearest, the earlier on a tie.
+
+    One scan with partial aggregation; nothing is joined.
+    """
+    row, found = F.struct(*df.columns), []
+    for day, label in targets:
+        at = F.lit(day).cast("date")
+        order = F.struct(F.abs(F.datediff(date, at)), F.col(date))
+        found.append(F.struct(at.alias("target"), F.lit(label).alias("label"), F.min_by(row, order).alias("r")))
+    picked = df.agg(F.array(*found).alias("found")).select(F.explode("found").alias("x")).where("x.r IS NOT NULL")
+    return picked.select("x.target", "x.label", "x.r.*")
+
+
+def from_chunks(rows: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """rows (keys, since, until, date, ...) read in chunks since..until of a series: their union, a date once.
+
+    A source that ignores the bounds gives rows after a chunk's end; then the first such chunk is all there is, and stands alone.
+    """
+    chunk = Window.partitionBy(*keys, "since")
+    r = rows.withColumn("_clamped", F.min("date").over(chunk) > F.col("until"))
+    whole = Window.partitionBy(*keys)
+    r = r.withColumn("_only", F.min(F.when(F.col("_clamped"), F.col("since"))).over(whole))
+    r = r.where(F.col("_only").isNull() | (F.col("since") == F.col("_only")))
+    first = F.row_number().over(Window.partitionBy(*keys, "date").orderBy("since"))
+    return r.withColumn("_first", first).where("_first = 1").drop("_first", "_clamped", "_only", "since", "until")
 
 
 def latest_valid(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import month_of_float, named, number
+from ..functions.columns import available, half_even, month_of_float, named, number
 from ..operators import series
 from ..sources.tables import latest_version, table
 from .panel import BASE, prices, shipments, sql
@@ -97,8 +97,7 @@ def d02_annual_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(BASE, "t(target, label) AS (VALUES " + ", ".join(f"(DATE '{d}', '{n}')" for d, n in TARGETS) + ")") + " SELECT target, label, arg_min(date, (abs(date - target), date)) AS date, round(arg_min(p, (abs(date - target), date)), 6) AS p FROM t CROSS JOIN (SELECT date, p FROM px WHERE index_id = 'main') GROUP BY 1, 2")
 def c08_nearest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame(list(TARGETS), "target string, label string").select(F.to_date("target").alias("target"), "label")
-    return shown(series.nearest(prices(spark, sf_dir).where("index_id = 'main'").select("date", "p"), t), "target label date p")
+    return shown(series.nearest(prices(spark, sf_dir).where("index_id = 'main'").select("date", "p"), TARGETS), "target label date p")
 
 
 @query(sql(BASE, _MASTER, """lv AS (UNPIVOT (SELECT date, p, e, p_side FROM ms) ON p, e, p_side INTO NAME "column" VALUE value)""") + """ SELECT "column", round(arg_max(value, date), 6) AS value, max(date) AS asof FROM lv GROUP BY 1""")
@@ -137,3 +136,41 @@ def b13_eras_and_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b15_named_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
     return e.select("event_type", named(F.col("event_type"), {"click": "bullish", "error": "bearish"}, F.concat(F.lit("neutral: "), F.col("event_type"))).alias("direction"), "mean")
+
+
+_CHUNK_DAYS, _TRAILING = 8, 5
+
+
+@query(f"""WITH d AS (SELECT event_type AS series_id, ts::DATE AS date, round(sum(value), 6) AS value FROM events GROUP BY 1, 2), b AS (SELECT min(date) AS lo, max(date) AS hi FROM d)
+    SELECT series_id, date, value FROM d CROSS JOIN b WHERE series_id <> 'error' OR date > hi - {_TRAILING}""")
+def a06_chunked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily series read in chunks of eight days; the source of one ignores bounds and gives its last days every time."""
+    d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date")).agg(F.round(F.sum("value"), 6).alias("value"))
+    b = d.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))  # one row
+    starts = F.explode(F.expr(f"sequence(lo, hi, interval {_CHUNK_DAYS} days)")).alias("since")
+    chunks = b.select("hi", starts).withColumn("until", F.date_add("since", _CHUNK_DAYS - 1))
+    inside = F.when(F.col("series_id") == "error", F.col("date") > F.date_sub("hi", _TRAILING)).otherwise(F.col("date").between(F.col("since"), F.col("until")))
+    return series.from_chunks(d.join(F.broadcast(chunks), inside).drop("hi")).select("series_id", "date", "value")  # a few chunks
+
+
+@query("SELECT n_nationkey::BIGINT AS k, round_even((n_nationkey - 12) / 4.0::DOUBLE, 0) AS whole, round_even((n_nationkey - 12) / 8.0::DOUBLE, 2) AS cents FROM nation")
+def h02_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(k.cast("long").alias("k"), half_even((k - 12) / 4, 0).alias("whole"), half_even((k - 12) / 8, 2).alias("cents"))
+
+
+_HAVE = {"main": ["3mo", "12mo", "36mo"], "side": ["24mo", "60mo"]}
+_ASKED = ("3mo", "12mo", "24mo", "240mo")
+
+
+@query(f"""WITH a AS (SELECT n_nationkey::BIGINT AS k, CASE n_nationkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'side' ELSE 'other' END AS asked_index, [{', '.join(map(repr, _ASKED))}][n_nationkey % {len(_ASKED)} + 1] AS asked FROM nation),
+    b AS (SELECT *, CASE WHEN asked_index = 'side' THEN 'side' ELSE 'main' END AS index_id FROM a), c AS (SELECT *, CASE index_id WHEN 'main' THEN {_HAVE['main']} ELSE {_HAVE['side']} END AS have FROM b)
+    SELECT k, asked_index, asked, index_id, CASE WHEN list_contains(have, asked) THEN asked WHEN list_contains(have, '12mo') THEN '12mo' ELSE have[1] END AS horizon, NOT list_contains(have, asked) AS fell_back FROM c""")
+def k33_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index and horizon that a request gets: as asked where there is one, else the default, else the first."""
+    k = F.col("n_nationkey")
+    asked = table(spark, sf_dir, "nation").select(k.cast("long").alias("k"), F.get(F.array(*map(F.lit, ("main", "side", "other"))), (k % 3).cast("int")).alias("asked_index"), F.get(F.array(*map(F.lit, _ASKED)), (k % len(_ASKED)).cast("int")).alias("asked"))
+    have = F.create_map(*[x for name, keys in _HAVE.items() for x in (F.lit(name), F.array(*map(F.lit, keys)))])
+    a = asked.withColumn("index_id", available(F.col("asked_index"), F.map_keys(have), "main"))
+    keys = F.try_element_at(have, F.col("index_id"))
+    return a.withColumns({"horizon": available(F.col("asked"), keys, "12mo"), "fell_back": ~F.array_contains(keys, F.col("asked"))})

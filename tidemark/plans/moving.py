@@ -31,12 +31,35 @@ def i01_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT event_type, list(ln(1 + value) ORDER BY ts, event_id) AS r, max(ts) AS ts FROM events GROUP BY 1)
     SELECT event_type AS series_id, ts, round(list_reduce(list_prepend(r[1] * r[1], r[2:]), lambda v, x: 0.94 * v + 0.06 * x * x), 6) AS v, len(r)::BIGINT AS n FROM e""")
 def i02_stream_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = _events(spark, sf_dir).select(F.col("event_type").alias("series_id"), "ts", F.ln(1 + F.col("value")).alias("r"))
+    ticks = _events(spark, sf_dir).select(F.col("event_type").alias("series_id"), "ts", "event_id", F.ln(1 + F.col("value")).alias("r"))
     got = live.finished(live.ewma_stream(ticks), "update")
     last = got.groupBy("series_id").agg(F.max_by(F.struct("ts", "v", "n"), "batch").alias("x"))
     return shown(last.select("series_id", "x.*").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "series_id ts v n")
 
 
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 2 HOUR AS seen FROM events)
+    SELECT event_type AS series_id, date_trunc('hour', ts) AS hour, count(*)::BIGINT AS n, round(sum(value), 6) AS total, round(arg_max(value, (ts, event_id)), 6) AS last, date_trunc('hour', ts) + INTERVAL 1 HOUR > any_value(seen) AS provisional FROM events CROSS JOIN m GROUP BY 1, 2""")
+def i04_provisional_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour as soon as it has a row, in update mode under a processing-time trigger; provisional until the watermark has passed it."""
+    h = live.finished(live.hourly(_events(spark, sf_dir)), "update", every="1 second")
+    newest = h.groupBy("series_id", "hour").agg(F.max_by(F.struct("n", "total", "last"), "batch").alias("x")).select("series_id", "hour", "x.*")
+    seen = table(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 2 HOURS")).alias("seen"))
+    newest = newest.join(F.broadcast(seen)).withColumn("provisional", F.col("hour") + F.expr("INTERVAL 1 HOUR") > F.col("seen"))  # one row
+    return shown(newest.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "series_id hour n total last provisional")
+
+
+PUBLISHED = {"view": 1, "click": 2, "purchase": 3}
+
+
+@query(f"""WITH e AS (SELECT *, ts + to_hours(CASE event_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PUBLISHED.items())} ELSE 0 END) AS available FROM events)
+    SELECT event_type AS series_id, date_trunc('hour', available) AS hour, count(*)::BIGINT AS n, round(sum(value), 6) AS total, round(arg_max(value, (ts, event_id)), 6) AS last FROM e
+    WHERE date_trunc('hour', available) + INTERVAL 1 HOUR <= (SELECT max(available) - INTERVAL 2 HOUR FROM e) GROUP BY 1, 2""")
+def i05_publication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What had become known in each hour, given that series are published some hours late."""
+    h = live.finished(live.hourly(live.published(_events(spark, sf_dir), PUBLISHED), time="available"))
+    return shown(h.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "series_id hour n total last")
+
+
 @query(LEAF + """ SELECT event_id::BIGINT AS event_id, index_id, round(mu - lam_used * ln(1 + (kk - 50) / 500.0::DOUBLE), 6) AS mu_live, round(mu - lam_used * ln(1 + (kk - 50) / 500.0::DOUBLE) + sigma * z[10] + ln(p0 * (1 + (kk - 50) / 500.0::DOUBLE)), 6) AS log_median
     FROM (SELECT event_id, (props->>'$.k')::BIGINT AS kk FROM events WHERE event_type = 'purchase') CROSS JOIN lf WHERE index_id = 'main'""")
 def i03_stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.columns import NORMAL_GRID, T5_GRID
 from ..operators import distribution as dist
 from ..operators import scores, series, volatility, walk
 from ..operators.walk import HORIZONS, YEAR, horizon
-from ..sources.tables import kept
+from ..sources.tables import kept, leaves_of
 from .panel import ALL, BASE, GRID_SQL, VOL_SQL, calibrated, calibration_sql, features, fhs, fhs_sql, panel, sql, variances, walk_sql, with_variances
 from .point import BOARD_HORIZONS, _PREDICTOR_SQL, _predictors, board, board_ctes, normal_sql, over_horizons
 from .registry import query
@@ -300,13 +300,17 @@ def leaf_of(f: DataFrame, h=YEAR, model: str = "ewma") -> DataFrame:
     return walk.live(f, h).join(dist.live_sigma(rows, v, h), "index_id").join(dist.pool_quantiles(rows), ["index_id", "model"]).withColumns({"y": F.lit(BOND), "years": F.lit(h.years)})
 
 
-_LIVE = """lv AS (SELECT index_id, sum(CASE WHEN ok THEN gap * (fwd - g) END) / sum(CASE WHEN ok THEN gap * gap END) AS lam_ols, arg_max(g, pos) AS growth, arg_max(gap, pos) AS gap, exp(arg_max(log_p, pos)) AS p0, max(date) AS asof_date FROM og_b GROUP BY 1),
-ll AS (SELECT *, greatest(0.0, least(0.35, 0.5 * lam_ols + 0.5 * 0.1)) AS lam_used FROM lv),
-cs AS (SELECT index_id, arg_max(cape, pos) AS cape, arg_max(cape_star, pos) AS cape_star FROM ft GROUP BY 1),
-sg AS (SELECT index_id, sqrt(avg(CASE WHEN raw IS NOT NULL THEN resid * resid END) / avg(raw * raw)) AS k, quantile_cont(z, [0.01, 0.025]) AS zt, quantile_cont(z, """ + GRID_SQL + """) AS z, count(z) AS pool FROM fh WHERE model = 'ewma' GROUP BY 1),
-sv AS (SELECT index_id, arg_max(v, pos) AS v FROM ew WHERE v IS NOT NULL GROUP BY 1),
-lf AS (SELECT index_id, lam_ols, lam_used, growth, lam_used * gap AS valuation, growth + lam_used * gap AS mu, p0, asof_date, cape, cape_star, k, k * sqrt(12 * v) AS sigma, z, zt, pool FROM ll JOIN cs USING (index_id) JOIN sg USING (index_id) JOIN sv USING (index_id))"""
-LEAF = sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _LIVE)
+def live_ctes(h=YEAR, k: str = "") -> str:
+    """CTEs that end in lf{k}, from og{k}_b and fh{k}: the leaf of weighted variances."""
+    return f"""lv{k} AS (SELECT index_id, sum(CASE WHEN ok THEN gap * (fwd - g * {h.years!r}) END) / sum(CASE WHEN ok THEN gap * gap END) AS lam_ols, arg_max(g, pos) * {h.years!r} AS growth, arg_max(gap, pos) AS gap, exp(arg_max(log_p, pos)) AS p0, max(date) AS asof_date FROM og{k}_b GROUP BY 1),
+ll{k} AS (SELECT *, greatest(0.0, least({h.cap!r}, {h.shrink!r} * lam_ols + {1 - h.shrink!r} * {h.prior!r})) AS lam_used FROM lv{k}),
+cs{k} AS (SELECT index_id, arg_max(cape, pos) AS cape, arg_max(cape_star, pos) AS cape_star FROM ft GROUP BY 1),
+sg{k} AS (SELECT index_id, sqrt(avg(CASE WHEN raw IS NOT NULL THEN resid * resid END) / avg(raw * raw)) AS k, quantile_cont(z, [0.01, 0.025]) AS zt, quantile_cont(z, {GRID_SQL}) AS z, count(z) AS pool FROM fh{k} WHERE model = 'ewma' GROUP BY 1),
+sv{k} AS (SELECT index_id, arg_max(v, pos) AS v FROM ew WHERE v IS NOT NULL GROUP BY 1),
+lf{k} AS (SELECT index_id, lam_ols, lam_used, growth, lam_used * gap AS valuation, growth + lam_used * gap AS mu, p0, asof_date, cape, cape_star, k, k * sqrt({h.steps} * v) AS sigma, z, zt, pool FROM ll{k} JOIN cs{k} USING (index_id) JOIN sg{k} USING (index_id) JOIN sv{k} USING (index_id))"""
+
+
+LEAF = sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), live_ctes())
 
 
 @query(LEAF + " SELECT " + picked("index_id asof_date", "lam_ols lam_used growth valuation mu sigma k p0 cape cape_star", "pool") + ", round(exp(mu) - 1, 6) AS annual FROM lf")
@@ -315,6 +319,44 @@ def k04_live_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(x, "index_id asof_date lam_ols lam_used growth valuation mu sigma k p0 cape cape_star pool annual")
 
 
+_LIVE_COLUMNS = "lam_ols lam_used growth valuation mu sigma k p0"
+
+
+@query(sql(BASE, VOL_SQL, *[c for k in _KEYS for c in (walk_sql(horizon(k), name=f"og{k}"), fhs_sql(horizon(k), og=f"og{k}", name=f"fh{k}"), live_ctes(horizon(k), k))])
+    + " UNION ALL ".join(" SELECT " + picked("index_id asof_date", _LIVE_COLUMNS, "pool") + f", round(exp(mu / {horizon(k).years!r}) - 1, 6) AS annual, '{k}' AS horizon, '{horizon(k).tier}' AS tier FROM lf{k}" for k in _KEYS))
+def k04_live_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live forecast of every horizon, with its tier."""
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    one = lambda h: leaf_of(f, h).withColumns({"asof_date": F.col("asof"), "annual": F.exp(F.col("mu") / F.col("years")) - 1, "tier": F.lit(h.tier)})
+    return shown(over_horizons(_KEYS, one), f"index_id asof_date {_LIVE_COLUMNS} pool annual horizon tier")
+
+
+_NEUTRAL = f"""nw_a AS (SELECT index_id, date, pos, log_p, r, lead(log_p, 6) OVER (PARTITION BY index_id ORDER BY pos) - log_p AS realized FROM ft),
+nw_b AS (SELECT *, CASE WHEN count(realized) OVER w >= 120 THEN avg(realized) OVER w END AS fc FROM nw_a WINDOW w AS (PARTITION BY index_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING)),
+nw AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY pos) - 1 AS opos FROM nw_b WHERE realized IS NOT NULL AND fc IS NOT NULL)"""
+
+
+@query(sql(BASE, VOL_SQL, _NEUTRAL, fhs_sql(horizon("6mo"), og="nw", mu="fc", name="fh"), calibration_sql("(SELECT * FROM fh WHERE index_id = 'side')", "index_id, model")) + f" SELECT {_CAL_SQL}, cover_90 BETWEEN 0.86 AND 0.94 AS passed FROM cm")
+def k26_second_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second index, which has no anchor: the mean outcome so far as its centre, the same widths, its calibration and gate."""
+    f, h = panel(spark, sf_dir), horizon("6mo")
+    f = f.where("index_id = 'side'")
+    rows = dist.simulated(dist.level_calibrated(dist.residuals(walk.neutral_walk(f, h), variances(f), h, "mu"), h), h)
+    return shown(scores.enforce(scores.gate(scores.calibration(rows, ["index_id", "model"]))), f"index_id model {CAL} passed")
+
+
+@query(LEAF + ", bt AS (SELECT index_id, 1 AS version, '12mo' AS horizon, p0 AS spot, p0, mu, sigma FROM lf UNION ALL SELECT index_id, 2, '12mo', p0, p0, mu, sigma FROM lf) SELECT " + picked("version index_id horizon", "spot p0 mu sigma").replace("version", "version::BIGINT AS version") + " FROM bt")
+def b17_both_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves read back from documents of the older and the newer schema."""
+    x = leaf(spark, sf_dir)
+    own = F.struct("p0", "mu", "sigma")
+    new = F.to_json(F.struct(F.lit(2).alias("schema_version"), F.create_map("index_id", F.struct(F.col("p0").alias("spot"), F.create_map(F.lit("12mo"), own).alias("horizons"))).alias("indices")))
+    old = F.to_json(F.struct(F.col("p0").alias("spot"), "p0", "mu", "sigma"))
+    docs = x.select(F.col("index_id").alias("of"), F.explode(F.array(F.struct(F.lit(1).alias("version"), old.alias("document")), F.struct(F.lit(2).alias("version"), new.alias("document")))).alias("d")).select("of", "d.*")
+    read = leaves_of(docs, index="").withColumn("index_id", F.when(F.col("index_id") == "", F.col("of")).otherwise(F.col("index_id")))
+    return shown(read, "version index_id horizon spot p0 mu sigma")
+
+
 @query(LEAF + """, nw AS (SELECT index_id, arg_max(100 * d / p, pos) AS dividend, arg_max(100 * rate, pos) AS bond, arg_max(100 * spread, pos) AS cash FROM ft GROUP BY 1),
     al AS (SELECT *, 100 * (exp(mu) - 1) AS equity_price FROM lf JOIN nw USING (index_id))""" + " SELECT " + picked("index_id", "equity_price dividend bond cash") + ", round(equity_price + dividend, 6) AS equity_total, round(equity_price + dividend - bond, 6) AS premium FROM al")
 def k09_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,9 +445,8 @@ CASES = (("1997-06-30", "rise"), ("1999-01-15", "turn"), ("2001-01-31", "late"))
 
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), "t(target, label) AS (VALUES " + ", ".join(f"(DATE '{d}', '{n}')" for d, n in CASES) + ")", "ca AS (SELECT label, arg_min(opos, (abs(date - target), date)) AS opos, arg_min(date, (abs(date - target), date)) AS date, arg_min(quant, (abs(date - target), date)) AS quant, arg_min(realized, (abs(date - target), date)) AS realized FROM t CROSS JOIN (SELECT * FROM fh WHERE index_id = 'main' AND model = 'ewma' AND quant IS NOT NULL) GROUP BY 1)") + " SELECT label, date, round(quant[10], 6) AS median, round(realized, 6) AS realized, realized >= quant[1] AND realized <= quant[19] AS in90 FROM ca")
 def k06_case_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame(list(CASES), "target string, label string").select(F.to_date("target").alias("target"), "label")
     rows = levels(fhs(panel(spark, sf_dir), YEAR, ("ewma",)).where("index_id = 'main' AND quant IS NOT NULL")).select("date", "realized", "q05", "q50", "q95")
-    c = series.nearest(rows, t).withColumns({"median": F.col("q50"), "in90": (F.col("realized") >= F.col("q05")) & (F.col("realized") <= F.col("q95"))})
+    c = series.nearest(rows, CASES).withColumns({"median": F.col("q50"), "in90": (F.col("realized") >= F.col("q05")) & (F.col("realized") <= F.col("q95"))})
     return shown(c, "label date median realized in90")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,36 @@ def read_series_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select(name.alias("series_id"), F.col("_d").try_cast("date").alias("date"), number(F.col("_v")).alias("value"))
 
 
+def read_all_series(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """series_id, date, value of every file by name. All are tried before it fails, with the names of those that can't be read or have no value."""
+    out, failed = None, {}
+    for name, path in paths.items():
+        try:
+            one = read_series_csv(spark, path).withColumn("series_id", F.lit(name))
+            require(one, F.count("value") > 0, "no values")
+        except (AnalysisException, ValueError) as e:
+            failed[name] = str(e).splitlines()[0]
+            continue
+        out = one if out is None else out.unionByName(one)
+    if failed or out is None:
+        raise ValueError("series failed: " + "; ".join(f"{k}: {v}" for k, v in failed.items()))
+    return out
+
+
+def isolated(primary: DataFrame, others: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """primary with the rows of the others, and why those that failed are missing; a failure there never breaks the primary.
+
+    Each of the others is computed and kept here, so that it fails here.
+    """
+    failed = {}
+    for name, made in others.items():
+        try:
+            primary = primary.unionByName(kept(made()))
+        except Exception as e:  # whatever a secondary table fails of
+            failed[name] = str(e).splitlines()[0]
+    return primary, failed
+
+
 def read_daily_csv(spark: SparkSession, path: str, min_year: int | None = None) -> DataFrame:
     """Open, high, low, close and volume by day; fails if the history starts after min_year."""
     df = without_nan(spark.read.schema(DAILY).option("header", True).csv(path)).where("date IS NOT NULL AND close IS NOT NULL")
@@ -86,9 +118,30 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Parquet in folders by the given columns, replaced as a whole."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """One folder of CSV with a header, dates as ISO; null is empty."""
+    df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+
+
+#: A leaf, and documents of both schemas: the newer holds indices and horizons, the older one leaf at the top.
+LEAF_SCHEMA = "p0 double, mu double, sigma double"
+DOCUMENT = f"schema_version int, asof string, indices map<string, struct<spot: double, horizons: map<string, struct<p0: double, mu: double, sigma: double>>>>, spot double, {LEAF_SCHEMA}"
+
+
+def leaves_of(documents: DataFrame, column: str = "document", index: str = "main", horizon: str = "12mo") -> DataFrame:
+    """documents (JSON of either schema) as a row per index and horizon: index_id, horizon, spot, p0, mu, sigma beside the document's other columns."""
+    d = documents.withColumn("_d", F.from_json(column, DOCUMENT))
+    old = F.create_map(F.lit(index), F.struct(F.col("_d.spot").alias("spot"), F.create_map(F.lit(horizon), F.struct("_d.p0", "_d.mu", "_d.sigma")).alias("horizons")))
+    d = d.withColumn("_i", F.when(F.coalesce("_d.schema_version", F.lit(1)) >= 2, F.col("_d.indices")).otherwise(old))
+    keep = [c for c in documents.columns if c != column]
+    d = d.select(*keep, F.explode("_i").alias("index_id", "_x"))
+    return d.select(*keep, "index_id", F.col("_x.spot").alias("spot"), F.explode("_x.horizons").alias("horizon", "_l")).select(*keep, "index_id", "horizon", "spot", "_l.*")
+
+
 def latest_version(candidates: DataFrame, fallback: str, asof: Column, days: int = 120) -> DataFrame:
     """candidates (path, source, last) -> the path to take: the newest of the first source if it's fresh, else of the fallback."""
     fresh = F.max(F.when((F.col("source") != fallback) & (F.datediff(asof, "last") <= days), F.struct("last", "path")))
