@@ -191,7 +191,7 @@ def scan(documents: DataFrame, model: tuple[list[float], float]) -> DataFrame:
     df = _spans(df, "access", ACCESS, 1, lambda m: F.length(m) >= LEAST_ACCESS, ACCESS)
     df = _spans(df, "hex", HEX, 2, lambda m: F.length(m) >= LEAST_HEX, "[0-9a-f]{%d}" % LEAST_HEX)
     df = _spans(df, "runs", CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE, keep=True)
-    df = _spans(df, "ids", PUBLIC_ID, 3, lambda m: F.lit(True), PUBLIC_ID)
+    df = _spans(df, "ids", PUBLIC_ID, 3, lambda m: F.lit(True), "-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-")
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     df = df.withColumn("covers", F.when(F.size("ids") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "ids"))))
     # Parts, then their random stretches, as code points of the text.

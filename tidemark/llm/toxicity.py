@@ -53,6 +53,7 @@ REPORTS = "said says say saying called calls claimed claims wrote writes reporte
 #: Words that open what is reported, as marks do.
 OPENERS = "that dass que".split()
 
+LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+|[:\"“”«»]")
 #: Labels that score when the machine has written them.
 COUNTED = "ita"
@@ -196,30 +197,47 @@ class Scanner:
         return total, n
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    """doc_id, text, kind and e of rows (doc_id, text): each word (w) and beginning (b) of a text once, and the text's own hash.
+
+    A task holds one text's distinct words at a time, however long the text is.
+    """
+    names = ["doc_id", "text", "kind", "e"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = LETTERS.findall(text.lower())
+                if words:
+                    own = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(len(words))) - (1 << 63)
+                    found = sorted({("w", w) for w in words} | {("b", w[:k]) for w in words for k in BEGINNINGS if len(w) >= k})
+                    kinds, keys = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array([own] * len(found), pa.int64()), pa.array(kinds), pa.array(keys)], names=names)
+
+    return in_text_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, text long, kind string, e string")
+
+
 def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words and of beginnings. Counting is a Spark aggregation; entries of the bounded sample's toxic texts come to the driver."""
     pos, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     if not pos or pos == n:
         return {}, {}
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)
-    text = F.array_min(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).alias("text")
-    seen = sample.select("doc_id", "y", w.alias("w")).select("doc_id", "y", text, F.explode(F.array_distinct("w")).alias("w"))
-    keys = F.array(F.struct(F.lit("w").alias("kind"), F.col("w").alias("e")), *[F.struct(F.lit("b").alias("kind"), F.when(F.length("w") >= k, F.substring("w", 1, k)).alias("e")) for k in BEGINNINGS])
-    seen = seen.select("doc_id", "y", "text", F.explode(keys).alias("k")).where("k.e IS NOT NULL")
-    own = seen.where("y = 1").groupBy("k").agg(F.countDistinct("doc_id").alias("pos"), F.countDistinct("text").alias("texts"))
+    own = _keys(sample.where("y = 1")).groupBy("kind", "e").agg(F.countDistinct("doc_id").alias("pos"), F.countDistinct("text").alias("texts"))
     own = saved(own.where(F.col("pos") >= LEAST_SUPPORT))
     # As many entries at most as the bounded sample's toxic texts have words.
     tried = own.count()
     support = max(LEAST_SUPPORT, math.ceil((math.log(max(1, tried)) + 3) / math.log(n / pos)))
     own = own.where(F.col("texts") >= support)
-    rest = seen.where("y = 0").join(F.broadcast(own.select("k")), "k").groupBy("k").agg(F.countDistinct("doc_id").alias("neg"))
+    rest = _keys(sample.where("y = 0")).join(F.broadcast(own.select("kind", "e")), ["kind", "e"]).groupBy("kind", "e").agg(F.countDistinct("doc_id").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.coalesce(F.col("neg"), F.lit(0)) + 0.5) / (n - pos + 1))
-    best = own.join(rest, "k", "left").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    best = own.join(rest, ["kind", "e"], "left").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     best = best.collect()
-    words = {r.k.e: float(r.odds) for r in best if r.k.kind == "w"}
+    words = {r.e: float(r.odds) for r in best if r.kind == "w"}
     # A beginning stands for its words only where none of them, and no longer beginning, has most of its documents.
-    found = {r.k.e: r for r in best if r.k.kind == "b"}
-    narrow = lambda b: any(len(r.k.e) + (r.k.kind == "w") > len(b) and r.k.e.startswith(b) and r.pos >= 0.9 * found[b].pos for r in best)
+    found = {r.e: r for r in best if r.kind == "b"}
+    narrow = lambda b: any(len(r.e) + (r.kind == "w") > len(b) and r.e.startswith(b) and r.pos >= 0.9 * found[b].pos for r in best)
     beginnings: dict[str, float] = {}
     for b in sorted(found, key=len):
         if not narrow(b) and not any(b.startswith(x) for x in beginnings):
