@@ -211,7 +211,7 @@ def _keys(rows: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = LETTERS.findall(text.lower())
                 if words:
-                    own = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(len(words))) - (1 << 63)
+                    own = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - (1 << 63)
                     found = sorted({("w", w) for w in words} | {("b", w[:k]) for w in words for k in BEGINNINGS if len(w) >= k})
                     kinds, keys = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array([own] * len(found), pa.int64()), pa.array(kinds), pa.array(keys)], names=names)
