@@ -1,8 +1,10 @@
+import pytest
+
 import corpus_pipeline as p
-from tests.llm.helpers import SF
+from tests.llm.helpers import SF, awkward
 from tests.llm.test_simhash import brute, fp
-from tidemark.llm import mixing, secrets, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import mixing, secrets, simhash, toxicity
+from tidemark.llm.common import forget, table, written
 
 
 def test_stages_one_by_one(spark):
@@ -39,3 +41,38 @@ def test_run(spark):
             assert offset == at
             at += length
         assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table go through every stage."""
+    d = awkward(spark)
+    labels = spark.createDataFrame([(1, 0, 1), (5, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs, rows in ((d, 10), (d.limit(0), 0)):
+        at = docs
+        for i, (_, stage) in enumerate(p.STAGES):
+            out = stage(spark, at, str(tmp_path))
+            if i < len(p.STAGES) - 1:
+                assert out.columns == d.columns
+                at = written(out)
+                assert (at.count() > 0) == (rows > 0)
+            else:
+                got = out.collect()
+                assert bool(got) == (rows > 0) and {r.doc_id for r in got} == {r.doc_id for r in at.select("doc_id").collect()}
+
+
+def test_one_row_of_those_with_one_id(spark):
+    """The row that stays doesn't depend on how rows lie in partitions."""
+    rows = [(1, f"one two three four {i} five six", f"s{i}") for i in range(6)] + [(None, "x", "a"), (None, "x", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(str, simhash.one_of_each(df.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+
+
+def test_forget_removes_what_was_written(spark):
+    w = written(spark.range(3))
+    assert w.count() == 3
+    forget(spark)
+    with pytest.raises(Exception):
+        w.count()
+    assert written(spark.range(3)).count() == 3

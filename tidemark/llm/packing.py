@@ -2,7 +2,7 @@
 
 1. Texts become token ids (Arrow batches), and each document's mean hashed token vector is
    projected to DIMS coordinates, squashed to BITS bits each, and turned into a Hilbert key.
-2. Rows are range-sorted by (key, doc_id), so that equal keys - copies - still spread.
+2. Rows are range-sorted by (key, doc_id, length, hash of the ids), so that equal keys - copies - still spread.
 3. Every range is one stream of tokens cut every `size` tokens; what is left at its end is cut into
    powers of two, so nothing is padded. A sequence's id is the range's number
    shifted left by 40 bits plus its place in the range.
@@ -141,8 +141,10 @@ def packed(tokens: DataFrame, size: int = SIZE) -> DataFrame:
             yield rows(_cut(open_pieces, lengths))
 
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    ranges = tokens.repartitionByRange(max(1, -(-total // RANGE_TOKENS)), "key", "doc_id")
-    return ranges.sortWithinPartitions("key", "doc_id", "n").mapInArrow(run, PIECES)
+    # The order is total up to equal rows, so a task that runs again cuts alike.
+    order = ["key", "doc_id", "n", F.xxhash64("ids")]
+    ranges = tokens.repartitionByRange(max(1, -(-total // RANGE_TOKENS)), *order)
+    return ranges.sortWithinPartitions(*order).mapInArrow(run, PIECES)
 
 
 def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
