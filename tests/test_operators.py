@@ -397,6 +397,9 @@ def test_sources(spark, tmp_path):
     doc = spark.createDataFrame([(1, [1.0, 2.0])], "a int, b array<double>")
     tables.write_document(doc, str(tmp_path / "doc"))
     assert tables.read_document(spark, str(tmp_path / "doc"), doc.schema).first() == doc.first()
+    assert tables.read_optional(spark, str(tmp_path / "doc"), doc.schema).count() == 1
+    none = tables.read_optional(spark, str(tmp_path / "no"), doc.schema)
+    assert none.schema == doc.schema and none.count() == 0
 
 
 def test_every_series_is_tried_before_it_fails(spark, tmp_path):

@@ -18,9 +18,13 @@ def grid() -> Column:
 
 
 def residuals(origins: DataFrame, variances: DataFrame, h: Horizon, mu: str = "fc_level0_est") -> DataFrame:
-    """A row per origin and model: mu, realized, resid and the raw deviation over the horizon."""
+    """A row per origin and model: mu, realized, resid and the raw deviation over the horizon; dealt by series and model.
+
+    The number of parts is given, as these few rows cost much work each and would otherwise be put together in one task.
+    """
     o = origins.select("index_id", "date", F.col("pos").cast("long").alias("pos"), "opos", "log_p", F.col(mu).alias("mu"), "realized", (F.col("realized") - F.col(mu)).alias("resid"))
-    return o.join(variances, ["index_id", "pos"], "left").withColumn("raw", F.sqrt(h.steps * F.col("v"))).drop("v")
+    rows = o.join(variances, ["index_id", "pos"], "left").withColumn("raw", F.sqrt(h.steps * F.col("v"))).drop("v")
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *SERIES)
 
 
 def level_calibrated(rows: DataFrame, h: Horizon) -> DataFrame:

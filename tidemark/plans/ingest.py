@@ -13,7 +13,7 @@ from .registry import query
 from .shown import picked, shown
 
 TARGETS = (("1996-03-10", "first"), ("1998-07-01", "middle"), ("2000-02-29", "leap"), ("2030-01-01", "after"))
-VERSIONS = "VALUES ('a1', 'primary', DATE '2026-01-31'), ('a2', 'primary', DATE '2026-02-28'), ('b1', 'mirror', DATE '2026-05-31'), ('b2', 'mirror', DATE '2026-06-30')"
+ASOF = ("2001-09-30", "2002-09-30")
 
 
 @query("""WITH c AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 3 THEN 'junk' WHEN n_nationkey = 3 THEN ' Date ' ELSE (1990 + n_nationkey)::VARCHAR || '.' || lpad((n_nationkey % 14)::VARCHAR, 2, '0') END AS c0,
@@ -28,11 +28,14 @@ def a02_sheet_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select(F.col("k").cast("long").alias("k"), month_of_float(number(F.col("c0"))).alias("month"), number(F.col("c1")).alias("value"))
 
 
-@query(f"""WITH c(path, source, last) AS ({VERSIONS})
-    SELECT d AS asof, coalesce((SELECT arg_max(path, last) FROM c WHERE source <> 'mirror' AND d - last <= 120), (SELECT arg_max(path, last) FROM c WHERE source = 'mirror')) AS path FROM (VALUES (DATE '2026-03-31'), (DATE '2026-09-30')) v(d)""")
+@query(f"""WITH c AS (SELECT o_orderpriority || '/' || o_orderstatus || '/' || year(o_orderdate) AS path, CASE WHEN o_orderpriority = '5-LOW' THEN 'mirror' ELSE 'primary' END AS source, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1, 2)
+    SELECT d AS asof, coalesce((SELECT arg_max(path, (last, path)) FROM c WHERE source <> 'mirror' AND d - last <= 120), (SELECT arg_max(path, (last, path)) FROM c WHERE source = 'mirror')) AS path FROM (VALUES {', '.join(f"(DATE '{d}')" for d in ASOF)}) v(d)""")
 def a04_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.sql(f"SELECT * FROM {VERSIONS} AS t(path, source, last)")
-    each = [latest_version(c, "mirror", F.lit(d).cast("date")).select(F.lit(d).cast("date").alias("asof"), "path") for d in ("2026-03-31", "2026-09-30")]
+    """Of the years' files of every kind of order the newest, seen from a day while they are fresh and from one when only the mirror is left."""
+    day = F.to_date("o_orderdate")
+    path = F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.year(day).cast("string"))
+    c = table(spark, sf_dir, "orders").groupBy(path.alias("path"), F.when(F.col("o_orderpriority") == "5-LOW", "mirror").otherwise("primary").alias("source")).agg(F.max(day).alias("last"))
+    each = [latest_version(c, "mirror", F.lit(d).cast("date")).select(F.lit(d).cast("date").alias("asof"), "path") for d in ASOF]
     return each[0].unionByName(each[1])
 
 

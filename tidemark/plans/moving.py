@@ -60,15 +60,18 @@ def i05_publication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(h.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "series_id hour n total last")
 
 
-@query(LEAF + """ SELECT event_id::BIGINT AS event_id, index_id, round(mu - lam_used * ln(1 + (kk - 50) / 500.0::DOUBLE), 6) AS mu_live, round(mu - lam_used * ln(1 + (kk - 50) / 500.0::DOUBLE) + sigma * z[10] + ln(p0 * (1 + (kk - 50) / 500.0::DOUBLE)), 6) AS log_median
-    FROM (SELECT event_id, (props->>'$.k')::BIGINT AS kk FROM events WHERE event_type = 'purchase') CROSS JOIN lf WHERE index_id = 'main'""")
+_MOVE = "(kk - 50) / 500.0::DOUBLE"
+
+
+@query(LEAF + f""" SELECT event_id::BIGINT AS event_id, index_id, round(mu - lam_used * CASE WHEN kk = 50 THEN 0 ELSE ln(1 + {_MOVE}) END, 6) AS mu_live, round(mu - lam_used * ln(1 + {_MOVE}) + sigma * z[10] + ln(p0 * (1 + {_MOVE})), 6) AS log_median
+    FROM (SELECT event_id, (props->>'$.k')::BIGINT AS kk, CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'side' END AS index_id FROM events) JOIN lf USING (index_id)""")
 def i03_stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes around the last price, streamed against the stored leaf of the main index."""
-    stored = leaf(spark, sf_dir).select("index_id", "mu", "sigma", "z", "p0", "lam_used").where("index_id = 'main'")
+    """Quotes around the last prices, streamed against the stored leaves of both indices."""
+    stored = kept(leaf(spark, sf_dir).select("index_id", "mu", "sigma", "z", "p0", "lam_used"))
     p0 = stored.select("index_id", F.col("p0").alias("_p"))
     move = 1 + (F.from_json("props", "k long")["k"] - 50) / 500.0
-    quotes = _events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", F.lit("main").alias("index_id"), move.alias("move"))
-    quotes = quotes.join(F.broadcast(p0), "index_id").withColumn("spot", F.col("_p") * F.col("move"))  # one row
+    quotes = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, "main").otherwise("side").alias("index_id"), move.alias("move"))
+    quotes = quotes.join(F.broadcast(p0), "index_id").withColumn("spot", F.col("_p") * F.col("move"))  # a row per series
     got = live.finished(live.live_quotes(quotes, stored).select("event_id", "index_id", "mu_live", F.ln("price_q50").alias("log_median")))
     return shown(got, "event_id index_id mu_live log_median")
 

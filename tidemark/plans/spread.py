@@ -435,19 +435,25 @@ def d24_history_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(h, "index_id model hit_rate n")
 
 
-@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _HIST) + " SELECT index_id, date, step::BIGINT AS step, " + ", ".join(f"round(exp(log_p) + (exp(log_p + quant[{i + 1}]) - exp(log_p)) * sqrt(step / 12.0::DOUBLE), 4) AS {n}" for n, i in _LEVELS) + " FROM hi CROSS JOIN generate_series(0, 12) s(step) WHERE first = 1 AND model = 'ewma'")
+@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _HIST) + " SELECT index_id, model, date, step::BIGINT AS step, " + ", ".join(f"round(exp(log_p) + (exp(log_p + quant[{i + 1}]) - exp(log_p)) * sqrt(step / 12.0::DOUBLE), 4) AS {n}" for n, i in _LEVELS) + " FROM hi CROSS JOIN generate_series(0, 12) s(step) WHERE first = 1")
 def k22_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fan_shown(dist.cone(history(fhs(panel(spark, sf_dir), YEAR, ("ewma",))), 12), "index_id date")
+    return fan_shown(dist.cone(history(fhs(panel(spark, sf_dir))), 12), "index_id model date")
 
 
-CASES = (("1997-06-30", "rise"), ("1999-01-15", "turn"), ("2001-01-31", "late"))
+CASES = {"main": (("1997-06-30", "rise"), ("1999-01-15", "turn"), ("2001-01-31", "late")), "side": (("1998-02-28", "rise"), ("2000-03-31", "peak"), ("2001-04-30", "trough"))}
+_CASES_SQL = ", ".join(f"('{k}', DATE '{d}', '{n}')" for k, xs in CASES.items() for d, n in xs)
 
 
-@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), "t(target, label) AS (VALUES " + ", ".join(f"(DATE '{d}', '{n}')" for d, n in CASES) + ")", "ca AS (SELECT label, arg_min(opos, (abs(date - target), date)) AS opos, arg_min(date, (abs(date - target), date)) AS date, arg_min(quant, (abs(date - target), date)) AS quant, arg_min(realized, (abs(date - target), date)) AS realized FROM t CROSS JOIN (SELECT * FROM fh WHERE index_id = 'main' AND model = 'ewma' AND quant IS NOT NULL) GROUP BY 1)") + " SELECT label, date, round(quant[10], 6) AS median, round(realized, 6) AS realized, realized >= quant[1] AND realized <= quant[19] AS in90 FROM ca")
+@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), f"t(index_id, target, label) AS (VALUES {_CASES_SQL})", "ca AS (SELECT index_id, label, arg_min(date, (abs(date - target), date)) AS date, arg_min(quant, (abs(date - target), date)) AS quant, arg_min(realized, (abs(date - target), date)) AS realized FROM t JOIN (SELECT * FROM fh WHERE model = 'ewma' AND quant IS NOT NULL) USING (index_id) GROUP BY 1, 2)") + " SELECT index_id, label, date, round(quant[10], 6) AS median, round(realized, 6) AS realized, realized >= quant[1] AND realized <= quant[19] AS in90 FROM ca")
 def k06_case_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = levels(fhs(panel(spark, sf_dir), YEAR, ("ewma",)).where("index_id = 'main' AND quant IS NOT NULL")).select("date", "realized", "q05", "q50", "q95")
-    c = series.nearest(rows, CASES).withColumns({"median": F.col("q50"), "in90": (F.col("realized") >= F.col("q05")) & (F.col("realized") <= F.col("q95"))})
-    return shown(c, "label date median realized in90")
+    """What was forecast at turning points of each index, and what came."""
+    rows = kept(levels(fhs(panel(spark, sf_dir), YEAR, ("ewma",)).where("quant IS NOT NULL")).select("index_id", "date", "realized", "q05", "q50", "q95"))
+    out = None
+    for index_id, days in CASES.items():
+        one = series.nearest(rows.where(F.col("index_id") == index_id), days)
+        out = one if out is None else out.unionByName(one)
+    c = out.withColumns({"median": F.col("q50"), "in90": (F.col("realized") >= F.col("q05")) & (F.col("realized") <= F.col("q95"))})
+    return shown(c, "index_id label date median realized in90")
 
 
 @query(LEAF + " SELECT index_id, " + "printf('%s: %.0f, %+.1f%% (%.0f to %.0f)', index_id, p0, 100 * (exp(mu + sigma * z[10]) - 1), p0 * exp(mu + sigma * z[1]), p0 * exp(mu + sigma * z[19])) AS line FROM lf")

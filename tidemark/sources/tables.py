@@ -112,6 +112,13 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType | None =
     return (r.schema(schema) if schema else r).json(path)
 
 
+def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A nested JSON document as one row; no row where there is no file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return read_document(spark, path, schema) if there else spark.createDataFrame([], schema)
+
+
 def write_document(df: DataFrame, path: str) -> None:
     """Each row as one JSON document, a line each."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
