@@ -6,6 +6,7 @@ from .chat import ORACLE as CHAT_SQL
 from .chat import op6_chat
 from .fingerprints import op4_fingerprints
 from .langid import op1_langid
+from .merkle import op11_merkle, oracle as merkle_sql
 from .mixing import op9_mixing, oracle as mixing_sql
 from .packing import op2_packing
 from .quality_model import op7_quality
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle": op11_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_mixing": mixing_sql(), "op11_merkle": merkle_sql()}
