@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bestfit import op12_bestfit
 from .chat import ORACLE as CHAT_SQL
 from .chat import op6_chat
 from .fingerprints import op4_fingerprints
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle": op11_merkle,
+    "op12_bestfit": op12_bestfit,
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_mixing": mixing_sql(), "op11_merkle": merkle_sql()}
