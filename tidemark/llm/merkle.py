@@ -203,7 +203,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-def _crc32_sql(text: str) -> str:
+def crc32_sql(text: str) -> str:
     byte = "list_reduce(list_prepend(c, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
     codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda x, y: {byte.replace('list_prepend(c,', 'list_prepend(xor(x, y),')}), 4294967295)"
@@ -229,7 +229,7 @@ def oracle(inner: int = 20, outer: int = 12) -> str:
         return out
 
     ctes = [
-        f"""d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS folded FROM documents)""",
+        f"""d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS folded FROM documents)""",
         "t0 AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, '' AS proof FROM d)", "t_start AS (SELECT * FROM t0)",
         *tree("t", "source", inner),
         f"g0 AS MATERIALIZED (SELECT 0 AS one, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t{inner})",

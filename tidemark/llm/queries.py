@@ -15,6 +15,8 @@ from .quality_rules import op10_quality_rules
 from .secrets import op3_secrets
 from .simhash import op5_simhash
 from .toxicity import op8_toxicity
+from .trie import ORACLE as TRIE_SQL
+from .trie import op13_trie
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -29,5 +31,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle": op11_merkle,
     "op12_bestfit": op12_bestfit,
+    "op13_trie": op13_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_mixing": mixing_sql(), "op11_merkle": merkle_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL, "op9_mixing": mixing_sql(), "op11_merkle": merkle_sql(), "op13_trie": TRIE_SQL}
