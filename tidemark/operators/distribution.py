@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import GRID, NORMAL_GRID, T5_GRID, interpolate, normal_cdf, t5_cdf
+from .blocks import haloed, scanned
+from .blocks import own as own_rows
+from .order import expanding
 from .walk import Horizon
 from .windows import done
 
@@ -27,13 +30,16 @@ def residuals(origins: DataFrame, variances: DataFrame, h: Horizon, mu: str = "f
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *SERIES)
 
 
-def level_calibrated(rows: DataFrame, h: Horizon) -> DataFrame:
-    """sigma: the raw deviation times the ratio of residuals to raw deviations among completed origins."""
-    w = done(h.steps, "opos", SERIES)
-    known = F.col("raw").isNotNull()
-    k = F.sqrt(F.avg(F.when(known, F.col("resid") * F.col("resid"))).over(w) / F.avg(F.col("raw") * F.col("raw")).over(w))
-    enough = (F.count("mu").over(w) >= h.min_cal) & (F.count("raw").over(w) >= h.min_cal) & known
-    return rows.withColumn("sigma", F.when(enough, k * F.col("raw"))).withColumn("z", F.when(F.col("sigma") > 0, F.col("resid") / F.col("sigma")))
+def level_calibrated(rows: DataFrame, h: Horizon, blocks: int | None = None) -> DataFrame:
+    """sigma: the raw deviation times the ratio of residuals to raw deviations among completed origins. blocks: rows of a task's block of a long series."""
+    known, square = F.col("raw").isNotNull(), lambda c: F.col(c) * F.col(c)
+    one = F.lit(1).cast("long")
+    f = rows if blocks is None else haloed(rows, blocks, before=h.steps, pos="opos")
+    f = scanned(f, {"_n": F.when(F.col("mu").isNotNull(), one), "_k": F.when(known, one), "_e": F.when(known, square("resid")), "_r": square("raw"), "_ne": F.when(known & F.col("resid").isNotNull(), one)}, h.steps, blocks, "opos", SERIES)
+    k = F.sqrt((F.col("_e") / F.col("_ne")) / (F.col("_r") / F.col("_k")))
+    enough = (F.col("_n") >= h.min_cal) & (F.col("_k") >= h.min_cal) & known
+    f = f.withColumn("sigma", F.when(enough, k * F.col("raw"))).withColumn("z", F.when(F.col("sigma") > 0, F.col("resid") / F.col("sigma"))).drop("_n", "_k", "_e", "_r", "_ne")
+    return f if blocks is None else own_rows(f)
 
 
 def log_variance(rows: DataFrame, driver: str, h: Horizon) -> DataFrame:
@@ -49,23 +55,38 @@ def log_variance(rows: DataFrame, driver: str, h: Horizon) -> DataFrame:
     return f.withColumn("z", F.when(F.col("sigma") > 0, F.col("resid") / F.col("sigma")))
 
 
-def simulated(rows: DataFrame, h: Horizon) -> DataFrame:
-    """quant (the 19 levels of GRID) and pit from the standardized residuals of completed origins; same windows, same sort."""
-    w = done(h.steps, "opos", SERIES)
-    ready = F.col("sigma").isNotNull() & (F.count("z").over(w) >= h.min_cal)
-    f = rows.withColumns({"_q": F.when(ready, F.percentile("z", grid()).over(w)), "_pool": F.when(ready, F.collect_list("z").over(w))})
-    quant = F.transform("_q", lambda x: F.col("mu") + F.col("sigma") * x)
-    pit = F.size(F.filter("_pool", lambda v: v <= F.col("resid") / F.col("sigma"))) / F.size("_pool")
-    return f.withColumns({"quant": F.when(F.col("_q").isNotNull(), quant), "pit": F.when(F.col("_pool").isNotNull(), pit)}).drop("_q", "_pool")
+_POOLS = {"_s": ("z", "_std"), "_h": ("resid", "resid")}
+
+
+def _pooled(rows: DataFrame, h: Horizon, pools: str, blocks: int | None = None) -> DataFrame:
+    """rows with quantiles, rank and size of the pools of completed origins: s, of standardized residuals; h, of plain ones."""
+    f = rows.withColumn("_std", F.try_divide("resid", "sigma")) if "s" in pools else rows
+    return expanding(f, {f"_{p}": _POOLS[f"_{p}"] for p in pools}, h.steps, SERIES, "opos", GRID, blocks)
+
+
+def _from_pool(f: DataFrame, h: Horizon, pool: str) -> DataFrame:
+    """quant and pit by one of the pools."""
+    ready = F.col(f"_{pool}_n") >= h.min_cal
+    ready = ready & F.col("sigma").isNotNull() if pool == "s" else ready
+    level = (lambda x: F.col("mu") + F.col("sigma") * x) if pool == "s" else (lambda x: F.col("mu") + x)
+    return f.withColumns({"quant": F.when(ready, F.transform(f"_{pool}_q", level)), "pit": F.when(ready, F.col(f"_{pool}_below"))})
+
 
+def _without_pools(f: DataFrame) -> DataFrame:
+    return f.drop("_std", *[f"_{p}_{x}" for p in "sh" for x in ("q", "below", "n")])
 
-def historical(rows: DataFrame, h: Horizon) -> DataFrame:
+
+def simulated(rows: DataFrame, h: Horizon, blocks: int | None = None) -> DataFrame:
+    """quant (the 19 levels of GRID) and pit from the standardized residuals of completed origins.
+
+    blocks: rows of a task's block of a long series, whose opos has no gaps.
+    """
+    return _without_pools(_from_pool(_pooled(rows, h, "s", blocks), h, "s"))
+
+
+def historical(rows: DataFrame, h: Horizon, blocks: int | None = None) -> DataFrame:
     """As simulated(), from plain residuals."""
-    w = done(h.steps, "opos", SERIES)
-    ready = F.count("resid").over(w) >= h.min_cal
-    f = rows.withColumns({"_q": F.when(ready, F.percentile("resid", grid()).over(w)), "_pool": F.when(ready, F.collect_list("resid").over(w))})
-    pit = F.size(F.filter("_pool", lambda v: v <= F.col("resid"))) / F.size("_pool")
-    return f.withColumns({"quant": F.transform("_q", lambda x: F.col("mu") + x), "pit": F.when(F.col("_pool").isNotNull(), pit)}).drop("_q", "_pool")
+    return _without_pools(_from_pool(_pooled(rows, h, "h", blocks), h, "h"))
 
 
 def parametric(rows: DataFrame, shape: str) -> DataFrame:
@@ -81,9 +102,9 @@ def shapes(rows: DataFrame, h: Horizon, own: str = "fhs") -> DataFrame:
 
     All are columns of one pass over the series, then a row each.
     """
-    f, held = simulated(rows, h), {}
-    for name, make in {own: None, "gaussian": lambda x: parametric(x, "gaussian"), "student_t": lambda x: parametric(x, "student_t"), "historical": lambda x: historical(x, h)}.items():
-        f = make(f) if make else f
+    f, held = _pooled(rows, h, "sh"), {}
+    for name, make in {own: lambda x: _from_pool(x, h, "s"), "gaussian": lambda x: parametric(x, "gaussian"), "student_t": lambda x: parametric(x, "student_t"), "historical": lambda x: _from_pool(x, h, "h")}.items():
+        f = make(f)
         held[name] = F.struct(F.lit(name).alias("model"), F.col("quant").alias("quant"), F.col("pit").alias("pit"))
         f = f.withColumn(f"_{name}", held[name])
     each = F.explode(F.array(*[F.col(f"_{n}") for n in held])).alias("_x")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import growth
+from .blocks import haloed, own
+from .order import BLOCK, sliding
 from .series import positioned
-from .windows import ordered, trailing, whole
+from .windows import SERIES, ordered, trailing, whole
 
 EARNINGS_WINDOW, MEDIAN_WINDOW, GROWTH_WINDOW = 120, 360, 240
 BANDS = (0.05, 0.25, 0.75, 0.95)
@@ -22,20 +24,16 @@ def with_valuation(prices: DataFrame) -> DataFrame:
     return positioned(v.where("e10 > 0 AND p > 0").withColumn("cape", F.col("p") / F.col("e10")))
 
 
-def valuation_features(valuation: DataFrame) -> DataFrame:
-    """log_p, log_cape, e10n, g (20-year growth), cape_star, bands q05..q95, pctile, gap. One sort per series serves all windows."""
-    o, t = ordered(), trailing(MEDIAN_WINDOW)
-    full = F.count("cape").over(t) == MEDIAN_WINDOW
-    q = F.percentile("cape", F.array(*[F.lit(x) for x in (0.5, *BANDS)])).over(t)
-    before = F.collect_list("cape").over(ordered().rowsBetween(-(MEDIAN_WINDOW - 1), -1))
-    f = valuation.select(
-        "*", F.ln("p").alias("log_p"), F.ln("cape").alias("log_cape"), F.try_divide("p", "cape").alias("e10n"),
-        F.when(full, q).alias("_q"), F.when(full, before).alias("_before"),
-    ).withColumn("g", (F.ln("e10n") - F.lag(F.ln("e10n"), GROWTH_WINDOW).over(o)) / 20)
-    below = F.size(F.filter("_before", lambda v: v < F.col("cape"))) / (MEDIAN_WINDOW - 1)
+def valuation_features(valuation: DataFrame, blocks: int = BLOCK) -> DataFrame:
+    """log_p, log_cape, e10n, g (20-year growth), cape_star, bands q05..q95, pctile, gap. All look back over a bounded number of rows, so a series is dealt in blocks of positions."""
     names = ["cape_star", *[f"q{round(b * 100):02d}" for b in BANDS]]
-    f = f.select("*", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)], F.when(F.col("_before").isNotNull(), below).alias("pctile"))
-    return f.withColumn("gap", F.ln("cape_star") - F.col("log_cape")).drop("_q", "_before")
+    f = valuation.select("*", F.ln("p").alias("log_p"), F.ln("cape").alias("log_cape"), F.try_divide("p", "cape").alias("e10n"))
+    f = haloed(f, blocks, before=GROWTH_WINDOW)
+    before = F.lag(F.ln("e10n"), GROWTH_WINDOW).over(ordered(keys=(*SERIES, "_block")))
+    f = own(f.withColumn("g", (F.ln("e10n") - before) / 20))
+    f = sliding(f, "cape", MEDIAN_WINDOW, (0.5, *BANDS), blocks=blocks)
+    f = f.select(*[c for c in f.columns if c not in ("_q", "_below")], *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("_below").alias("pctile"))
+    return f.withColumn("gap", F.ln("cape_star") - F.col("log_cape"))
 
 
 def transformed(df: DataFrame, spec: Sequence[tuple[str, str, int]]) -> DataFrame:
@@ -46,12 +44,13 @@ def transformed(df: DataFrame, spec: Sequence[tuple[str, str, int]]) -> DataFram
     return out.select("index_id", "date", "pos", *[F.lag(f"{c}_{kind}", k).over(o).alias(f"{c}_{kind}") for c, kind, k in spec])
 
 
-def rolling_trend(df: DataFrame, n: int = 240) -> DataFrame:
+def rolling_trend(df: DataFrame, n: int = 240, blocks: int = BLOCK) -> DataFrame:
     """Log-linear trend of the last n rows: its level at the row, its slope a year, and the gap from it."""
-    t = trailing(n)
+    t = trailing(n, keys=(*SERIES, "_block"))
     ok = F.count("log_p").over(t) == n
     level = F.regr_intercept("log_p", "pos").over(t) + F.regr_slope("log_p", "pos").over(t) * F.col("pos")
-    return df.withColumns({"trend": F.when(ok, level), "trend_growth": F.when(ok, 12 * F.regr_slope("log_p", "pos").over(t))}).withColumn("trend_gap", F.col("trend") - F.col("log_p"))
+    f = own(haloed(df, blocks, before=n - 1).withColumns({"trend": F.when(ok, level), "trend_growth": F.when(ok, 12 * F.regr_slope("log_p", "pos").over(t))}))
+    return f.withColumn("trend_gap", F.col("trend") - F.col("log_p"))
 
 
 def long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("index_id", "date")) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import GRID, normal_cdf
 
+#: Lags of the errors' correction, levels that bands lie between, and the share that a 90 per cent band may cover.
 HAC_LAGS = 18
 COVER = {"50": (4, 14), "80": (1, 17), "90": (0, 18)}
 GATE = (0.86, 0.94)

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from .blocks import haloed, own, placed, regressed, scanned
 from .features import BANDS
 from .series import positioned
-from .windows import done, ordered
+from .windows import SERIES, done, ordered
 
+#: Fixed value: least completed rows.
 MIN_TRAIN = 120
 #: The policies' names.
 POLICIES = ("level0_est", "level0_prior", "full_reversion", "drift_only", "rw_zero", "rw_drift")
@@ -54,9 +56,9 @@ def horizon(key: str) -> Horizon:
     return next(h for h in HORIZONS if h.key == key)
 
 
-def completed(features: DataFrame, h: Horizon, lag: int = 0) -> DataFrame:
+def completed(features: DataFrame, h: Horizon, lag: int = 0, keys: Sequence[str] = SERIES) -> DataFrame:
     """features with fwd (log return over the horizon), signals held back by `lag` rows (the price stays current), and ok: all three known."""
-    o = ordered()
+    o = ordered(keys=keys)
     held = {c: F.lag(c, lag).over(o) for c in ("g", "gap")} if lag else {}
     offsets = {f"off_q{round(b * 100):02d}": F.ln(f"q{round(b * 100):02d}") - F.ln("cape_star") for b in BANDS if f"q{round(b * 100):02d}" in features.columns}
     f = features.withColumns({**offsets, "fwd": F.lead("log_p", h.steps).over(o) - F.col("log_p"), **held})
@@ -65,26 +67,39 @@ def completed(features: DataFrame, h: Horizon, lag: int = 0) -> DataFrame:
     return f.withColumn("ok", F.col("fwd").isNotNull() & F.col("gap").isNotNull() & F.col("g").isNotNull())
 
 
-def expanding_lambda(features: DataFrame, h: Horizon, lag: int = 0) -> DataFrame:
-    """n_done, lam_ols, lam_used and hist_mean over the completed rows: running sums, one pass."""
-    f, w = completed(features, h, lag), done(h.steps)
-    rest = F.col("fwd") - F.col("g") * h.years
-    over = lambda x: F.sum(F.when(F.col("ok"), x)).over(w)
-    f = f.withColumns({
-        "n_done": F.count(F.when(F.col("ok"), 1)).over(w),
-        "lam_ols": F.try_divide(over(F.col("gap") * rest), over(F.col("gap") * F.col("gap"))),
-        "hist_mean": F.avg(F.when(F.col("ok"), F.col("fwd"))).over(w),
-    })
+def _scanned_lambda(features: DataFrame, h: Horizon, lag: int, blocks: int | None) -> DataFrame:
+    """expanding_lambda() before a block's neighbours' rows go."""
+    if blocks is None:
+        f = completed(features, h, lag)
+    else:  # rows behind for the outcome, rows before for the totals and what their signals are held back by
+        f = completed(haloed(features, blocks, before=h.steps + lag, after=h.steps), h, lag, (*SERIES, "_block"))
+    rest, one = F.col("fwd") - F.col("g") * h.years, F.lit(1).cast("long")
+    ok = lambda x: F.when(F.col("ok"), x)
+    f = scanned(f, {"n_done": ok(one), "_gr": ok(F.col("gap") * rest), "_gg": ok(F.col("gap") * F.col("gap")), "_fwd": ok(F.col("fwd"))}, h.steps, blocks)
+    f = f.withColumns({"n_done": F.coalesce("n_done", F.lit(0).cast("long")), "lam_ols": F.try_divide("_gr", "_gg"), "hist_mean": F.try_divide("_fwd", "n_done")}).drop("_gr", "_gg", "_fwd")
     return f.withColumn("lam_used", clip(h.shrink * F.col("lam_ols") + (1 - h.shrink) * h.prior, 0.0, h.cap))
 
 
-def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int = MIN_TRAIN, predictors: Mapping[str, Column] | None = None) -> DataFrame:
+def expanding_lambda(features: DataFrame, h: Horizon, lag: int = 0, blocks: int | None = None) -> DataFrame:
+    """n_done, lam_ols, lam_used and hist_mean over the completed rows: running sums, one pass.
+
+    blocks: None for a series a task; else blocks of so many rows of a series of any length, with totals carried from block to block.
+    """
+    f = _scanned_lambda(features, h, lag, blocks)
+    return f if blocks is None else own(f)
+
+
+def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int = MIN_TRAIN, predictors: Mapping[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
     """One row per origin: realized, lam_ols, lam_used, fc_<policy>, band_q.., and opos, the origin's own place.
 
-    predictors: fc_<name> of a regression on each is added, from windows of the same sort.
+    predictors: fc_<name> of a regression on each is added, from windows of the same sort. blocks: as of expanding_lambda().
     """
-    f = expanding_lambda(features, h, lag)
-    f = f.withColumns({f"fc_{n}": _regression(F.col("fwd"), x, h, min_train) for n, x in (predictors or {}).items()}).where(F.col("ok") & (F.col("n_done") >= min_train))
+    f = _scanned_lambda(features, h, lag, blocks)
+    if blocks is None:
+        f = f.withColumns({f"fc_{n}": _regression(F.col("fwd"), x, h, min_train) for n, x in (predictors or {}).items()})
+    else:
+        f = own(regressed(f, F.col("fwd"), {f"fc_{n}": x for n, x in predictors.items()}, h.steps, min_train, blocks) if predictors else f)
+    f = f.where(F.col("ok") & (F.col("n_done") >= min_train))
     drift = F.col("g") * h.years
     point = {
         "level0_est": drift + F.col("lam_used") * F.col("gap"), "level0_prior": drift + h.prior * F.col("gap"), "full_reversion": drift + F.col("gap"),
@@ -93,7 +108,7 @@ def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int =
     bands = [(point["level0_est"] + F.col("lam_used") * F.col(c)).alias("band" + c[3:]) for c in f.columns if c.startswith("off_q")]
     more = [f"fc_{n}" for n in predictors or ()]
     rows = f.select("index_id", "date", "pos", "log_p", "g", "gap", F.col("fwd").alias("realized"), "lam_ols", "lam_used", *[point[p].alias(f"fc_{p}") for p in POLICIES], *bands, *more)
-    return positioned(rows, "pos", name="opos")
+    return positioned(rows, "pos", name="opos") if blocks is None else placed(rows, ["pos"], name="opos")
 
 
 def neutral_walk(features: DataFrame, h: Horizon, min_train: int = MIN_TRAIN) -> DataFrame:
@@ -116,9 +131,15 @@ def _regression(y: Column, x: Column, h: Horizon, min_train: int) -> Column:
     return F.when(enough, F.regr_intercept(y, x).over(w) + F.regr_slope(y, x).over(w) * x)
 
 
-def predictive_regressions(features: DataFrame, predictors: Mapping[str, Column], h: Horizon = YEAR, min_train: int = MIN_TRAIN) -> DataFrame:
-    """index_id, pos and fc_<name>: least squares of completed outcomes on one predictor each, evaluated at the row; one sort for all."""
-    f = features.select("index_id", "pos", (F.lead("log_p", h.steps).over(ordered()) - F.col("log_p")).alias("y"), *[x.alias(n) for n, x in predictors.items()])
+def predictive_regressions(features: DataFrame, predictors: Mapping[str, Column], h: Horizon = YEAR, min_train: int = MIN_TRAIN, blocks: int | None = None) -> DataFrame:
+    """index_id, pos and fc_<name>: least squares of completed outcomes on one predictor each, evaluated at the row; one sort for all. blocks: as of expanding_lambda()."""
+    keys = SERIES if blocks is None else (*SERIES, "_block")
+    f = features if blocks is None else haloed(features, blocks, before=h.steps, after=h.steps)
+    f = f.withColumn("y", F.lead("log_p", h.steps).over(ordered(keys=keys)) - F.col("log_p"))
+    if blocks is not None:
+        f = own(regressed(f, F.col("y"), {f"fc_{n}": x for n, x in predictors.items()}, h.steps, min_train, blocks))
+        return f.select("index_id", "pos", *[f"fc_{n}" for n in predictors])
+    f = f.select("index_id", "pos", "y", *[x.alias(n) for n, x in predictors.items()])
     return f.select("index_id", "pos", *[_regression(F.col("y"), F.col(n), h, min_train).alias(f"fc_{n}") for n in predictors])
 
 

@@ -1,6 +1,6 @@
 """The engine's queries, by name, with the SQL that checks them."""
 
-from . import ingest, moving, point, spread
+from . import ingest, long, moving, point, spread
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ingest", "moving", "point", "spread"]
+__all__ = ["ORACLES", "QUERIES", "ingest", "long", "moving", "point", "spread"]
