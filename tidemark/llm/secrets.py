@@ -114,23 +114,41 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     return llr, (m[1].m * m[0].sd + m[0].m * m[1].sd) / (m[0].sd + m[1].sd)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def codes(text: Column) -> Column:
+    """The places of a text's characters in the alphabet, from 1; 0: any other."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def _steps(code: Column, llr: list[float]) -> Column:
+    """The ratio of every pair of neighbours, two characters at least."""
+    n, ratios = len(ALPHABET) + 1, F.expr(folded(llr))
+    last = F.size(code) - 1
+    return F.zip_with(F.slice(code, F.lit(1), last), F.slice(code, F.lit(2), last), lambda a, b: F.get(ratios, a * n + b))
+
+
+def _mean(steps: Column) -> Column:
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.size(steps)
+
+
 def mean_ratio(text: Column, llr: list[float]) -> Column:
-    n = len(ALPHABET) + 1
-    ratios = F.expr(folded(llr))
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(2), F.length(text)), F.lit(0.0), lambda s, i: s + F.get(ratios, at(i - 1) * n + at(i)))
-    return F.when(F.length(text) >= 2, total / (F.length(text) - 1)).otherwise(F.lit(-99.0))
+    return let(codes(text), lambda c: F.when(F.size(c) >= 2, _mean(_steps(c, llr))).otherwise(F.lit(-99.0)))
+
 
+#: Steps that are folded at once; what they find is then added to the rest, so that long runs take time in proportion.
+FOLD = 1024
 
-def stretches(text: Column, model: tuple[list[float], float]) -> Column:
-    """Structs (from, to) of the parts of text that are random: the whole, or stretches with a surplus."""
+
+def stretches(code: Column, model: tuple[list[float], float]) -> Column:
+    """Structs (from, to) of the parts of a text (given as codes(), 20 characters at least) that are random: the whole, or stretches with a surplus."""
     llr, cut = model
-    n = len(ALPHABET) + 1
-    ratios = F.expr(folded(llr))
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    steps = F.transform(F.sequence(F.lit(2), F.length(text)), lambda i: F.get(ratios, at(i - 1) * n + at(i)) - F.lit(cut))
-    least = F.log(F.length(text)) + 3
+    least = F.log(F.size(code)) + 3
     part = "struct<from:int,to:int>"
+    none = F.array().cast(f"array<{part}>")
     state = lambda i, c, s, best, to, out: F.struct(i.alias("i"), c.alias("c"), s.alias("s"), best.alias("best"), to.alias("to"), out.alias("out"))
 
     def emitted(a: Column) -> Column:
@@ -138,50 +156,72 @@ def stretches(text: Column, model: tuple[list[float], float]) -> Column:
         return F.when(good, F.concat(a["out"], F.array(F.struct(a["s"].alias("from"), a["to"].alias("to"))))).otherwise(a["out"])
 
     def step(a: Column, r: Column) -> Column:
-        i, c = a["i"] + 1, a["c"] + r
+        i, c = a["i"] + 1, a["c"] + r - F.lit(cut)
         over = (c <= 0) | (a["best"] - c > least)
         better = state(i, c, a["s"], F.greatest(a["best"], c), F.when(c > a["best"], i).otherwise(a["to"]), a["out"])
         return F.when(over, state(i, F.lit(0.0), i - 1, F.lit(0.0), i, emitted(a))).otherwise(better)
 
-    start = state(F.lit(1), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(1), F.array().cast(f"array<{part}>"))
-    whole = F.array(F.struct(F.lit(0).alias("from"), F.length(text).alias("to")))
-    found = F.when(mean_ratio(text, llr) > cut, whole).otherwise(F.aggregate(steps, start, step, emitted))
-    distinct = lambda p: F.size(F.array_distinct(F.regexp_extract_all(F.substring(text, p["from"] + 1, p["to"] - p["from"]), F.lit("."), F.lit(0))))
-    return F.filter(found, lambda p: distinct(p) >= LEAST_DISTINCT)
+    def fold(a: Column, some: Column) -> Column:
+        inside = F.aggregate(some, state(a["i"], a["c"], a["s"], a["best"], a["to"], none), step)
+        return let(inside, lambda x: state(x["i"], x["c"], x["s"], x["best"], x["to"], F.concat(a["out"], x["out"])))
 
+    start = state(F.lit(1), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(1), none)
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.size(code).alias("to")))
+    blocks = lambda steps: F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / FOLD).cast("int")), lambda k: F.slice(steps, k * FOLD + 1, F.lit(FOLD)))
+    found = let(_steps(code, llr), lambda s: F.when(_mean(s) > cut, whole).otherwise(F.aggregate(blocks(s), start, fold, emitted)))
+    return F.filter(found, lambda p: F.size(F.array_distinct(F.slice(code, p["from"] + 1, p["to"] - p["from"]))) >= LEAST_DISTINCT)
 
-def _uncovered(run: Column) -> Column:
-    """Structs (start, end) of the parts of a run that no base span and no public id covers."""
-    part = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
-    state = lambda p, out: F.struct(p.alias("p"), out.alias("out"))
-    over = F.filter("covers", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    parts = F.aggregate(
-        over,
-        state(run["start"], F.array().cast("array<struct<start:int,end:int>>")),
-        lambda a, b: state(F.greatest(a["p"], b["end"]), F.concat(a["out"], part(a["p"], b["start"]))),
-        lambda a: F.concat(a["out"], part(a["p"], run["end"])),
-    )
-    return F.filter(parts, lambda x: x["end"] - x["start"] >= LEAST_CANDIDATE)
 
+#: Code points that a piece of a text holds, and spans whose ends are compared at once.
+PIECE = 256
 
-def _spans(df: DataFrame, name: str, pattern: str, kind: int, ok, when: str, keep: bool = False) -> DataFrame:
+
+def _replaced(df: DataFrame, name: str, spans: str, mask) -> DataFrame:
+    """df with a column: text with mask(start, end) for each of the spans (sorted), overlapping ones as one; null spans: none.
+
+    Text is cut into pieces once and put together from them, and the end of all spans before each one is found by blocks, so time is in
+    proportion to the text.
+    """
+    div = lambda x: f"cast(floor(({x}) / {PIECE}) as int)"
+    df = df.withColumn("_t", F.when(F.size(spans) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    i_div = lambda x: F.floor(x / PIECE).cast("int")
+    most = lambda x: F.coalesce(F.array_max(x), F.lit(0))
+    blocks = lambda e: F.transform(F.sequence(F.lit(0), i_div(F.size(e))), lambda k: most(F.slice(e, k * PIECE + 1, F.lit(PIECE))))
+    upto = lambda b: F.transform(b, lambda _, k: most(F.slice(b, F.lit(1), k)))
+    before = lambda e, c: F.transform(e, lambda _, i: F.greatest(F.get(c, i_div(i)), most(F.slice(e, i_div(i) * PIECE + 1, i % PIECE))))
+    ends = let(F.transform(spans, lambda x: x["end"]), lambda e: let(let(blocks(e), upto), lambda c: before(e, c)))
+    df = df.withColumn("_p", F.when(F.size(spans) > 0, ends))
+    df = df.withColumn("_last", F.when(F.size(spans) > 0, F.array_max(F.transform(spans, lambda x: x["end"]))))
+    cut = lambda a, b: f"""CASE WHEN {b} <= {a} THEN '' WHEN {div(a)} = {div(b)} THEN substring(get(_t, {div(a)}), {a} % {PIECE} + 1, {b} - {a})
+        ELSE concat(substring(get(_t, {div(a)}), {a} % {PIECE} + 1), array_join(slice(_t, {div(a)} + 2, {div(b)} - {div(a)} - 1), ''), substring(coalesce(get(_t, {div(b)}), ''), 1, {b} % {PIECE})) END"""
+    cut = cut("p", "x.start").replace("_t", "t")
+    kept = F.expr(f"get(transform(array(_t), t -> array_join(zip_with({spans}, _p, (x, p) -> concat({cut}, {mask('x', 'p')})), '')), 0)")
+    end = F.expr(f"substring(coalesce(get(_t, {div('_last')}), ''), _last % {PIECE} + 1)")
+    rest = F.expr(f"array_join(slice(_t, {div('_last')} + 2, size(_t)), '')")
+    return df.withColumn(name, F.coalesce(F.concat(kept, end, rest), F.col("text"))).drop("_t", "_last", "_p")
+
+
+def _spans(df: DataFrame, name: str, pattern: str, kind: int, ok, when: str, keep: bool = False, of: str = "text") -> DataFrame:
     """A column of structs (start, kind, end): the leftmost matches that don't overlap and pass ok(match).
 
     What lies between matches comes from splitting by the same pattern; ends are sums of lengths,
     added up over blocks of 256. Only texts that match the pattern when pay for it. With keep, a struct has its match, m, too.
     """
-    text = F.col("text")
+    text = F.col(of)
     found = F.arrays_zip(F.split(text, pattern).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     found = F.filter(found, lambda x: x["m"].isNotNull())
     df = df.withColumn("_m", F.when(text.rlike(when), F.transform(found, lambda x: F.struct((F.length(x["g"]) + F.length(x["m"])).alias("step"), x["m"].alias("m")))))
-    df = df.withColumn("_s", F.expr("transform(_m, x -> x.step)"))
-    df = df.withColumn("_b", F.expr("transform(sequence(0, cast(ceil(size(_s) / 256) as int)), k -> aggregate(slice(_s, k * 256 + 1, 256), 0, (a, x) -> a + x))"))
-    df = df.withColumn("_c", F.expr("transform(sequence(0, size(_b) - 1), k -> aggregate(slice(_b, 1, k), 0, (a, x) -> a + x))"))
-    end = "get(_c, i div 256) + aggregate(slice(_s, (i div 256) * 256 + 1, i % 256 + 1), 0, (a, x) -> a + x)"
-    end = end.replace("i div 256", "cast(floor(i / 256) as int)")
-    df = df.withColumn("_e", F.expr(f"transform(_m, (x, i) -> struct({end} as end, x.m as m))"))
+    # Bound names are worked out once: a column that is used once, inside a lambda, would be worked out for every element.
+    div = lambda x: F.floor(x / PIECE).cast("int")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    blocks = lambda s: F.transform(F.sequence(F.lit(0), div(F.size(s))), lambda k: total(F.slice(s, k * PIECE + 1, F.lit(PIECE))))
+    upto = lambda b: F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k)))
+    end = lambda s, c, i: F.get(c, div(i)) + total(F.slice(s, div(i) * PIECE + 1, i % PIECE + 1))
+    ends = lambda m, s, c: F.transform(m, lambda x, i: F.struct(end(s, c, i).alias("end"), x["m"].alias("m")))
+    within = lambda m: let(F.transform(m, lambda x: x["step"]), lambda s: let(let(blocks(s), upto), lambda c: ends(m, s, c)))
+    df = df.withColumn("_e", F.when(F.col("_m").isNotNull(), let(F.col("_m"), within)))
     spans = F.transform(F.filter("_e", lambda x: ok(x["m"])), lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), *([x["m"].alias("m")] if keep else [])))
-    return df.withColumn(name, F.coalesce(spans, F.array().cast(f"array<struct<start:int,kind:int,end:int{',m:string' if keep else ''}>>"))).drop("_m", "_s", "_b", "_c", "_e")
+    return df.withColumn(name, F.coalesce(spans, F.array().cast(f"array<struct<start:int,kind:int,end:int{',m:string' if keep else ''}>>"))).drop("_m", "_e")
 
 
 def scan(documents: DataFrame, model: tuple[list[float], float]) -> DataFrame:
@@ -190,16 +230,15 @@ def scan(documents: DataFrame, model: tuple[list[float], float]) -> DataFrame:
     df = _spans(df, "assign", ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_ASSIGN, ASSIGN)
     df = _spans(df, "access", ACCESS, 1, lambda m: F.length(m) >= LEAST_ACCESS, ACCESS)
     df = _spans(df, "hex", HEX, 2, lambda m: F.length(m) >= LEAST_HEX, "[0-9a-f]{%d}" % LEAST_HEX)
-    df = _spans(df, "runs", CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE, keep=True)
     df = _spans(df, "ids", PUBLIC_ID, 3, lambda m: F.lit(True), "-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-")
     df = df.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     df = df.withColumn("covers", F.when(F.size("ids") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "ids"))))
-    # Parts, then their random stretches, as code points of the text.
-    parts = F.transform("runs", lambda r: F.transform(_uncovered(r), lambda x: F.struct(x["start"].alias("start"), F.substring(r["m"], x["start"] - r["start"] + 1, x["end"] - x["start"]).alias("m"))))
-    df = df.withColumn("parts", F.flatten(parts))
-    found = F.transform("parts", lambda x: F.transform(stretches(x["m"], model), lambda y: F.struct((x["start"] + y["from"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + y["to"]).alias("end"))))
-    added = F.flatten(found)
-    return df.withColumn("spans", F.array_sort(F.concat("base", added)))
+    # With blanks for what is covered, runs of the rest are the parts that may be random.
+    df = _replaced(df, "_rest", "covers", lambda x, p: f"repeat(' ', {x}.end - greatest({x}.start, {p}))")
+    df = _spans(df, "runs", CANDIDATE, 3, lambda m: F.lit(True), CANDIDATE, keep=True, of="_rest")
+    df = df.withColumn("parts", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), codes(r["m"]).alias("codes"))))
+    found = F.transform("parts", lambda x: F.transform(stretches(x["codes"], model), lambda y: F.struct((x["start"] + y["from"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + y["to"]).alias("end"))))
+    return df.withColumn("spans", F.array_sort(F.concat("base", F.flatten(found)))).drop("_rest")
 
 
 def _joined(spans: str) -> Column:
@@ -218,11 +257,8 @@ def redact(documents: DataFrame, labelled: DataFrame | None = None, mask: str =
     """documents with every span, overlapping ones merged, replaced by the mask; all rows and columns stay."""
     model = train(samples(documents.sparkSession) if labelled is None else labelled)
     s = scan(documents.select(F.struct("*").alias("d"), F.col("text").alias("text")), model)
-    clean = F.expr(f"""aggregate(spans, struct('' as o, 0 as p), (a, x) -> CASE
-        WHEN x.end <= a.p THEN a
-        WHEN x.start < a.p THEN struct(a.o as o, x.end as p)
-        ELSE struct(concat(a.o, substring(text, a.p + 1, x.start - a.p), '{mask}') as o, x.end as p) END,
-        a -> concat(a.o, substring(text, a.p + 1)))""")
+    s = _replaced(s, "_clean", "spans", lambda x, p: f"CASE WHEN {x}.end > {p} AND {x}.start >= {p} THEN '{mask}' ELSE '' END")
+    clean = F.col("_clean")
     clean = F.when(F.col("d")["text"].isNull() | (F.size("spans") == 0), F.col("d")["text"]).otherwise(clean)
     return s.select(*[(clean if c == "text" else F.col("d")[c]).alias(c) for c in documents.columns])
 
