@@ -61,12 +61,15 @@ def test_awkward_tables(spark, tmp_path):
                 assert bool(got) == (rows > 0) and {r.doc_id for r in got} == {r.doc_id for r in at.select("doc_id").collect()}
 
 
-def test_one_row_of_those_with_one_id(spark):
-    """The row that stays doesn't depend on how rows lie in partitions."""
-    rows = [(1, f"one two three four {i} five six", f"s{i}") for i in range(6)] + [(None, "x", "a"), (None, "x", "a")]
+def test_rows_of_one_id_stay_unless_they_are_alike(spark):
+    """Ids 3 and 5 share a text; 5 has six more, all different. What stays doesn't depend on how rows lie in partitions."""
+    kinds = ["alpha beta gamma delta epsilon", "one two three four five six", "le la les des une dans", "der die das und nicht mit", "zig zag zog zug zeg", "lorem ipsum dolor sit amet"]
+    rows = [(3, "a text that both of them have", "s"), (5, "a text that both of them have", "t"), *[(5, k, "t") for k in kinds], (5, kinds[0], "t"), (5, kinds[0], "u"), (None, kinds[1], "n"), (None, "no id, alone here", "n"), (None, "no id, alone here", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = [sorted(map(str, simhash.one_of_each(df.repartition(n)).collect())) for n in (1, 3, 7)]
-    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+    kept = [sorted(map(tuple, simhash.one_of_each(df.repartition(n)).collect()), key=str) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2]
+    assert {fp(t) for _, t, _ in kept[0]} == {fp(t) for _, t, _ in rows} and len(kept[0]) == len({fp(t) for _, t, _ in rows}) == 8
+    assert {(d, t) for d, t, _ in kept[0]} == {(3, rows[0][1]), *[(5, k) for k in kinds], (None, "no id, alone here")}
 
 
 def test_forget_removes_what_was_written(spark):

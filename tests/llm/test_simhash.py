@@ -66,3 +66,13 @@ def test_chains_are_followed(spark):
     rows = list(enumerate(prints))
     c = s.classes(spark.createDataFrame(rows, "doc_id long, fp long"))
     assert sorted(((r.doc_id, f"{r.fp:016x}", r.component_id) for r in c.collect()), key=str) == brute(rows)
+
+
+def test_half_of_all_in_one_class(spark):
+    """A chain of fingerprints, each many times: half of all rows are one class, a quarter of them one fingerprint."""
+    rng = random.Random(2)
+    chain = [(1 << k) - 1 for k in range(0, 62, 2)]
+    prints = chain * 20 + [chain[0]] * 600 + [rng.getrandbits(63) for _ in range(1200)]
+    rows = [(i if i % 7 else None, f) for i, f in enumerate(prints)]
+    c = s.classes(spark.createDataFrame(rows, "doc_id long, fp long").repartition(5))
+    assert sorted(((r.doc_id, f"{r.fp:016x}", r.component_id) for r in c.collect()), key=str) == brute(rows)

@@ -11,6 +11,16 @@ from .common import saved
 PART_LINKS = 250_000
 
 
+#: Parts that the rows of one key are joined in.
+SALTS = 8
+
+
+def salted(rows: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
+    """rows joined by `on` with few, which has a key once: rows of one key are dealt by `by` over SALTS parts, each with a copy of few's row."""
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [on, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) -> (node, root): root is the smallest node reachable; only nodes with links are returned.
 
@@ -26,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         step = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        now = saved(step.join(up, "root").select("node", F.least("root", "further").alias("root"), "old").coalesce(parts))
+        now = saved(salted(step, up, "root", "node").select("node", F.least("root", "further").alias("root"), "old").coalesce(parts))
         if now.where("root <> old").isEmpty():
             return now.select("node", "root")
         now = now.select("node", "root")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table, words
-from .components import components
+from .components import components, salted
 
 RADIUS = 2
 SHINGLE = 3
@@ -30,21 +30,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (long): a row per row. Bits are counted per task before the shuffle."""
+def fingerprints(documents: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp (long) and the columns `also`: a row per row. Bits are counted per task before the shuffle."""
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    d = documents.select("doc_id", F.monotonically_increasing_id().alias("rid"), words(low).alias("w"))
+    d = documents.select("doc_id", *also, F.monotonically_increasing_id().alias("rid"), words(low).alias("w"))
     h = F.expr(f"""CASE WHEN size(w) = 0 THEN cast(array() as array<bigint>)
         WHEN size(w) < {SHINGLE} THEN array(xxhash64(array_join(w, ' ')))
         ELSE transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64(concat(get(w, i), ' ', get(w, i + 1), ' ', get(w, i + 2)))) END""")
-    h = d.select("doc_id", "rid", F.explode_outer(h).alias("h"))
+    h = d.select("doc_id", *also, "rid", F.explode_outer(h).alias("h"))
     two = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(PAIR))).alias(f"s{j}") for j in range(32)]
-    c = h.groupBy("rid", "doc_id").agg(F.count("h").alias("n"), *two)
+    c = h.groupBy("rid", "doc_id", *also).agg(F.count("h").alias("n"), *two)
     fp: Column = F.lit(0).cast("long")
     for j in range(32):
         for of, bit in ((F.col(f"s{j}").bitwiseAND(F.lit((1 << 32) - 1)), j), (F.shiftrightunsigned(f"s{j}", 32), j + 32)):
             fp = fp.bitwiseOR(F.when(2 * of > F.col("n"), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
-    return c.select("doc_id", fp.alias("fp"))
+    return c.select("doc_id", fp.alias("fp"), *also)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -56,14 +56,18 @@ def links(fps: DataFrame) -> DataFrame:
     return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def classes(fps: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for a saved table of fingerprints."""
-    root = components(links(fps))
+def roots(fps: DataFrame) -> DataFrame:
+    """fp, least (the least doc_id that has it) and root (its class) of each fingerprint."""
+    found = components(links(fps))
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    own = own.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    own = saved(own)
+    return saved(own.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def classes(fps: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for a saved table of fingerprints. Rows of one fingerprint, and fingerprints of one class, are joined in parts."""
+    own = roots(fps)
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(own.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return salted(fps, salted(own, least, "root", "fp").select("fp", "component_id"), "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def simhash_classes(documents: DataFrame) -> DataFrame:
@@ -72,14 +76,18 @@ def simhash_classes(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is the least of its class, once each; rows without an id stay.
+    """One row of each class of rows: of those with the least doc_id (rows without one come last) the one with the least digest of all its columns.
 
-    Of several rows with that id the one with the least hash of all its columns stays.
+    Rows are told apart by id and digest, so rows of different classes stay though they share an id.
     """
-    keep = simhash_classes(documents).where("doc_id = component_id").select("doc_id").distinct()
-    own = documents.join(keep, "doc_id", "left_semi").select(F.struct(*documents.columns).alias("row"), "doc_id")
-    own = own.withColumn("order", F.xxhash64("row")).groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
-    return own.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
+    columns = documents.columns
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])), 256)
+    keyed = documents.withColumn("_row", digest)
+    fps = saved(fingerprints(keyed, "_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = salted(fps, roots(fps).select("fp", "root"), "fp", "_row").groupBy("root").agg(F.min(order).alias("x")).select("x.*").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_same"))
+    own = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_same")), "left_semi")
+    return own.groupBy("_row").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
