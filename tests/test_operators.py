@@ -275,13 +275,35 @@ def test_distribution_functions(spark):
     assert got == [0.0, 0.0, 0.0, 1.0, 4.0]
 
 
-def test_forecast_document(spark):
-    for r in QUERIES["a14_forecast_document"](spark, SF).collect():
-        d = json.loads(r.document)
-        assert d["schema_version"] == 2 and len(d["fan_path"]) == 12 and len(d["leaf"]["z_grid"]) == 19
-        assert d["leaf"]["growth"] + d["leaf"]["valuation"] == pytest.approx(d["leaf"]["mu"], abs=1e-9)
-        last = d["fan_path"][-1]
-        assert last["q05"] <= last["q25"] <= last["q50"] <= last["q75"] <= last["q95"]
+def test_forecast_document(spark, tmp_path):
+    (r,) = QUERIES["a14_forecast_document"](spark, SF).collect()
+    d = json.loads(r.document)
+    assert d["schema_version"] == 2 and d["default"] == {"index": "main", "horizon": "12mo"} and set(d["indices"]) == {"main", "side"}
+    for index in d["indices"].values():
+        assert {i["key"] for i in index["indicators"]} == {"cape", "rate", "spread", "level"} and set(index["horizons"]) == {h.key for h in walk.HORIZONS}
+        for h in walk.HORIZONS:
+            leaf = index["horizons"][h.key]
+            assert leaf["horizon_months"] == h.steps and leaf["tier"] == h.tier and len(leaf["z_grid"]) == 19
+            assert leaf["return_decomp"]["growth"] + leaf["return_decomp"]["valuation"] == pytest.approx(leaf["mu"], abs=1e-9)
+            path, q = leaf["fan_path"], [leaf["price_quantiles"][n] for n in ("q05", "q25", "q50", "q75", "q95")]
+            assert path["months"] == list(range(h.steps + 1)) and q == sorted(q) and q[0] > 0
+            assert [path[n][-1] for n in ("q05", "q25", "q50", "q75", "q95")] == pytest.approx(q, abs=0.011) and path["q05"][0] == path["q95"][0] == pytest.approx(leaf["p0"], abs=0.011)
+            assert leaf["calibration"]["n"] > 0
+    docs = spark.createDataFrame([(1, r.document), (2, "no json"), (3, None), (4, '{"spot": 2, "p0": 1.5, "mu": 0.1}'), (5, '{"schema_version": 2}')], "k int, document string")
+    tables.write_document(docs, str(tmp_path / "d"))
+    back = tables.leaves_of(spark.read.schema("k int, document string").json(str(tmp_path / "d"))).collect()
+    assert {(x.index_id, x.horizon): x.mu for x in back if x.k == 1} == {(i, h): leaf["mu"] for i, v in d["indices"].items() for h, leaf in v["horizons"].items()}
+    assert [(x.k, x.index_id, x.horizon, x.spot, x.p0, x.mu, x.sigma) for x in back if x.k > 1] == [(4, "main", "12mo", 2.0, 1.5, 0.1, None)]
+
+
+def test_parts_that_do_not_add_up_fail(spark):
+    from tidemark.operators.document import decomposed
+
+    ok = spark.createDataFrame([(0.2, 0.15, 0.05, 2.0)], "mu double, growth double, valuation double, years double")
+    r = decomposed(ok).first()
+    assert r.growth_pct + r.valuation_pct == pytest.approx(r.total_pct) and r.total_pct == pytest.approx(100 * (math.exp(0.1) - 1))
+    with pytest.raises(Exception, match="add up"):
+        decomposed(ok.withColumn("mu", F.col("mu") + 1e-6)).collect()
 
 
 def brute_calibration(rows):

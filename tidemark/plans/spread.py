@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NORMAL_GRID, T5_GRID
 from ..operators import distribution as dist
-from ..operators import scores, series, volatility, walk
+from ..operators import document, scores, series, volatility, walk
+from ..operators import features as feat
 from ..operators.walk import HORIZONS, YEAR, horizon
-from ..sources.tables import kept, leaves_of
+from ..sources.tables import kept, leaves_of, shared_dir
 from .panel import ALL, BASE, GRID_SQL, VOL_SQL, calibrated, calibration_sql, features, fhs, fhs_sql, panel, sql, variances, walk_sql, with_variances
-from .point import BOARD_HORIZONS, _PREDICTOR_SQL, _predictors, board, board_ctes, normal_sql, over_horizons
+from .point import BOARD_HORIZONS, INDICATORS, _PREDICTOR_SQL, _predictors, board, board_ctes, normal_sql, over_horizons
 from .registry import query
 from .shown import picked, shown
 
@@ -348,13 +349,10 @@ def k26_second_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LEAF + ", bt AS (SELECT index_id, 1 AS version, '12mo' AS horizon, p0 AS spot, p0, mu, sigma FROM lf UNION ALL SELECT index_id, 2, '12mo', p0, p0, mu, sigma FROM lf) SELECT " + picked("version index_id horizon", "spot p0 mu sigma").replace("version", "version::BIGINT AS version") + " FROM bt")
 def b17_both_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaves read back from documents of the older and the newer schema."""
-    x = leaf(spark, sf_dir)
-    own = F.struct("p0", "mu", "sigma")
-    new = F.to_json(F.struct(F.lit(2).alias("schema_version"), F.create_map("index_id", F.struct(F.col("p0").alias("spot"), F.create_map(F.lit("12mo"), own).alias("horizons"))).alias("indices")))
-    old = F.to_json(F.struct(F.col("p0").alias("spot"), "p0", "mu", "sigma"))
-    docs = x.select(F.col("index_id").alias("of"), F.explode(F.array(F.struct(F.lit(1).alias("version"), old.alias("document")), F.struct(F.lit(2).alias("version"), new.alias("document")))).alias("d")).select("of", "d.*")
-    read = leaves_of(docs, index="").withColumn("index_id", F.when(F.col("index_id") == "", F.col("of")).otherwise(F.col("index_id")))
-    return shown(read, "version index_id horizon spot p0 mu sigma")
+    x = with_horizon(leaf(spark, sf_dir), YEAR)
+    new = leaves_of(document.forecast_document(x)).withColumn("version", F.lit(2))
+    old = leaves_of(document.older_document(x).withColumnRenamed("index_id", "of"), index="").withColumn("index_id", F.col("of")).drop("of").withColumn("version", F.lit(1))
+    return shown(old.unionByName(new), "version index_id horizon spot p0 mu sigma")
 
 
 @query(LEAF + """, nw AS (SELECT index_id, arg_max(100 * d / p, pos) AS dividend, arg_max(100 * rate, pos) AS bond, arg_max(100 * spread, pos) AS cash FROM ft GROUP BY 1),
@@ -463,11 +461,38 @@ def k32_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("index_id", F.format_string("%s: %.0f, %+.1f%% (%.0f to %.0f)", "index_id", "p0", 100 * (price(9) / F.col("p0") - 1), price(0), price(18)).alias("line"))
 
 
+def with_horizon(leaves: DataFrame, h: walk.Horizon) -> DataFrame:
+    return leaves.withColumns({"horizon": F.lit(h.key), "horizon_months": F.lit(h.steps), "tier": F.lit(h.tier)})
+
+
+def all_leaves(f: DataFrame) -> DataFrame:
+    return over_horizons(_KEYS, lambda h: with_horizon(leaf_of(f, h), h).drop("horizon"))
+
+
 @query()
 def a14_forecast_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested document a series: leaf, price quantiles, fan path and calibration."""
-    x = leaf(spark, sf_dir)
-    path = dist.fan(x, 12).groupBy("index_id").agg(F.sort_array(F.collect_list(F.struct("step", *[n for n, _ in _LEVELS]))).alias("fan_path"))
-    cal = scores.calibration(fhs(panel(spark, sf_dir), YEAR, ("ewma",)), ["index_id"])
-    doc = F.struct(F.lit(2).alias("schema_version"), F.col("asof").cast("string").alias("asof"), F.struct("p0", "mu", "sigma", "lam_used", "growth", "valuation", F.col("z").alias("z_grid"), "z01", "z025").alias("leaf"), "fan_path", F.struct(*CAL.split()).alias("calibration"))
-    return x.join(path, "index_id").join(cal, "index_id").select("index_id", F.to_json(doc).alias("document"))
+    """The whole document: both indices, nine horizons, each with its leaf, quantiles, fan path and calibration, and the indicators."""
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    cal = over_horizons(_KEYS, lambda h: scores.calibration(fhs(f, h, ("ewma",)), ["index_id"]))
+    x = all_leaves(f).join(cal, ["index_id", "horizon"], "left")
+    return document.forecast_document(x, feat.indicator_panel(f, INDICATORS), CAL.split())
+
+
+_NINE = [c for k in _KEYS for c in (walk_sql(horizon(k), name=f"og{k}"), fhs_sql(horizon(k), og=f"og{k}", name=f"fh{k}"), live_ctes(horizon(k), k))]
+
+
+@query(sql(BASE, VOL_SQL, *_NINE) + " UNION ALL ".join(" SELECT " + picked("index_id", "p0 mu sigma") + f", '{k}' AS horizon, round(p0, 6) AS spot FROM lf{k}" for k in _KEYS))
+def a14_document_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document written to a file and read back: the leaves of both indices and all horizons."""
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    at = f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}/document"
+    document.forecast_document(all_leaves(f)).write.mode("overwrite").text(at)
+    docs = spark.read.text(at).withColumnRenamed("value", "document")
+    return shown(leaves_of(docs), "index_id horizon spot p0 mu sigma")
+
+
+@query(sql(BASE, VOL_SQL, *_NINE) + " UNION ALL ".join(f" SELECT index_id, '{k}' AS horizon, round(100 * (exp(growth / {horizon(k).years!r}) - 1), 6) AS growth_pct, round(100 * (exp(mu / {horizon(k).years!r}) - exp(growth / {horizon(k).years!r})), 6) AS valuation_pct, round(100 * (exp(mu / {horizon(k).years!r}) - 1), 6) AS total_pct FROM lf{k}" for k in _KEYS))
+def k07_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What growth and valuation add a year; a forecast whose parts don't add up to it fails the query."""
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    return shown(document.decomposed(all_leaves(f)), "index_id horizon growth_pct valuation_pct total_pct")

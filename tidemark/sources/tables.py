@@ -134,19 +134,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
-#: A leaf, and documents of both schemas: the newer holds indices and horizons, the older one leaf at the top.
-LEAF_SCHEMA = "p0 double, mu double, sigma double"
-DOCUMENT = f"schema_version int, asof string, indices map<string, struct<spot: double, horizons: map<string, struct<p0: double, mu: double, sigma: double>>>>, spot double, {LEAF_SCHEMA}"
-
-
 def leaves_of(documents: DataFrame, column: str = "document", index: str = "main", horizon: str = "12mo") -> DataFrame:
-    """documents (JSON of either schema) as a row per index and horizon: index_id, horizon, spot, p0, mu, sigma beside the document's other columns."""
-    d = documents.withColumn("_d", F.from_json(column, DOCUMENT))
-    old = F.create_map(F.lit(index), F.struct(F.col("_d.spot").alias("spot"), F.create_map(F.lit(horizon), F.struct("_d.p0", "_d.mu", "_d.sigma")).alias("horizons")))
-    d = d.withColumn("_i", F.when(F.coalesce("_d.schema_version", F.lit(1)) >= 2, F.col("_d.indices")).otherwise(old))
+    """documents (JSON of either schema) as a row per index and horizon: index_id, horizon, spot, p0, mu, sigma beside the document's other columns.
+
+    A document is parsed once, as a variant; its schema_version says where its leaves are: in indices and horizons, or, in the older schema, at the top, as
+    the leaf of `index` and `horizon`. What isn't JSON has no leaf.
+    """
+    d = documents.withColumn("_d", F.try_parse_json(column))
+    newer = F.coalesce(F.try_variant_get("_d", "$.schema_version", "int"), F.lit(1)) >= 2
+    named = lambda v, path: F.try_variant_get(v, path, "map<string,variant>")
     keep = [c for c in documents.columns if c != column]
-    d = d.select(*keep, F.explode("_i").alias("index_id", "_x"))
-    return d.select(*keep, "index_id", F.col("_x.spot").alias("spot"), F.explode("_x.horizons").alias("horizon", "_l")).select(*keep, "index_id", "horizon", "spot", "_l.*")
+    d = d.select(*keep, newer.alias("_newer"), F.explode(F.when(newer, named("_d", "$.indices")).otherwise(F.create_map(F.lit(index), F.col("_d")))).alias("index_id", "_x"))
+    d = d.withColumn("spot", F.try_variant_get("_x", "$.spot", "double"))
+    d = d.select(*keep, "index_id", "spot", F.explode(F.when(F.col("_newer"), named("_x", "$.horizons")).otherwise(F.create_map(F.lit(horizon), F.col("_x")))).alias("horizon", "_l"))
+    return d.select(*keep, "index_id", "horizon", "spot", *[F.try_variant_get("_l", f"$.{c}", "double").alias(c) for c in ("p0", "mu", "sigma")])
 
 
 def latest_version(candidates: DataFrame, fallback: str, asof: Column, days: int = 120) -> DataFrame:
