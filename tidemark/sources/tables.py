@@ -140,7 +140,7 @@ def leaves_of(documents: DataFrame, column: str = "document", index: str = "main
     A document is parsed once, as a variant; its schema_version says where its leaves are: in indices and horizons, or, in the older schema, at the top, as
     the leaf of `index` and `horizon`. What isn't JSON has no leaf.
     """
-    d = documents.withColumn("_d", F.try_parse_json(column))
+    d = documents.withColumn("_d", F.try_parse_json(column)).where("_d IS NOT NULL")
     newer = F.coalesce(F.try_variant_get("_d", "$.schema_version", "int"), F.lit(1)) >= 2
     named = lambda v, path: F.try_variant_get(v, path, "map<string,variant>")
     keep = [c for c in documents.columns if c != column]
