@@ -42,3 +42,9 @@ def test_every_query_without_sql_is_tested_elsewhere():
         "a14_forecast_document", "d14_coefficients", "d20_block_bootstrap", "e15_garch", "e22_multi_horizon_garch", "e27_kitchen_sink", "k11_implied_against_garch", "k12_macro_question_garch",
         "k13_point_leaderboard_all", "k14_distribution_leaderboard_garch", "k16_elastic_net", "k30_predictive_quantiles", "k31_common_window_garch",
     }
+
+
+@pytest.mark.parametrize("name", ["c01_master", "c09_latest_valid", "g01_date_sets"])
+def test_big_tables_are_scanned_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(f"/{t}.parquet") for t in ("orders", "lineitem")] == [1, 1]

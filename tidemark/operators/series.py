@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 
 def last_valid(df: DataFrame, period: Column, keys: Sequence[str], at: str, tie: str, value: str) -> DataFrame:
     """keys, period, value: the last value of each period that isn't null. One shuffle, combined before it."""
@@ -37,7 +39,8 @@ def merged(*tables: DataFrame, by: str = "date") -> DataFrame:
 
 
 def coverage(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:
-    """Per column: first and last date with a value, number of values, rows in that span, and the share missing in it."""
+    """Per column: first and last date with a value, number of values, rows in that span, and the share missing in it. df is computed once."""
+    df = kept(df.select(date, *columns))
     long = df.select(date, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(date, "x.*")
     found = F.when(F.col("value").isNotNull(), F.col(date))
     ends = long.groupBy("column").agg(F.min(found).alias("first"), F.max(found).alias("last"), F.count("value").alias("valid"))

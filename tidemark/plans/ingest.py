@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import available, half_even, month_of_float, named, number
 from ..operators import series
-from ..sources.tables import latest_version, table
-from .panel import BASE, prices, shipments, sql
+from ..sources.tables import kept, latest_version, table
+from .panel import BASE, day_prices, prices, shipments, sql
 from .registry import query
 from .shown import picked, shown
 
@@ -58,13 +58,14 @@ def a08_pivoted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(BASE, """m AS (SELECT last_day(date) AS date, arg_max(close, date) AS close FROM px WHERE index_id = 'main' AND close > 100000 GROUP BY 1),
     s AS (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS x FROM px)""") + " SELECT last_day(x)::DATE AS date, m.close FROM s LEFT JOIN m ON m.date = last_day(x)")
 def d03_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prices(spark, sf_dir).where("index_id = 'main'")
+    p = kept(day_prices(spark, sf_dir).select("date", "close"))
     m = series.last_valid(p.withColumn("close", F.when(F.col("close") > 100000, F.col("close"))), F.last_day("date"), [], "date", "date", "close")
-    return series.on_spine(series.month_spine(prices(spark, sf_dir)), m.withColumnRenamed("period", "date"))
+    return series.on_spine(series.month_spine(p), m.withColumnRenamed("period", "date"))
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.merged(prices(spark, sf_dir).where("index_id = 'main'").drop("index_id"), shipments(spark, sf_dir), prices(spark, sf_dir).where("index_id = 'side'").select("date", F.col("p").alias("p_side")))
+    """A row per day with main's prices, shipments and the side's price: orders and lineitem are scanned once each."""
+    return series.merged(day_prices(spark, sf_dir), shipments(spark, sf_dir))
 
 
 _MASTER = "ms AS (SELECT date, a.p, high, low, close, e, d, rate, spread, level, b.p AS p_side FROM (SELECT * FROM px WHERE index_id = 'main') a FULL JOIN sh USING (date) FULL JOIN (SELECT date, p FROM px WHERE index_id = 'side') b USING (date))"
@@ -111,13 +112,14 @@ def c09_latest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(BASE) + """ SELECT 'union' AS op, count(*)::BIGINT AS n FROM (SELECT date FROM px UNION SELECT date FROM sh) UNION ALL SELECT 'all', count(*) FROM (SELECT date FROM px UNION ALL SELECT date FROM sh)
     UNION ALL SELECT 'both', count(*) FROM (SELECT date FROM px INTERSECT SELECT date FROM sh) UNION ALL SELECT 'only', count(*) FROM (SELECT date FROM px EXCEPT SELECT date FROM sh)""")
 def g01_date_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = prices(spark, sf_dir).select("date"), shipments(spark, sf_dir).select("date")
-    sets = {"union": a.union(b).distinct(), "all": a.unionByName(b), "both": a.intersect(b), "only": a.subtract(b)}
-    out = None
-    for name, df in sets.items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Both tables' days meet once; every set is a count over that."""
+    a = prices(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("a"))
+    b = shipments(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("b"))
+    count = lambda x: F.count(F.when(x, 1))
+    ours, theirs = F.col("a").isNotNull(), F.col("b").isNotNull()
+    sets = {"union": F.count(F.lit(1)), "all": F.sum(F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))), "both": count(ours & theirs), "only": count(ours & ~theirs)}
+    one = series.merged(a, b).agg(*[x.alias(n) for n, x in sets.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("op"), F.col(n).cast("long").alias("n")) for n in sets])).alias("x")).select("x.*")
 
 
 @query(sql(BASE) + """ SELECT index_id, count(*)::BIGINT AS n, count(CASE WHEN year(date) >= 1998 THEN 1 END)::BIGINT AS since_1998, count(CASE WHEN date > m - INTERVAL 24 MONTH THEN 1 END)::BIGINT AS last_two_years,
@@ -149,6 +151,7 @@ _CHUNK_DAYS, _TRAILING = 8, 5
 def a06_chunked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily series read in chunks of eight days; the source of one ignores bounds and gives its last days every time."""
     d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date")).agg(F.round(F.sum("value"), 6).alias("value"))
+    d = kept(d)
     b = d.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))  # one row
     starts = F.explode(F.expr(f"sequence(lo, hi, interval {_CHUNK_DAYS} days)")).alias("since")
     chunks = b.select("hi", starts).withColumn("until", F.date_add("since", _CHUNK_DAYS - 1))

@@ -27,6 +27,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("index_id", "date").agg(F.avg(x).alias("p"), F.max(x).alias("high"), F.min(x).alias("low"), F.max_by(x, "o_orderkey").alias("close"))
 
 
+def day_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per day: main's prices, and p_side, the side's; one scan."""
+    x, side = F.col("o_totalprice"), F.col("o_orderpriority") == SIDE
+    o = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
+    return o.agg(F.avg(x).alias("p"), F.max(x).alias("high"), F.min(x).alias("low"), F.max_by(x, "o_orderkey").alias("close"), F.avg(F.when(side, x)).alias("p_side"))
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice")
