@@ -99,6 +99,39 @@ def calibration(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def calibration_by_window(rows: DataFrame, keys: Sequence[str], common: str) -> DataFrame:
+    """calibration() of all rows (window: own) and of those where the flag `common` is true (window: common), as two grouping sets of one pass."""
+    f = rows.where(finite(F.col("quant")))
+    names = {"own": list(keys), "common": [*keys, common]}
+    for n, by in names.items():
+        w = Window.partitionBy(*by)
+        i, of = F.row_number().over(w.orderBy(F.asc_nulls_last("pit"))), F.count("pit").over(w)
+        f = f.withColumn(f"_ks_{n}", F.greatest(i / of - F.col("pit"), F.col("pit") - (i - 1) / of))
+    q = lambda i: F.get("quant", F.lit(i))
+    f = f.withColumns({"_loss": mean_pinball(F.col("quant"), F.col("realized")), **{f"_in_{n}": ((F.col("realized") >= q(a)) & (F.col("realized") <= q(b))).cast("int") for n, (a, b) in COVER.items()}, **{f"_w_{n}": q(b) - q(a) for n, (a, b) in COVER.items()}})
+    a = f.groupingSets([[F.col(c) for c in by] for by in names.values()], *[F.col(c) for c in names["common"]]).agg(
+        F.grouping(common).alias("_every"), F.count(F.lit(1)).alias("n"), F.avg("_loss").alias("pinball"), *[F.max(f"_ks_{n}").alias(f"_ks_{n}") for n in names],
+        *[F.avg(f"_in_{n}").alias(f"cover_{n}") for n in COVER], *[F.avg(f"_w_{n}").alias(f"width_{n}") for n in COVER],
+    )
+    every = F.col("_every") == 1
+    a = a.where(every | F.col(common)).withColumns({"window": F.when(every, "own").otherwise("common"), "pit_ks": F.when(every, F.col("_ks_own")).otherwise(F.col("_ks_common"))})
+    return a.drop("_every", "_ks_own", "_ks_common", common)
+
+
+def metrics_by_sets(long: DataFrame, since: int) -> DataFrame:
+    """R2 against both benchmarks by policy and era (all rows, and the years from `since` on), by policy over all series, and by series over all policies: grouping sets of one pass."""
+    r, f = F.col("realized"), F.col("fc")
+    x = long.withColumn("late", F.year("date") >= since)
+    by = ("index_id", "policy", "late")
+    sets = [("index_id", "policy", "late"), ("index_id", "policy"), ("policy",), ("index_id",), ()]
+    a = x.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by]).agg(
+        F.grouping_id(*by).alias("_set"), F.count(F.lit(1)).alias("n"), r2(r, f, F.col("fc_rw_drift")).alias("r2_mean"), r2(r, f, F.col("fc_drift_only")).alias("r2_drift_only")
+    )
+    whole = F.lit("all")
+    a = a.where((F.col("_set") != 0) | F.col("late"))
+    return a.select(F.coalesce("index_id", whole).alias("index_id"), F.coalesce("policy", whole).alias("policy"), F.when(F.col("late"), "late").otherwise("all").alias("era"), "n", "r2_mean", "r2_drift_only")
+
+
 def pit_histogram(rows: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
     """Counts in equal bins of 0..1, the last one closed, empty bins included."""
     counted = rows.where("pit IS NOT NULL").groupBy(*keys, F.least(F.width_bucket("pit", F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import available, half_even, month_of_float, named, number
 from ..operators import series
-from ..sources.tables import kept, latest_version, table
+from ..sources.tables import as_ingested, kept, latest_version, read_days, shared_dir, table, write_days
 from .panel import BASE, day_prices, prices, shipments, sql
 from .registry import query
 from .shown import picked, shown
@@ -143,6 +145,26 @@ def b15_named_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", named(F.col("event_type"), {"click": "bullish", "error": "bearish"}, F.concat(F.lit("neutral: "), F.col("event_type"))).alias("direction"), "mean")
 
 
+_LATE = "1998-06-30"
+
+
+@query(f"""WITH d AS (SELECT o_orderkey AS key, last_day(o_orderdate)::DATE AS day, o_totalprice AS price FROM orders), c AS (SELECT * FROM d WHERE key % 7 <> 0 OR day <> (SELECT max(day) FROM d WHERE day <= DATE '{_LATE}')
+        UNION ALL SELECT key, DATE '{_LATE}' + 1, price + 1 FROM d WHERE key % 11 = 0 AND day <= DATE '{_LATE}')
+    SELECT day AS ingest_date, count(*)::BIGINT AS n, round(sum(price), 2) AS total FROM (SELECT key, max(day) AS day, arg_max(price, day) AS price FROM c WHERE day <= DATE '{_LATE}' + 1 GROUP BY 1) GROUP BY 1""")
+def a05_ingest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of orders landed as ingest days; one day is run again without some rows, a late day brings corrections; what counts is each key's last day up to then."""
+    day = F.last_day("o_orderdate")
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), day.alias("ingest_date"))
+    at = f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}/days-{uuid.uuid4().hex}"
+    late = F.date_add(F.lit(_LATE).cast("date"), 1)
+    again = d.where(F.col("ingest_date") <= F.lit(_LATE).cast("date")).agg(F.max("ingest_date").alias("ingest_date"))  # one row
+    write_days(d, at)
+    write_days(d.join(F.broadcast(again), "ingest_date", "left_semi").where("key % 7 <> 0"), at)
+    write_days(d.where((F.col("key") % 11 == 0) & (F.col("ingest_date") < late)).select("key", (F.col("price") + 1).alias("price"), late.alias("ingest_date")), at)
+    seen = as_ingested(read_days(spark, at, upto="1998-07-01"), ["key"])
+    return seen.groupBy("ingest_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
 _CHUNK_DAYS, _TRAILING = 8, 5
 
 

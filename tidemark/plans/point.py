@@ -93,6 +93,14 @@ def k27_subperiods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(m, "index_id policy era n r2_mean r2_drift_only")
 
 
+@query(sql(BASE, walk_sql(), LONG_SQL) + f""" SELECT coalesce(index_id, 'all') AS index_id, coalesce(policy, 'all') AS policy, CASE WHEN late THEN 'late' ELSE 'all' END AS era, count(*)::BIGINT AS n, round(1 - sum((realized - fc) * (realized - fc)) / sum((realized - fc_rw_drift) * (realized - fc_rw_drift)), 6) AS r2_mean,
+    round(1 - sum((realized - fc) * (realized - fc)) / nullif(sum((realized - fc_drift_only) * (realized - fc_drift_only)), 0), 6) AS r2_drift_only FROM (SELECT *, year(date) >= {SINCE} AS late FROM lg) GROUP BY GROUPING SETS ((index_id, policy, late), (index_id, policy), (policy), (index_id), ()) HAVING grouping(index_id, policy, late) <> 0 OR late""")
+def k27_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by series, policy and era with their totals, in one pass."""
+    p = walk.policies(walk.walk(features(spark, sf_dir)))
+    return shown(scores.metrics_by_sets(p, SINCE), "index_id policy era n r2_mean r2_drift_only")
+
+
 _GAIN = "(realized - fc_rw_drift) * (realized - fc_rw_drift) - (realized - fc_level0_est) * (realized - fc_level0_est)"
 
 

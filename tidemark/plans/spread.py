@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import NORMAL_GRID, T5_GRID
+from ..functions.sql import register
 from ..operators import distribution as dist
 from ..operators import document, scores, series, volatility, walk
 from ..operators import features as feat
@@ -84,6 +85,19 @@ def k31_common_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(c.withColumn("enough", F.floor(F.col("n") / 12) >= 1), f"index_id model {CAL} enough")
 
 
+@query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), f"""bw AS (SELECT *, bool_and(quant IS NOT NULL) OVER (PARTITION BY index_id, opos) AS whole FROM fh),
+bx AS (SELECT *, row_number() OVER (PARTITION BY index_id, model ORDER BY pit NULLS LAST) AS i, count(pit) OVER (PARTITION BY index_id, model) AS m, row_number() OVER (PARTITION BY index_id, model, whole ORDER BY pit NULLS LAST) AS j, count(pit) OVER (PARTITION BY index_id, model, whole) AS l FROM bw WHERE quant IS NOT NULL)""")
+    + f""" SELECT index_id, model, CASE WHEN grouping(whole) = 1 THEN 'own' ELSE 'common' END AS "window", count(*)::BIGINT AS n, round(avg(list_sum(list_transform(list_zip({GRID_SQL}, quant), lambda x: greatest(x[1] * (realized - x[2]), (x[1] - 1) * (realized - x[2])))) / 19), 6) AS pinball,
+    round(CASE WHEN grouping(whole) = 1 THEN max(greatest(i / m::DOUBLE - pit, pit - (i - 1) / m::DOUBLE)) ELSE max(greatest(j / l::DOUBLE - pit, pit - (j - 1) / l::DOUBLE)) END, 6) AS pit_ks,
+    {', '.join(f'round(avg(CASE WHEN realized >= quant[{a}] AND realized <= quant[{b}] THEN 1.0 ELSE 0.0 END), 6) AS cover_{c}, round(avg(quant[{b}] - quant[{a}]), 6) AS width_{c}' for c, a, b in (('50', 5, 15), ('80', 2, 18), ('90', 1, 19)))}
+    FROM bx GROUP BY GROUPING SETS ((index_id, model), (index_id, model, whole)) HAVING grouping(whole) = 1 OR whole""")
+def k31_both_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model on its own window and on the one that all share, in one pass."""
+    rows = fhs(panel(spark, sf_dir))
+    rows = rows.withColumn("_all", F.bool_and(F.col("quant").isNotNull()).over(Window.partitionBy("index_id", "opos")))
+    return shown(scores.calibration_by_window(rows, ["index_id", "model"], "_all"), f"index_id model window {CAL}")
+
+
 @query(sql(BASE, walk_sql(), VOL_SQL, fhs_sql(), _COMMON, calibration_sql("fw", "index_id, model")) + " SELECT index_id, arg_min(model, (pinball, model)) AS winner, round(min(pinball), 6) AS pinball, count(CASE WHEN cover_90 BETWEEN 0.86 AND 0.94 THEN 1 END)::BIGINT AS passed FROM cm WHERE n >= 24 GROUP BY 1")
 def k11_volatility_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scores.gate(scores.calibration(common_window(fhs(panel(spark, sf_dir))), ["index_id", "model"])).where("n >= 24")
@@ -373,11 +387,35 @@ def fan_shown(df: DataFrame, keys: str) -> DataFrame:
     return df.select(*keys.split(), F.col("step").cast("long").alias("step"), *[F.round(n, 4).alias(n) for n, _ in _LEVELS])
 
 
+def interp_sql(x: str) -> str:
+    """P(price below x) with levels p (19 prices) of the row."""
+    g = "(0.05 * {i})"
+    i = f"len(list_filter(p, lambda v: v <= {x}))"
+    return f"(CASE WHEN {x} <= p[1] THEN 0.05 WHEN {x} >= p[19] THEN 0.95 ELSE {g.format(i=i)} + ({x} - p[{i}]) / (p[{i} + 1] - p[{i}]) * 0.05 END)"
+
+
 @query(LEAF + f" SELECT index_id, step::BIGINT AS step, {fan_sql()} FROM lf {_FAN}")
 def k02_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fan_shown(dist.fan(leaf(spark, sf_dir), 12), "index_id")
 
 
+@query(LEAF + f" SELECT index_id, step::BIGINT AS step, {fan_sql()} FROM lf {_FAN}")
+def k02_fan_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from SQL: a table function, joined laterally."""
+    register(spark)
+    return fan_shown(spark.sql("SELECT index_id, f.* FROM {leaf} AS x, LATERAL fan(x.p0, x.mu, x.sigma, x.z, 12) AS f", leaf=leaf(spark, sf_dir)), "index_id")
+
+
+@query(LEAF + f""" SELECT index_id, round(1 - {interp_sql('p0')}, 6) AS p_up, round({interp_sql('(0.8 * p0)')}, 6) AS p_bear, round({normal_sql('(mu / sigma)')}, 6) AS p_up_normal, round(mu - lam_used * ln(1.1::DOUBLE), 6) AS mu_higher, round(greatest(-0.05::DOUBLE, least(0.05::DOUBLE, mu)), 6) AS mu_held
+    FROM (SELECT *, list_transform(z, lambda v: p0 * exp(mu + sigma * v)) AS p FROM lf)""")
+def k20_chances_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances and re-anchored forecasts from SQL alone, by the functions that the library registers."""
+    register(spark)
+    out = spark.sql("""SELECT index_id, 1 - probability_below(p0, prices) AS p_up, probability_below(0.8D * p0, prices) AS p_bear, normal_cdf(mu / sigma) AS p_up_normal, re_anchored(mu, lam_used, p0, 1.1D * p0) AS mu_higher, clipped(mu, -0.05D, 0.05D) AS mu_held
+        FROM (SELECT *, transform(z, v -> p0 * exp(mu + sigma * v)) AS prices FROM {leaf})""", leaf=leaf(spark, sf_dir))
+    return shown(out, "index_id p_up p_bear p_up_normal mu_higher mu_held")
+
+
 @query(LEAF + f" SELECT index_id, step::BIGINT AS step, {', '.join(f'round(100 * (exp(mu * step / 12 + sigma * z[{i + 1}] * sqrt(step / 12.0::DOUBLE)) - 1), 6) AS {n}' for n, i in _LEVELS)} FROM lf {_FAN}")
 def k23_market_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(dist.fan(leaf(spark, sf_dir), 12).withColumns({n: 100 * (F.col(n) / F.col("p0") - 1) for n, _ in _LEVELS}), "index_id step q05 q25 q50 q75 q95")
@@ -390,13 +428,6 @@ def k03_re_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("index_id", "move", F.round("mu_live", 6).alias("mu_live"), F.round("price_q50", 4).alias("median"), F.round("price_q05", 4).alias("low"))
 
 
-def interp_sql(x: str) -> str:
-    """P(price below x) with levels p (19 prices) of the row."""
-    g = "(0.05 * {i})"
-    i = f"len(list_filter(p, lambda v: v <= {x}))"
-    return f"(CASE WHEN {x} <= p[1] THEN 0.05 WHEN {x} >= p[19] THEN 0.95 ELSE {g.format(i=i)} + ({x} - p[{i}]) / (p[{i} + 1] - p[{i}]) * 0.05 END)"
-
-
 @query(LEAF + f""" SELECT index_id, round(exp(mu + sigma * z[1]) - 1, 6) AS var5, round((exp(mu + sigma * zt[1]) + exp(mu + sigma * zt[2]) + exp(mu + sigma * z[1])) / 3 - 1, 6) AS es, round(1 - {interp_sql('p0')}, 6) AS p_up, round(1 - {interp_sql('(1.1 * p0)')}, 6) AS p_up10,
     round({interp_sql('(0.9 * p0)')}, 6) AS p_down10, round({interp_sql('(0.8 * p0)')}, 6) AS p_bear, round({interp_sql(f'(p0 * exp({BOND}::DOUBLE))')}, 6) AS p_under_bond FROM (SELECT *, list_transform(z, lambda v: p0 * exp(mu + sigma * v)) AS p FROM lf)""")
 def k20_risk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,25 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_days(df: DataFrame, path: str, day: str = "ingest_date") -> None:
+    """Parquet in a folder per day; days that df has are replaced as a whole, all others stay, so a run of one day may be repeated."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, upto: str | None = None, only: str | None = None, day: str = "ingest_date") -> DataFrame:
+    """What was written by write_days: all days, those up to a day, or one; others' folders aren't read."""
+    df = spark.read.parquet(path)
+    if only is not None:
+        return df.where(F.col(day) == F.lit(only).cast("date"))
+    return df if upto is None else df.where(F.col(day) <= F.lit(upto).cast("date"))
+
+
+def as_ingested(days: DataFrame, keys: list[str], day: str = "ingest_date") -> DataFrame:
+    """Of rows that came again on a later day, the last ones."""
+    rest = [c for c in days.columns if c not in (*keys, day)]
+    return days.groupBy(*keys).agg(F.max(day).alias(day), F.max_by(F.struct(*rest), day).alias("_r")).select(*keys, day, "_r.*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV with a header, dates as ISO; null is empty."""
     df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
