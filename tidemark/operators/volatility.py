@@ -135,25 +135,28 @@ FITS = "index_id string, at long, omega double, alpha double, beta double, last
 def garch_fits(returns: DataFrame, refit: int = REFIT) -> DataFrame:
     """index_id, at, omega, alpha, beta, last: a fit on all returns known at each refit row; null where a fit fails.
 
-    A refit's history is a slice of its series' returns, and refits are dealt over all tasks, so one long series uses the whole cluster.
+    A series goes once to each of as many groups as there are task slots, twice over; a group fits at every so many-th refit row, so its work is like the
+    others', and one long series uses the whole cluster.
     """
+    groups = returns.sparkSession.sparkContext.defaultParallelism * 2
     series = returns.groupBy("index_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "r"))).alias("rows"), F.max("pos").cast("long").alias("end"))
-    at = F.explode(F.filter(F.sequence(F.lit(MIN_HISTORY).cast("long"), F.greatest("end", F.lit(MIN_HISTORY).cast("long"))), lambda t: (t <= F.col("end")) & ((t == MIN_HISTORY) | (t % refit == 0))))
-    jobs = series.select("index_id", "rows", at.alias("at"))
-    known = F.transform(F.filter("rows", lambda x: (x["pos"] <= F.col("at")) & x["r"].isNotNull()), lambda x: x["r"] * 100)
-    jobs = jobs.select("index_id", "at", known.alias("r"))
-    jobs = jobs.repartition(returns.sparkSession.sparkContext.defaultParallelism * 2, "index_id", "at")
+    jobs = series.where(F.col("end") >= MIN_HISTORY).select("index_id", "rows", "end", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    jobs = jobs.repartition(groups, "group", "index_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for jobs in batches:
             out = []
-            for index_id, at, r in zip(jobs["index_id"], jobs["at"], jobs["r"]):
-                try:
-                    omega, alpha, beta, last = fit_garch(np.asarray(r, dtype=float))
-                    found = (omega / 1e4, alpha, beta, last / 1e4) if np.isfinite([omega, alpha, beta, last]).all() else (None,) * 4
-                except ValueError:
-                    found = (None,) * 4
-                out.append((index_id, at, *found))
+            for index_id, rows, end, group in zip(jobs["index_id"], jobs["rows"], jobs["end"], jobs["group"]):
+                pos, r = np.array([x["pos"] for x in rows]), np.array([np.nan if x["r"] is None else x["r"] for x in rows], dtype=float) * 100
+                refits = [t for t in range(MIN_HISTORY, end + 1) if t == MIN_HISTORY or t % refit == 0]
+                for at in refits[group::groups]:
+                    known = r[: np.searchsorted(pos, at, "right")]
+                    try:
+                        omega, alpha, beta, last = fit_garch(known[~np.isnan(known)])
+                        found = (omega / 1e4, alpha, beta, last / 1e4) if np.isfinite([omega, alpha, beta, last]).all() else (None,) * 4
+                    except ValueError:
+                        found = (None,) * 4
+                    out.append((index_id, at, *found))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FITS.split(", ")])
 
     return jobs.mapInPandas(run, FITS)
