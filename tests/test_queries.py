@@ -39,7 +39,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_without_sql_is_tested_elsewhere():
     assert set(QUERIES) - set(ORACLES) == {
-        "a14_forecast_document", "d14_coefficients", "d20_block_bootstrap", "e15_garch", "e22_multi_horizon_garch", "e27_kitchen_sink", "k11_implied_against_garch", "k12_macro_question_garch",
+        "a14_forecast_document", "d14_coefficients", "d20_block_bootstrap", "e15_garch", "e22_multi_horizon_garch", "e27_kitchen_sink", "i06_stream_garch", "k11_implied_against_garch", "k12_macro_question_garch",
         "k13_point_leaderboard_all", "k14_distribution_leaderboard_garch", "k16_elastic_net", "k30_predictive_quantiles", "k31_common_window_garch",
     }
 

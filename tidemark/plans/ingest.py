@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import available, half_even, month_of_float, named, number
 from ..operators import series
+from ..sources.chunked import read_chunks
 from ..sources.tables import as_ingested, kept, latest_version, read_days, shared_dir, table, write_days
 from .panel import BASE, day_prices, prices, shipments, sql
 from .registry import query
@@ -16,6 +19,7 @@ from .shown import picked, shown
 
 TARGETS = (("1996-03-10", "first"), ("1998-07-01", "middle"), ("2000-02-29", "leap"), ("2030-01-01", "after"))
 ASOF = ("2001-09-30", "2002-09-30")
+_CHUNK_DAYS, _TRAILING = 8, 5
 
 
 @query("""WITH c AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 3 THEN 'junk' WHEN n_nationkey = 3 THEN ' Date ' ELSE (1990 + n_nationkey)::VARCHAR || '.' || lpad((n_nationkey % 14)::VARCHAR, 2, '0') END AS c0,
@@ -145,6 +149,23 @@ def b15_named_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", named(F.col("event_type"), {"click": "bullish", "error": "bearish"}, F.concat(F.lit("neutral: "), F.col("event_type"))).alias("direction"), "mean")
 
 
+@query(f"""WITH d AS (SELECT event_type AS series_id, ts::DATE AS date, round(sum(value), 6) AS value FROM events GROUP BY 1, 2), b AS (SELECT min(date) AS lo FROM d)
+    SELECT series_id, date, value FROM d CROSS JOIN b WHERE date >= lo + 10""")
+def a01_landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily series landed as a file per series and eight days, read back side by side from the tenth day on; files before that aren't opened."""
+    e = table(spark, sf_dir, "events")
+    lo = e.agg(F.to_date(F.min("ts")).alias("d")).first().d
+    day = F.to_date("ts")
+    chunk = F.date_add(F.lit(lo), (F.floor(F.datediff(day, F.lit(lo)) / _CHUNK_DAYS) * _CHUNK_DAYS).cast("int"))
+    d = e.groupBy(F.col("event_type").alias("series_id"), day.alias("date")).agg(F.round(F.sum("value"), 6).alias("value"), F.first(chunk).alias("since"))
+    at = f"{shared_dir(spark)}/kept/{spark.sparkContext.applicationId}/chunks-{uuid.uuid4().hex}"
+    d.repartition("series_id", "since").write.partitionBy("series_id", "since").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(at)
+    landed = [(*re.search("series_id=([^/]+)/since=([^/]+)/", f).groups(), f) for f in spark.read.text(at).inputFiles()]
+    files = [(s, since, str(dt.date.fromisoformat(since) + dt.timedelta(_CHUNK_DAYS - 1)), f) for s, since, f in landed]
+    rows = read_chunks(spark, files).where(F.col("date") >= F.lit(lo + dt.timedelta(10)))
+    return series.from_chunks(rows.select("series_id", "since", "until", "date", number(F.col("raw_value")).alias("value"))).select("series_id", "date", "value")
+
+
 _LATE = "1998-06-30"
 
 
@@ -165,9 +186,6 @@ def a05_ingest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("ingest_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
-_CHUNK_DAYS, _TRAILING = 8, 5
-
-
 @query(f"""WITH d AS (SELECT event_type AS series_id, ts::DATE AS date, round(sum(value), 6) AS value FROM events GROUP BY 1, 2), b AS (SELECT min(date) AS lo, max(date) AS hi FROM d)
     SELECT series_id, date, value FROM d CROSS JOIN b WHERE series_id <> 'error' OR date > hi - {_TRAILING}""")
 def a06_chunked_series(spark: SparkSession, sf_dir: str) -> DataFrame:

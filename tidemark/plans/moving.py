@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import features as feat
 from ..operators import macro, scores, walk
 from ..sources.tables import kept, table
-from ..streaming import live
-from .panel import BASE, panel, sql, walk_sql
+from ..operators.volatility import garch_fits
+from ..streaming import garch, live
+from .panel import BASE, features, panel, sql, walk_sql
 from .point import _MACRO, MACRO_SPEC, SINCE
 from .registry import query
 from .shown import shown
@@ -48,6 +49,19 @@ def i04_provisional_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(newest.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "series_id hour n total last provisional")
 
 
+@query()
+def i06_stream_garch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variance after each return, streamed from stored fits; parameters come along every 120 rows."""
+    f = kept(features(spark, sf_dir).select("index_id", F.col("pos").cast("long").alias("pos"), "r"))
+    fits = kept(garch_fits(f, refit=120).where("omega IS NOT NULL"))
+    null = F.lit(None).cast("double")
+    ticks = f.join(fits.groupBy("index_id").agg(F.min("at").alias("_from")), "index_id").where("pos >= _from").select("index_id", "pos", "r", *[null.alias(c) for c in ("omega", "alpha", "beta", "last")])
+    ticks = kept(ticks.unionByName(fits.select("index_id", F.col("at").alias("pos"), null.alias("r"), "omega", "alpha", "beta", "last")), parts=1)
+    with garch.stateful(spark):
+        got = live.finished(garch.garch_stream(spark.readStream.schema(ticks.schema).parquet(ticks.inputFiles()[0].rsplit("/", 1)[0])), "update")
+    return shown(got.where("NOT asks"), "index_id pos v n")
+
+
 PUBLISHED = {"view": 1, "click": 2, "purchase": 3}
 
 

@@ -6,12 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import number, present
+from .chunked import failures, read_chunks
 
 #: Explicit schemas of the monthly tables; nothing is inferred.
 VALUATION = T.StructType([T.StructField("date", T.DateType()), *[T.StructField(c, T.DoubleType()) for c in "P D E CPI GS10 real_P real_D real_E E10 CAPE".split()]])
@@ -63,19 +63,14 @@ def read_series_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_all_series(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """series_id, date, value of every file by name. All are tried before it fails, with the names of those that can't be read or have no value."""
-    out, failed = None, {}
-    for name, path in paths.items():
-        try:
-            one = read_series_csv(spark, path).withColumn("series_id", F.lit(name))
-            require(one, F.count("value") > 0, "no values")
-        except (AnalysisException, ValueError) as e:
-            failed[name] = str(e).splitlines()[0]
-            continue
-        out = one if out is None else out.unionByName(one)
-    if failed or out is None:
+    """series_id, date, value of every file by name, read side by side. All are tried before it fails, with the names of those that can't be read or have no value."""
+    rows = read_chunks(spark, [(name, None, None, path) for name, path in paths.items()]).withColumn("value", number(F.col("raw_value")))
+    failed = failures(rows) if paths else {"none": "no files"}
+    missing = set(paths) - {r.series_id for r in rows.select("series_id").distinct().collect()} if paths and not failed else set()
+    failed |= {name: "no values" for name in sorted(missing)}
+    if failed:
         raise ValueError("series failed: " + "; ".join(f"{k}: {v}" for k, v in failed.items()))
-    return out
+    return rows.where("error IS NULL").select("series_id", "date", "value")
 
 
 def isolated(primary: DataFrame, others: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
