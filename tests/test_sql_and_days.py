@@ -56,3 +56,27 @@ def test_short_and_empty_series(spark, rows):
     assert scores.hac(f, F.lit(1.0), F.col("realized"), ["index_id"], "pos").where("t IS NOT NULL").count() == 0
     q = f.withColumns({"quant": F.array(*[F.lit(0.0)] * 19), "pit": F.lit(0.5)})
     assert scores.calibration(q, ["index_id"]).count() == scores.calibration_by_window(q.withColumn("all", F.lit(True)), ["index_id"], "all").where("window = 'own'").count() == (rows > 0)
+
+
+def test_history_checks_name_all_that_fail(spark):
+    rows = [(f"2000-{m:02d}-28", float(m)) for m in range(1, 13) if m != 7]
+    df = spark.createDataFrame(rows, "d string, v double").withColumn("d", F.col("d").cast("date"))
+    checks = tables.history_checks("d", "v", "2000-01-28", {"2000-03-31": (2.9, 3.1), "2000-05-31": (6.0, 7.0), "2000-07-31": (0.0, 99.0)}, 1999)
+    got = {r.name: r.ok for r in tables.checked(df, checks).collect()}
+    assert got == {"no month missing": False, "first day": True, "value of 2000-03": True, "value of 2000-05": False, "value of 2000-07": False, "starts by 1999": False}
+    with pytest.raises(ValueError, match="no month missing; starts by 1999; value of 2000-05; value of 2000-07"):
+        tables.require_all(tables.checked(df, checks))
+    whole = df.unionByName(spark.sql("SELECT DATE '2000-07-01' AS d, 7D AS v"))
+    good = {k: c for k, c in checks.items() if k not in ("value of 2000-05", "starts by 1999")}
+    assert tables.require_all(tables.checked(whole, good)).count() == 4
+    assert {r.ok for r in tables.checked(df.limit(0), checks).collect()} == {False}
+
+
+def test_common_horizon_and_variants(spark):
+    from tidemark.operators import document
+
+    leaves = spark.createDataFrame([("a", "3mo"), ("a", "12mo"), ("a", "36mo"), ("b", "3mo"), ("b", "12mo")], "index_id string, horizon string")
+    asked = spark.createDataFrame([("3mo",), ("36mo",), ("9mo",)], "asked string")
+    assert {(r.asked, r.horizon) for r in document.common_horizon(leaves, asked).collect()} == {("3mo", "3mo"), ("36mo", "12mo"), ("9mo", "12mo")}
+    v = spark.createDataFrame([(True, "long-run"), (False, "long-run"), (False, "core"), (None, "core")], "n boolean, tier string").select(document.variant(F.col("n"), F.col("tier")).alias("v")).collect()
+    assert [r.v for r in v] == ["neutral", "long-run", "plain", "plain"]

@@ -80,3 +80,29 @@ def older_document(leaves: DataFrame, horizon: str = "12mo") -> DataFrame:
     """index_id, document: the older schema, one leaf at the top, a document for each index."""
     return leaves.where(F.col("horizon") == horizon).select("index_id", F.to_json(F.struct(F.col("asof").cast("string").alias("asof"), F.col("p0").alias("spot"), "p0", "mu", "sigma")).alias("document"))
 
+
+
+def common_horizon(leaves: DataFrame, asked: DataFrame, default: str = "12mo") -> DataFrame:
+    """asked (asked: a horizon, a row each) with `horizon`: the asked one where every index of leaves has it, else the default."""
+    of = leaves.agg(F.count_distinct("index_id").alias("_all"))  # one row
+    have = leaves.groupBy("horizon").agg(F.count_distinct("index_id").alias("_n"))  # a row per horizon
+    every = have.join(F.broadcast(of)).where(F.col("_n") == F.col("_all")).select(F.col("horizon").alias("asked"), F.lit(True).alias("_ok"))
+    return asked.join(F.broadcast(every), "asked", "left").select("asked", F.when(F.col("_ok"), F.col("asked")).otherwise(default).alias("horizon"))
+
+
+def variant(neutral: Column, tier: Column) -> Column:
+    """What a headline says: neutral for an index without an anchor, long-run for far horizons, else plain."""
+    return F.when(neutral, "neutral").when(tier == "long-run", "long-run").otherwise("plain")
+
+
+def headline(leaves: DataFrame, neutral: Column) -> DataFrame:
+    """index_id, horizon, variant and line: prices and returns of the median and both ranges; for far horizons the return a year and how many windows there were."""
+    price = lambda n: F.col("p0") * F.exp(F.col("mu") + F.col("sigma") * F.get("z", F.lit(FAN[n])))
+    pct = lambda n: 100 * (price(n) / F.col("p0") - 1)
+    windows = F.greatest(F.lit(1).cast("long"), F.floor(F.col("pool") / F.col("horizon_months")).cast("long"))
+    which = variant(neutral, F.col("tier"))
+    ranges = [price("q05"), price("q95"), price("q25"), price("q75")]
+    plain = F.format_string("%s %s: %.0f to %.0f (%+.1f%%), 90%% %.0f to %.0f, 50%% %.0f to %.0f", "index_id", "horizon", "p0", price("q50"), pct("q50"), *ranges)
+    far = F.format_string("%s %s: %+.1f%% a year, %+.1f%% in all, from %d windows", "index_id", "horizon", 100 * (F.exp(F.col("mu") / F.col("years")) - 1), pct("q50"), windows)
+    without = F.format_string("%s %s, no anchor: %+.1f%% (%+.1f%% to %+.1f%%)", "index_id", "horizon", pct("q50"), pct("q05"), pct("q95"))
+    return leaves.select("index_id", "horizon", which.alias("variant"), F.when(which == "neutral", without).when(which == "long-run", far).otherwise(plain).alias("line"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import available, half_even, month_of_float, named, number
 from ..operators import series
 from ..sources.chunked import read_chunks
-from ..sources.tables import as_ingested, kept, latest_version, read_days, shared_dir, table, write_days
+from ..sources.tables import as_ingested, checked, history_checks, kept, latest_version, read_days, shared_dir, table, write_days
 from .panel import BASE, day_prices, prices, shipments, sql
 from .registry import query
 from .shown import picked, shown
@@ -143,6 +143,18 @@ def b13_eras_and_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BOUNDS = {"1995-01-31": (140_000.0, 160_000.0), "2000-01-31": (150_000.0, 150_100.0)}
+_VALUE_SQL = "avg(CASE WHEN last_day(date) = DATE '{0}' THEN p END) BETWEEN {1!r} AND {2!r}"
+
+
+@query(sql(BASE, f"""ck AS (SELECT index_id, count(DISTINCT year(date) * 12 + month(date)) = max(year(date) * 12 + month(date)) - min(year(date) * 12 + month(date)) + 1 AS a, min(date) = DATE '1995-01-01' AS b,
+    {', '.join(f'{_VALUE_SQL.format(d, lo, hi)} AS v{i}' for i, (d, (lo, hi)) in enumerate(_BOUNDS.items()))}, min(year(date)) <= 1995 AS e FROM px GROUP BY 1)""")
+    + " UNION ALL ".join(f" SELECT index_id, '{n}' AS name, coalesce({c}, false) AS ok FROM ck" for n, c in (("no month missing", "a"), ("first day", "b"), *((f"value of {d[:7]}", f"v{i}") for i, d in enumerate(_BOUNDS)), ("starts by 1995", "e"))))
+def b07_history_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five checks of a landed history, for each index."""
+    return checked(prices(spark, sf_dir), history_checks("date", "p", "1995-01-01", _BOUNDS, 1995), ("index_id",))
+
+
 @query("SELECT event_type, CASE event_type WHEN 'click' THEN 'bullish' WHEN 'error' THEN 'bearish' ELSE 'neutral: ' || event_type END AS direction, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def b15_named_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))

@@ -527,3 +527,33 @@ def k07_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What growth and valuation add a year; a forecast whose parts don't add up to it fails the query."""
     f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
     return shown(document.decomposed(all_leaves(f)), "index_id horizon growth_pct valuation_pct total_pct")
+
+
+_LEAVES_SQL = "lz AS (" + " UNION ALL ".join(f"SELECT index_id, '{k}' AS horizon, {horizon(k).steps} AS steps, {horizon(k).years!r}::DOUBLE AS years, '{horizon(k).tier}' AS tier, p0, mu, sigma, z, pool FROM lf{k}" for k in _KEYS) + ")"
+_PRICE = "p0 * exp(mu + sigma * z[{}])"
+_PCT = "100 * (exp(mu + sigma * z[{}]) - 1)"
+
+
+@query(sql(BASE, VOL_SQL, *_NINE, _LEAVES_SQL) + f""" SELECT index_id, horizon, CASE WHEN index_id = 'side' THEN 'neutral' WHEN tier = 'long-run' THEN 'long-run' ELSE 'plain' END AS variant,
+    CASE WHEN index_id = 'side' THEN printf('%s %s, no anchor: %+.1f%% (%+.1f%% to %+.1f%%)', index_id, horizon, {_PCT.format(10)}, {_PCT.format(1)}, {_PCT.format(19)})
+    WHEN tier = 'long-run' THEN printf('%s %s: %+.1f%% a year, %+.1f%% in all, from %d windows', index_id, horizon, 100 * (exp(mu / years) - 1), {_PCT.format(10)}, greatest(1, pool // steps)::BIGINT)
+    ELSE printf('%s %s: %.0f to %.0f (%+.1f%%), 90%% %.0f to %.0f, 50%% %.0f to %.0f', index_id, horizon, p0, {_PRICE.format(10)}, {_PCT.format(10)}, {_PRICE.format(1)}, {_PRICE.format(19)}, {_PRICE.format(5)}, {_PRICE.format(15)}) END AS line FROM lz""")
+def k32_headline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of every index and horizon, worded by index and tier."""
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    return document.headline(all_leaves(f), F.col("index_id") == "side")
+
+
+_COMPARED, _LEAST_WINDOWS = ("3mo", "36mo", "120mo"), 20
+
+
+@query(sql(BASE, VOL_SQL, *_NINE, _LEAVES_SQL, f"""hv AS (SELECT * FROM lz WHERE pool // steps >= {_LEAST_WINDOWS}), al AS (SELECT horizon FROM hv GROUP BY 1 HAVING count(DISTINCT index_id) = (SELECT count(DISTINCT index_id) FROM hv)),
+    ak AS (SELECT asked, CASE WHEN asked IN (SELECT horizon FROM al) THEN asked ELSE '12mo' END AS horizon FROM (VALUES {', '.join(f"('{k}')" for k in _COMPARED)}) v(asked))""")
+    + f" SELECT asked, horizon, index_id, step::BIGINT AS step, {', '.join(f'round(100 * (exp(mu * step / steps + sigma * z[{i + 1}] * sqrt(step / steps::DOUBLE)) - 1), 6) AS {n}' for n, i in _LEVELS)} FROM ak JOIN hv USING (horizon) CROSS JOIN LATERAL (SELECT unnest(generate_series(1, steps)) AS step) s")
+def k23_common_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both markets' fans in per cent of spot at the asked horizon where both have one resting on enough windows, else at twelve months."""
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)))
+    x = kept(all_leaves(f).where(F.floor(F.col("pool") / F.col("horizon_months")) >= _LEAST_WINDOWS))
+    asked = x.agg(F.explode(F.array(*map(F.lit, _COMPARED))).alias("asked"))
+    out = dist.fan(document.common_horizon(x, asked).join(x, "horizon"), F.col("horizon_months"))
+    return shown(out.withColumns({n: 100 * (F.col(n) / F.col("p0") - 1) for n, _ in _LEVELS}), "asked horizon index_id step q05 q25 q50 q75 q95")

@@ -101,6 +101,35 @@ def require(df: DataFrame, condition: Column, message: str) -> None:
         raise ValueError(message)
 
 
+def checked(df: DataFrame, checks: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row per check (and key): whether its aggregate condition over df holds; unknown is no. All checks are one pass."""
+    a = df.groupBy(*keys).agg(*[F.coalesce(c, F.lit(False)).alias(f"_c{i}") for i, c in enumerate(checks.values())])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_c{i}").alias("ok")) for i, n in enumerate(checks)]))
+    return a.select(*keys, each.alias("_x")).select(*keys, "_x.*")
+
+
+def history_checks(date: str, value: str, first: str, at: dict[str, tuple[float, float]], by_year: int) -> dict[str, Column]:
+    """The checks of a monthly history: no month without a row, the first day, values of given months within bounds, and a start early enough.
+
+    The months of one history are counted by differences alone, so nothing is joined.
+    """
+    day = lambda text: F.lit(text).cast("date")
+    month = F.year(date) * 12 + F.month(date)
+    value_of = lambda text: F.avg(F.when(F.last_day(date) == F.last_day(day(text)), F.col(value)))
+    return {
+        "no month missing": F.count_distinct(month) == F.max(month) - F.min(month) + 1, "first day": F.min(date) == day(first),
+        **{f"value of {text[:7]}": value_of(text).between(low, high) for text, (low, high) in at.items()}, f"starts by {by_year}": F.min(F.year(date)) <= by_year,
+    }
+
+
+def require_all(found: DataFrame) -> DataFrame:
+    """checked()'s rows; fails with the names of all checks that don't hold."""
+    failed = [" ".join(str(v) for v in r[:-1]) for r in found.where("NOT ok").collect()]
+    if failed:
+        raise ValueError("checks failed: " + "; ".join(sorted(failed)))
+    return found
+
+
 def read_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A nested JSON document as one row."""
     r = spark.read.option("multiLine", True)
