@@ -119,6 +119,12 @@ def neutral_walk(features: DataFrame, h: Horizon, min_train: int = MIN_TRAIN) ->
     return positioned(f.where("realized IS NOT NULL AND mu IS NOT NULL"), "pos", name="opos")
 
 
+def neutral_live(features: DataFrame, h: Horizon) -> DataFrame:
+    """The forecast at each series' last row without an anchor: mu, the mean of all outcomes, and p0."""
+    f = features.withColumn("fwd", F.lead("log_p", h.steps).over(ordered()) - F.col("log_p"))
+    return f.groupBy("index_id").agg(F.avg("fwd").alias("mu"), F.exp(F.max_by("log_p", "pos")).alias("p0"))
+
+
 def policies(origins: DataFrame) -> DataFrame:
     """index_id, date, pos, policy, fc, realized: a row per origin and policy."""
     x = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(f"fc_{p}").alias("fc")) for p in POLICIES]))

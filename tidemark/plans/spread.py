@@ -557,3 +557,41 @@ def k23_common_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = x.agg(F.explode(F.array(*map(F.lit, _COMPARED))).alias("asked"))
     out = dist.fan(document.common_horizon(x, asked).join(x, "horizon"), F.col("horizon_months"))
     return shown(out.withColumns({n: 100 * (F.col(n) / F.col("p0") - 1) for n, _ in _LEVELS}), "asked horizon index_id step q05 q25 q50 q75 q95")
+
+
+_SIDE_CASES = (("1998-02-28", "rise"), ("2000-03-31", "peak"), ("2001-04-30", "trough"))
+_SIDE_H = horizon("6mo")
+
+
+def _parts_sql(source: str, names: str, part: str, of: str, where: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {of} AS item, '{n}' AS name, round({n}, 6) AS value FROM {source} {where}" for n in names.split())
+
+
+@query(sql(BASE, _TWO_SQL, _NEUTRAL, fhs_sql(_SIDE_H, og="nw", mu="fc", name="fh"),
+    "sd AS (SELECT * FROM fh WHERE index_id = 'side' AND model = 'ewma')",
+    """tr AS (SELECT index_id, pos, log_p, count(log_p) OVER w = 240 AS filled, regr_slope(log_p, pos) OVER w AS b, regr_intercept(log_p, pos) OVER w AS a FROM ft WHERE index_id = 'side' WINDOW w AS (PARTITION BY index_id ORDER BY pos ROWS BETWEEN 239 PRECEDING AND CURRENT ROW)),
+    tf AS (SELECT arg_max(a + b * pos, pos) AS trend, 12 * arg_max(b, pos) AS trend_growth, arg_max(a + b * pos - log_p, pos) AS trend_gap FROM tr WHERE filled)""",
+    f"""le AS (SELECT (SELECT avg(realized) FROM nw_a WHERE index_id = 'side') AS mu, (SELECT exp(arg_max(log_p, pos)) FROM ft WHERE index_id = 'side') AS p0, sqrt(avg(CASE WHEN raw IS NOT NULL THEN resid * resid END) / avg(raw * raw)) * sqrt({_SIDE_H.steps} * (SELECT arg_max(v, pos) FROM ew WHERE index_id = 'side' AND v IS NOT NULL)) AS sigma FROM sd)""",
+    """hs AS (SELECT *, quant[1] AS q05, quant[10] AS q50, quant[19] AS q95 FROM (SELECT *, row_number() OVER (PARTITION BY year(date) ORDER BY date) AS first FROM sd WHERE quant IS NOT NULL) WHERE first = 1)""",
+    f"""cs AS (SELECT label, arg_min(realized, (abs(date - target), date)) AS realized, arg_min(quant, (abs(date - target), date))[10] AS q50 FROM (VALUES {', '.join(f"(DATE '{d}', '{n}')" for d, n in _SIDE_CASES)}) t(target, label) CROSS JOIN (SELECT * FROM sd WHERE quant IS NOT NULL) GROUP BY 1)""")
+    + " " + " UNION ALL ".join([_parts_sql("tf", "trend trend_growth trend_gap", "feature", "'now'"), _parts_sql("le", "mu p0 sigma", "leaf", "'6mo'"), _parts_sql("hs", "realized q05 q50 q95", "history", "date::VARCHAR"), _parts_sql("cs", "realized q50", "case", "label")]))
+def k26_second_index_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is shown of the second index, a row per part, item and name: trend features instead of an anchor, the leaf around the mean outcome, history and cases."""
+    h = _SIDE_H
+    f = kept(with_variances(features(spark, sf_dir), ("ewma",)).where("index_id = 'side'"))
+    v = variances(f, ("ewma",))
+    rows = kept(levels(dist.simulated(dist.level_calibrated(dist.residuals(walk.neutral_walk(f, h), v, h, "mu"), h), h)))
+    trend = feat.rolling_trend(f).where("trend IS NOT NULL").groupBy("index_id").agg(*[F.max_by(c, "pos").alias(c) for c in ("trend", "trend_growth", "trend_gap")])
+    now = walk.neutral_live(f, h).join(dist.live_sigma(rows, v, h), "index_id")
+    known = rows.where("quant IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("index_id", F.year("date")).orderBy("date"))
+    past = known.withColumn("_f", first).where("_f = 1")
+    cases = series.nearest(known.select("date", "realized", "q50"), _SIDE_CASES)
+
+    def part(df: DataFrame, name: str, item, names: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names.split()]))
+        return df.select(F.lit(name).alias("part"), item.alias("item"), each.alias("x")).select("part", "item", "x.*")
+
+    out = part(trend, "feature", F.lit("now"), "trend trend_growth trend_gap").unionByName(part(now, "leaf", F.lit(h.key), "mu p0 sigma"))
+    out = out.unionByName(part(past, "history", F.col("date").cast("string"), "realized q05 q50 q95")).unionByName(part(cases, "case", F.col("label"), "realized q50"))
+    return shown(out, "part item name value")
