@@ -178,3 +178,63 @@ def test_the_grammar_decides_after_training(spark):
     assert set(m.words) == {"zorgy"}
     assert p("you are zorgy today") > p("what is zorgy") > p("he said that you are zorgy") > p("you are not zorgy today") > p("nothing here")
     assert p("what is zorgy") >= 0.5 > p("you are not zorgy today")
+
+
+def plain_counts(rows):
+    """Per entry: ids of toxic documents, their different texts, ids of others."""
+    import collections
+
+    import xxhash
+
+    pos, texts, neg = (collections.defaultdict(set) for _ in range(3))
+    part = {}
+    for doc_id, text, y in rows:
+        w = x.LETTERS.findall(text.lower())
+        own = min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=1 << 63) - (1 << 63)
+        part[doc_id] = own % x.PARTS
+        for e in {("w", z) for z in w} | {("b", z[:k]) for z in w for k in x.BEGINNINGS if len(z) >= k}:
+            (pos if y else neg)[e].add(doc_id)
+            if y:
+                texts[e].add(own)
+    return pos, texts, neg, part
+
+
+def plain_entries(rows):
+    import math
+
+    pos, texts, neg, _ = plain_counts(rows)
+    n, bad = len(rows), sum(y for *_, y in rows)
+    known = [e for e in pos if len(pos[e]) >= x.LEAST_SUPPORT]
+    support = max(x.LEAST_SUPPORT, math.ceil((math.log(max(1, len(known))) + 3) / math.log(n / bad)))
+    odds = {e: math.log((len(pos[e]) + 0.5) / (bad + 1)) - math.log((len(neg[e]) + 0.5) / (n - bad + 1)) for e in known if len(texts[e]) >= support}
+    odds = {e: o for e, o in odds.items() if o >= x.LEAST_ODDS}
+    words, begins = {z: o for (k, z), o in odds.items() if k == "w"}, {}
+    for z in sorted((z for k, z in odds if k == "b"), key=len):
+        inner = [e for e in odds if e[1].startswith(z) and (len(e[1]) > len(z) or e[0] == "w")]
+        if all(len(pos[e]) < 0.9 * len(pos["b", z]) for e in inner) and not any(z.startswith(b) for b in begins):
+            begins[z] = odds["b", z]
+    return words, begins
+
+
+def test_entries_and_calibration_against_plain_counts(spark):
+    """The lexicon of the labelled rows, and the logistic on totals that each part gets from the others' lexicon."""
+    d, lab = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    sample = drawn(d, lab, "toxic", x.SAMPLE, ~fold(5))
+    rows = [tuple(r) for r in sample.collect()]
+    words, begins = plain_entries(rows)
+    m = x.train(sample)
+    assert m.words == pytest.approx(words) and m.beginnings == pytest.approx(begins) and words
+    part, got = plain_counts(rows)[3], []
+    for k in range(x.PARTS):
+        s = x.Scanner(*plain_entries([r for r in rows if part[r[0]] != k]))
+        got += [(s.document(t)[0], y) for i, t, y in rows if part[i] == k]
+    total, y = x.np.array([g[0] for g in sorted(got)]), x.np.array([g[1] for g in sorted(got)])
+    a, b = x.logistic(x.np.log1p(total), y)
+    assert m.ab == pytest.approx((a, b), rel=1e-6)
+
+
+def test_held_out_of_the_large_table(spark):
+    d, lab = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    r = x.predict(d, x.model_for(d, lab), fold(5)).where("held_out").join(lab.where("toxic IS NOT NULL"), "doc_id").collect()
+    bad = [z.predicted for z in r if z.toxic == 1]
+    assert len(bad) > 90 and sum(bad) >= 0.9 * len(bad) and not any(z.predicted for z in r if z.toxic == 0)

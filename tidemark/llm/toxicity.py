@@ -17,7 +17,8 @@ The insult lexicon is learned from labels: words of any length, and beginnings o
 log-odds between toxic and other documents reach LEAST_ODDS and that stand in enough different toxic texts (how many
 depends on how many words could reach it by chance). Texts are told apart by the least hash of their runs of 3 words,
 which copies share and most near copies too, so these don't count as evidence. The sample is
-SAMPLE labelled documents at most, about, with their whole texts.
+SAMPLE labelled documents at most, about, with their whole texts. The logistic is fitted on sums that each text gets from entries
+learned without its own part of the sample (PARTS parts; copies, and most near copies, share one).
 
 Null and empty texts have no clause and get the score of a text without matches. Without toxic labels nothing is learned, and
 the fixed word lists remain. Repeated rows each return a row; an empty table gives no rows; extra
@@ -32,14 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_text_batches, saved, table
+from .common import in_text_batches, saved, table, written
 from .labelled import chance, drawn, fold, logistic
 
 SAMPLE = 6000
 CUT = 0.5
+#: Parts of the sample; a part's totals, which calibrate scores, come from what the others teach.
+PARTS = 5
 LEAST_ODDS, LEAST_SUPPORT = 3.0, 4
 BEGINNINGS = (4, 5, 6, 7)
 #: The weight of a word of the fixed lists, and what multiplies weights: aimed at a target, negated, reported.
@@ -197,42 +200,66 @@ class Scanner:
         return total, n
 
 
+def _own(words: list[str]) -> int:
+    """The least hash of a text's runs of three words."""
+    import xxhash
+
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - (1 << 63)
+
+
+def _parted(sample: DataFrame) -> DataFrame:
+    """sample (doc_id, text, y) with `part`, which the text's own hash decides. Bounded by SAMPLE and read several times, so it's written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [LETTERS.findall((t or "").lower()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_own(w) % PARTS if w else 0 for w in words], pa.int32())], names=["doc_id", "text", "y", "part"])
+
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("y").cast("int").alias("y"))
+    return written(in_text_batches(rows).mapInArrow(run, "doc_id long, text string, y int, part int"))
+
+
 def _keys(rows: DataFrame) -> DataFrame:
-    """doc_id, text, kind and e of rows (doc_id, text): each word (w) and beginning (b) of a text once, and the text's own hash.
+    """doc_id, text, part, kind and e of rows (doc_id, text, y, part): each word (w) and beginning (b) of a text once, and the text's own hash.
 
     A task holds one text's distinct words at a time, however long the text is.
     """
-    names = ["doc_id", "text", "kind", "e"]
+    names = ["doc_id", "text", "part", "kind", "e"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = LETTERS.findall(text.lower())
+            for doc_id, text, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = LETTERS.findall((text or "").lower())
                 if words:
-                    own = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - (1 << 63)
                     found = sorted({("w", w) for w in words} | {("b", w[:k]) for w in words for k in BEGINNINGS if len(w) >= k})
                     kinds, keys = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array([own] * len(found), pa.int64()), pa.array(kinds), pa.array(keys)], names=names)
+                    same = [pa.array([v] * len(found), t) for v, t in ((doc_id, pa.int64()), (_own(words), pa.int64()), (part, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(kinds), pa.array(keys)], names=names)
 
-    return in_text_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, text long, kind string, e string")
+    return in_text_batches(rows.select("doc_id", "text", "part")).mapInArrow(run, "doc_id long, text long, part int, kind string, e string")
 
 
-def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of words and of beginnings. Counting is a Spark aggregation; entries of the bounded sample's toxic texts come to the driver."""
-    pos, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+def _counts(parted: DataFrame) -> DataFrame:
+    """kind, e, part, pos (toxic documents with it), texts (different ones) and neg (others with it), for all that LEAST_SUPPORT toxic documents have.
+
+    Copies share a part, so what parts count adds up. As many entries at most as the bounded sample's toxic texts have words.
+    """
+    pos = _keys(parted.where("y = 1")).groupBy("kind", "e", "part").agg(F.countDistinct("doc_id").alias("pos"), F.countDistinct("text").alias("texts"))
+    pos = saved(pos.withColumn("all", F.sum("pos").over(Window.partitionBy("kind", "e"))).where(F.col("all") >= LEAST_SUPPORT).drop("all"))
+    both = pos.groupBy("kind", "e").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= LEAST_SUPPORT).select("kind", "e")
+    neg = _keys(parted.where("y = 0")).join(both, ["kind", "e"]).groupBy("kind", "e", "part").agg(F.countDistinct("doc_id").alias("neg"))
+    return saved(pos.withColumn("neg", F.lit(0).cast("long")).unionByName(neg.withColumns({"pos": F.lit(0).cast("long"), "texts": F.lit(0).cast("long")})))
+
+
+def _entries(counts: DataFrame, pos: int, n: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of words and of beginnings from the counts of n documents, pos of them toxic. What reaches LEAST_ODDS comes to the driver."""
     if not pos or pos == n:
         return {}, {}
-    own = _keys(sample.where("y = 1")).groupBy("kind", "e").agg(F.countDistinct("doc_id").alias("pos"), F.countDistinct("text").alias("texts"))
-    own = saved(own.where(F.col("pos") >= LEAST_SUPPORT))
-    # As many entries at most as the bounded sample's toxic texts have words.
+    own = counts.groupBy("kind", "e").agg(*[F.sum(c).alias(c) for c in ("pos", "texts", "neg")]).where(F.col("pos") >= LEAST_SUPPORT)
     tried = own.count()
     support = max(LEAST_SUPPORT, math.ceil((math.log(max(1, tried)) + 3) / math.log(n / pos)))
-    own = own.where(F.col("texts") >= support)
-    rest = _keys(sample.where("y = 0")).join(F.broadcast(own.select("kind", "e")), ["kind", "e"]).groupBy("kind", "e").agg(F.countDistinct("doc_id").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.coalesce(F.col("neg"), F.lit(0)) + 0.5) / (n - pos + 1))
-    best = own.join(rest, ["kind", "e"], "left").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (n - pos + 1))
+    best = own.where(F.col("texts") >= support).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     best = best.collect()
     words = {r.e: float(r.odds) for r in best if r.kind == "w"}
     # A beginning stands for its words only where none of them, and no longer beginning, has most of its documents.
@@ -245,6 +272,13 @@ def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     return words, beginnings
 
 
+def entries_of(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of words and of beginnings. Counting is a Spark aggregation."""
+    parted = _parted(sample)
+    pos, n = parted.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    return _entries(_counts(parted), pos, n)
+
+
 class Model:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float], ab: tuple[float, float]):
         self.words, self.beginnings, self.ab = words, beginnings, ab
@@ -263,10 +297,15 @@ def _scanned(rows: DataFrame, words: dict, beginnings: dict) -> DataFrame:
 
 
 def train(sample: DataFrame) -> Model:
-    """sample: doc_id, text, y (1: toxic)."""
-    words, beginnings = entries_of(sample)
-    got = _scanned(sample, words, beginnings).toArrow()
-    y, total = got.column("y").to_numpy().astype(int), got.column("total").to_numpy()
+    """sample: doc_id, text, y (1: toxic). All of it teaches the entries; the logistic is fitted on what the other parts' entries make of each text."""
+    parted = _parted(sample)
+    size = {r.part: (r.pos, r.n) for r in parted.groupBy("part").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).collect()}
+    pos, n = (sum(x[i] for x in size.values()) for i in range(2))
+    counts = _counts(parted)
+    words, beginnings = _entries(counts, pos, n)
+    got = [_scanned(parted.where(F.col("part") == k).drop("part"), *_entries(counts.where(F.col("part") != k), pos - a, n - b)).toArrow() for k, (a, b) in sorted(size.items())]
+    y, total = (np.concatenate([g.column(c).to_numpy() for g in got] or [np.empty(0)]) for c in ("y", "total"))
+    y = y.astype(int)
     order = np.lexsort((y, total))
     a, b = logistic(np.log1p(total[order]), y[order]) if y.any() else (1.0, -2.0)
     return Model(words, beginnings, (max(a, 0.1), min(b, -0.1)))
