@@ -162,6 +162,17 @@ def garch_fits(returns: DataFrame, refit: int = REFIT) -> DataFrame:
     return jobs.mapInPandas(run, FITS)
 
 
+def targeted_fits(returns: DataFrame, alpha: float = 0.05, beta: float = 0.9, refit: int = REFIT) -> DataFrame:
+    """As garch_fits, without a search: alpha and beta are given, and omega makes the long-run variance that of all returns known at the refit row, where the
+    recursion starts again. Null where these don't vary. One window a series, no Python.
+    """
+    pos, every = F.col("pos"), Window.partitionBy("index_id").orderBy("pos")
+    known = returns.withColumn("_var", F.var_pop("r").over(every)).where((pos >= MIN_HISTORY) & ((pos == MIN_HISTORY) | (pos % refit == 0)))
+    v = F.when(F.col("_var") > 0, F.col("_var"))
+    given = [F.when(v.isNotNull(), F.lit(x)).alias(n) for n, x in (("alpha", alpha), ("beta", beta))]
+    return known.select("index_id", pos.cast("long").alias("at"), (v * (1 - alpha - beta)).alias("omega"), *given, v.alias("last"))
+
+
 def garch(returns: DataFrame, refit: int = REFIT, fits: DataFrame | None = None) -> DataFrame:
     """v_garch, the variance of the period after each row, and v_garch_failed, how many fits have failed by then.
 

@@ -95,6 +95,15 @@ def read_daily_csv(spark: SparkSession, path: str, min_year: int | None = None)
     return df
 
 
+def with_fallback(primary: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """primary, and of second the series (`keys`) of which primary has no row; `source` says which. Columns are primary's.
+
+    Sources aren't mixed inside a series, as their levels may differ. The keys that primary has are the smaller side of an anti-join.
+    """
+    rest = second.join(primary.select(*keys).distinct(), keys, "left_anti").select(*primary.columns)
+    return primary.withColumn("source", F.lit("primary")).unionByName(rest.withColumn("source", F.lit("second")))
+
+
 def require(df: DataFrame, condition: Column, message: str) -> None:
     """Fails unless an aggregate condition over df holds."""
     if not df.agg(condition.alias("ok")).first().ok:
