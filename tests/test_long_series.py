@@ -152,3 +152,18 @@ def test_a_long_series_is_dealt_over_tasks(spark):
         assert len(used) == 4 and all(r.wrong == 0 for r in used)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("make", [
+    lambda f: walk.walk(f, YEAR, 3, blocks=50),
+    lambda f: walk.predictive_regressions(f, {"cape": F.col("log_cape"), "gap": F.col("gap")}, blocks=40),
+    lambda f: blocks.placed(f.drop("pos")),
+], ids=["walk", "regressions", "places"])
+def test_rows_are_not_dealt_again_for_totals(spark, long, make):
+    """Totals, means and places of blocks come to the rows, however large Spark takes them to be; else all rows of a series meet in one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = make(long)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan

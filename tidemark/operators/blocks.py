@@ -1,8 +1,8 @@
 """One long series in many tasks: blocks of positions, what a block needs of its neighbours, and totals carried from block to block.
 
 A block holds `rows` positions. Windows with a bounded frame run inside a block that also has the rows just before and after it
-(haloed). Totals of all rows so far run inside a block too, from what the blocks before it add up to (scanned): totals per block, a window over
-the blocks, and a join back, so no task has more than a block.
+(haloed). Totals of all rows so far run inside a block too (summed); the last row of a block has the block's total, and a window over those rows gives
+what the blocks before add up to (carried). That is a row a block and is broadcast, so the rows themselves are dealt once and no task has more than a block.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from .windows import SERIES, done
 def placed(df: DataFrame, order: Sequence[str] = ("date",), keys: Sequence[str] = SERIES, name: str = "pos") -> DataFrame:
     """As series.positioned: a place from 0 in each series, but a series may lie in several tasks. df is read twice.
 
-    Rows are range-sorted; each range numbers its rows, and a window over the ranges' counts says where its part of a series begins.
+    Rows are range-sorted; each range numbers its rows, and a window over the ranges' counts says where its part of a series begins. Of that there is a
+    row per range and series in it, which is broadcast: joined by key, the rows would be dealt once more.
     """
     by = [*keys, *order]
     rows = kept(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
@@ -27,7 +28,7 @@ def placed(df: DataFrame, order: Sequence[str] = ("date",), keys: Sequence[str]
     parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_from"))
-    return rows.join(parts, [*keys, "_part"]).withColumn(name, F.col("_at") + F.col("_from")).select(*df.columns, name)
+    return rows.join(F.broadcast(kept(parts)), [*keys, "_part"]).withColumn(name, F.col("_at") + F.col("_from")).select(*df.columns, name)
 
 
 def haloed(df: DataFrame, rows: int, before: int = 0, after: int = 0, pos: str = "pos") -> DataFrame:
@@ -42,51 +43,78 @@ def own(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_block", "_own")
 
 
-def scanned(df: DataFrame, terms: Mapping[str, Column], lag: int, rows: int | None = None, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
-    """df with, for every term, its sum over all rows from the series' first to `lag` rows before this one; null where all are null.
+def summed(df: DataFrame, terms: Mapping[str, Column], lag: int, rows: int, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
+    """haloed df (`lag` rows before at least) with, for every term, its sum over what counts in the row's block: a row counts from `lag` rows later on.
 
-    rows: None for a window over the whole series; else df is haloed by blocks of so many rows, with `lag` rows before at least (lag may not be
-    above rows), and positions are without gaps.
+    So the last row of a block has the total of the block.
     """
-    if rows is None:
-        return df.withColumns({n: F.sum(x).over(done(lag, pos, keys)) for n, x in terms.items()})
     if lag > rows:
         raise ValueError("a block must be longer than the lag")
-    columns = [c for c in df.columns if c not in terms]
-    df = kept(df.withColumns({f"_x_{n}": x for n, x in terms.items()}))
-    # A row counts from `lag` rows later on, so it belongs to the totals of the block that this place lies in.
     late = F.floor((F.col(pos) + lag) / rows).cast("long")
-    totals = df.where("_own").groupBy(*keys, late.alias("_block")).agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in terms])
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_block", *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in terms])
     inside = done(lag, pos, (*keys, "_block"))
-    here = {n: F.sum(F.when(late == F.col("_block"), F.col(f"_x_{n}"))).over(inside) for n in terms}
-    out = df.withColumns(here).join(carried, [*keys, "_block"], "left")
+    return df.withColumns({n: F.sum(F.when(late == F.col("_block"), x)).over(inside) for n, x in terms.items()})
+
+
+def carried(df: DataFrame, names: Sequence[str], rows: int, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
+    """df, whose own rows have sums of their block (summed), with the sums of all blocks before added; null where all are null. df is read twice."""
+    upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = df.where(F.col("_own") & (F.col(pos) % rows == rows - 1)).select(*keys, "_block", *names)
+    before = kept(last.select(*keys, (F.col("_block") + 1).alias("_block"), *[F.sum(n).over(upto).alias(f"_c_{n}") for n in names]))
+    out = df.join(F.broadcast(before), [*keys, "_block"], "left")
     both = lambda n: F.when(F.col(n).isNotNull() | F.col(f"_c_{n}").isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)))
-    return out.select(*columns, *[both(n).alias(n) for n in terms])
+    return out.select(*[both(c).alias(c) if c in names else c for c in df.columns])
 
 
-def regressed(df: DataFrame, y: Column, predictors: Mapping[str, Column], lag: int, least: int, rows: int, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
-    """haloed df with, for each name, the least-squares line of y on the predictor over all rows up to `lag` before, at the row; null below `least` pairs.
+def scanned(df: DataFrame, terms: Mapping[str, Column], lag: int, rows: int | None = None, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
+    """df with, for every term, its sum over all rows from the series' first to `lag` rows before this one; null where all are null.
 
-    Moments are sums around the series' mean, so they keep their digits.
+    rows: None for a window over the whole series; else df is haloed by blocks of so many rows, with `lag` rows before at least (lag may not be
+    above rows), and positions are without gaps; then only a block's own rows come back, still with _block and _own.
     """
+    if rows is None:
+        return df.withColumns({n: F.sum(x).over(done(lag, pos, keys)) for n, x in terms.items()})
+    return carried(kept(summed(df, terms, lag, rows, pos, keys).where("_own")), list(terms), rows, pos, keys)
+
+
+#: Moments of a line's pairs.
+_MOMENTS = ("n", "x", "y", "xx", "xy")
+
+
+def paired(df: DataFrame, y: Column, predictors: Mapping[str, Column], lag: int, rows: int, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
+    """haloed df with what fitted() needs: each predictor's value and moments with y, as summed(), around the block's own means, so they keep their digits."""
     df = df.withColumns({"_y": y, **{f"_p_{n}": x for n, x in predictors.items()}})
-    means = df.where("_own").groupBy(*keys).agg(F.avg("_y").alias("_my"), *[F.avg(f"_p_{n}").alias(f"_m_{n}") for n in predictors])
-    columns = df.columns
-    df = df.join(means, list(keys)).select(*columns, *[c for c in means.columns if c not in keys])
+    block = Window.partitionBy(*keys, "_block")
+    mean = lambda c: F.coalesce(F.avg(c).over(block), F.lit(0.0))
+    df = df.withColumns({"_my": mean("_y"), **{f"_m_{n}": mean(f"_p_{n}") for n in predictors}})
     terms = {}
     for n in predictors:
         x, v = F.col(f"_p_{n}") - F.col(f"_m_{n}"), F.col("_y") - F.col("_my")
         both = x.isNotNull() & v.isNotNull()
-        terms |= {f"_{n}_{k}": F.when(both, t) for k, t in {"n": F.lit(1.0), "x": x, "y": v, "xx": x * x, "xy": x * v}.items()}
-    df = scanned(df, terms, lag, rows, pos, keys)
+        terms |= {f"_{n}_{k}": F.when(both, t) for k, t in zip(_MOMENTS, (F.lit(1.0), x, v, x * x, x * v))}
+    return summed(df, terms, lag, rows, pos, keys).drop("_y")
+
+
+def fitted(df: DataFrame, predictors: Sequence[str], least: int, rows: int, pos: str = "pos", keys: Sequence[str] = SERIES) -> DataFrame:
+    """Own rows of paired(), kept, with for each name the least-squares line over all rows up to the lag before, at the row; null below `least` pairs.
+
+    Moments move from the block's means to the series' mean of those, a row per series that is broadcast, and are carried on.
+    """
+    columns = [c for c in df.columns if c not in ("_my", *[f"_{k}_{n}" for n in predictors for k in ("p", "m")], *[f"_{n}_{k}" for n in predictors for k in _MOMENTS])]
+    centres = df.where(F.col(pos) % rows == 0).groupBy(*keys).agg(F.avg("_my").alias("_sy"), *[F.avg(f"_m_{n}").alias(f"_s_{n}") for n in predictors])
+    df = df.join(F.broadcast(kept(centres)), list(keys))
+    moved = {}
+    for n in predictors:
+        m, dx, dy = {k: F.col(f"_{n}_{k}") for k in _MOMENTS}, F.col(f"_m_{n}") - F.col(f"_s_{n}"), F.col("_my") - F.col("_sy")
+        moved |= {
+            f"_{n}_x": m["x"] + m["n"] * dx, f"_{n}_y": m["y"] + m["n"] * dy,
+            f"_{n}_xx": m["xx"] + 2 * dx * m["x"] + m["n"] * dx * dx, f"_{n}_xy": m["xy"] + dx * m["y"] + dy * m["x"] + m["n"] * dx * dy,
+        }
+    df = carried(df.withColumns(moved), [f"_{n}_{k}" for n in predictors for k in _MOMENTS], rows, pos, keys)
 
     def line(n: str) -> Column:
-        m = {k: F.col(f"_{n}_{k}") for k in ("n", "x", "y", "xx", "xy")}
+        m = {k: F.col(f"_{n}_{k}") for k in _MOMENTS}
         slope = F.try_divide(m["n"] * m["xy"] - m["x"] * m["y"], m["n"] * m["xx"] - m["x"] * m["x"])
-        at = F.col(f"_p_{n}") - F.col(f"_m_{n}")
-        return F.when(m["n"] >= least, F.col("_my") + m["y"] / m["n"] + slope * (at - m["x"] / m["n"]))
+        at = F.col(f"_p_{n}") - F.col(f"_s_{n}")
+        return F.when(m["n"] >= least, F.col("_sy") + m["y"] / m["n"] + slope * (at - m["x"] / m["n"]))
 
-    drop = ["_y", "_my", *terms, *[f"{k}{n}" for n in predictors for k in ("_p_", "_m_")]]
-    return df.withColumns({n: line(n) for n in predictors}).drop(*drop)
+    return df.select(*columns, *[line(n).alias(n) for n in predictors])

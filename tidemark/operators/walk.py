@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
-from .blocks import haloed, own, placed, regressed, scanned
+from ..sources.tables import kept
+from .blocks import carried, fitted, haloed, own, paired, scanned, summed
 from .features import BANDS
 from .series import positioned
 from .windows import SERIES, done, ordered
@@ -67,15 +68,17 @@ def completed(features: DataFrame, h: Horizon, lag: int = 0, keys: Sequence[str]
     return f.withColumn("ok", F.col("fwd").isNotNull() & F.col("gap").isNotNull() & F.col("g").isNotNull())
 
 
-def _scanned_lambda(features: DataFrame, h: Horizon, lag: int, blocks: int | None) -> DataFrame:
-    """expanding_lambda() before a block's neighbours' rows go."""
-    if blocks is None:
-        f = completed(features, h, lag)
-    else:  # rows behind for the outcome, rows before for the totals and what their signals are held back by
-        f = completed(haloed(features, blocks, before=h.steps + lag, after=h.steps), h, lag, (*SERIES, "_block"))
-    rest, one = F.col("fwd") - F.col("g") * h.years, F.lit(1).cast("long")
-    ok = lambda x: F.when(F.col("ok"), x)
-    f = scanned(f, {"n_done": ok(one), "_gr": ok(F.col("gap") * rest), "_gg": ok(F.col("gap") * F.col("gap")), "_fwd": ok(F.col("fwd"))}, h.steps, blocks)
+def _completed_in_blocks(features: DataFrame, h: Horizon, lag: int, blocks: int) -> DataFrame:
+    """completed(), dealt in blocks: with rows behind for the outcome, rows before for the totals and what their signals are held back by."""
+    return completed(haloed(features, blocks, before=h.steps + lag, after=h.steps), h, lag, (*SERIES, "_block"))
+
+
+def _lambda_terms(h: Horizon) -> dict[str, Column]:
+    rest, ok = F.col("fwd") - F.col("g") * h.years, lambda x: F.when(F.col("ok"), x)
+    return {"n_done": ok(F.lit(1).cast("long")), "_gr": ok(F.col("gap") * rest), "_gg": ok(F.col("gap") * F.col("gap")), "_fwd": ok(F.col("fwd"))}
+
+
+def _with_lambda(f: DataFrame, h: Horizon) -> DataFrame:
     f = f.withColumns({"n_done": F.coalesce("n_done", F.lit(0).cast("long")), "lam_ols": F.try_divide("_gr", "_gg"), "hist_mean": F.try_divide("_fwd", "n_done")}).drop("_gr", "_gg", "_fwd")
     return f.withColumn("lam_used", clip(h.shrink * F.col("lam_ols") + (1 - h.shrink) * h.prior, 0.0, h.cap))
 
@@ -85,20 +88,30 @@ def expanding_lambda(features: DataFrame, h: Horizon, lag: int = 0, blocks: int
 
     blocks: None for a series a task; else blocks of so many rows of a series of any length, with totals carried from block to block.
     """
-    f = _scanned_lambda(features, h, lag, blocks)
+    f = completed(features, h, lag) if blocks is None else _completed_in_blocks(features, h, lag, blocks)
+    f = _with_lambda(scanned(f, _lambda_terms(h), h.steps, blocks), h)
     return f if blocks is None else own(f)
 
 
-def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int = MIN_TRAIN, predictors: Mapping[str, Column] | None = None, blocks: int | None = None) -> DataFrame:
+def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int = MIN_TRAIN, predictors: Mapping[str, Column] | None = None, blocks: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per origin: realized, lam_ols, lam_used, fc_<policy>, band_q.., and opos, the origin's own place.
 
-    predictors: fc_<name> of a regression on each is added, from windows of the same sort. blocks: as of expanding_lambda().
+    predictors: fc_<name> of a regression on each is added, from windows of the same sort. blocks: as of expanding_lambda(); all totals are of one deal.
+    keep: columns of features that go along.
     """
-    f = _scanned_lambda(features, h, lag, blocks)
+    more = {f"fc_{n}": x for n, x in (predictors or {}).items()}
     if blocks is None:
-        f = f.withColumns({f"fc_{n}": _regression(F.col("fwd"), x, h, min_train) for n, x in (predictors or {}).items()})
+        f = expanding_lambda(features, h, lag)
+        f = f.withColumns({n: _regression(F.col("fwd"), x, h, min_train) for n, x in more.items()})
     else:
-        f = own(regressed(f, F.col("fwd"), {f"fc_{n}": x for n, x in predictors.items()}, h.steps, min_train, blocks) if predictors else f)
+        terms = _lambda_terms(h)
+        f = summed(_completed_in_blocks(features, h, lag, blocks), terms, h.steps, blocks)
+        f = summed(f, {"_seen": F.when(F.col("ok"), F.lit(1).cast("long"))}, 0, blocks)
+        f = paired(f, F.col("fwd"), more, h.steps, blocks) if more else f
+        used = [c for c in f.columns if c.startswith(("off_q", "_")) or c in (*SERIES, "date", "pos", "log_p", "g", "gap", "fwd", "ok", *terms, *keep)]
+        f = carried(kept(f.where("_own").select(*used)), [*terms, "_seen"], blocks)
+        f = fitted(f, list(more), min_train, blocks) if more else f
+        f = own(_with_lambda(f, h))
     f = f.where(F.col("ok") & (F.col("n_done") >= min_train))
     drift = F.col("g") * h.years
     point = {
@@ -106,9 +119,12 @@ def walk(features: DataFrame, h: Horizon = YEAR, lag: int = 0, min_train: int =
         "drift_only": drift, "rw_zero": F.lit(0.0), "rw_drift": F.col("hist_mean"),
     }
     bands = [(point["level0_est"] + F.col("lam_used") * F.col(c)).alias("band" + c[3:]) for c in f.columns if c.startswith("off_q")]
-    more = [f"fc_{n}" for n in predictors or ()]
-    rows = f.select("index_id", "date", "pos", "log_p", "g", "gap", F.col("fwd").alias("realized"), "lam_ols", "lam_used", *[point[p].alias(f"fc_{p}") for p in POLICIES], *bands, *more)
-    return positioned(rows, "pos", name="opos") if blocks is None else placed(rows, ["pos"], name="opos")
+    columns = ["index_id", "date", "pos", "log_p", "g", "gap", F.col("fwd").alias("realized"), "lam_ols", "lam_used", *[point[p].alias(f"fc_{p}") for p in POLICIES], *bands, *more, *keep]
+    if blocks is None:
+        return positioned(f.select(*columns), "pos", name="opos")
+    # From the first origin on every completed row is one, as the number of those before only grows, so a running count of them is the place.
+    first = kept(f.groupBy(*SERIES).agg(F.min("_seen").alias("_first")))
+    return f.join(F.broadcast(first), list(SERIES)).select(*columns, (F.col("_seen") - F.col("_first")).alias("opos"))
 
 
 def neutral_walk(features: DataFrame, h: Horizon, min_train: int = MIN_TRAIN) -> DataFrame:
@@ -143,8 +159,10 @@ def predictive_regressions(features: DataFrame, predictors: Mapping[str, Column]
     f = features if blocks is None else haloed(features, blocks, before=h.steps, after=h.steps)
     f = f.withColumn("y", F.lead("log_p", h.steps).over(ordered(keys=keys)) - F.col("log_p"))
     if blocks is not None:
-        f = own(regressed(f, F.col("y"), {f"fc_{n}": x for n, x in predictors.items()}, h.steps, min_train, blocks))
-        return f.select("index_id", "pos", *[f"fc_{n}" for n in predictors])
+        more = {f"fc_{n}": x for n, x in predictors.items()}
+        f = paired(f, F.col("y"), more, h.steps, blocks)
+        f = kept(f.where("_own").select("index_id", "pos", *[c for c in f.columns if c.startswith("_")]))
+        return fitted(f, list(more), min_train, blocks).select("index_id", "pos", *more)
     f = f.select("index_id", "pos", "y", *[x.alias(n) for n, x in predictors.items()])
     return f.select("index_id", "pos", *[_regression(F.col("y"), F.col(n), h, min_train).alias(f"fc_{n}") for n in predictors])
 
