@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import growth
 from .blocks import haloed, own
-from .order import BLOCK, sliding
+from .order import BLOCK, slid
 from .series import positioned
 from .windows import SERIES, ordered, trailing, whole
 
@@ -28,10 +28,9 @@ def valuation_features(valuation: DataFrame, blocks: int = BLOCK) -> DataFrame:
     """log_p, log_cape, e10n, g (20-year growth), cape_star, bands q05..q95, pctile, gap. All look back over a bounded number of rows, so a series is dealt in blocks of positions."""
     names = ["cape_star", *[f"q{round(b * 100):02d}" for b in BANDS]]
     f = valuation.select("*", F.ln("p").alias("log_p"), F.ln("cape").alias("log_cape"), F.try_divide("p", "cape").alias("e10n"))
-    f = haloed(f, blocks, before=GROWTH_WINDOW)
+    f = haloed(f, blocks, before=max(GROWTH_WINDOW, MEDIAN_WINDOW - 1))
     before = F.lag(F.ln("e10n"), GROWTH_WINDOW).over(ordered(keys=(*SERIES, "_block")))
-    f = own(f.withColumn("g", (F.ln("e10n") - before) / 20))
-    f = sliding(f, "cape", MEDIAN_WINDOW, (0.5, *BANDS), blocks=blocks)
+    f = slid(f.withColumn("g", (F.ln("e10n") - before) / 20), "cape", MEDIAN_WINDOW, (0.5, *BANDS))
     f = f.select(*[c for c in f.columns if c not in ("_q", "_below")], *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("_below").alias("pctile"))
     return f.withColumn("gap", F.ln("cape_star") - F.col("log_cape"))
 

@@ -254,6 +254,11 @@ def sliding(rows: DataFrame, value: str, n: int, levels: Sequence[float], keys:
 
     A task has blocks of positions and the n - 1 rows before each.
     """
+    return slid(haloed(rows, blocks, before=n - 1, pos=order), value, n, levels, keys, order)
+
+
+def slid(dealt: DataFrame, value: str, n: int, levels: Sequence[float], keys: Sequence[str] = SERIES, order: str = "pos") -> DataFrame:
+    """sliding() of rows that are haloed already, with n - 1 rows before at least; a row once again."""
 
     def run(t: pa.Table) -> dict[str, pa.Array]:
         v = _numbers(t, value)
@@ -266,5 +271,4 @@ def sliding(rows: DataFrame, value: str, n: int, levels: Sequence[float], keys:
         below[at] = s.below(lo[at], hi[at] - 1, v[at], equal=False) / max(n - 1, 1)
         return {"_q": _lists(q), "_below": pa.array(below, mask=~asked)}
 
-    dealt = haloed(rows, blocks, before=n - 1, pos=order)
     return _by_series(dealt, [*keys, "_block"], order, run, "_q array<double>, _below double").where("_own").drop("_block", "_own")

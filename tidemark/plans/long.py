@@ -10,7 +10,7 @@ from ..operators import features as feat
 from ..operators import walk
 from ..operators.blocks import placed
 from ..operators.walk import YEAR
-from ..sources.tables import kept, table
+from ..sources.tables import table
 from .panel import GRID_SQL, SIDE, sql, walk_sql
 from .registry import query
 from .shown import picked, shown
@@ -20,20 +20,23 @@ LEAST_ROWS, MOST_BLOCKS = 4096, 2048
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per order: main has all, side the urgent ones; kept."""
+    """A row per order: main has all, side the urgent ones; sorted and kept once."""
     o = table(spark, sf_dir, "orders")
     index = F.explode(F.when(F.col("o_orderpriority") == SIDE, F.array(F.lit("main"), F.lit("side"))).otherwise(F.array(F.lit("main"))))
     e = 99_991 * (1 + F.col("o_custkey") % 7 / 10)
     t = o.select(index.alias("index_id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("p"), (F.col("o_totalprice") / e).alias("cape"), (F.col("o_custkey") % 5).alias("kind"))
-    return kept(placed(t, ["date", "key"]))
+    return placed(t, ["date", "key"])
 
 
 def block_rows(t: DataFrame) -> int:
     return max(LEAST_ROWS, -(-(t.agg(F.max("pos")).first()[0] or 0) // MOST_BLOCKS))
 
 
-def long_features(t: DataFrame) -> DataFrame:
-    return kept(feat.valuation_features(t, block_rows(t)))
+def long_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Features, for what reads them once, and the rows of a block."""
+    t = ticks(spark, sf_dir)
+    rows = block_rows(t)
+    return feat.valuation_features(t, rows), rows
 
 
 TICKS = f"""
@@ -50,7 +53,7 @@ _BANDS = "g cape_star q05 q25 q75 q95 pctile gap"
 @query(sql(TICKS) + " SELECT " + picked("index_id", _BANDS, "pos") + " FROM ft")
 def e04_long_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing median, bands and rank of every order among the 360 up to it."""
-    return shown(long_features(ticks(spark, sf_dir)), f"index_id pos {_BANDS}")
+    return shown(long_features(spark, sf_dir)[0], f"index_id pos {_BANDS}")
 
 
 _WALK = "realized lam_ols lam_used fc_level0_est fc_rw_drift band_q05 band_q95"
@@ -59,8 +62,8 @@ _WALK = "realized lam_ols lam_used fc_level0_est fc_rw_drift band_q05 band_q95"
 @query(sql(TICKS, walk_sql(lag=3)) + " SELECT " + picked("index_id", _WALK, "pos opos") + " FROM og")
 def e07_long_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk-forward over every order, with signals held back by three, running totals carried from block to block."""
-    f = long_features(ticks(spark, sf_dir))
-    return shown(walk.walk(f, YEAR, lag=3, blocks=block_rows(f)), f"index_id pos opos {_WALK}")
+    f, rows = long_features(spark, sf_dir)
+    return shown(walk.walk(f, YEAR, lag=3, blocks=rows), f"index_id pos opos {_WALK}")
 
 
 _LINE = "CASE WHEN regr_count(fwd, {x}) OVER w >= 120 AND {x} IS NOT NULL THEN regr_intercept(fwd, {x}) OVER w + regr_slope(fwd, {x}) OVER w * {x} END"
@@ -69,19 +72,17 @@ _LINE = "CASE WHEN regr_count(fwd, {x}) OVER w >= 120 AND {x} IS NOT NULL THEN r
 @query(sql(TICKS, walk_sql()) + f", rg AS (SELECT index_id, pos, {_LINE.format(x='gap')} AS fc_gap, {_LINE.format(x='log_p')} AS fc_log_p FROM og_b WINDOW w AS (PARTITION BY index_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 12 PRECEDING)) SELECT " + picked("index_id", "fc_gap fc_log_p", "pos") + " FROM rg")
 def e26_long_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes regressed on one predictor each, over all completed orders before each order."""
-    f = long_features(ticks(spark, sf_dir))
-    return shown(walk.predictive_regressions(f, {"gap": F.col("gap"), "log_p": F.col("log_p")}, YEAR, blocks=block_rows(f)), "index_id pos fc_gap fc_log_p")
+    f, rows = long_features(spark, sf_dir)
+    return shown(walk.predictive_regressions(f, {"gap": F.col("gap"), "log_p": F.col("log_p")}, YEAR, blocks=rows), "index_id pos fc_gap fc_log_p")
 
 
 def long_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's forecast with its deviation, quantiles and rank among all completed ones; null variances among them."""
-    f = long_features(ticks(spark, sf_dir))
-    rows = block_rows(f)
-    v = f.select("index_id", "pos", F.lit("kind").alias("model"), F.when(F.col("kind") > 0, F.pow(0.4 + F.col("kind") / 10, F.lit(2.0)) / 12).alias("v"))
-    origins = walk.walk(f, YEAR, blocks=rows)
-    r = origins.select("index_id", "date", "pos", "opos", F.col("fc_level0_est").alias("mu"), "realized", (F.col("realized") - F.col("fc_level0_est")).alias("resid"))
-    r = r.join(v, ["index_id", "pos"]).withColumn("raw", F.sqrt(YEAR.steps * F.col("v")))
-    return dist.simulated(kept(dist.level_calibrated(r, YEAR, rows)), YEAR, rows)
+    f, rows = long_features(spark, sf_dir)
+    origins = walk.walk(f, YEAR, blocks=rows, keep=("kind",))
+    v = F.when(F.col("kind") > 0, F.pow(0.4 + F.col("kind") / 10, F.lit(2.0)) / 12)
+    r = origins.select("index_id", F.lit("kind").alias("model"), "opos", F.col("fc_level0_est").alias("mu"), "realized", (F.col("realized") - F.col("fc_level0_est")).alias("resid"), F.sqrt(YEAR.steps * v).alias("raw"))
+    return dist.simulated(dist.level_calibrated(r, YEAR, rows), YEAR, rows)
 
 
 @query(sql(TICKS, walk_sql(), f"""
