@@ -167,3 +167,37 @@ def test_rows_are_not_dealt_again_for_totals(spark, long, make):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
+def records_dealt(df):
+    """Rows that the exchanges of a plan write, each exchange once."""
+    plan, n = df._jdf.queryExecution().executedPlan(), 0
+    df._jdf.queryExecution().toRdd().count()
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        n += p.metrics().apply("shuffleRecordsWritten").value() if p.metrics().contains("shuffleRecordsWritten") else 0
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return n
+
+
+@pytest.mark.parametrize("places", [1, 9])
+def test_quantiles_of_a_row_are_not_dealt_one_by_one(spark, places):
+    """Neighbouring rows share what they ask of a bucket: a row's 19 quantiles and its rank are few rows, for distinct values and for many equal ones; and they are right."""
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=16_000), places)
+    rows = spark.createDataFrame(pd.DataFrame({"index_id": "a", "opos": np.arange(len(v)), "v": v})).repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = order.expanding(rows, {"s": ("v", "v")}, 12, ("index_id",), blocks=1000)
+        assert records_dealt(got) < 10 * len(v)
+        got = got.where("opos % 997 = 0 OR opos < 40").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) == 56
+    for r in got.itertuples():
+        pool = v[: max(0, r.opos - 11)]
+        assert r.s_n == len(pool)
+        if len(pool):
+            np.testing.assert_allclose(r.s_q, np.quantile(pool, np.arange(1, 20) / 20), atol=1e-12)
+            assert r.s_below == pytest.approx(np.mean(pool <= r.v))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,10 +153,9 @@ def expanding(rows: DataFrame, of: Mapping[str, tuple[str, str]], lag: int, keys
     """
     more = ", ".join(f"{n}_q array<double>, {n}_below double, {n}_n long" for n in of)
     if blocks is not None:
-        out = rows
         for n, (value, x) in of.items():
-            out = out.join(_expanding_in_blocks(rows, n, value, x, lag, keys, order, levels, blocks), [*keys, order], "left")
-        return out.select(*rows.columns, *[f"{n}_{c}" for n in of for c in ("q", "below", "n")])
+            rows = _expanding_in_blocks(rows, n, value, x, lag, keys, order, levels, blocks)
+        return rows
 
     def run(t: pa.Table) -> dict[str, pa.Array]:
         out = {}
@@ -173,79 +171,157 @@ def expanding(rows: DataFrame, of: Mapping[str, tuple[str, str]], lag: int, keys
     return _by_series(rows, keys, order, run, more)
 
 
+#: What a block asks buckets for, and what they answer. i: a row's value (0, 1, ..), a slice of the bucket (-1), one of its values (-2).
+_ASKED = {"_block": pa.int64(), "u": pa.int64(), "i": pa.int64(), "y": pa.float64(), "o": pa.int64(), "k": pa.int64(), "k_end": pa.int64(), "base": pa.int64(), "total": pa.int64()}
+_ASKED_KINDS = "_block long, u long, i long, y double, o long, k long, k_end long, base long, total long"
+
+
+def _asks(keys: Mapping[str, pa.Scalar], **columns: np.ndarray | int) -> pa.Table:
+    """Rows of _ASKED under the same keys; columns that aren't given are 0."""
+    n = max([0, *[len(c) for c in columns.values() if isinstance(c, np.ndarray)]])
+    made = {c: columns.get(c, 0) for c in _ASKED}
+    arrays = [pa.array(v if isinstance(v, np.ndarray) else np.full(n, v), kind) for v, kind in zip(made.values(), _ASKED.values())]
+    return pa.table([*[pa.repeat(v, n) for v in keys.values()], *arrays], names=[*keys, *made])
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each span, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class _Block:
+    """What a block's rows have of their own: values in order of position, and for each asking row how many of these it may know."""
+
+    def __init__(self, t: pa.Table, block: int, value: str, x: str, lag: int, order: str, size: int):
+        o, v = t[order].cast(pa.int64()).to_numpy(), _numbers(t, value)
+        self.rows = np.flatnonzero(t["_own"].to_numpy(zero_copy_only=False).astype(bool))
+        at = np.flatnonzero(~np.isnan(v) & (o // size == block))
+        at = at[np.argsort(o[at])]
+        self.o, self.v = o[at], v[at]
+        self.hi = np.searchsorted(self.o, o[self.rows] - lag, "right")
+        self.due = o[self.rows] >= lag
+        self.x = _numbers(t, x)[self.rows]
+        self.asked = np.flatnonzero(self.due & ~np.isnan(self.x))
+        #: A value is asked for once, however many rows have it.
+        self.unique, self.back = np.unique(self.x[self.asked], return_inverse=True)
+
+
 def _expanding_in_blocks(rows: DataFrame, name: str, value: str, x: str, lag: int, keys: Sequence[str], order: str, levels: Sequence[float], size: int) -> DataFrame:
-    """keys, order and the columns of one name.
+    """rows with the columns of one name.
 
-    Values get a rank in their series, and buckets of `size` ranks. A block of positions knows how many earlier values each bucket has, so it finds the
-    bucket that a row's quantile lies in, and the place in there; the bucket, which has its values in order of
-    position, gives the value. A bucket is asked for 2 values a row and level, spread over all buckets.
+    Values get a rank in their series, and buckets of `size` ranks. A block of positions knows how many earlier values each bucket has, so it finds for every
+    row the bucket that a quantile lies in, and the place in there. Quantiles of neighbouring rows are neighbours too: the block asks a bucket for one slice of its
+    earlier values, which all its rows share, and puts its own values between them. So what is asked and answered is a row for a row's rank and few for all
+    its quantiles, also where every block asks the same bucket. Values that are equal are in order of position throughout.
     """
-    kinds, keys = dict(rows.dtypes), list(keys)
+    kinds, keys, names = dict(rows.dtypes), list(keys), rows.columns
+    by = [*keys, "_block"]
     key_kinds = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    base = kept(rows.select(*keys, F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v"), F.col(x).cast("double").alias("x")))
-    block = lambda c: F.floor(F.col(c) / size).cast("long")
-    vals = placed(base.where("v IS NOT NULL").select(*keys, "o", "v"), ["v", "o"], keys, "rank").withColumns({"b": block("o"), "u": block("rank")})
-    vals = kept(vals.select(*keys, "o", "v", "b", "u"))
+    at = lambda shift: F.greatest(F.floor((F.col(order).cast("long") - shift) / size), F.lit(0)).cast("long")
+    v = F.col(value).cast("double")
+    vals = rows.where(v.isNotNull() & ~F.isnan(v)).select(*keys, F.col(order).cast("long").alias("o"), v.alias("v"))
+    vals = placed(vals, ["v", "o"], keys, "rank").withColumns({"b": F.floor(F.col("o") / size).cast("long"), "u": F.floor(F.col("rank") / size).cast("long")})
     # Values of each bucket in all blocks before: a grid of as many rows and columns as there are blocks.
-    dims = base.groupBy(*keys).agg(F.floor(F.max("o") / size).cast("long").alias("_b")).join(vals.groupBy(*keys).agg(F.max("u").alias("_u")), keys)
+    counts = kept(vals.groupBy(*keys, "b", "u").agg(F.count(F.lit(1)).alias("n")))
+    dims = rows.groupBy(*keys).agg(F.max(at(lag)).alias("_b")).join(counts.groupBy(*keys).agg(F.max("u").alias("_u")), keys)
     grid = dims.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("b"), "_u").select(*keys, "b", F.explode(F.sequence(F.lit(0).cast("long"), "_u")).alias("u"))
-    counted = grid.join(vals.groupBy(*keys, "b", "u").agg(F.count(F.lit(1)).alias("n")), [*keys, "b", "u"], "left")
+    counted = grid.join(counts, [*keys, "b", "u"], "left")
     earlier = Window.partitionBy(*keys, "u").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("u", F.col(c).alias("y")))), lambda s: s["y"])
-    carry = counted.withColumn("c", F.coalesce(F.sum("n").over(earlier), F.lit(0))).groupBy(*keys, "b").agg(in_order("c").alias("carry"))
-    least = vals.groupBy(*keys, "u").agg(F.min("v").alias("v")).groupBy(*keys).agg(in_order("v").alias("least"))
-    asked = base.where(F.col("o") >= lag).select(*keys, "o", (F.col("o") - lag).alias("upto"), "x").withColumn("b", block("upto"))
-    asked = asked.unionByName(carry.join(least, keys), allowMissingColumns=True)
-    routed_kinds = f"{key_kinds}, o long, upto long, x double, slot int, u long, k long, m long"
-
-    def route(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        head, ask = ask[ask["o"].isna()], ask[ask["o"].notna()]
-        if head.empty or ask.empty:
-            return pd.DataFrame()
-        carry, least = np.asarray(head["carry"].iloc[0], dtype=np.int64), np.asarray(head["least"].iloc[0], dtype=float)
-        bits = max(1, len(carry).bit_length())
-        more = np.concatenate([[0], np.cumsum(np.concatenate([carry, np.zeros((1 << bits) - len(carry), dtype=np.int64)]))])
-        have = have.sort_values("o")
-        w = Wavelet(have["u"].to_numpy(dtype=np.int64), bits)
-        hi = np.searchsorted(have["o"].to_numpy(dtype=np.int64), ask["upto"].to_numpy(dtype=np.int64), "right")
-        m = hi + more[-1]
-        ask, hi, m = ask[m > 0], hi[m > 0], m[m > 0]
-        k, _ = places(m, levels)
-        wide = k.shape[1]
-        u, rest = w.kth(np.zeros(k.size, dtype=np.int64), np.repeat(hi, wide), k.ravel(), more)
-        one = lambda rows, n: {c: np.repeat(ask[c].to_numpy()[rows], n) for c in (*keys, "o", "upto", "x")}
-        every = np.arange(len(ask))
-        out = pd.DataFrame({**one(every, wide), "slot": np.tile(np.arange(wide), len(ask)), "u": u, "k": rest, "m": np.repeat(m, wide)})
-        at = ask["x"].to_numpy(dtype=float)
-        mine = np.searchsorted(least, at, "right") - 1
-        some = np.flatnonzero((mine >= 0) & ~np.isnan(at))
-        lower = more[mine[some]] + w.below(np.zeros(len(some), dtype=np.int64), hi[some], mine[some])
-        return pd.concat([out, pd.DataFrame({**one(some, 1), "slot": -1, "u": mine[some], "k": lower, "m": m[some]})])
-
-    routed = vals.groupBy(*keys, "b").cogroup(asked.groupBy(*keys, "b")).applyInPandas(route, routed_kinds)
-
-    def found(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        have = have.sort_values("o")
-        s = Sorted(have["v"].to_numpy(dtype=float))
-        hi = np.searchsorted(have["o"].to_numpy(), ask["upto"].to_numpy(), "right")
-        lo, k, slot = np.zeros(len(ask), dtype=np.int64), ask["k"].to_numpy(dtype=np.int64), ask["slot"].to_numpy()
-        y = np.empty(len(ask))
-        q = slot >= 0
-        y[q] = s.values[s.wavelet.kth(lo[q], hi[q], k[q])[0]]
-        y[~q] = k[~q] + s.below(lo[~q], hi[~q], ask["x"].to_numpy(dtype=float)[~q], equal=True)
-        return ask[[*keys, "o", "slot", "m"]].assign(y=y)
-
-    got = vals.groupBy(*keys, "u").cogroup(routed.groupBy(*keys, "u")).applyInPandas(found, f"{key_kinds}, o long, slot int, m long, y double")
-    got = got.groupBy(*keys, "o").agg(F.max("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("slot", "y"))).alias("y"))
-    at = [(F.col("m") - 1) * F.lit(q) for q in levels]
-    two = [(F.try_element_at("y", F.lit(2 * i)), F.try_element_at("y", F.lit(2 * i + 1)), a - F.floor(a)) for i, a in enumerate(at)]
-    q = F.array(*[low + share * (high - low) for low, high, share in two])
-    rank = F.coalesce(F.try_element_at("y", F.lit(-1)), F.lit(0.0)) / F.col("m")
-    out = base.join(got, [*keys, "o"], "left")
-    known = F.col("m").isNotNull()
-    return out.select(
-        *keys, F.col("o").cast(kinds[order]).alias(order), F.when(known, q).alias(f"{name}_q"), F.when(known & F.col("x").isNotNull(), rank).alias(f"{name}_below"), F.coalesce("m", F.lit(0).cast("long")).alias(f"{name}_n")
-    )
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct("u", *c)))
+    carry = counted.withColumn("c", F.coalesce(F.sum("n").over(earlier), F.lit(0))).groupBy(*keys, F.col("b").alias("_block")).agg(in_order("c")["c"].alias("carry"))
+    least = vals.where(F.col("rank") % size == 0).select(*keys, "u", "v", "o").groupBy(*keys).agg(in_order("v", "o").alias("least"))
+    heads = kept(carry.join(least.select(*keys, F.col("least.v").alias("least_v"), F.col("least.o").alias("least_o")), keys))
+    # A row goes where the last row that it may know is, and, for its value, to its own block.
+    dealt = rows.withColumn("_block", F.explode(F.sequence(at(lag), at(0)))).withColumn("_own", F.col("_block") == at(lag))
+
+    def route(key: tuple[pa.Scalar, ...], have: pa.Table, head: pa.Table) -> pa.Table:
+        named, block = dict(zip(keys, key)), key[-1].as_py()
+        if not head.num_rows:
+            return _asks(named)
+        carry, edge, edge_o = (head[c].combine_chunks().flatten().to_numpy() for c in ("carry", "least_v", "least_o"))
+        base = np.concatenate([[0], np.cumsum(carry)])
+        b = _Block(have, block, value, x, lag, order, size)
+        # The bucket of an own value: how many buckets begin at or before it.
+        n = len(edge)
+        sort = np.lexsort((np.repeat([0, 1], [n, len(b.v)]), np.concatenate([edge_o, b.o]), np.concatenate([edge, b.v])))
+        u = np.empty(len(sort), dtype=np.int64)
+        u[sort] = np.cumsum(sort < n) - 1
+        own_u, bits = u[n:], max(1, n.bit_length())
+        more = np.concatenate([base, np.full((1 << bits) - n, base[-1])])
+        some = np.flatnonzero(b.due & (b.hi + base[-1] > 0))
+        k, _ = places(b.hi[some] + base[-1], levels)
+        hi = np.repeat(b.hi[some], k.shape[1])
+        at, place = Wavelet(own_u, bits).kth(np.zeros_like(hi), hi, k.ravel(), more)
+        # Per bucket the earlier values between the least and the largest place, whatever share of the places is the block's own; one more on either side.
+        first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        np.minimum.at(first, at, place)
+        np.maximum.at(last, at, place)
+        u = np.flatnonzero(last >= 0)
+        first = np.maximum(first[u] - np.bincount(own_u, minlength=n)[u] - 1, 0)
+        slices = _asks(named, _block=block, u=u, i=-1, y=edge[u], o=edge_o[u], k=first, k_end=np.minimum(last[u] + 2, carry[u]), base=base[u], total=int(base[-1]))
+        mine = np.searchsorted(edge, b.unique, "right") - 1
+        i = np.flatnonzero(mine >= 0)
+        return pa.concat_tables([slices, _asks(named, _block=block, u=mine[i], i=i, y=b.unique[i], base=base[mine[i]])])
+
+    def found(key: tuple[pa.Scalar, ...], have: pa.Table, ask: pa.Table) -> pa.Table:
+        o, v, named = have["o"].to_numpy(), have["v"].to_numpy(), dict(zip(keys, key))
+        sort = np.argsort(o)
+        o, v = o[sort], v[sort]
+        s, place = Sorted(v), o[np.argsort(v, kind="stable")]
+        c = {n: ask[n].to_numpy() for n in _ASKED}
+        before, q = np.searchsorted(o, c["_block"] * size, "left"), c["i"] >= 0
+        counts = c["base"][q] + s.below(np.zeros_like(before[q]), before[q], c["y"][q], equal=True)
+        m = {n: y[~q] for n, y in c.items()}
+        long = np.maximum(m["k_end"] - m["k"], 0)
+        hi = np.repeat(before[~q], long)
+        rank, _ = s.wavelet.kth(np.zeros_like(hi), hi, _spans(m["k"], long))
+        # A slice begins with its bucket, or with its first value.
+        begun = m["k"] > 0
+        first = rank[(np.cumsum(long) - long)[begun]]
+        m["y"][begun], m["o"][begun], m["base"] = s.values[first], place[first], m["base"] + m["k"]
+        values = _asks(named, _block=np.repeat(m["_block"], long), u=np.repeat(m["u"], long), i=-2, y=s.values[rank], o=place[rank])
+        return pa.concat_tables([_asks(named, _block=c["_block"][q], i=c["i"][q], k=counts), values, _asks(named, **m)])
+
+    def joined(key: tuple[pa.Scalar, ...], have: pa.Table, got: pa.Table) -> pa.Table:
+        b = _Block(have, key[-1].as_py(), value, x, lag, order, size)
+        c = {n: got[n].to_numpy() for n in _ASKED}
+        slices = np.flatnonzero(c["i"] == -1)
+        slices = slices[np.argsort(c["u"][slices])]
+        values, counts = np.flatnonzero(c["i"] == -2), np.flatnonzero(c["i"] >= 0)
+        total = int(c["total"][slices[0]]) if len(slices) else 0
+        # Own values, values of slices, and before each slice all earlier values that are in none, as one cell.
+        long = np.maximum(c["k_end"] - c["k"], 0)[slices]
+        gaps = c["base"][slices] - np.concatenate([[0], (c["base"][slices] + long)[:-1]]) if len(slices) else np.zeros(0, dtype=np.int64)
+        n, theirs = len(b.v), np.concatenate([values, slices])
+        v, o = np.concatenate([b.v, c["y"][theirs]]), np.concatenate([b.o, c["o"][theirs]])
+        sort = np.lexsort((np.repeat([1, 1, 0], [n, len(values), len(slices)]), o, v))
+        cell = np.empty(len(sort), dtype=np.int64)
+        cell[sort] = np.arange(len(sort))
+        weights = np.concatenate([np.zeros(n, dtype=np.int64), np.ones(len(values), dtype=np.int64), gaps])[sort]
+        v, bits = v[sort], max(1, len(sort).bit_length())
+        more = np.cumsum(np.concatenate([[0], weights, np.zeros((1 << bits) - len(sort), dtype=np.int64)]))
+        w = Wavelet(cell[:n], bits)
+        m = np.where(b.due, b.hi + total, 0)
+        some, q = np.flatnonzero(m > 0), np.full((len(m), len(levels)), np.nan)
+        for i in range(0, len(some), AT_ONCE):
+            part = some[i : i + AT_ONCE]
+            k, share = places(m[part], levels)
+            hi = np.repeat(b.hi[part], k.shape[1])
+            q[part] = between(v[w.kth(np.zeros_like(hi), hi, k.ravel(), more)[0]].reshape(k.shape), share)
+        earlier = np.zeros(len(b.unique), dtype=np.int64)
+        earlier[c["i"][counts]] = c["k"][counts]
+        below, hi = np.full(len(m), np.nan), b.hi[b.asked]
+        here = w.below(np.zeros_like(hi), hi, np.searchsorted(v, b.x[b.asked], "right"))
+        below[b.asked] = (earlier[b.back] + here) / np.maximum(m[b.asked], 1)
+        none = (m == 0) | np.isnan(b.x)
+        made = {f"{name}_q": _lists(q), f"{name}_below": pa.array(below, mask=none), f"{name}_n": pa.array(m)}
+        t = have.take(pa.array(b.rows))
+        return pa.table([*[t[c] for c in names], *made.values()], names=[*names, *made])
+
+    routed = dealt.groupBy(*by).cogroup(heads.groupBy(*by)).applyInArrow(route, f"{key_kinds}, {_ASKED_KINDS}")
+    got = vals.select(*keys, "u", "o", "v").groupBy(*keys, "u").cogroup(routed.groupBy(*keys, "u")).applyInArrow(found, f"{key_kinds}, {_ASKED_KINDS}")
+    out_kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return dealt.groupBy(*by).cogroup(got.groupBy(*by)).applyInArrow(joined, f"{out_kinds}, {name}_q array<double>, {name}_below double, {name}_n long")
 
 
 def sliding(rows: DataFrame, value: str, n: int, levels: Sequence[float], keys: Sequence[str] = SERIES, order: str = "pos", blocks: int = BLOCK) -> DataFrame:
